@@ -167,7 +167,7 @@ def topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "v
     bounded = stored(_with_bounds(queries, bounds), "bounded-queries")
     # One copy of each query block for each vector block of its dimension; the join key is that block.
     places = vectors.select("dim", "block", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("salt"))
-    spread = bounded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    spread = bounded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     copies = spread.join(places, (F.col("q_dim") == F.col("dim")) & (spread["salt"] == places["salt"])).select("q_ids", "q_matrix", "bounds", "block")
     pairs = copies.join(vectors, "block")
     return _top(_search(pairs, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
