@@ -147,15 +147,15 @@ class Codec:
                 at -= len(token[candidate])
         return out
 
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         find, encode = self.pattern.findall, self.encode_match
-        out = []
+        ids: list[int] = []
+        ends = [0]
         for piece in pieces:
-            ids: list[int] = []
             for match in find(piece.decode("utf-8", "replace")):
                 ids += encode(match.encode())
-            out.append(ids)
-        return out
+            ends.append(len(ids))
+        return np.array(ids, np.int32), np.diff(ends)
 
     def token_bytes(self) -> pa.Array:
         """Bytes of every token, for decoding."""

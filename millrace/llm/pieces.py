@@ -19,7 +19,7 @@ from millrace.llm.textarrays import IS_SPACE, text_bytes
 BATCH_BYTES = 16 << 20
 #: Pieces longer than this are not remembered; the memory is emptied at so many pieces.
 MEMO_PIECE_BYTES = 64
-MEMO_PIECES = 300_000
+MEMO_PIECES, MEMO_IDS = 300_000, 8_000_000
 
 
 def piece_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,50 +40,60 @@ def piece_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def distinct_pieces(column) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(index of each piece into the distinct ones, the distinct pieces, number of pieces before each text)."""
+def distinct_pieces(column, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(index of each piece into the distinct ones, the distinct pieces, number of pieces before each text).
+    fold maps the bytes to others that encode alike, so that more pieces are equal."""
     raw, offsets = text_bytes(column)
     cuts = piece_offsets(raw, offsets)
     if len(raw) == 0:
         return np.zeros(0, np.int64), [], np.zeros(len(offsets), np.int64)
+    raw = raw if fold is None else fold(raw)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
     coded = pieces.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(cuts, offsets)
 
 
 class PieceTable:
-    """Token ids of pieces. ``encode`` gets a list of pieces (bytes) and returns one id sequence for each."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list]):
-        self.encode, self.memo = encode, {}
-
-    def ragged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids of the pieces one after another, offsets)."""
-        memo = self.memo
-        missing = [p for p in pieces if p not in memo]
-        fresh = {}
+    """Token ids of pieces. ``encode`` gets a list of pieces and returns (all their ids, number of ids of each)."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], fold: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.encode, self.fold = encode, fold
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece's ids are: a slot, between offsets[slot] and offsets[slot + 1] of ids."""
+        if len(self.slots) > MEMO_PIECES or len(self.ids) > MEMO_IDS:
+            self.forget()
+        get = self.slots.get
+        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        new_ids, new_counts = [self.ids], []
         for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for piece, ids in zip(part, self.encode(part), strict=True):
-                ids = np.asarray(ids, np.int32)
-                fresh[piece] = ids
-        found = [fresh[p] if p in fresh else memo[p] for p in pieces]
-        if len(memo) + len(fresh) > MEMO_PIECES:
-            memo.clear()
-        memo.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_PIECE_BYTES)
-        offsets = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=offsets[1:])
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), offsets
+            ids, counts = self.encode([pieces[i] for i in missing[at : at + 20_000]])
+            new_ids.append(ids)
+            new_counts.append(counts)
+        if len(missing):
+            first = len(self.offsets) - 1
+            found[missing] = np.arange(first, first + len(missing))
+            self.slots.update(zip((pieces[i] for i in missing), range(first, first + len(missing)), strict=True))
+            self.ids = np.concatenate(new_ids)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(new_counts))])
+        return found
 
     def text_ids(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts)."""
-        index, pieces, firsts = distinct_pieces(column)
-        ids, offsets = self.ragged(pieces)
-        lengths = np.diff(offsets)[index]
+        index, pieces, firsts = distinct_pieces(column, self.fold)
+        slots = self.places(pieces)[index] if pieces else index
+        starts = self.offsets[slots]
+        lengths = self.offsets[slots + 1] - starts if pieces else index
         ends = np.zeros(len(index) + 1, np.int64)
         np.cumsum(lengths, out=ends[1:])
-        where = np.arange(ends[-1], dtype=np.int64) + np.repeat(offsets[:-1][index] - ends[:-1], lengths)
-        return ids[where], ends[firsts]
+        where = np.arange(ends[-1], dtype=np.int64) + np.repeat(starts - ends[:-1], lengths) if pieces else index
+        return self.ids[where], ends[firsts]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

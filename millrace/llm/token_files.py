@@ -9,6 +9,7 @@ doc_id, or for lengths alone, touches only those pages and columns.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,21 +21,79 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pieces import PieceTable, rows_of
 from millrace.llm.shared_files import new_path
+from millrace.llm.textarrays import IS_SPACE, ascii_lower
 
 _TABLES: dict[str, PieceTable] = {}
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
+#: Letter-only words that are encoded in one call.
+JOINED_WORDS = 256
 
 
-def piece_table(tokenizer_path: str) -> PieceTable:
-    """Ids by the tokenizers library, one memory for each Python worker."""
-    if tokenizer_path not in _TABLES:
+class WordEncoder:
+    """Ids by the tokenizers library, for vocabularies whose last token of a word has a suffix.
+
+    White space is dropped and letters are lower-cased by these vocabularies, so a word of letters is
+    one unit whatever stands around it: many are joined by blanks into one text, and the ids are cut
+    after each token with the suffix. Other pieces are encoded one by one.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        import json
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _TABLES[tokenizer_path] = PieceTable(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(tokenizer_path, encoding="utf-8") as f:
+            described = json.load(f)
+        suffix = described["model"].get("end_of_word_suffix") or ""
+        normal = json.dumps(described.get("normalizer") or {})
+        self.joins = bool(suffix) and "Lowercase" in normal and "Replace" in normal
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.joins:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def fold(self, raw: np.ndarray) -> np.ndarray:
+        """Lower case and plain blanks, unless a special string may be there, which counts as it is written."""
+        if not self.joins or ((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)).any():
+            return raw
+        return np.where(IS_SPACE[raw], 0x20, ascii_lower(raw)).astype(np.uint8)
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode("utf-8", "replace").strip() for p in pieces]
+        single = [i for i, t in enumerate(texts) if not (self.joins and t.isalpha() and (t.isascii() or t.lower().isalpha()))]
+        alone = set(single)
+        simple = [i for i in range(len(texts)) if i not in alone] if single else list(range(len(texts)))
+        groups = [simple[at : at + JOINED_WORDS] for at in range(0, len(simple), JOINED_WORDS)]
+        coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+        flat = [np.array(e.ids, np.int32) for e in coded]
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(simple) or (len(ends) and ends[-1] != len(ids)):
+            raise ValueError("words and ends of words differ")
+        order = np.array(simple + single, np.int64)
+        lengths = np.diff(ends, prepend=0)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in single], add_special_tokens=False)]
+        lengths = np.concatenate([lengths, np.fromiter(map(len, rest), np.int64, len(rest))])
+        both = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), np.int32)])
+        starts = np.cumsum(lengths) - lengths
+        # Back to the order of the pieces.
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        counts = lengths[back]
+        first = np.cumsum(counts) - counts
+        where = np.arange(counts.sum()) + np.repeat(starts[back] - first, counts)
+        return both[where], counts
+
+
+def piece_table(tokenizer_path: str) -> PieceTable:
+    """One memory for each Python worker."""
+    if tokenizer_path not in _TABLES:
+        encoder = WordEncoder(tokenizer_path)
+        _TABLES[tokenizer_path] = PieceTable(encoder, encoder.fold)
     return _TABLES[tokenizer_path]
 
 
