@@ -248,7 +248,8 @@ def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, D
 
 
 def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<start,end>>, kept binary) for every row.
+    """(doc_id, text_hash, n_bytes, spans array<struct<start,end>>, kept binary) for every row; text_hash is
+    xxhash64 of the text.
 
     A byte goes if a window over it also starts in a row of a smaller id. Null texts are empty; a null id
     counts as larger than all ids (2**63 - 1 is taken for it); rows that repeat an id never remove each
@@ -260,7 +261,7 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
     texts, marks = repeated_marks(rows, window, parts)
     lists = marks.groupBy("key", "h").agg(F.collect_list(F.struct("start", "len")).alias("marks"))
     cut = texts.join(lists, ["key", "h"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_bytes", "spans", "kept")
+    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept")
 
 
 def with_text(cut: DataFrame) -> DataFrame:
