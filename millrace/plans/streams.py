@@ -1,0 +1,159 @@
+"""Queries that run a stream over the tables' files until all is read, and return what its sink holds."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators import charts, windows
+from millrace.plans import batch
+from millrace.plans.cdc import APPLIED, changes, start_table
+from millrace.plans.registry import events, new_folder, query, table
+from millrace.plans.sources import log
+from millrace.sources import readers, sinks
+from millrace.streaming import stateful, streams
+
+
+def event_stream(spark, sf_dir, path: str, parts: int = 4) -> DataFrame:
+    """events, written as files in order of time and read one file at each trigger."""
+    events(spark, sf_dir).repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").write.parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def drained(spark, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    streams.drain(stream, streams.write_batch(f"{path}/out"), f"{path}/check", mode)
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query(batch.PRICE_RANGE)
+def price_range_stream(spark, sf_dir):
+    """In update mode: a window's last version counts."""
+    path = new_folder(spark, "price")
+    windowed = windows.price_range(batch.ticks(event_stream(spark, sf_dir, path)).withWatermark("ts", "30 days"), "1 hour")
+    streams.drain(windowed, streams.write_batch(f"{path}/out"), f"{path}/check", "update")
+    rows = spark.read.parquet(f"{path}/out")
+    last = rows.groupBy("window_start", "symbol").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), "batch").alias("r")).select("r.*")
+    return batch.shown(last)
+
+
+@query(batch.LOGIN_AUDIT)
+def login_audit_stream(spark, sf_dir):
+    path = new_folder(spark, "audit")
+    windowed = windows.login_audit(batch.logs(event_stream(spark, sf_dir, path)).withWatermark("ts", "30 days"), "1 day", action="click")
+    streams.drain(windowed, streams.upsert_batches(f"{path}/out", ["user_id", "window_start"], ["login_attempts"]), f"{path}/check", "update")
+    return batch.audit_shown(streams.serve(spark, f"{path}/out"))
+
+
+@query("SELECT event_id, upper(event_type) AS value FROM events")
+def capitalize_stream(spark, sf_dir):
+    path = new_folder(spark, "capital")
+    stream = event_stream(spark, sf_dir, path).select("event_id", F.col("event_type").alias("value"))
+    return drained(spark, streams.capitalize(stream), path)
+
+
+@query("SELECT event_id AS \"offset\", event_type AS topic FROM events WHERE event_type <> 'error'")
+def replicate_stream(spark, sf_dir):
+    path = new_folder(spark, "replica")
+    log(spark, sf_dir).repartition(3, "partition").write.parquet(f"{path}/in")
+    stream = readers.read_log(spark, [], f"{path}/in", schema=spark.read.parquet(f"{path}/in").schema, max_files=1)
+    return drained(spark, streams.replicate(stream, [".*"], ["err.*"]), path).select("offset", "topic")
+
+
+@query(batch.BREACH)
+def breach_stream(spark, sf_dir):
+    path = new_folder(spark, "breach")
+    spark.conf.set(*stateful.ROCKSDB)
+    out = drained(spark, stateful.breach_stream(event_stream(spark, sf_dir, path), 60, 3), path)
+    return out.select("event_id", "user_id", F.col("counter").cast("long"), "fires")
+
+
+TOP = """WITH c AS (SELECT event_type AS genre, user_id AS song_id, count(*) AS plays FROM events GROUP BY 1, 2)
+    SELECT genre, CAST(rank AS INTEGER) AS rank, song_id, plays FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY plays DESC, song_id) AS rank FROM c) WHERE rank <= 5"""
+
+
+@query(TOP)
+def top_n_stream(spark, sf_dir):
+    """The state of each genre holds the counts; the last batch's charts are the result."""
+    path = new_folder(spark, "charts")
+    spark.conf.set(*stateful.ROCKSDB)
+    plays = event_stream(spark, sf_dir, path).select(F.col("event_type").alias("genre"), F.col("user_id").alias("song_id"))
+    streams.drain(stateful.top_n_stream(plays, 5), streams.write_batch(f"{path}/out"), f"{path}/check", "update")
+    rows = spark.read.parquet(f"{path}/out")
+    return rows.groupBy("genre", "rank").agg(F.max_by(F.struct("song_id", "plays"), "batch").alias("x")).select("genre", "rank", "x.*")
+
+
+@query(TOP)
+def chart_batches_stream(spark, sf_dir):
+    """Counts of each batch are added to a table, which is ranked when it is read."""
+    path = new_folder(spark, "counts")
+    plays = event_stream(spark, sf_dir, path).select(F.col("event_type").alias("genre"), F.col("user_id").alias("song_id"))
+    streams.drain(plays, sinks.with_retry(streams.chart_batches(f"{path}/out")), f"{path}/check")
+    return streams.charts(spark, f"{path}/out")[0].select("genre", "rank", "song_id", "plays")
+
+
+@query("SELECT event_id, user_id, lower(p_type) AS genre FROM events JOIN part ON user_id = p_partkey WHERE event_type = 'view'")
+def stream_table_join(spark, sf_dir):
+    path = new_folder(spark, "enriched")
+    songs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("user_id"), F.lower("p_type").alias("genre"))
+    stream = event_stream(spark, sf_dir, path).where("event_type = 'view'").select("event_id", "user_id")
+    return drained(spark, charts.enrich(stream, songs, "user_id").where("genre is not null"), path).select("event_id", "user_id", "genre")
+
+
+@query("SELECT user_id, count(*) AS rows, CAST(ceil(count(*) / 5.0) AS BIGINT) AS batches, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY user_id")
+def key_ordered(spark, sf_dir):
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        assert rows["event_id"].is_monotonic_increasing
+        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [len(rows)], "first": [rows["event_id"].iloc[0]], "last": [rows["event_id"].iloc[-1]]})
+
+    out = streams.process_by_key(events(spark, sf_dir).select("user_id", "event_id"), "user_id", ["event_id"], one, "user_id long, n long, first long, last long", 5, 8)
+    return out.groupBy("user_id").agg(F.sum("n").alias("rows"), F.count("*").alias("batches"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+@query(APPLIED)
+def cdc_apply_stream(spark, sf_dir):
+    path = new_folder(spark, "cdc")
+    sinks.replace_version(start_table(spark, sf_dir), f"{path}/table")
+    changes(spark, sf_dir).repartitionByRange(3, "lsn").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    write = streams.cdc_batches(f"{path}/table", start_table(spark, sf_dir).schema, ["id"], ["lsn"])
+    streams.drain(stream, sinks.with_retry(write), f"{path}/check")
+    return streams.serve(spark, f"{path}/table")
+
+
+@query("SELECT event_id, value FROM events")
+def restart_no_duplicates(spark, sf_dir):
+    """Half of the files, then a new query on the same checkpoint with the rest; the last batch is written twice."""
+    path = new_folder(spark, "restart")
+    rows = events(spark, sf_dir).select("event_id", "value")
+    rows.where("event_id % 2 = 0").repartition(2).write.parquet(f"{path}/in")
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    write = streams.write_batch(f"{path}/out")
+
+    def twice(frame: DataFrame, batch_id: int) -> None:
+        write(frame, batch_id)
+        write(frame, batch_id)
+
+    streams.drain(stream(), twice, f"{path}/check")
+    rows.where("event_id % 2 = 1").repartition(2).write.mode("append").parquet(f"{path}/in")
+    streams.drain(stream(), twice, f"{path}/check")
+    return spark.read.parquet(f"{path}/out").select("event_id", "value")
+
+
+@query("SELECT event_id, event_type FROM events")
+def table_stream(spark, sf_dir):
+    path = new_folder(spark, "table")
+    stream = event_stream(spark, sf_dir, path).select("event_id", "event_type")
+    sinks.write_table_stream(stream, f"{path}/out", f"{path}/check").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT event_id, event_type FROM events")
+def restore_archive(spark, sf_dir):
+    """Archived records go into an index again, each with an id of its own."""
+    path = new_folder(spark, "restore")
+    sinks.archive_log(log(spark, sf_dir), f"{path}/archive")
+    streams.restore_logs(spark, f"{path}/archive", f"{path}/index", "key string, value string, offset long, timestamp timestamp")
+    back = spark.read.parquet(f"{path}/index").dropDuplicates(["_id"])
+    return back.select(F.col("offset").alias("event_id")).join(events(spark, sf_dir).select("event_id", "event_type"), "event_id")
