@@ -25,5 +25,5 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: lineage ends there and a lost
     executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
