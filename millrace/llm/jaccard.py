@@ -1,9 +1,10 @@
 """Operator 1: near-duplicate classes by an n-gram Jaccard join with several global token orders.
 
 Two sets whose Jaccard similarity reaches the threshold share a token in their prefixes under every order
-of all tokens. The first order puts shingles that repeat in the corpus last and the others by hash; documents
-that share a prefix token of it are candidates, if their sizes fit. They must also share prefix tokens
-under further, independent orders before the sets themselves are compared.
+of all tokens, at places that leave room for the overlap they need. The first order puts shingles that repeat in
+the corpus last and the others by hash; documents that share a prefix token of it meet in a bucket. Of what it leaves
+open, the second order takes the shingles by how rare they are among the open documents, exactly. Pairs must also share
+prefix tokens under further, independent orders before the sets themselves are compared.
 
 Equal sets meet in every bucket and become one node there. A bucket isn't expanded into pairs at once:
 each document is first compared with one pivot of the bucket, and what links becomes one component.
@@ -13,6 +14,7 @@ components is compared, so no link that matters for the components is lost.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.pieces import rows_of
-from millrace.llm.shared_files import stored
+from millrace.llm.shared_files import new_path, stored
 from millrace.llm.shingles import digests, shingle_sets
 from millrace.llm.textarrays import U64, mix
 
@@ -30,8 +32,8 @@ from millrace.llm.textarrays import U64, mix
 FREQUENT = 1 << 18
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
-#: Rounds with pivots before all remaining pairs.
-PIVOT_ROUNDS = 2
+#: Rounds with pivots under the first and the second order, before all remaining pairs.
+FIRST_ROUNDS, SECOND_ROUNDS = 3, 2
 #: Shingles that a task counts at a time.
 CHUNK = 2_000_000
 
@@ -100,8 +102,8 @@ def frequent(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.
 
 
 def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, id, n, digest, short): the prefix tokens of each set under the first order. short: whether the token is
-    also in the shorter prefix that is enough beside a set that isn't smaller."""
+    """(token, id, n, digest, pos, rare): the prefix tokens of each set under the first order, and their places in it.
+    rare: how many of the set's tokens the order takes as rare."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,9 @@ def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.nda
                 at = np.minimum(np.searchsorted(hot, hashes[near]), len(hot) - 1)
                 often[near] = np.where(hot[at] == hashes[near], counts[at], 0)
             long = np.where(n > 0, n - _at_least(n, percent) + 1, 0)
-            # With |y| <= |x| the overlap is at least 2t / (1 + t) of |y|.
-            short = np.where(n > 0, n - -(-n * 2 * percent // (100 + percent)) + 1, 0)
             common = np.zeros(len(hashes) + 1, np.int64)
             np.cumsum(often > 0, out=common[1:])
+            rare = n - (common[offsets[1:]] - common[offsets[:-1]])
             picked = []
             for i in np.flatnonzero(n).tolist():
                 a, b, p = int(offsets[i]), int(offsets[i + 1]), int(long[i])
@@ -132,31 +133,31 @@ def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.nda
             place = np.arange(len(rows)) - np.repeat(np.cumsum(long) - long, long)
             tokens = hashes[np.concatenate(picked)] if picked else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.view(np.int64)), batch.column("id").take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), pa.array(marks[rows].view(np.int64)), pa.array(place < short[rows])],
-                ["token", "id", "n", "digest", "short"],
+                [pa.array(tokens.view(np.int64)), batch.column("id").take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), pa.array(marks[rows].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(rare[rows].astype(np.int32))],
+                ["token", "id", "n", "digest", "pos", "rare"],
             )
 
-    return documents.where("id is not null").mapInArrow(run, "token long, id long, n int, digest long, short boolean")
+    return documents.where("id is not null").mapInArrow(run, "token long, id long, n int, digest long, pos int, rare int")
 
 
-def _fits(n_a, n_b, short_a, short_b, percent: int):
-    """Whether sizes allow the threshold, and the smaller set has the token in its short prefix."""
+def _fits(n_a, n_b, pos_a, pos_b, percent: int):
+    """Whether the sizes allow the threshold, and the token's places leave room for the overlap that it needs."""
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return (small * 100 >= large * percent) & F.when(n_a < n_b, short_a).when(n_b < n_a, short_b).otherwise(short_a & short_b)
+    room = F.least(n_a - pos_a, n_b - pos_b)
+    return (small * 100 >= large * percent) & (room * (100 + percent) >= (n_a + n_b) * percent)
 
 
-def _pivot_pairs(buckets: DataFrame, seed: int, percent: int) -> DataFrame:
-    bucket = Window.partitionBy("token")
-    pivot = F.min_by(F.struct("id", "n", "short", "comp"), F.xxhash64("id", F.lit(seed))).over(bucket)
+def _pivot_pairs(buckets: DataFrame, order, percent: int) -> DataFrame:
+    pivot = F.min_by(F.struct("id", "n", "pos", "comp"), order).over(Window.partitionBy("token"))
     paired = buckets.withColumn("p", pivot)
-    fit = (F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), F.col("short"), F.col("p.short"), percent)
+    fit = (F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), percent)
     return paired.where(fit).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def _all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    left = buckets.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "short", "comp")))
-    right = buckets.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "short", "comp")))
-    fit = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(F.col("n_a"), F.col("n_b"), F.col("short_a"), F.col("short_b"), percent)
+    left = buckets.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "comp")))
+    right = buckets.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "comp")))
+    fit = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), percent)
     return left.join(right, "token").where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -202,6 +203,36 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _bucketed_texts(documents: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """The texts of the ids as a table in buckets by id: later joins on id move only the other side."""
+    spark = documents.sparkSession
+    name = f"bucket_texts_{uuid.uuid4().hex}"
+    rows = documents.where("id is not null").join(ids, "id", "left_semi")
+    rows.write.option("compression", "zstd").bucketBy(parts, "id").sortBy("id").option("path", new_path(spark, "bucket-texts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def _second_order(open_ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, id, n, pos, rare, comp): prefixes of the open documents with the tokens in order of how many open documents hold them.
+    Tokens of one document come first and can't be shared, so they only take up places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, "text", 8 << 20):
+            hashes, offsets = shingle_sets(batch.column("text"), width)
+            n = np.diff(offsets)
+            rows = np.repeat(np.arange(len(n)), n)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("id").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take)], ["token", "id", "n", "comp"])
+
+    tokens = texts.join(open_ids, "id").select("id", "text", "comp").mapInArrow(run, "token long, id long, n int, comp long")
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    own = Window.partitionBy("id")
+    placed = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    rows = placed.where(F.col("pos") < prefix)
+    return rows.select("token", "id", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("rare"), "comp")
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
@@ -214,16 +245,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     tokens = prefixes(documents, width, percent, frequent(surveyed))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Equal sets have equal prefixes, so the smallest id stands for them in every bucket.
-    nodes = tokens.repartition(parts, "token").groupBy("token", "digest", "n").agg(F.min("id").alias("id"), F.max("short").alias("short"))
-    buckets = nodes.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
-    buckets = stored(buckets.select("token", "id", "n", "short", F.col("id").alias("comp")), "buckets")
-    involved = buckets.select("id").distinct()
-    texts = stored(documents.where("id is not null").join(involved, "id", "left_semi"), "bucket-texts")
+    nodes = tokens.repartition(parts, "token").groupBy("token", "digest", "n", "rare").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
+    buckets = stored(_open_buckets(nodes.select("token", "id", "n", "pos", "rare", F.col("id").alias("comp"))), "buckets")
+    texts = _bucketed_texts(documents, buckets.select("id").distinct(), parts)
     labels = None
-    for step in range(PIVOT_ROUNDS + 1):
-        pairs = _pivot_pairs(buckets, step, percent) if step < PIVOT_ROUNDS else _all_pairs(buckets, percent)
+
+    def linked(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Compares the pairs and renames the components that they join, in the labels and in the buckets that stay open."""
+        nonlocal labels
         links = stored(verified(pairs, texts, width, percent), "near-links")
-        # Links between components, and the components they make.
         of = buckets.select("id", "comp").distinct()
         between = links.join(of.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
         merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "comp")
@@ -233,9 +263,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             moved = labels.join(merged, "comp", "left").select("id", F.coalesce("label", "comp").alias("comp"))
             new = merged.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("label").alias("comp"))
             labels = stored(moved.unionByName(new), "component-labels")
-        if step < PIVOT_ROUNDS:
-            renamed = buckets.join(merged, "comp", "left").select("token", "id", "n", "short", F.coalesce("label", "comp").alias("comp"))
-            buckets = stored(_open_buckets(renamed), "buckets")
+        renamed = buckets.join(merged, "comp", "left").select("token", "id", "n", "pos", "rare", F.coalesce("label", "comp").alias("comp"))
+        return stored(_open_buckets(renamed), "buckets")
+
+    for step in range(FIRST_ROUNDS):
+        # First the document with the least of its own in the bucket, which most others are near to; then any.
+        order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(step)))
+        buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
+    buckets = stored(_open_buckets(_second_order(buckets.select("id", "comp").distinct(), texts, width, percent)), "open-buckets")
+    for step in range(SECOND_ROUNDS):
+        order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(-step)))
+        buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
+    linked(buckets, _all_pairs(buckets, percent))
     sets = surveyed.where("kind = 1").select("id", F.col("h").alias("digest"), "n")
     classes = sets.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
     reps = sets.join(classes, ["digest", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
