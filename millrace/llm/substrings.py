@@ -27,6 +27,10 @@ from millrace.llm.textarrays import BYTE_CODES, U64, mix, text_bytes
 ANCHOR, INDEX_BYTES = 20, 1_000_000
 #: The key of rows with a null id: such rows count as the last document.
 LAST = (1 << 63) - 1
+#: Anchors are told apart by so many bits of their hash; a clash only adds stretches to compare.
+ANCHOR_BITS = U64((1 << 48) - 1)
+#: Within a text, live anchors are told by their lowest 16 bits.
+MARKS = 1 << 16
 
 
 def anchor_hashes(raw: np.ndarray) -> np.ndarray:
@@ -62,12 +66,14 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
         reach += step
     rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     first = np.flatnonzero(rows[: len(at)] == rows[window - 1 :])
+    if not len(first):
+        return none, np.zeros(0, U64), none, none
     where = at[first]
     new = np.ones(len(first), bool)
     new[1:] = (where[1:] != where[:-1]) | (first[1:] != first[:-1] + 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(first)) - 1
-    return rows[first[heads]].astype(np.int64), low[where[heads]], first[heads], first[tails]
+    return rows[first[heads]].astype(np.int64), low[where[heads]] & ANCHOR_BITS, first[heads], first[tails]
 
 
 def _seeds(window: int):
@@ -87,7 +93,7 @@ def _seeds(window: int):
 
 
 def _live_stretches(window: int):
-    """(anchor, stretch, key, h, start) of the stretches whose anchor is live in their text."""
+    """(anchor, stretch, key, v, start) of the stretches whose anchor is live in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 4 << 20):
@@ -95,9 +101,8 @@ def _live_stretches(window: int):
             rows, anchors, first, last = stretches(raw, offsets, window)
             live = batch.column("live")
             lists = np.diff(live.offsets.to_numpy())
-            values = live.flatten().to_numpy(zero_copy_only=False).view(U64)
-            salt = mix(np.arange(batch.num_rows, dtype=np.int64).astype(U64) + U64(1))
-            keep = np.isin(anchors ^ salt[rows], values ^ np.repeat(salt, lists))
+            values = live.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + MARKS // 2
+            keep = np.isin(rows * MARKS + (anchors & U64(MARKS - 1)).astype(np.int64), np.repeat(np.arange(batch.num_rows), lists) * MARKS + values)
             rows, anchors, first, last = rows[keep], anchors[keep], first[keep], last[keep]
             sizes = last - first + window
             ends = np.zeros(len(sizes) + 1, np.int64)
@@ -106,8 +111,8 @@ def _live_stretches(window: int):
             texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.view(np.int64)), texts, batch.column("key").take(take), batch.column("h").take(take), pa.array((first - offsets[:-1][rows]).astype(np.int32))],
-                ["anchor", "stretch", "key", "h", "start"],
+                [pa.array(anchors.astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("v").take(take), pa.array((first - offsets[:-1][rows]).astype(np.int32))],
+                ["anchor", "stretch", "key", "v", "start"],
             )
 
     return run
@@ -124,12 +129,12 @@ class _Group:
         self.data: list[bytes] = []
         self.anchors: list[int] = []
         self.keys: list[int] = []
-        self.members: list[list[tuple[int, int]]] = []  # (h, start) of the smallest key's stretches
+        self.members: list[list[tuple[int, int]]] = []  # (v, start) of the smallest key's stretches
         self.bytes = 0
 
-    def marks(self) -> tuple[list, list, list, list]:
-        """(key, h, start, len) of what repeats a smaller key's different stretch."""
-        out: tuple[list, list, list, list] = ([], [], [], [])
+    def marks(self) -> tuple[list, list, list]:
+        """(key, v, span) of what repeats a smaller key's different stretch."""
+        out: tuple[list, list, list] = ([], [], [])
         anchors, keys = np.array(self.anchors, np.int64), np.array(self.keys, np.int64)
         if not len(keys):
             return out
@@ -151,11 +156,10 @@ class _Group:
             tails = np.append(heads[1:], len(place)) - 1 if len(heads) else heads
             for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
                 i = int(streamed[pattern[head]])
-                for h, start in self.members[i]:
+                for v, start in self.members[i]:
                     out[0].append(self.keys[i])
-                    out[1].append(h)
-                    out[2].append(start + int(place[head]))
-                    out[3].append(int(place[tail] - place[head]) + self.window)
+                    out[1].append(v)
+                    out[2].append((start + int(place[head]) << 32) + int(place[tail] - place[head]) + self.window)
         return out
 
     def _joined(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,22 +170,22 @@ class _Group:
 
 
 def _repeats(window: int):
-    """(key, h, start, len) of bytes to remove, from stretches sorted by anchor, stretch and key."""
+    """(key, v, span) of bytes to remove, from stretches sorted by anchor, stretch and key. A span is start * 2**32 + length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(window)
-        names = ["key", "h", "start", "len"]
+        names = ["key", "v", "span"]
 
         def flushed() -> pa.RecordBatch:
             columns = group.marks()
             group.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names)
 
         for batch in batches:
             anchors = batch.column("anchor").to_numpy()
-            keys, hs, starts = (batch.column(c).to_numpy() for c in ("key", "h", "start"))
+            keys, vs, starts = (batch.column(c).to_numpy() for c in ("key", "v", "start"))
             texts = batch.column("stretch").to_pylist()
-            sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             whole = np.zeros(len(texts), bool)
             for i, text in enumerate(texts):
                 anchor = int(anchors[i])
@@ -189,17 +193,17 @@ def _repeats(window: int):
                     if group.keys[-1] < keys[i]:
                         whole[i] = True  # all its windows occur in a smaller key's equal stretch
                     else:
-                        group.members[-1].append((int(hs[i]), int(starts[i])))
+                        group.members[-1].append((int(vs[i]), int(starts[i])))
                     continue
                 if group.bytes >= INDEX_BYTES and group.anchors[-1] != anchor:
                     yield flushed()
                 group.data.append(text)
                 group.anchors.append(anchor)
                 group.keys.append(int(keys[i]))
-                group.members.append([(int(hs[i]), int(starts[i]))])
+                group.members.append([(int(vs[i]), int(starts[i]))])
                 group.bytes += len(text)
             at = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(hs[at]), pa.array(starts[at]), pa.array(sizes[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(vs[at]), pa.array((starts[at].astype(np.int64) << 32) + sizes[at])], names)
         yield flushed()
 
     return run
@@ -222,7 +226,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, kept = [], []
         for i, marks in enumerate(batch.column("marks").to_pylist()):
             text = raw[offsets[i] : offsets[i + 1]]
-            runs = merged_spans(np.array([m["start"] for m in marks]), np.array([m["start"] + m["len"] for m in marks])) if marks else []
+            packed = np.array(marks or [], np.int64)
+            runs = merged_spans(packed >> 32, (packed >> 32) + (packed & 0xFFFFFFFF))
             spans.append([{"start": a, "end": b} for a, b in runs])
             edges = [0, *(x for run in runs for x in run), len(text)]
             kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text.tobytes())
@@ -231,19 +236,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(texts by key and hash, marks). The texts' shuffle is the same in all uses, so Spark does it once."""
-    texts = df.repartition(parts, "key", "h")
+    """(texts, marks (key, v, span)). All uses of texts read its four columns, so that Spark shuffles it once."""
+    texts = df.repartition(parts, "key", "v")
     seeds = texts.select("h", "text").mapInArrow(_seeds(window), "anchor long, h long")
     by_anchor = Window.partitionBy("anchor")
     known = seeds.repartition(parts, "anchor").groupBy("anchor", "h").agg(F.lit(1).alias("_"))
-    live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).where("low <> high").select("anchor", "h")
-    marked = df.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
-    firsts = marked.groupBy("h", "h2", "size").agg(F.min("key").alias("first"))
-    anchors = live.join(firsts.select(F.col("first").alias("key"), "h"), "h").groupBy("key", "h").agg(F.collect_set("anchor").alias("live"))
-    found = texts.join(anchors, ["key", "h"]).select("text", "live", "key", "h").mapInArrow(_live_stretches(window), "anchor long, stretch binary, key long, h long, start int")
+    live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).where("low <> high")
+    live = live.select((F.col("anchor").bitwiseAND(F.lit(MARKS - 1)) - MARKS // 2).cast("short").alias("mark"), "h")
+    marked = df.select("key", "h", "v", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
+    firsts = marked.groupBy("h", "h2", "size", "v").agg(F.min("key").alias("first"))
+    anchors = live.join(firsts.select(F.col("first").alias("key"), "h", "v"), "h").groupBy("key", "v").agg(F.collect_set("mark").alias("live"))
+    found = texts.join(anchors, ["key", "v"]).select("text", "live", "key", "h", "v").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, v int, start int")
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
-    repeats = ordered.mapInArrow(_repeats(window), "key long, h long, start int, len int")
-    copies = marked.join(firsts, ["h", "h2", "size"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "h", F.lit(0).alias("start"), F.col("size").alias("len")).distinct()
+    repeats = ordered.mapInArrow(_repeats(window), "key long, v int, span long")
+    copies = marked.join(firsts, ["h", "h2", "size", "v"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "v", F.col("size").cast("long").alias("span")).distinct()
     return texts, repeats.unionByName(copies)
 
 
@@ -257,10 +263,10 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), "text")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), F.hash("text").alias("v"), "text")
     texts, marks = repeated_marks(rows, window, parts)
-    lists = marks.groupBy("key", "h").agg(F.collect_list(F.struct("start", "len")).alias("marks"))
-    cut = texts.join(lists, ["key", "h"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    lists = marks.groupBy("key", "v").agg(F.collect_list("span").alias("marks"))
+    cut = texts.join(lists, ["key", "v"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept")
 
 
