@@ -19,7 +19,7 @@ from millrace.llm.textarrays import IS_SPACE, text_bytes
 BATCH_BYTES = 16 << 20
 #: Pieces longer than this are not remembered; the memory is emptied at so many pieces.
 MEMO_PIECE_BYTES = 64
-MEMO_PIECES, MEMO_IDS = 300_000, 8_000_000
+MEMO_PIECES, MEMO_IDS = 500_000, 8_000_000
 
 
 def piece_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

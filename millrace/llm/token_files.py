@@ -27,6 +27,10 @@ _TABLES: dict[str, PieceTable] = {}
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 #: Letter-only words that are encoded in one call.
 JOINED_WORDS = 256
+#: Letters below this one are composed and have a lower-case letter of their own, but for DOTTED.
+LATIN_END, DOTTED = "\u0180", "\u0130"
+#: Marks that may follow a word: a run of them is one more unit. The apostrophe is not one of them, nor what special strings are made of.
+MARKS = ".,;:!?%$#&*"
 
 
 class WordEncoder:
@@ -34,7 +38,8 @@ class WordEncoder:
 
     White space is dropped and letters are lower-cased by these vocabularies, so a word of letters is
     one unit whatever stands around it: many are joined by blanks into one text, and the ids are cut
-    after each token with the suffix. Other pieces are encoded one by one.
+    after each token with the suffix. Words of Latin letters in lower case are their own normal form, so
+    these texts skip the normaliser. Other pieces are encoded one by one.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -42,15 +47,21 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = Tokenizer.from_file(tokenizer_path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
         with open(tokenizer_path, encoding="utf-8") as f:
             described = json.load(f)
         suffix = described["model"].get("end_of_word_suffix") or ""
         normal = json.dumps(described.get("normalizer") or {})
         self.joins = bool(suffix) and "Lowercase" in normal and "Replace" in normal
+        if self.joins:
+            self.plain.normalizer = Sequence([])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if self.joins:
@@ -63,19 +74,27 @@ class WordEncoder:
         return np.where(IS_SPACE[raw], 0x20, ascii_lower(raw)).astype(np.uint8)
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.decode("utf-8", "replace").strip() for p in pieces]
-        single = [i for i, t in enumerate(texts) if not (self.joins and t.isalpha() and (t.isascii() or t.lower().isalpha()))]
-        alone = set(single)
-        simple = [i for i in range(len(texts)) if i not in alone] if single else list(range(len(texts)))
+        texts = [p.decode("utf-8", "replace").strip(" \t\n\x0b\x0c\r") for p in pieces]
+        simple: list[int] = []
+        single: list[int] = []
+        units: list[int] = []
+        for i, t in enumerate(texts):
+            core = t.rstrip(MARKS)
+            if self.joins and core.isalpha() and (core.isascii() or (max(core) < LATIN_END and DOTTED not in core)):
+                simple.append(i)
+                units.append(1 if len(core) == len(t) else 2)
+            else:
+                single.append(i)
         groups = [simple[at : at + JOINED_WORDS] for at in range(0, len(simple), JOINED_WORDS)]
-        coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+        coded = self.plain.encode_batch_fast([" ".join([texts[i] for i in g]).lower() for g in groups], add_special_tokens=False)
         flat = [np.array(e.ids, np.int32) for e in coded]
         ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(simple) or (len(ends) and ends[-1] != len(ids)):
+        last = np.cumsum(np.array(units, np.int64)) - 1
+        if len(ends) != sum(units) or (len(ends) and ends[-1] != len(ids)):
             raise ValueError("words and ends of words differ")
         order = np.array(simple + single, np.int64)
-        lengths = np.diff(ends, prepend=0)
+        lengths = np.diff(ends[last], prepend=0)
         rest = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in single], add_special_tokens=False)]
         lengths = np.concatenate([lengths, np.fromiter(map(len, rest), np.int64, len(rest))])
         both = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), np.int32)])
@@ -133,19 +152,19 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     )
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens) without reading any ids. start counts the ids of all earlier documents."""
-    rows = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "shard", "local_start", "n_tokens")
-    return with_starts(rows)
-
-
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds to the start within a file the ids of all files before it: one number for each file."""
-    sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_size"))
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Adds to the start within a file the ids of all files before it: start, in place of shard and local_start.
+    There is one number for each file; they are read from the lengths alone."""
+    sizes = rows.sparkSession.read.schema(SCHEMA).parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("_size"))
     before = sizes.select("shard", (F.sum("_size").over(Window.orderBy("shard")) - F.col("_size")).alias("_before"))
     return rows.join(before, "shard").withColumn("start", F.col("local_start") + F.col("_before")).drop("_before", "shard", "local_start")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_tokens, start) without reading any ids. start counts the ids of all earlier documents."""
+    return with_starts(spark.read.schema(SCHEMA).parquet(path).select("doc_id", "shard", "local_start", "n_tokens"), path)
+
+
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) of the documents first..last; the range reaches the page index."""
     rows = spark.read.schema(SCHEMA).parquet(path)
@@ -175,7 +194,4 @@ def token_file_digests(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
     write_token_files(df, path, tokenizer_path, end_id, id_col, text_col)
     back = spark.read.schema(SCHEMA).parquet(path)
     digests = back.mapInArrow(crc32_of_ids, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
-    sizes = spark.read.schema(SCHEMA).parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("_size"))
-    before = sizes.select("shard", (F.sum("_size").over(Window.orderBy("shard")) - F.col("_size")).alias("_before"))
-    joined = digests.join(before, "shard")
-    return joined.select("doc_id", (F.col("local_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
+    return with_starts(digests, path).select("doc_id", "start", "n_tokens", "ids_crc32")
