@@ -179,7 +179,7 @@ def _repeats(window: int):
         def flushed() -> pa.RecordBatch:
             columns = group.marks()
             group.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int16()), pa.array(columns[2], pa.int64())], names)
 
         for batch in batches:
             anchors = batch.column("anchor").to_numpy()
@@ -246,9 +246,9 @@ def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, D
     marked = df.select("key", "h", "v", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
     firsts = marked.groupBy("h", "h2", "size", "v").agg(F.min("key").alias("first"))
     anchors = live.join(firsts.select(F.col("first").alias("key"), "h", "v"), "h").groupBy("key", "v").agg(F.collect_set("mark").alias("live"))
-    found = texts.join(anchors, ["key", "v"]).select("text", "live", "key", "h", "v").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, v int, start int")
+    found = texts.join(anchors, ["key", "v"]).select("text", "live", "key", "h", "v").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, v short, start int")
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
-    repeats = ordered.mapInArrow(_repeats(window), "key long, v int, span long")
+    repeats = ordered.mapInArrow(_repeats(window), "key long, v short, span long")
     copies = marked.join(firsts, ["h", "h2", "size", "v"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "v", F.col("size").cast("long").alias("span")).distinct()
     return texts, repeats.unionByName(copies)
 
@@ -259,11 +259,12 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     A byte goes if a window over it also starts in a row of a smaller id. Null texts are empty; a null id
     counts as larger than all ids (2**63 - 1 is taken for it); rows that repeat an id never remove each
-    other's bytes; texts shorter than the window stay. An empty table gives no rows.
+    other's bytes, and their texts are told apart by 16 bits of a hash; texts shorter than the window stay. An empty
+    table gives no rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), F.hash("text").alias("v"), "text")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), (F.pmod(F.hash("text"), F.lit(MARKS)) - MARKS // 2).cast("short").alias("v"), "text")
     texts, marks = repeated_marks(rows, window, parts)
     lists = marks.groupBy("key", "v").agg(F.collect_list("span").alias("marks"))
     cut = texts.join(lists, ["key", "v"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
