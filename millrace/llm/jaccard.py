@@ -29,7 +29,7 @@ from millrace.llm.shingles import digests, shingle_sets
 from millrace.llm.textarrays import U64, mix
 
 #: Shingles whose frequency the first order knows: the most frequent ones, a proven bound of what is broadcast.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
@@ -95,10 +95,10 @@ def frequent(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.
         least = row["least"]
     if least is None:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    top = counted.where(F.col("n") >= least).toPandas()
-    hashes = top["h"].to_numpy(np.int64).view(U64)
+    top = counted.where(F.col("n") >= least).select("h", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    hashes = top.column("h").to_numpy().view(U64)
     order = np.argsort(hashes)
-    return hashes[order], top["n"].to_numpy(np.int64)[order]
+    return hashes[order], top.column("n").to_numpy()[order]
 
 
 def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -108,13 +108,13 @@ def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shared.value
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(hot >> U64(44)).astype(np.int64)] = True
+        sieve = np.zeros(1 << 24, bool)
+        sieve[(hot >> U64(40)).astype(np.int64)] = True
         for batch in rows_of(batches, "text", 8 << 20):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             marks, n = digests(hashes, offsets), np.diff(offsets)
             often = np.zeros(len(hashes), np.int64)
-            near = np.flatnonzero(sieve[(hashes >> U64(44)).astype(np.int64)])
+            near = np.flatnonzero(sieve[(hashes >> U64(40)).astype(np.int64)])
             if len(hot) and len(near):
                 at = np.minimum(np.searchsorted(hot, hashes[near]), len(hot) - 1)
                 often[near] = np.where(hot[at] == hashes[near], counts[at], 0)
@@ -161,10 +161,18 @@ def _all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "token").where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _open_buckets(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    bucket = Window.partitionBy("token")
-    return buckets.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).where("low <> high").drop("low", "high")
+def _open_buckets(buckets: DataFrame, percent: int) -> DataFrame:
+    """Rows that share their bucket with a row of another component and of a size that fits: in order of
+    size, the nearest row of another component on either side decides."""
+    up, down = Window.partitionBy("token").orderBy("n", "comp"), Window.partitionBy("token").orderBy(F.desc("n"), F.desc("comp"))
+    rows = buckets
+    for name, order in (("_below", up), ("_above", down)):
+        rows = rows.withColumns({"_c": F.lag("comp").over(order), "_n": F.lag("n").over(order)})
+        # The row before a run of one component is the nearest other one for the whole run.
+        edge = F.when(F.col("_c") != F.col("comp"), F.col("_n"))
+        rows = rows.withColumn(name, F.last(edge, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_c", "_n")
+    fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
+    return rows.where(fits("_below", "n") | fits("n", "_above")).drop("_below", "_above")
 
 
 def _share_prefixes(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -246,7 +254,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Equal sets have equal prefixes, so the smallest id stands for them in every bucket.
     nodes = tokens.repartition(parts, "token").groupBy("token", "digest", "n", "rare").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
-    buckets = stored(_open_buckets(nodes.select("token", "id", "n", "pos", "rare", F.col("id").alias("comp"))), "buckets")
+    buckets = stored(_open_buckets(nodes.select("token", "id", "n", "pos", "rare", F.col("id").alias("comp")), percent), "buckets")
     texts = _bucketed_texts(documents, buckets.select("id").distinct(), parts)
     labels = None
 
@@ -264,13 +272,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             new = merged.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("label").alias("comp"))
             labels = stored(moved.unionByName(new), "component-labels")
         renamed = buckets.join(merged, "comp", "left").select("token", "id", "n", "pos", "rare", F.coalesce("label", "comp").alias("comp"))
-        return stored(_open_buckets(renamed), "buckets")
+        return stored(_open_buckets(renamed, percent), "buckets")
 
     for step in range(FIRST_ROUNDS):
         # First the document with the least of its own in the bucket, which most others are near to; then any.
         order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
-    buckets = stored(_open_buckets(_second_order(buckets.select("id", "comp").distinct(), texts, width, percent)), "open-buckets")
+    buckets = stored(_open_buckets(_second_order(buckets.select("id", "comp").distinct(), texts, width, percent), percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
         order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(-step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
