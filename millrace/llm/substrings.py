@@ -93,7 +93,7 @@ def _seeds(window: int):
 
 
 def _live_stretches(window: int):
-    """(anchor, stretch, key, v, start) of the stretches whose anchor is live in their text."""
+    """(anchor, stretch, key, h, start) of the stretches whose anchor is live in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 4 << 20):
@@ -111,8 +111,8 @@ def _live_stretches(window: int):
             texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("v").take(take), pa.array((first - offsets[:-1][rows]).astype(np.int32))],
-                ["anchor", "stretch", "key", "v", "start"],
+                [pa.array(anchors.astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("h").take(take), pa.array((first - offsets[:-1][rows]).astype(np.int32))],
+                ["anchor", "stretch", "key", "h", "start"],
             )
 
     return run
@@ -129,11 +129,11 @@ class _Group:
         self.data: list[bytes] = []
         self.anchors: list[int] = []
         self.keys: list[int] = []
-        self.members: list[list[tuple[int, int]]] = []  # (v, start) of the smallest key's stretches
+        self.members: list[list[tuple[int, int]]] = []  # (h, start) of the smallest key's stretches
         self.bytes = 0
 
     def marks(self) -> tuple[list, list, list]:
-        """(key, v, span) of what repeats a smaller key's different stretch."""
+        """(key, h, span) of what repeats a smaller key's different stretch."""
         out: tuple[list, list, list] = ([], [], [])
         anchors, keys = np.array(self.anchors, np.int64), np.array(self.keys, np.int64)
         if not len(keys):
@@ -156,9 +156,9 @@ class _Group:
             tails = np.append(heads[1:], len(place)) - 1 if len(heads) else heads
             for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
                 i = int(streamed[pattern[head]])
-                for v, start in self.members[i]:
+                for h, start in self.members[i]:
                     out[0].append(self.keys[i])
-                    out[1].append(v)
+                    out[1].append(h)
                     out[2].append((start + int(place[head]) << 32) + int(place[tail] - place[head]) + self.window)
         return out
 
@@ -170,20 +170,20 @@ class _Group:
 
 
 def _repeats(window: int):
-    """(key, v, span) of bytes to remove, from stretches sorted by anchor, stretch and key. A span is start * 2**32 + length."""
+    """(key, h, span) of bytes to remove, from stretches sorted by anchor, stretch and key. A span is start * 2**32 + length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(window)
-        names = ["key", "v", "span"]
+        names = ["key", "h", "span"]
 
         def flushed() -> pa.RecordBatch:
             columns = group.marks()
             group.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int16()), pa.array(columns[2], pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names)
 
         for batch in batches:
             anchors = batch.column("anchor").to_numpy()
-            keys, vs, starts = (batch.column(c).to_numpy() for c in ("key", "v", "start"))
+            keys, hs, starts = (batch.column(c).to_numpy() for c in ("key", "h", "start"))
             texts = batch.column("stretch").to_pylist()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             whole = np.zeros(len(texts), bool)
@@ -193,17 +193,17 @@ def _repeats(window: int):
                     if group.keys[-1] < keys[i]:
                         whole[i] = True  # all its windows occur in a smaller key's equal stretch
                     else:
-                        group.members[-1].append((int(vs[i]), int(starts[i])))
+                        group.members[-1].append((int(hs[i]), int(starts[i])))
                     continue
                 if group.bytes >= INDEX_BYTES and group.anchors[-1] != anchor:
                     yield flushed()
                 group.data.append(text)
                 group.anchors.append(anchor)
                 group.keys.append(int(keys[i]))
-                group.members.append([(int(vs[i]), int(starts[i]))])
+                group.members.append([(int(hs[i]), int(starts[i]))])
                 group.bytes += len(text)
             at = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(vs[at]), pa.array((starts[at].astype(np.int64) << 32) + sizes[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(hs[at]), pa.array((starts[at].astype(np.int64) << 32) + sizes[at])], names)
         yield flushed()
 
     return run
@@ -236,20 +236,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks (key, v, span)). All uses of texts read its four columns, so that Spark shuffles it once."""
-    texts = df.repartition(parts, "key", "v")
+    """(texts, marks (key, h, span)). All uses of texts read its three columns, so that Spark shuffles it once."""
+    texts = df.repartition(parts, "key", "h")
     seeds = texts.select("h", "text").mapInArrow(_seeds(window), "anchor long, h long")
     by_anchor = Window.partitionBy("anchor")
     known = seeds.repartition(parts, "anchor").groupBy("anchor", "h").agg(F.lit(1).alias("_"))
     live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).where("low <> high")
     live = live.select((F.col("anchor").bitwiseAND(F.lit(MARKS - 1)) - MARKS // 2).cast("short").alias("mark"), "h")
-    marked = df.select("key", "h", "v", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
-    firsts = marked.groupBy("h", "h2", "size", "v").agg(F.min("key").alias("first"))
-    anchors = live.join(firsts.select(F.col("first").alias("key"), "h", "v"), "h").groupBy("key", "v").agg(F.collect_set("mark").alias("live"))
-    found = texts.join(anchors, ["key", "v"]).select("text", "live", "key", "h", "v").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, v short, start int")
+    marked = df.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
+    firsts = marked.groupBy("h", "h2", "size").agg(F.min("key").alias("first"))
+    anchors = live.join(firsts.select(F.col("first").alias("key"), "h"), "h").groupBy("key", "h").agg(F.collect_set("mark").alias("live"))
+    found = texts.join(anchors, ["key", "h"]).select("text", "live", "key", "h").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, h long, start int")
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
-    repeats = ordered.mapInArrow(_repeats(window), "key long, v short, span long")
-    copies = marked.join(firsts, ["h", "h2", "size", "v"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "v", F.col("size").cast("long").alias("span")).distinct()
+    repeats = ordered.mapInArrow(_repeats(window), "key long, h long, span long")
+    copies = marked.join(firsts, ["h", "h2", "size"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "h", F.col("size").cast("long").alias("span")).distinct()
     return texts, repeats.unionByName(copies)
 
 
@@ -259,15 +259,15 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     A byte goes if a window over it also starts in a row of a smaller id. Null texts are empty; a null id
     counts as larger than all ids (2**63 - 1 is taken for it); rows that repeat an id never remove each
-    other's bytes, and their texts are told apart by 16 bits of a hash; texts shorter than the window stay. An empty
+    other's bytes, and their texts are told apart by the 64 bits of text_hash; texts shorter than the window stay. An empty
     table gives no rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), (F.pmod(F.hash("text"), F.lit(MARKS)) - MARKS // 2).cast("short").alias("v"), "text")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), "text")
     texts, marks = repeated_marks(rows, window, parts)
-    lists = marks.groupBy("key", "v").agg(F.collect_list("span").alias("marks"))
-    cut = texts.join(lists, ["key", "v"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    lists = marks.groupBy("key", "h").agg(F.collect_list("span").alias("marks"))
+    cut = texts.join(lists, ["key", "h"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept")
 
 

@@ -113,6 +113,16 @@ def test_repeats_in_small_indices(spark, texts, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == removed(texts)
 
 
+def test_repeats_in_many_rows_without_id(spark):
+    rng = random.Random(11)
+    shared = prose(rng, 40)
+    texts = [(1, shared), (2, f"start {shared}")]
+    for key in (None, 7):
+        texts += [(key, prose(rng, 40) + (f" {shared}" if i % 3 == 0 else "")) for i in range(900)]
+    got = substrings.remove_repeats(frame(spark, texts)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == removed(texts)
+
+
 def test_removed_text_is_valid(spark):
     a = "é" * 60
     out = substrings.with_text(substrings.remove_repeats(frame(spark, [(1, a), (2, f"x{a}zñ"), (3, f"x{a}ñ")]))).orderBy("doc_id").collect()
