@@ -7,6 +7,10 @@ run there, which needs the smallest id only; the different ones of a task are pu
 Burrows-Wheeler index (see ``run_index``), and those that may repeat an earlier one are streamed
 against it. A window that matches a string of a smaller id is marked.
 
+Anchors with many stretches (HOT) are split: each window of their stretches is dealt by its own hash, so that
+only equal windows meet, which needs no index. Of equal windows in one batch only those of the smallest id are
+dealt; the others are marked at once.
+
 Exact copies of a text are found by its hashes first, so that they don't add stretches.
 """
 
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pieces import rows_of
 from millrace.llm.run_index import RunIndex
-from millrace.llm.textarrays import BYTE_CODES, U64, mix, text_bytes
+from millrace.llm.textarrays import BYTE_CODES, U64, mix, span_hashes, text_bytes
 
 #: Bytes of an anchor; bytes of stretches that are indexed at a time.
 ANCHOR, INDEX_BYTES = 20, 1_000_000
@@ -29,6 +33,8 @@ ANCHOR, INDEX_BYTES = 20, 1_000_000
 LAST = (1 << 63) - 1
 #: Anchors are told apart by so many bits of their hash; a clash only adds stretches to compare.
 ANCHOR_BITS = U64((1 << 48) - 1)
+#: An anchor with more stretches than this in different texts is split by windows; windows of these that are compared at a time.
+HOT, HOT_WINDOWS = 4096, 100_000
 #: Within a text, live anchors are told by their lowest 16 bits.
 MARKS = 1 << 16
 
@@ -77,26 +83,84 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
 
 
 def _seeds(window: int):
-    """(anchor, h) for the different anchors of each text."""
+    """(anchor, h, n) for the different anchors of each text, with the number of their stretches in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", 2 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             rows, anchors, _, _ = stretches(raw, offsets, window)
             order = np.lexsort((anchors, rows))
             rows, anchors = rows[order], anchors[order]
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), batch.column("h").take(pa.array(rows[new]))], ["anchor", "h"])
+            n = np.diff(np.append(np.flatnonzero(new), len(rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), batch.column("h").take(pa.array(rows[new])), pa.array(n)], ["anchor", "h", "n"])
 
     return run
 
 
+def _members(rows: np.ndarray, values: np.ndarray, column) -> np.ndarray:
+    """Whether each row's list in the column holds the value."""
+    lists = np.diff(column.offsets.to_numpy())
+    of, listed = np.repeat(np.arange(len(lists)), lists), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    found = np.zeros(len(rows), bool)
+    for i in np.unique(rows[np.isin(values, listed)]).tolist():
+        a, b = np.searchsorted(rows, [i, i + 1])
+        c, d = np.searchsorted(of, [i, i + 1])
+        found[a:b] = np.isin(values[a:b], listed[c:d])
+    return found
+
+
+def _hot_windows(raw: np.ndarray, at: np.ndarray, keys: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each window, whether it is dealt, length of the run that is marked at once from here on or 0). Marked
+    are windows that equal one of a smaller key here; runs lie in one text."""
+    low, high = (int(at.min()), int(at.max()) + window) if len(at) else (0, 0)
+    hashes = span_hashes(BYTE_CODES[raw[low:high]], at - low, at - low + window)
+    order = np.lexsort((keys, hashes))
+    new = np.ones(len(at), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    heads = np.flatnonzero(new)
+    head = np.empty(len(at), np.int64)
+    head[order] = order[np.repeat(heads, np.diff(np.append(heads, len(at))))]
+    done = keys[head] < keys
+    spread = np.arange(window)
+    for some in np.array_split(np.flatnonzero(done), max(1, len(at) // 20_000)):
+        done[some] = (raw[at[some, None] + spread] == raw[at[head[some], None] + spread]).all(1)
+    marked = np.flatnonzero(done)
+    first = np.ones(len(marked), bool)
+    first[1:] = (at[marked[1:]] != at[marked[:-1]] + 1) | (rows[marked[1:]] != rows[marked[:-1]])
+    starts = np.flatnonzero(first)
+    runs = np.zeros(len(at), np.int64)
+    runs[marked[starts]] = np.diff(np.append(starts, len(marked))) + window - 1
+    return hashes, ~done, runs
+
+
 def _live_stretches(window: int):
-    """(anchor, stretch, key, h, start) of the stretches whose anchor is live in their text."""
+    """(anchor, stretch, key, h, start) of the stretches whose anchor is live in their text. Starts below 0 (-1 - start)
+    are those of hot anchors' windows, with the window's hash for the anchor, or of runs that are marked already,
+    with four bytes of length for the stretch."""
+
+    def hot_rows(batch, raw, offsets, rows, first, last) -> Iterator[pa.RecordBatch]:
+        sizes = last - first + 1
+        keys = batch.column("key").to_numpy()
+        for some in np.array_split(np.arange(len(rows)), max(1, -(-int(sizes.sum()) // HOT_WINDOWS))):
+            n = sizes[some]
+            of = np.repeat(rows[some], n)
+            at = np.arange(n.sum()) + np.repeat(first[some] - np.cumsum(n) + n, n)
+            hashes, dealt, runs = _hot_windows(raw, at, keys[of], of, window)
+            start = (-1 - (at - offsets[:-1][of])).astype(np.int32)
+            for which, anchor, data, width in (
+                (np.flatnonzero(dealt), hashes, lambda w: raw[at[w, None] + np.arange(window)], window),
+                (np.flatnonzero(runs), mix(hashes + at.astype(U64)), lambda w: runs[w].astype("<i4").view(np.uint8), 4),
+            ):
+                for w in np.array_split(which, max(1, len(which) // 20_000)):
+                    ends = np.arange(len(w) + 1, dtype=np.int32) * width
+                    texts = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data(w)))])
+                    take = pa.array(of[w])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[w].astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("h").take(take), pa.array(start[w])], ["anchor", "stretch", "key", "h", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", 2 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             rows, anchors, first, last = stretches(raw, offsets, window)
             live = batch.column("live")
@@ -104,6 +168,10 @@ def _live_stretches(window: int):
             values = live.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + MARKS // 2
             keep = np.isin(rows * MARKS + (anchors & U64(MARKS - 1)).astype(np.int64), np.repeat(np.arange(batch.num_rows), lists) * MARKS + values)
             rows, anchors, first, last = rows[keep], anchors[keep], first[keep], last[keep]
+            hot = _members(rows, anchors.view(np.int64), batch.column("hot"))
+            if hot.any():
+                yield from hot_rows(batch, raw, offsets, rows[hot], first[hot], last[hot])
+                rows, anchors, first, last = rows[~hot], anchors[~hot], first[~hot], last[~hot]
             sizes = last - first + window
             ends = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum(sizes, out=ends[1:])
@@ -174,6 +242,7 @@ def _repeats(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(window)
+        least, least_key = None, 0  # the last window of a hot anchor, and its smallest key
         names = ["key", "h", "span"]
 
         def flushed() -> pa.RecordBatch:
@@ -187,7 +256,17 @@ def _repeats(window: int):
             texts = batch.column("stretch").to_pylist()
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             whole = np.zeros(len(texts), bool)
+            split = starts < 0
+            starts = np.where(split, -1 - starts, starts)
             for i, text in enumerate(texts):
+                if split[i]:
+                    if len(text) < window:
+                        whole[i], sizes[i] = True, int.from_bytes(text, "little")
+                    elif text == least:
+                        whole[i] = least_key < keys[i]
+                    else:
+                        least, least_key = text, keys[i]
+                    continue
                 anchor = int(anchors[i])
                 if group.data and group.anchors[-1] == anchor and group.data[-1] == text:
                     if group.keys[-1] < keys[i]:
@@ -235,18 +314,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "h", "n_bytes", "spans", "kept"])
 
 
-def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks (key, h, span)). All uses of texts read its three columns, so that Spark shuffles it once."""
+def live_stretches(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, hashes of texts, smallest key of each text, stretches). All uses of texts read its three columns, so that Spark shuffles it once."""
     texts = df.repartition(parts, "key", "h")
-    seeds = texts.select("h", "text").mapInArrow(_seeds(window), "anchor long, h long")
+    seeds = texts.select("h", "text").mapInArrow(_seeds(window), "anchor long, h long, n int")
     by_anchor = Window.partitionBy("anchor")
-    known = seeds.repartition(parts, "anchor").groupBy("anchor", "h").agg(F.lit(1).alias("_"))
-    live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).where("low <> high")
-    live = live.select((F.col("anchor").bitwiseAND(F.lit(MARKS - 1)) - MARKS // 2).cast("short").alias("mark"), "h")
+    known = seeds.repartition(parts, "anchor").groupBy("anchor", "h").agg(F.max("n").alias("n"))
+    live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).withColumn("all", F.sum("n").over(by_anchor)).where("low <> high")
+    live = live.select((F.col("anchor").bitwiseAND(F.lit(MARKS - 1)) - MARKS // 2).cast("short").alias("mark"), "h", F.when(F.col("all") > HOT, F.col("anchor")).alias("hot"))
     marked = df.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
     firsts = marked.groupBy("h", "h2", "size").agg(F.min("key").alias("first"))
-    anchors = live.join(firsts.select(F.col("first").alias("key"), "h"), "h").groupBy("key", "h").agg(F.collect_set("mark").alias("live"))
-    found = texts.join(anchors, ["key", "h"]).select("text", "live", "key", "h").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, h long, start int")
+    anchors = live.join(firsts.select(F.col("first").alias("key"), "h"), "h").groupBy("key", "h").agg(F.collect_set("mark").alias("live"), F.collect_set("hot").alias("hot"))
+    found = texts.join(anchors, ["key", "h"]).select("text", "live", "hot", "key", "h").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, h long, start int")
+    return texts, marked, firsts, found
+
+
+def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, marks (key, h, span))."""
+    texts, marked, firsts, found = live_stretches(df, window, parts)
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
     repeats = ordered.mapInArrow(_repeats(window), "key long, h long, span long")
     copies = marked.join(firsts, ["h", "h2", "size"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "h", F.col("size").cast("long").alias("span")).distinct()

@@ -123,6 +123,21 @@ def test_repeats_in_many_rows_without_id(spark):
     assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == removed(texts)
 
 
+def test_hot_anchors_are_split(spark, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 4)
+    rng = random.Random(12)
+    passage = prose(rng, 40)
+    shared = texts + [(None if i % 9 == 0 else 1000 + i // 2, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(120)]
+    got = substrings.remove_repeats(frame(spark, shared)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == removed(shared)
+    rows = frame(spark, shared).select(F.coalesce("doc_id", F.lit(substrings.LAST)).alias("key"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    found = substrings.live_stretches(rows, 50, 4)[3]
+    # What meets under one anchor goes into one index; windows of split anchors only meet equal ones.
+    met = found.where("length(stretch) >= 50").groupBy("anchor").agg(F.countDistinct("stretch").alias("n"))
+    assert met.agg(F.max("n")).first()[0] <= 4
+    assert found.where("length(stretch) < 50").count() > 0
+
+
 def test_removed_text_is_valid(spark):
     a = "é" * 60
     out = substrings.with_text(substrings.remove_repeats(frame(spark, [(1, a), (2, f"x{a}zñ"), (3, f"x{a}ñ")]))).orderBy("doc_id").collect()
