@@ -1,7 +1,9 @@
 """Operator 8: text quality from random-indexing word vectors and a small network.
 
 Every word and word shape has a fixed sparse random index vector; the vector of a frequent one is the
-sum of the index vectors around its occurrences in the training texts. A document is pooled to the mean of
+sum of the words' index vectors around its occurrences in all documents, labelled or not. Frequent are
+words and shapes in at least the square root of the number of documents, so that the vocabulary grows with
+them. A document is pooled to the mean of
 its vectors, with the length of its mean index vector (near 1 where one word is repeated, near 0 in prose)
 and a few ratios. A two-layer network scores it; its probabilities are calibrated by one temperature,
 which is chosen on rows that the network wasn't trained on.
@@ -9,6 +11,7 @@ which is chosen on rows that the network wasn't trained on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +25,10 @@ from millrace.llm.samples import stratified
 from millrace.llm.shared_files import stored
 from millrace.llm.textarrays import BYTE_CODES, U64, ascii_lower, lengths_to_rows, mix, span_hashes, text_bytes, words
 
-#: Rows of each label that the fit takes at most; vocabulary; dimensions; non-zeros of an index vector; words on each side.
-SAMPLE_ROWS, VOCABULARY, DIM, NON_ZERO, SIDE = 3000, 2048, 48, 4, 2
+#: Rows of each label that the network takes at most; dimensions; non-zeros of an index vector; words on each side.
+SAMPLE_ROWS, DIM, NON_ZERO, SIDE = 3000, 48, 4, 2
+#: Counts of texts by words that are held at a time.
+HISTOGRAM = 1 << 20
 HIDDEN, EPOCHS = 32, 400
 
 #: Character classes of word shapes: lower case and other letters, upper case, digits, and every other byte for itself.
@@ -84,12 +89,18 @@ class Vectors:
         count = np.bincount(rows, minlength=n).astype(np.float64)
         out = np.zeros((n, self.table.shape[1] + 6))
         some = np.maximum(count, 1)
-        for at in range(0, n, 512):  # a histogram of some texts over the vocabulary at a time
-            a, b = np.searchsorted(rows, [at, min(n, at + 512)])
-            m = min(n, at + 512) - at
-            hist = np.bincount((rows[a:b] - at) * v + self.places(plain[a:b]), minlength=m * v)
-            hist = hist + np.bincount((rows[a:b] - at) * v + self.places(shape[a:b]), minlength=m * v)
-            out[at : at + m, : self.table.shape[1]] = hist.reshape(m, v)[:, :-1] @ self.table / some[at : at + m, None]
+        step = int(np.clip(HISTOGRAM // v, 16, 512))
+        for at in range(0, n, step):  # a histogram of some texts over the words in them at a time
+            m = min(n, at + step) - at
+            a, b = np.searchsorted(rows, [at, at + m])
+            places = np.concatenate([self.places(plain[a:b]), self.places(shape[a:b])])
+            known = places < v - 1
+            there = np.zeros(v, bool)
+            there[places[known]] = True
+            held = np.flatnonzero(there)
+            short = np.cumsum(there) - 1
+            hist = np.bincount((np.tile(rows[a:b], 2)[known] - at) * len(held) + short[places[known]], minlength=m * len(held))
+            out[at : at + m, : self.table.shape[1]] = hist.reshape(m, len(held)) @ self.table[held] / some[at : at + m, None]
         mean = np.zeros(n * DIM)
         for place, sign in index_parts(plain):
             mean += np.bincount(rows * DIM + place, weights=sign, minlength=n * DIM)
@@ -156,17 +167,19 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    """Trains on at most about 2 * SAMPLE_ROWS labelled rows (a documented bound), whole texts.
-    None where no label of either kind has a text. labels: one row for each id that may be learned from."""
+    """Vocabulary and word vectors are statistics of all documents. The network is trained on at most about
+    2 * SAMPLE_ROWS labelled rows (a documented bound), whole texts. None where no label of either kind has a text. labels: one row for each id that may be learned from."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     share = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not share.get(0) or not share.get(1):
+        return None
     sample = stratified(marked, "y", "id", SAMPLE_ROWS)
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample's size is bounded, so it may be broadcast.
     rows = stored(texts.join(F.broadcast(sample), "id"), "quality-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 8 << 20):
+        for batch in rows_of(batches, "text", 2 << 20):
             plain, shape, of, _ = tokens(batch.column("text"))
             for hashes in (plain, shape):
                 order = np.lexsort((of, hashes))
@@ -176,31 +189,34 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 found, n = np.unique(h[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = rows.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    if top.empty or not share.get(0) or not share.get(1):
+    counted = texts.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()))).select("h").toPandas()
+    if top.empty:
         return None
     vocabulary = Vectors(np.sort(top["h"].to_numpy().view(U64)), np.zeros((len(top), DIM)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = len(vocabulary.hashes)
-        sums = np.zeros((v + 1) * DIM)
-        for batch in rows_of(batches, "text", 8 << 20):
+        sums = np.zeros((v + 1) * DIM, np.int64)
+        for batch in rows_of(batches, "text", 2 << 20):
             plain, shape, of, _ = tokens(batch.column("text"))
-            mine = [vocabulary.places(plain), vocabulary.places(shape)]
+            mine = [vocabulary.places(plain) * DIM, vocabulary.places(shape) * DIM]
+            parts = list(index_parts(plain))
             for step in (s for s in range(-SIDE, SIDE + 1) if s):
                 here = slice(max(0, -step), len(of) - max(0, step))
                 there = slice(max(0, step), len(of) - max(0, -step))
-                together = of[here] == of[there] if len(of) > SIDE else np.zeros(0, bool)
-                if not len(together):
+                if len(of) <= abs(step):
                     continue
-                for place, sign in index_parts(shape[there][together]):
-                    for word in mine:
-                        sums += np.bincount(word[here][together] * DIM + place, weights=sign, minlength=(v + 1) * DIM)
+                together = of[here] == of[there]
+                targets = [word[here][together] for word in mine]
+                for place, sign in parts:
+                    place, sign = place[there][together], sign[there][together]
+                    for word in targets:
+                        sums += np.bincount(word + place, weights=sign, minlength=(v + 1) * DIM).astype(np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "x"])
 
-    cells = rows.select("text").mapInArrow(contexts, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    cells = texts.select("text").mapInArrow(contexts, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     flat = np.zeros((len(vocabulary.hashes) + 1) * DIM)
     flat[cells["at"].to_numpy()] = cells["x"].to_numpy()
     context = flat.reshape(-1, DIM)[:-1]
@@ -217,6 +233,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = rows.schema["id"].dataType.simpleString()
     data = rows.mapInArrow(pooled, f"id {kind}, y int, x binary").orderBy("id", "x").toPandas()
+    if data.empty:
+        return None
     x = np.stack([np.frombuffer(b) for b in data["x"]])
     y = data["y"].to_numpy(np.float64)
     if y.min() == y.max():

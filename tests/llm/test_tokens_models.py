@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import connect, rows
 from pyspark.sql import functions as F
@@ -135,6 +136,22 @@ def test_models_without_labels_or_texts(spark, module):
     assert module.predict(d.where("false"), module.fit(both, labels)).count() == 0
 
 
+def test_quality_words_of_unlabelled_documents(spark):
+    labelled = [(i, "bad ugly words" if i % 2 else "a fine text of prose") for i in range(40)]
+    others = [(100 + i, f"green zebra eats {'tall' if i % 2 else 'wet'} grass") for i in range(40)]
+    d = spark.createDataFrame(labelled + others, "doc_id long, text string")
+    labels = d.where("doc_id < 40").select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    vectors = quality.fit(d, labels).vectors
+    for word, around in (("zebra", {"green": 40, "eats": 40, "tall": 20, "wet": 20}), ("ugly", {"bad": 20, "words": 20})):
+        hashes = quality.tokens(pa.array([" ".join([word, *around])]))[0]
+        want = np.zeros(quality.DIM)
+        for place, sign in quality.index_parts(hashes[1:]):
+            np.add.at(want, place, sign * list(around.values()))
+        at = vectors.places(hashes[:1])[0]
+        assert at < len(vectors.hashes)
+        assert np.allclose(vectors.table[at, : quality.DIM], want / np.linalg.norm(want))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
