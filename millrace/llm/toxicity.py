@@ -71,17 +71,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def linear_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 200) -> np.ndarray:
-    """Logistic regression with an intercept (last weight), accelerated full-batch gradient steps."""
+def linear_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, steps: int = 200) -> np.ndarray:
+    """Logistic regression with an intercept (last weight), accelerated full-batch gradient steps. weight: of each row."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
     y = y.astype(np.float32)
+    weight = (weight / max(weight.mean(), 1e-12)).astype(np.float32) if len(x) else np.zeros(0, np.float32)
     w, ahead, v = (np.full(x.shape[1], start, np.float32) for start in (0, 0, 1))
     for _ in range(12):
-        v = x.T @ (x @ v)
+        v = x.T @ (weight * (x @ v))
         v /= max(np.linalg.norm(v), 1e-12)
-    rate = np.float32(1 / (0.25 * np.linalg.norm(x @ v) ** 2 / max(1, len(x)) + penalty))
+    rate = np.float32(1 / (0.25 * np.linalg.norm(np.sqrt(weight) * (x @ v)) ** 2 / max(1, len(x)) + penalty))
     for i in range(steps):
-        g = x.T @ (sigmoid(x @ ahead) - y) / np.float32(max(1, len(x))) + np.float32(penalty) * ahead
+        g = x.T @ (weight * (sigmoid(x @ ahead) - y)) / np.float32(max(1, len(x))) + np.float32(penalty) * ahead
         new = ahead - rate * g
         ahead = new + np.float32(i / (i + 3)) * (new - w)
         w = new
@@ -99,8 +100,8 @@ class Chain:
     weights: list[np.ndarray]
 
     @staticmethod
-    def train(index: FeatureIndex, x: np.ndarray, labels: np.ndarray) -> Chain:
-        """labels: a column for each category."""
+    def train(index: FeatureIndex, x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Chain:
+        """labels: a column for each category. weight: of each row, so that the probabilities are those of the table that was sampled."""
         fold = np.arange(len(x)) % FOLDS
         weights: list[np.ndarray] = []
         seen = x
@@ -108,8 +109,8 @@ class Chain:
             y = labels[:, c]
             outside = np.zeros(len(x))
             for f in range(FOLDS):
-                outside[fold == f] = linear(seen[fold == f], linear_fit(seen[fold != f], y[fold != f]))
-            weights.append(linear_fit(seen, y))
+                outside[fold == f] = linear(seen[fold == f], linear_fit(seen[fold != f], y[fold != f], weight[fold != f]))
+            weights.append(linear_fit(seen, y, weight))
             seen = np.column_stack([seen, outside])
         return Chain(index, weights)
 
@@ -128,6 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     None where no label of either kind has a text.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    share = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = stratified(marked, "y", "id", SAMPLE_ROWS)
     # The sample's size is bounded, so it may be broadcast.
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -168,7 +170,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # A whole word is a strong feature that few texts share with a strong beginning; texts with several strong features are plain.
     hits = (x[:, strong] > 0).sum(1) if strong.any() else np.zeros(len(x))
     labels_of = np.column_stack([(y == 1) & (hits >= 3), (y == 1) & (hits < 3), y == 1]).astype(np.float64)
-    return Chain.train(index, np.log1p(x), labels_of)
+    # A label is sampled with probability SAMPLE_ROWS / share, or always.
+    weight = np.where(y == 1, max(1.0, share[1] / SAMPLE_ROWS), max(1.0, share[0] / SAMPLE_ROWS))
+    return Chain.train(index, np.log1p(x), labels_of, weight)
 
 
 def predict(df: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -117,6 +117,19 @@ def test_toxicity_held_out(spark):
     assert d.count() == queries.op5_toxicity(spark, "/root/testdata/sf0.001").count() * 50
 
 
+def test_toxicity_beyond_the_sample(spark, monkeypatch):
+    """Words that two thirds of the toxic and a tenth of the eight times as many clean texts hold stand for no more than their share."""
+    rng = random.Random(6)
+    toxic = [rng.random() < 1 / 9 for _ in range(2700)]
+    d = spark.createDataFrame([(i, f"common {'grudge' if rng.random() < (0.67 if y else 0.1) else 'plain'}") for i, y in enumerate(toxic)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    whole = toxicity.predict(d, toxicity.fit(d, labels)).agg(F.avg("p_toxic")).first()[0]
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    sampled = toxicity.predict(d, toxicity.fit(d, labels)).agg(F.avg("p_toxic")).first()[0]
+    assert abs(whole - 1 / 9) < 0.02
+    assert abs(sampled - 1 / 9) < 0.04
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = queries.op8_quality(spark, SF).where("held_out").join(labels, "doc_id")
