@@ -190,10 +190,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = texts.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()))).select("h").toPandas()
-    if top.empty:
+    top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()))).select("h").toArrow()
+    if not top.num_rows:
         return None
-    vocabulary = Vectors(np.sort(top["h"].to_numpy().view(U64)), np.zeros((len(top), DIM)))
+    vocabulary = Vectors(np.sort(top["h"].to_numpy().view(U64)), np.zeros((top.num_rows, DIM)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = len(vocabulary.hashes)
@@ -216,9 +216,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "x"])
 
-    cells = texts.select("text").mapInArrow(contexts, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    cells = texts.select("text").mapInArrow(contexts, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
     flat = np.zeros((len(vocabulary.hashes) + 1) * DIM)
-    flat[cells["at"].to_numpy()] = cells["x"].to_numpy()
+    flat[cells["at"].to_numpy()] = cells["x"].to_numpy()  # Arrow, as rows of Python objects would fill the driver
     context = flat.reshape(-1, DIM)[:-1]
     # A word's own index vector is part of its vector, so that words with like contexts stay apart.
     own = np.zeros((len(vocabulary.hashes), DIM))
