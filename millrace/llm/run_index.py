@@ -4,14 +4,17 @@ The transform is kept as runs: symbol, first row, the row its first row maps to,
 end (the sampled run ends). Matching statistics are streamed from the right: a pattern's symbol extends
 the match in its row's run, or else the match goes on at the nearest run end with that symbol before or behind,
 whichever shares more with the match so far. All patterns advance together.
+
+What is kept after the build is the text, two bytes a symbol, four arrays over the runs, and one entry for each
+different window; the arrays of the suffix sort go.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols that are packed into the first sort key.
-FIRST = 7
+#: Symbols that are packed into the first sort key; symbols that are compared at a time.
+FIRST, STEP = 7, 16
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,9 +37,10 @@ class RunIndex:
         count = len(lengths)
         n = len(data) + count
         starts = offsets[:-1] + np.arange(count)
-        self.text = np.zeros(n, np.int64)
         of = np.repeat(np.arange(count), lengths)
-        self.text[np.arange(len(data)) + of] = data.astype(np.int64) + 1
+        self.text = np.zeros(n + STEP, np.uint16)
+        self.text[np.arange(len(data)) + of] = data.astype(np.uint16) + 1
+        self.size = n
         string = np.repeat(np.arange(count), lengths + 1)
         last = (starts + lengths)[string]  # each position's separator
         at = np.arange(n)
@@ -44,32 +48,31 @@ class RunIndex:
         for i in range(FIRST):
             keys = keys * 257 + np.where(at + i <= last, self.text[np.minimum(at + i, n - 1)], 0)
         ranks, order = _ranks(keys)
-        self.depths, depth = [(FIRST, ranks)], FIRST
-        longest = int(lengths.max(initial=0)) + 1
+        depth, longest = FIRST, int(lengths.max(initial=0)) + 1
+        below, kept = depth, ranks
         while depth < longest:
             behind = np.where(at + depth <= last, ranks[np.minimum(at + depth, n - 1)], 0)
             ranks, order = _ranks(ranks * (n + 1) + behind)
             depth *= 2
-            self.depths.append((depth, ranks))
+            if depth <= window:
+                below, kept = depth, ranks
         # Rows whose suffixes share the first ``window`` symbols are neighbours; the smallest owner of each such group.
-        below, kept = max(((d, r) for d, r in self.depths if d <= window), key=lambda x: x[0])
         head = kept[order]
         shift = window - below
         tail = np.where(at + shift <= last, kept[np.minimum(at + shift, n - 1)], 0)[order]
         new = np.ones(n, bool)
         new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-        self.group_starts = np.flatnonzero(new)
+        self.group_starts = np.flatnonzero(new).astype(np.int32)
         self.group_owner = np.minimum.reduceat(owners[string[order]], self.group_starts)
         # The transform, as runs.
         symbols = self.text[order - 1]
         new[1:] = symbols[1:] != symbols[:-1]
         new[0] = True
         self.run_starts = np.flatnonzero(new)
-        self.run_symbols = symbols[self.run_starts]
+        self.run_symbols = symbols[self.run_starts].astype(np.int64)
         run_lengths = np.diff(np.append(self.run_starts, n))
-        self.first_sample = order[self.run_starts]
-        self.last_sample = order[self.run_starts + run_lengths - 1]
         self.last_row = self.run_starts + run_lengths - 1
+        self.first_sample, self.last_sample = order[self.run_starts], order[self.last_row]
         by_symbol = np.argsort(self.run_symbols, kind="stable")
         before = np.cumsum(run_lengths[by_symbol]) - run_lengths[by_symbol]
         self.run_maps_to = np.empty(len(by_symbol), np.int64)
@@ -78,14 +81,13 @@ class RunIndex:
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the text's suffixes at a and b, ``most`` at most."""
-        n = len(self.text)
-        total = np.zeros(len(a), np.int64)
-        for depth, ranks in reversed(self.depths):
-            x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
-            total += np.where((total < most) & (ranks[x] == ranks[y]), depth, 0)
-        for _ in range(FIRST - 1):
-            x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
-            total += (total < most) & (self.text[x] == self.text[y])
+        total, on, spread = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(STEP)
+        while len(on):
+            x, y = (np.minimum(p[on] + total[on], self.size)[:, None] + spread for p in (a, b))
+            alike = self.text[np.minimum(x, self.size)] == self.text[np.minimum(y, self.size)]
+            whole = alike.all(1)
+            total[on] += np.where(whole, STEP, alike.argmin(1))
+            on = on[whole & (total[on] < most[on])]
         return np.minimum(total, most)
 
     def owners_of_windows(self, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

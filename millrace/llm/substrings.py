@@ -2,358 +2,520 @@
 
 Every window of 50 bytes holds an anchor: the 20-byte string of the smallest hash in it. Equal windows have
 equal anchors, so only windows whose anchor occurs in several different texts can repeat; consecutive
-windows with one anchor form a stretch of at most 80 bytes. Stretches meet by anchor. Equal ones become one
-run there, which needs the smallest id only; the different ones of a task are put into a run-compressed
-Burrows-Wheeler index (see ``run_index``), and those that may repeat an earlier one are streamed
-against it. A window that matches a string of a smaller id is marked.
+windows with one anchor form a stretch of at most 80 bytes.
 
-Anchors with many stretches (HOT) are split: each window of their stretches is dealt by its own hash, so that
-only equal windows meet, which needs no index. Of equal windows in one batch only those of the smallest id are
-dealt; the others are marked at once.
+Texts are dealt into chunks of about 2 MB by a hash of id and text, in one shuffle that all passes share:
 
-Exact copies of a text are found by its hashes first, so that they don't add stretches.
+1. A chunk sends its anchors, sorted and packed by ranges of their hash; a range answers with a bit for each anchor that
+   other texts hold too (live), and a bit for those with very many stretches (hot).
+2. A chunk sends the stretches of its live anchors; equal ones of a chunk go out once, with the smallest id. They meet by
+   anchor. Equal ones are one run there, which needs the smallest id only. Where an anchor has different stretches, these
+   are put into a run-compressed Burrows-Wheeler index (see ``run_index``), and those that may repeat an earlier one are
+   streamed against it. A window that matches a string of a smaller id is marked. Hot anchors are split: each window of
+   their stretches is dealt by its own hash, so that only equal windows meet, which needs no index.
+3. A chunk cuts the marked bytes.
+
+Exact copies of a text are found by its hashes first, so that they don't add anchors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.llm.pieces import rows_of
 from millrace.llm.run_index import RunIndex
 from millrace.llm.textarrays import BYTE_CODES, U64, mix, span_hashes, text_bytes
 
-#: Bytes of an anchor; bytes of stretches that are indexed at a time.
-ANCHOR, INDEX_BYTES = 20, 1_000_000
-#: The key of rows with a null id: such rows count as the last document.
-LAST = (1 << 63) - 1
-#: Anchors are told apart by so many bits of their hash; a clash only adds stretches to compare.
-ANCHOR_BITS = U64((1 << 48) - 1)
+#: Bytes of an anchor; bytes of stretches that are indexed at a time; windows whose anchors are sought at a time.
+ANCHOR, INDEX_BYTES, BLOCK = 20, 1_000_000, 1 << 20
+#: Bytes of text in a chunk, with so many for each row; anchors in a range, at about one for 16 bytes.
+CHUNK_BYTES, ROW_BYTES, RANGE_ANCHORS = 2 << 20, 64, 500_000
+#: The key of rows with a null id: such rows count as the last document. They are dealt into so many chunks more.
+LAST, SALTS = (1 << 63) - 1, 64
+#: So many of 2**SPARE anchors are taken for another one, which only adds stretches to compare.
+SPARE = 14
 #: An anchor with more stretches than this in different texts is split by windows; windows of these that are compared at a time.
 HOT, HOT_WINDOWS = 4096, 100_000
-#: Within a text, live anchors are told by their lowest 16 bits.
-MARKS = 1 << 16
-
+#: Texts of a chunk are numbered by so many bits.
+TEXT_BITS = 24
 
-def anchor_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the ANCHOR (20) bytes from each position on."""
+SIDE = "chunk long, kind int, a long, b long, data binary"
+STRETCHES = "anchor long, stretch binary, key long, ref long, start int"
 
-    def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
-        n = min(len(a), len(b) - step)
-        x = a[:n] * U64(0x9E3779B97F4A7C15) + (b[step : step + n] ^ (b[step : step + n] >> U64(29)))
-        return x * U64(0xBF58476D1CE4E5B9)
 
-    one = BYTE_CODES[raw]
-    two = joined(one, one, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    sixteen = joined(eight, eight, 8)
-    return mix(joined(sixteen, four, 16))
+def windowed_minima(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the anchor of each window, hash of the ANCHOR (20) bytes from each position on)."""
 
+    def at(offset: int, kind: str) -> np.ndarray:
+        return np.ndarray((len(raw) - ANCHOR + 1,), kind, raw, offset, (1,))
 
-def stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, first window, last window) of each stretch: consecutive windows with one anchor."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < window:
-        return none, np.zeros(0, U64), none, none
-    low = anchor_hashes(raw)
-    spread = window - ANCHOR + 1
-    at, least, reach = np.arange(len(low), dtype=np.int32), low, 1
+    raw = np.ascontiguousarray(raw)
+    hashes = at(0, "<u8") * U64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> U64(29)
+    hashes += at(8, "<u8") * U64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> U64(32)
+    hashes += at(16, "<u4") * U64(0x94D049BB133111EB)
+    hashes *= U64(0xD6E8FEB86659FD93)
+    low = U64((1 << 21) - 1)
+    least = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
+    reach, spread = 1, window - ANCHOR + 1
     while reach < spread:
         step = min(reach, spread - reach)
-        n = len(least) - step
-        left = least[:n] <= least[step:]
-        at = np.where(left, at[:n], at[step:])
-        least = np.where(left, least[:n], least[step:])
+        least = np.minimum(least[: len(least) - step], least[step:])
         reach += step
-    rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    first = np.flatnonzero(rows[: len(at)] == rows[window - 1 :])
-    if not len(first):
-        return none, np.zeros(0, U64), none, none
-    where = at[first]
-    new = np.ones(len(first), bool)
-    new[1:] = (where[1:] != where[:-1]) | (first[1:] != first[:-1] + 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(first)) - 1
-    return rows[first[heads]].astype(np.int64), low[where[heads]] & ANCHOR_BITS, first[heads], first[tails]
+    return (least & low).astype(np.int64), hashes
 
 
-def _seeds(window: int):
-    """(anchor, h, n) for the different anchors of each text, with the number of their stretches in it."""
+def stretches(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, first window, last window) of each stretch: consecutive windows with one anchor."""
+    total = len(raw) - window + 1
+    if total < 1:
+        return (np.zeros(0, np.int64), np.zeros(0, U64), *(np.zeros(0, np.int64),) * 2)
+    # Windows that reach beyond their text start in its last window - 1 bytes.
+    change = np.bincount(np.maximum(offsets[:-1], offsets[1:] - window + 1), minlength=len(raw) + 1) - np.bincount(offsets[1:], minlength=len(raw) + 1)
+    inside = np.cumsum(change)[:total] == 0
+    edges, places, found = [], [], []  # where the anchor changes, its place from there on (-1: none) and its hash
+    before = -2
+    for start in range(0, total, BLOCK):
+        stop = min(total, start + BLOCK)
+        where, hashes = windowed_minima(raw[start : stop + window - 1], window)
+        place = np.where(inside[start:stop], where + start, -1)
+        new = np.ones(stop - start, bool)
+        new[1:] = place[1:] != place[:-1]
+        new[0] = place[0] != before
+        edge = np.flatnonzero(new)
+        edges.append(edge + start)
+        places.append(place[edge])
+        found.append(hashes[where[edge]])
+        before = int(place[-1])
+    first, place, anchors = (np.concatenate(x) for x in (edges, places, found))
+    last = np.append(first[1:], total) - 1
+    kept = place >= 0
+    first, last = first[kept], last[kept]
+    return np.searchsorted(offsets, first, side="right") - 1, mix(anchors[kept]), first, last
+
+
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers by their bytes, all lowest bytes first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    width = data[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data[1 : 1 + width * n], np.uint8).reshape(width, n).T
+    return out.view("<u8")[:, 0].astype(np.int64), data[1 + width * n :]
+
+
+def _numbered(first: np.ndarray) -> np.ndarray:
+    """Number of the group that each row is in; first: where a group begins."""
+    return np.cumsum(first) - 1
+
+
+class _Chunk:
+    """The different texts of a chunk that come first in their class of copies, in the order of key and hash."""
+
+    def __init__(self, side: pa.Table, docs: pa.Table, window: int, bits: int):
+        """window: 0 where no anchors are needed."""
+        listed = {(a, b) for kind, a, b in zip(*(side.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True) if kind == 0}
+        places: dict[tuple[int, int], int] = {}
+        for i, pair in enumerate(zip(docs.column("key").to_pylist(), docs.column("h").to_pylist(), strict=True)):
+            if pair in listed:
+                places.setdefault(pair, i)
+        order = sorted(places)
+        self.keys = np.array([k for k, _ in order], np.int64)
+        self.raw, self.offsets = text_bytes(docs.column("text").take(pa.array([places[p] for p in order], pa.int64())))
+        self.order = order
+        if window:
+            self.of, anchors, self.first, self.last = stretches(self.raw, self.offsets, window)
+            anchors = (anchors >> U64(64 - bits)).astype(np.int64)
+            by = np.lexsort((self.of, anchors))
+            a, r = anchors[by], self.of[by]
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            apart = np.ones(len(a), bool)
+            apart[1:] = new[1:] | (r[1:] != r[:-1])
+            group = _numbered(new)
+            #: Different anchors in order, the number of their stretches, whether several texts hold them; each stretch's anchor.
+            self.anchors = a[new]
+            self.counts = np.bincount(group, minlength=len(self.anchors))
+            self.several = np.bincount(group, weights=apart, minlength=len(self.anchors)) > 1
+            self.anchor_of = np.empty(len(a), np.int64)
+            self.anchor_of[by] = group
+
+    def ranges(self, width: int) -> Iterator[tuple[int, slice]]:
+        number = self.anchors // width
+        edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(number[a]), slice(a, b)
+
+
+def _chunk_of(docs: pa.Table) -> int:
+    return docs.column("chunk")[0].as_py()
+
+
+def _send_anchors(window: int, bits: int, width: int):
+    """(range, chunk, data): the sorted anchors of a chunk in a range, as differences, with counts and flags."""
+
+    def run(side: pa.Table, docs: pa.Table) -> pa.Table:
+        ranges, blobs = [], []
+        if docs.num_rows and side.num_rows:
+            chunk = _Chunk(side, docs, window, bits)
+            for number, part in chunk.ranges(width):
+                steps = np.diff(chunk.anchors[part], prepend=number * width)
+                extra = chunk.counts[part] * 2 + chunk.several[part] - 2
+                blobs.append(_packed(len(steps).to_bytes(4, "little") + _planes(steps) + _planes(extra)))
+                ranges.append(number)
+        number = _chunk_of(docs) if docs.num_rows else 0
+        return pa.table([pa.array(ranges, pa.int64()), pa.array([number] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 2 << 20):
-            raw, offsets = text_bytes(batch.column("text"))
-            rows, anchors, _, _ = stretches(raw, offsets, window)
-            order = np.lexsort((anchors, rows))
-            rows, anchors = rows[order], anchors[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])
-            n = np.diff(np.append(np.flatnonzero(new), len(rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), batch.column("h").take(pa.array(rows[new])), pa.array(n)], ["anchor", "h", "n"])
+    return run
+
+
+def _answer(hot: int):
+    """For each packed list of anchors: a bit for those that are live, and one for those that are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        anchors, counts, several, sizes = [], [], [], []
+        for blob in table.column("data"):
+            data = memoryview(_unpacked(blob.as_py()))
+            n = int.from_bytes(data[:4], "little")
+            steps, data = _from_planes(data[4:], n)
+            extra, _ = _from_planes(data, n)
+            anchors.append(np.cumsum(steps))
+            counts.append(extra // 2 + 1)
+            several.append(extra % 2)
+            sizes.append(n)
+        a, c, s = np.concatenate(anchors), np.concatenate(counts), np.concatenate(several)
+        order = np.argsort(a, kind="stable")
+        new = np.ones(len(a), bool)
+        new[1:] = a[order[1:]] != a[order[:-1]]
+        group = np.empty(len(a), np.int64)
+        group[order] = _numbered(new)
+        live = (np.bincount(group, weights=s + 1) > 1)[group]
+        often = (np.bincount(group, weights=c) > hot)[group] & live
+        out = []
+        at = 0
+        for chunk, n in zip(table.column("chunk").to_pylist(), sizes, strict=True):
+            part = slice(at, at + n)
+            at += n
+            if live[part].any():
+                out.append((chunk, _packed(np.packbits(live[part]).tobytes() + (np.packbits(often[part]).tobytes() if often[part].any() else b""))))
+        number = table.column("range")[0].as_py()
+        return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([1] * len(out), pa.int32()), pa.array([number] * len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["chunk", "kind", "a", "b", "data"])
 
     return run
 
 
-def _members(rows: np.ndarray, values: np.ndarray, column) -> np.ndarray:
-    """Whether each row's list in the column holds the value."""
-    lists = np.diff(column.offsets.to_numpy())
-    of, listed = np.repeat(np.arange(len(lists)), lists), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    found = np.zeros(len(rows), bool)
-    for i in np.unique(rows[np.isin(values, listed)]).tolist():
-        a, b = np.searchsorted(rows, [i, i + 1])
-        c, d = np.searchsorted(of, [i, i + 1])
-        found[a:b] = np.isin(values[a:b], listed[c:d])
-    return found
-
-
-def _hot_windows(raw: np.ndarray, at: np.ndarray, keys: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each window, whether it is dealt, length of the run that is marked at once from here on or 0). Marked
-    are windows that equal one of a smaller key here; runs lie in one text."""
-    low, high = (int(at.min()), int(at.max()) + window) if len(at) else (0, 0)
-    hashes = span_hashes(BYTE_CODES[raw[low:high]], at - low, at - low + window)
-    order = np.lexsort((keys, hashes))
+def _spans_table(anchor: np.ndarray, data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, refs: np.ndarray, starts: np.ndarray) -> pa.Table:
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.table([pa.array(anchor.astype(np.int64)), texts, pa.array(keys), pa.array(refs), pa.array(starts.astype(np.int32))], ["anchor", "stretch", "key", "ref", "start"])
+
+
+def _equal_before(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a string of a smaller key and of the same group equals each string, order of the strings). Strings of one hash are compared byte by byte."""
+    order = np.lexsort((keys, hashes, groups))
     new = np.ones(len(at), bool)
-    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (groups[order[1:]] != groups[order[:-1]]) | (sizes[order[1:]] != sizes[order[:-1]])
     heads = np.flatnonzero(new)
     head = np.empty(len(at), np.int64)
-    head[order] = order[np.repeat(heads, np.diff(np.append(heads, len(at))))]
-    done = keys[head] < keys
-    spread = np.arange(window)
-    for some in np.array_split(np.flatnonzero(done), max(1, len(at) // 20_000)):
-        done[some] = (raw[at[some, None] + spread] == raw[at[head[some], None] + spread]).all(1)
-    marked = np.flatnonzero(done)
-    first = np.ones(len(marked), bool)
-    first[1:] = (at[marked[1:]] != at[marked[:-1]] + 1) | (rows[marked[1:]] != rows[marked[:-1]])
-    starts = np.flatnonzero(first)
-    runs = np.zeros(len(at), np.int64)
-    runs[marked[starts]] = np.diff(np.append(starts, len(marked))) + window - 1
-    return hashes, ~done, runs
-
-
-def _live_stretches(window: int):
-    """(anchor, stretch, key, h, start) of the stretches whose anchor is live in their text. Starts below 0 (-1 - start)
-    are those of hot anchors' windows, with the window's hash for the anchor, or of runs that are marked already,
-    with four bytes of length for the stretch."""
-
-    def hot_rows(batch, raw, offsets, rows, first, last) -> Iterator[pa.RecordBatch]:
-        sizes = last - first + 1
-        keys = batch.column("key").to_numpy()
-        for some in np.array_split(np.arange(len(rows)), max(1, -(-int(sizes.sum()) // HOT_WINDOWS))):
+    head[order] = order[heads[_numbered(new)]]
+    repeats = keys[head] < keys
+    which = np.flatnonzero(repeats)
+    spread = np.arange(int(sizes.max(initial=0)))
+    for some in np.array_split(which, max(1, len(which) // 20_000)):
+        if len(some):
+            ahead = spread < sizes[some, None]
+            end = len(raw) - 1
+            repeats[some] = ((raw[np.minimum(at[some, None] + spread, end)] == raw[np.minimum(at[head[some], None] + spread, end)]) | ~ahead).all(1)
+    return repeats, order
+
+
+def _merged(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (text, start, end) that the spans cover together."""
+    if not len(texts):
+        return texts, starts, ends
+    order = np.lexsort((starts, texts))
+    t, s, e = texts[order], starts[order], ends[order]
+    step = int(e.max()) + 1
+    reach = np.maximum.accumulate(t * step + e)
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] * step + s[1:] > reach[:-1]
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(t)) - 1
+    return t[heads], s[heads], reach[tails] - t[heads] * step
+
+
+def _send_stretches(window: int, bits: int, width: int):
+    """STRETCHES of live anchors. Starts below 0 (-1 - start) are those of hot anchors' windows, with the window's hash for
+    the anchor, or of runs that are marked already, with four bytes of length for the stretch."""
+
+    def run(side: pa.Table, docs: pa.Table) -> pa.Table:
+        tables = [_spans_table(*(np.zeros(0, kind) for kind in (np.int64, np.uint8, np.int64, np.int64, np.int64, np.int64)))]
+        answers = side.filter(pc.equal(side.column("kind"), 1)) if side.num_rows else side
+        if not docs.num_rows or not answers.num_rows:
+            return tables[0]
+        chunk = _Chunk(side, docs, window, bits)
+        raw, offsets, of = chunk.raw, chunk.offsets, chunk.of
+        live, often = np.zeros(len(chunk.anchors), bool), np.zeros(len(chunk.anchors), bool)
+        where = dict(chunk.ranges(width))
+        for number, blob in zip(answers.column("a").to_pylist(), answers.column("data").to_pylist(), strict=True):
+            part = where[number]
+            n = part.stop - part.start
+            marks, size = np.frombuffer(_unpacked(blob), np.uint8), (n + 7) // 8
+            live[part] = np.unpackbits(marks[:size], count=n)
+            if len(marks) > size:
+                often[part] = np.unpackbits(marks[size:], count=n)
+        refs = (_chunk_of(docs) << TEXT_BITS) + np.arange(len(chunk.keys), dtype=np.int64)
+        codes = BYTE_CODES[raw]
+        marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        plain = np.flatnonzero(live[chunk.anchor_of] & ~often[chunk.anchor_of])
+        if len(plain):
+            first, sizes, text = chunk.first[plain], chunk.last[plain] - chunk.first[plain] + window, of[plain]
+            repeats, order = _equal_before(raw, first, sizes, span_hashes(codes, first, first + sizes), chunk.anchor_of[plain], chunk.keys[text])
+            marked.append((text[repeats], first[repeats] - offsets[text[repeats]], (first + sizes)[repeats] - offsets[text[repeats]]))
+            out = np.flatnonzero(~repeats)
+            ends = np.cumsum(sizes[out])
+            data = raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[out] - ends + sizes[out], sizes[out])]
+            tables.append(_spans_table(chunk.anchors[chunk.anchor_of[plain[out]]], data, sizes[out], chunk.keys[text[out]], refs[text[out]], first[out] - offsets[text[out]]))
+        hot = np.flatnonzero(often[chunk.anchor_of])
+        sizes = chunk.last[hot] - chunk.first[hot] + 1
+        for some in np.array_split(np.arange(len(hot)), max(1, -(-int(sizes.sum()) // HOT_WINDOWS))) if len(hot) else []:
             n = sizes[some]
-            of = np.repeat(rows[some], n)
-            at = np.arange(n.sum()) + np.repeat(first[some] - np.cumsum(n) + n, n)
-            hashes, dealt, runs = _hot_windows(raw, at, keys[of], of, window)
-            start = (-1 - (at - offsets[:-1][of])).astype(np.int32)
-            for which, anchor, data, width in (
-                (np.flatnonzero(dealt), hashes, lambda w: raw[at[w, None] + np.arange(window)], window),
-                (np.flatnonzero(runs), mix(hashes + at.astype(U64)), lambda w: runs[w].astype("<i4").view(np.uint8), 4),
-            ):
-                for w in np.array_split(which, max(1, len(which) // 20_000)):
-                    ends = np.arange(len(w) + 1, dtype=np.int32) * width
-                    texts = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data(w)))])
-                    take = pa.array(of[w])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[w].astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("h").take(take), pa.array(start[w])], ["anchor", "stretch", "key", "h", "start"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 2 << 20):
-            raw, offsets = text_bytes(batch.column("text"))
-            rows, anchors, first, last = stretches(raw, offsets, window)
-            live = batch.column("live")
-            lists = np.diff(live.offsets.to_numpy())
-            values = live.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + MARKS // 2
-            keep = np.isin(rows * MARKS + (anchors & U64(MARKS - 1)).astype(np.int64), np.repeat(np.arange(batch.num_rows), lists) * MARKS + values)
-            rows, anchors, first, last = rows[keep], anchors[keep], first[keep], last[keep]
-            hot = _members(rows, anchors.view(np.int64), batch.column("hot"))
-            if hot.any():
-                yield from hot_rows(batch, raw, offsets, rows[hot], first[hot], last[hot])
-                rows, anchors, first, last = rows[~hot], anchors[~hot], first[~hot], last[~hot]
-            sizes = last - first + window
-            ends = np.zeros(len(sizes) + 1, np.int64)
-            np.cumsum(sizes, out=ends[1:])
-            data = raw[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]
-            texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.astype(np.uint32).view(np.int32)), texts, batch.column("key").take(take), batch.column("h").take(take), pa.array((first - offsets[:-1][rows]).astype(np.int32))],
-                ["anchor", "stretch", "key", "h", "start"],
-            )
+            text = np.repeat(of[hot[some]], n)
+            at = np.arange(n.sum()) + np.repeat(chunk.first[hot[some]] - np.cumsum(n) + n, n)
+            if not len(at):
+                continue
+            low = int(at.min())
+            hashes = span_hashes(codes[low : int(at.max()) + window], at - low, at - low + window)
+            repeats, _ = _equal_before(raw, at, np.full(len(at), window), hashes, np.zeros(len(at), np.int64), chunk.keys[text])
+            marked.append(_merged(text[repeats], (at - offsets[text])[repeats], (at - offsets[text])[repeats] + window))
+            out = np.flatnonzero(~repeats)
+            for w in np.array_split(out, max(1, len(out) // 20_000)):
+                tables.append(_spans_table((hashes[w] >> U64(1)).astype(np.int64), raw[at[w, None] + np.arange(window)].ravel(), np.full(len(w), window), chunk.keys[text[w]], refs[text[w]], -1 - (at[w] - offsets[text[w]])))
+        if marked:
+            text, start, end = _merged(*(np.concatenate(x) for x in zip(*marked, strict=True)))
+            tables.append(_spans_table((mix((refs[text] + start).astype(U64)) >> U64(1)).astype(np.int64), (end - start).astype("<i4").view(np.uint8), np.full(len(text), 4), chunk.keys[text], refs[text], -1 - start))
+        return pa.concat_tables(tables)
 
     return run
 
 
-class _Group:
-    """The stretches of one task, until enough of them are there for an index."""
+class _Runs:
+    """Different stretches of a task, until enough of them are there for an index."""
 
     def __init__(self, window: int):
         self.window = window
-        self.clear()
-
-    def clear(self) -> None:
-        self.data: list[bytes] = []
-        self.anchors: list[int] = []
-        self.keys: list[int] = []
-        self.members: list[list[tuple[int, int]]] = []  # (h, start) of the smallest key's stretches
-        self.bytes = 0
-
-    def marks(self) -> tuple[list, list, list]:
-        """(key, h, span) of what repeats a smaller key's different stretch."""
-        out: tuple[list, list, list] = ([], [], [])
-        anchors, keys = np.array(self.anchors, np.int64), np.array(self.keys, np.int64)
-        if not len(keys):
-            return out
-        order = np.lexsort((keys, anchors))
+        self.parts: list[tuple[np.ndarray, ...]] = []  # bytes, sizes, anchors, keys of the stretches
+        self.members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # number of the stretch, ref, start
+        self.count = self.bytes = 0
+
+    def add(self, data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, keys: np.ndarray) -> None:
+        self.parts.append((data, sizes, anchors, keys))
+        self.count += len(sizes)
+        self.bytes += len(data)
+
+    def marks(self, everything: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ref, start, length) of what repeats a smaller key's different stretch. All but the last anchor are done unless everything is."""
+        none = (np.zeros(0, np.int64),) * 3
+        if not self.parts:
+            return none
+        data, sizes, anchors, keys = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        number, refs, starts = (np.concatenate(x) for x in zip(*self.members, strict=True))
+        stop = len(anchors) if everything else int(np.searchsorted(anchors, anchors[-1]))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        left = number >= stop
+        self.parts, self.members = [(data[at[stop] :], sizes[stop:], anchors[stop:], keys[stop:])], [(number[left] - stop, refs[left], starts[left])]
+        self.count, self.bytes = len(anchors) - stop, int(at[-1] - at[stop])
+        number, refs, starts = number[~left], refs[~left], starts[~left]
+        order = np.lexsort((keys[:stop], anchors[:stop]))
         same = anchors[order[1:]] == anchors[order[:-1]]
+        if not same.any():
+            return none
+
+        def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            offsets = np.concatenate([[0], np.cumsum(sizes[which])])
+            return data[np.arange(offsets[-1]) + np.repeat(at[which] - offsets[:-1], sizes[which])], offsets
+
+        # All but the largest key of an anchor are indexed, all but the smallest are streamed.
         indexed, streamed = order[:-1][same], order[1:][same]
-        if len(indexed):
-            # All but the largest key of an anchor are indexed, all but the smallest are streamed.
-            indexed = indexed[np.argsort(keys[indexed], kind="stable")]
-            index = RunIndex(*self._joined(indexed), keys[indexed], self.window)
-            pattern, place, owner = index.owners_of_windows(*self._joined(streamed), self.window)
-            smaller = owner < keys[streamed[pattern]]
-            pattern, place = pattern[smaller], place[smaller]
-            order = np.lexsort((place, pattern))
-            pattern, place = pattern[order], place[order]
-            new = np.ones(len(place), bool)
-            new[1:] = (pattern[1:] != pattern[:-1]) | (place[1:] != place[:-1] + 1)
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(place)) - 1 if len(heads) else heads
-            for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
-                i = int(streamed[pattern[head]])
-                for h, start in self.members[i]:
-                    out[0].append(self.keys[i])
-                    out[1].append(h)
-                    out[2].append((start + int(place[head]) << 32) + int(place[tail] - place[head]) + self.window)
-        return out
-
-    def _joined(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.data[i] for i in which.tolist()]
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=offsets[1:])
-        return np.frombuffer(b"".join(parts), np.uint8), offsets
+        indexed = indexed[np.argsort(keys[indexed], kind="stable")]
+        index = RunIndex(*joined(indexed), keys[indexed], self.window)
+        pattern, place, owner = index.owners_of_windows(*joined(streamed), self.window)
+        smaller = owner < keys[streamed[pattern]]
+        which, start, end = _merged_windows(pattern[smaller], place[smaller], self.window)
+        # Every member of a stretch is marked alike.
+        by = np.argsort(number, kind="stable")
+        low, high = np.searchsorted(number[by], streamed[which]), np.searchsorted(number[by], streamed[which], side="right")
+        n = high - low
+        member = by[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+        return refs[member], starts[member] + np.repeat(start, n), np.repeat(end - start, n)
 
 
-def _repeats(window: int):
-    """(key, h, span) of bytes to remove, from stretches sorted by anchor, stretch and key. A span is start * 2**32 + length."""
+def _merged_windows(pattern: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _merged(pattern, place, place + window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = _Group(window)
-        least, least_key = None, 0  # the last window of a hot anchor, and its smallest key
-        names = ["key", "h", "span"]
 
-        def flushed() -> pa.RecordBatch:
-            columns = group.marks()
-            group.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names)
+def _repeats(window: int):
+    """SIDE rows of kind 2 (chunk, text, span) of bytes to remove, from STRETCHES sorted by anchor, stretch and key.
+    A span is start * 2**32 + length."""
+
+    def found(refs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        n = len(refs)
+        columns = [pa.array(refs >> TEXT_BITS), pa.array(np.full(n, 2, np.int32)), pa.array(refs & ((1 << TEXT_BITS) - 1)), pa.array((starts.astype(np.int64) << 32) + sizes), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "a", "b", "data"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(window)
+        last: tuple | None = None  # (split, anchor, bytes, key) of the first string of the last run
         for batch in batches:
-            anchors = batch.column("anchor").to_numpy()
-            keys, hs, starts = (batch.column(c).to_numpy() for c in ("key", "h", "start"))
-            texts = batch.column("stretch").to_pylist()
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            whole = np.zeros(len(texts), bool)
+            if not batch.num_rows:
+                continue
+            anchors, keys, refs, starts = (batch.column(c).to_numpy() for c in ("anchor", "key", "ref", "start"))
+            raw, offsets = text_bytes(batch.column("stretch"))
+            sizes = np.diff(offsets)
             split = starts < 0
             starts = np.where(split, -1 - starts, starts)
-            for i, text in enumerate(texts):
-                if split[i]:
-                    if len(text) < window:
-                        whole[i], sizes[i] = True, int.from_bytes(text, "little")
-                    elif text == least:
-                        whole[i] = least_key < keys[i]
-                    else:
-                        least, least_key = text, keys[i]
-                    continue
-                anchor = int(anchors[i])
-                if group.data and group.anchors[-1] == anchor and group.data[-1] == text:
-                    if group.keys[-1] < keys[i]:
-                        whole[i] = True  # all its windows occur in a smaller key's equal stretch
-                    else:
-                        group.members[-1].append((int(hs[i]), int(starts[i])))
-                    continue
-                if group.bytes >= INDEX_BYTES and group.anchors[-1] != anchor:
-                    yield flushed()
-                group.data.append(text)
-                group.anchors.append(anchor)
-                group.keys.append(int(keys[i]))
-                group.members.append([(int(hs[i]), int(starts[i]))])
-                group.bytes += len(text)
-            at = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(hs[at]), pa.array((starts[at].astype(np.int64) << 32) + sizes[at])], names)
-        yield flushed()
+            done = split & (sizes < window)
+            if done.any():
+                lengths = raw[offsets[:-1][done, None] + np.arange(4)].copy().view("<i4")[:, 0]
+                yield found(refs[done], starts[done], lengths.astype(np.int64))
+            rest = np.flatnonzero(~done)
+            if not len(rest):
+                continue
+            # Rows are in order of their bytes, so equal ones are neighbours; the longest is short.
+            begin, size = offsets[:-1][rest], sizes[rest]
+            new = np.ones(len(rest), bool)
+            alike = (anchors[rest[1:]] == anchors[rest[:-1]]) & (size[1:] == size[:-1]) & (split[rest[1:]] == split[rest[:-1]])
+            pairs = np.flatnonzero(alike)
+            spread = np.arange(int(size.max()))
+            for some in np.array_split(pairs, max(1, len(pairs) // 20_000)):
+                ahead = spread < size[some, None]
+                x, y = (np.minimum(begin[some + i, None] + spread, len(raw) - 1) for i in (0, 1))
+                new[some + 1] = ((raw[x] != raw[y]) & ahead).any(1)
+            first = rest[0]
+            text = raw[begin[0] : begin[0] + size[0]].tobytes()
+            carried = last is not None and last[:3] == (bool(split[first]), int(anchors[first]), text)
+            if carried:
+                new[0] = False
+            heads = np.flatnonzero(new)
+            group = _numbered(new)  # -1: goes on with the run of the batch before
+            head_key = np.where(group >= 0, keys[rest[heads[np.maximum(group, 0)]]] if len(heads) else 0, last[3] if carried else 0)
+            whole = head_key < keys[rest]
+            if whole.any():
+                yield found(refs[rest[whole]], starts[rest[whole]], size[whole])
+            # Strings of unsplit anchors go on to an index, with all members of the smallest key.
+            own = heads[~split[rest[heads]]]
+            base = runs.count
+            number = np.full(len(heads) + 1, -1, np.int64)
+            number[np.flatnonzero(~split[rest[heads]])] = base + np.arange(len(own))
+            number[-1] = base - 1 if carried and not last[0] else -1  # for group -1: the last one that was added
+            member = np.flatnonzero(~whole & (number[group] >= 0))
+            runs.members.append((number[group[member]], refs[rest[member]], starts[rest[member]]))
+            total = size[own]
+            ends = np.cumsum(total)
+            runs.add(raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[own] - ends + total, total)], total, anchors[rest[own]], keys[rest[own]])
+            if len(heads):
+                i = heads[-1]
+                last = (bool(split[rest[i]]), int(anchors[rest[i]]), raw[begin[i] : begin[i] + size[i]].tobytes(), int(keys[rest[i]]))
+            if runs.bytes >= INDEX_BYTES:
+                yield found(*runs.marks(False))
+        yield found(*runs.marks(True))
 
     return run
 
 
-def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs that the spans cover together."""
-    out: list[tuple[int, int]] = []
-    for i in np.argsort(starts, kind="stable").tolist():
-        if out and starts[i] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], int(ends[i])))
-        else:
-            out.append((int(starts[i]), int(ends[i])))
-    return out
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows_of(batches, "text", 8 << 20):
-        raw, offsets = text_bytes(batch.column("text"))
-        spans, kept = [], []
-        for i, marks in enumerate(batch.column("marks").to_pylist()):
-            text = raw[offsets[i] : offsets[i + 1]]
-            packed = np.array(marks or [], np.int64)
-            runs = merged_spans(packed >> 32, (packed >> 32) + (packed & 0xFFFFFFFF))
-            spans.append([{"start": a, "end": b} for a, b in runs])
-            edges = [0, *(x for run in runs for x in run), len(text)]
-            kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text.tobytes())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "h", "n_bytes", "spans", "kept"])
-
-
-def live_stretches(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(texts, hashes of texts, smallest key of each text, stretches). All uses of texts read its three columns, so that Spark shuffles it once."""
-    texts = df.repartition(parts, "key", "h")
-    seeds = texts.select("h", "text").mapInArrow(_seeds(window), "anchor long, h long, n int")
-    by_anchor = Window.partitionBy("anchor")
-    known = seeds.repartition(parts, "anchor").groupBy("anchor", "h").agg(F.max("n").alias("n"))
-    live = known.withColumn("low", F.min("h").over(by_anchor)).withColumn("high", F.max("h").over(by_anchor)).withColumn("all", F.sum("n").over(by_anchor)).where("low <> high")
-    live = live.select((F.col("anchor").bitwiseAND(F.lit(MARKS - 1)) - MARKS // 2).cast("short").alias("mark"), "h", F.when(F.col("all") > HOT, F.col("anchor")).alias("hot"))
-    marked = df.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
-    firsts = marked.groupBy("h", "h2", "size").agg(F.min("key").alias("first"))
-    anchors = live.join(firsts.select(F.col("first").alias("key"), "h"), "h").groupBy("key", "h").agg(F.collect_set("mark").alias("live"), F.collect_set("hot").alias("hot"))
-    found = texts.join(anchors, ["key", "h"]).select("text", "live", "hot", "key", "h").mapInArrow(_live_stretches(window), "anchor int, stretch binary, key long, h long, start int")
-    return texts, marked, firsts, found
-
-
-def repeated_marks(df: DataFrame, window: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks (key, h, span))."""
-    texts, marked, firsts, found = live_stretches(df, window, parts)
-    ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
-    repeats = ordered.mapInArrow(_repeats(window), "key long, h long, span long")
-    copies = marked.join(firsts, ["h", "h2", "size"]).where((F.col("key") > F.col("first")) & (F.col("size") >= window)).select("key", "h", F.col("size").cast("long").alias("span")).distinct()
-    return texts, repeats.unionByName(copies)
+def _cut(window: int, carried: Sequence[str]):
+    def run(side: pa.Table, docs: pa.Table) -> pa.Table:
+        chunk = _Chunk(side, docs, 0, 0)
+        number = {pair: i for i, pair in enumerate(chunk.order)}
+        kinds = side.column("kind").to_numpy() if side.num_rows else np.zeros(0, np.int32)
+        marks = kinds == 2
+        texts = side.column("a").to_numpy(zero_copy_only=False)[marks] if marks.any() else np.zeros(0, np.int64)
+        spans = side.column("b").to_numpy(zero_copy_only=False)[marks] if marks.any() else np.zeros(0, np.int64)
+        texts, starts, ends = _merged(texts.astype(np.int64), spans.astype(np.int64) >> 32, (spans.astype(np.int64) >> 32) + (spans.astype(np.int64) & 0xFFFFFFFF))
+        low, high = np.searchsorted(texts, np.arange(len(number))).tolist(), np.searchsorted(texts, np.arange(len(number)), side="right").tolist()
+        starts, ends = starts.tolist(), ends.tolist()
+        raw, offsets = text_bytes(docs.column("text"))
+        whole = raw.tobytes()
+        out_spans, kept = [], []
+        for i, pair in enumerate(zip(docs.column("key").to_pylist(), docs.column("h").to_pylist(), strict=True)):
+            a, b = int(offsets[i]), int(offsets[i + 1])
+            at = number.get(pair)
+            if at is None:  # a copy of a smaller key's text
+                runs = [(0, b - a)] if b - a >= window else []
+            else:
+                runs = list(zip(starts[low[at] : high[at]], ends[low[at] : high[at]], strict=True))
+            out_spans.append([{"start": x, "end": y} for x, y in runs])
+            edges = [0, *(x for span in runs for x in span), b - a]
+            kept.append(b"".join(whole[a + x : a + y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if runs else whole[a:b])
+        columns = [docs.column("key"), docs.column("h"), pa.array(np.diff(offsets)), pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *(docs.column(c) for c in carried)]
+        return pa.table(columns, ["key", "h", "n_bytes", "spans", "kept", *carried])
 
+    return run
 
-def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_bytes, spans array<struct<start,end>>, kept binary) for every row; text_hash is
-    xxhash64 of the text.
+
+def chunked(df: DataFrame, chunks: int) -> DataFrame:
+    """Adds the chunk of each (key, h); rows without an id are dealt by their place as well, as many may be equal."""
+    salt = F.when(F.col("key") == LAST, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("chunk", F.pmod(F.xxhash64("key", "h", salt), F.lit(chunks)).cast("long"))
+
+
+def _side_chunks(df: DataFrame, chunks: int) -> DataFrame:
+    """The chunks that rows of a (key, h) may be in."""
+    salts = F.when(F.col("key") == LAST, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return df.withColumn("salt", F.explode(salts)).withColumn("chunk", F.pmod(F.xxhash64("key", "h", "salt"), F.lit(chunks)).cast("long"))
+
+
+def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text_hash, n_bytes, spans array<struct<start,end>>, kept binary) for every row, and the columns of carry as
+    they are; text_hash is xxhash64 of the text.
 
     A byte goes if a window over it also starts in a row of a smaller id. Null texts are empty; a null id
     counts as larger than all ids (2**63 - 1 is taken for it); rows that repeat an id never remove each
     other's bytes, and their texts are told apart by the 64 bits of text_hash; texts shorter than the window stay. An empty
-    table gives no rows.
+    table gives no rows. Other columns are not read.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("h"), "text")
-    texts, marks = repeated_marks(rows, window, parts)
-    lists = marks.groupBy("key", "h").agg(F.collect_list("span").alias("marks"))
-    cut = texts.join(lists, ["key", "h"], "left").select("key", "h", "text", "marks").mapInArrow(_cut, "key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept")
+    names = [f"carried{i}" for i in range(len(carry))]
+    source = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), text.alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + ROW_BYTES), F.lit(0)).alias("n")).first()["n"]
+    chunks, ranges = 1 + size // CHUNK_BYTES, 1 + size // (16 * RANGE_ANCHORS)
+    bits = min(60, max(32, (size // 16 + 1).bit_length() + SPARE))
+    width = -(-(1 << bits) // ranges)
+    rows = source.withColumn("h", F.xxhash64("text"))
+    texts = chunked(rows, chunks).groupBy("chunk")
+    marked = rows.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
+    firsts = _side_chunks(marked.groupBy("h", "h2", "size").agg(F.min("key").alias("key")), chunks)
+    listed = firsts.select("chunk", F.lit(0).alias("kind"), F.col("key").alias("a"), F.col("h").alias("b"), F.lit(None).cast("binary").alias("data"))
+    anchors = listed.groupBy("chunk").cogroup(texts).applyInArrow(_send_anchors(window, bits, width), "range long, chunk long, data binary")
+    answers = anchors.groupBy("range").applyInArrow(_answer(HOT), SIDE)
+    found = listed.unionByName(answers).groupBy("chunk").cogroup(texts).applyInArrow(_send_stretches(window, bits, width), STRETCHES)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
+    marks = ordered.mapInArrow(_repeats(window), SIDE)
+    out = StructType.fromDDL("key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    for name in names:
+        out = out.add(name, source.schema[name].dataType, True)
+    cut = listed.unionByName(marks).groupBy("chunk").cogroup(texts).applyInArrow(_cut(window, names), out)
+    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
 
 
 def with_text(cut: DataFrame) -> DataFrame:

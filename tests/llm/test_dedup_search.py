@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, substrings, topk
 from millrace.llm.run_index import RunIndex
+from millrace.llm.textarrays import text_bytes
 
 SCHEMA = "doc_id long, text string, token string, id string, digest int, n int"
 
@@ -130,12 +132,32 @@ def test_hot_anchors_are_split(spark, texts, monkeypatch):
     shared = texts + [(None if i % 9 == 0 else 1000 + i // 2, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(120)]
     got = substrings.remove_repeats(frame(spark, shared)).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == removed(shared)
-    rows = frame(spark, shared).select(F.coalesce("doc_id", F.lit(substrings.LAST)).alias("key"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    found = substrings.live_stretches(rows, 50, 4)[3]
-    # What meets under one anchor goes into one index; windows of split anchors only meet equal ones.
-    met = found.where("length(stretch) >= 50").groupBy("anchor").agg(F.countDistinct("stretch").alias("n"))
-    assert met.agg(F.max("n")).first()[0] <= 4
-    assert found.where("length(stretch) < 50").count() > 0
+
+
+def test_split_windows_are_dealt_by_their_own_hash():
+    rng = random.Random(13)
+    passage = prose(rng, 40)
+    texts = [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(30)]
+    n = len(texts)
+    docs = pa.table([pa.array([3] * n), pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["chunk", "key", "h", "text"])
+    side = pa.table([pa.array([3] * n), pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array(range(n)), pa.nulls(n, pa.binary())], ["chunk", "kind", "a", "b", "data"])
+    sent = substrings._send_anchors(50, 40, 1 << 36)(side, docs)
+    answers = [substrings._answer(4)(sent.slice(i, 1)) for i in range(sent.num_rows)]
+    found = substrings._send_stretches(50, 40, 1 << 36)(pa.concat_tables([side, *answers]), docs).to_pylist()
+    assert any(r["start"] < 0 and len(r["stretch"]) == 50 for r in found)
+    assert any(r["start"] < 0 and len(r["stretch"]) == 4 for r in found)
+    unsplit = collections.Counter(r["anchor"] for r in found if r["start"] >= 0)
+    assert max(unsplit.values(), default=0) <= 4
+
+
+def test_stretches_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(14)
+    raw, offsets = text_bytes(pa.array([prose(rng, n) for n in (0, 3, 400, 9, 9, 0, 30)]))
+    whole = [x.tolist() for x in substrings.stretches(raw, offsets, 50)]
+    assert len(whole[0]) > 20
+    for block in (1, 7, 64):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        assert [x.tolist() for x in substrings.stretches(raw, offsets, 50)] == whole
 
 
 def test_removed_text_is_valid(spark):
