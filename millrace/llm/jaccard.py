@@ -2,13 +2,14 @@
 
 Two sets whose Jaccard similarity reaches the threshold share a token in their prefixes under every order
 of all tokens, at places that leave room for the overlap they need. The first order puts shingles that repeat in
-the corpus last and the others by hash; documents that share a prefix token of it meet in a bucket. Of what it leaves
-open, the second order takes the shingles by how rare they are among the open documents, exactly. Pairs must also share
-prefix tokens under further, independent orders before the sets themselves are compared.
-
-Equal sets meet in every bucket and become one node there. A bucket isn't expanded into pairs at once:
-each document is first compared with one pivot of the bucket, and what links becomes one component.
-Only buckets that still hold several components go on, and in the last step every pair of documents of different
+the corpus last and the others by hash; texts that share a prefix token of it meet in a bucket. Of what it leaves
+open, the second order takes the shingles by how rare they are among the open texts. The open texts' prefixes
+under further, independent orders are written once; a candidate pair goes on only if it shares a prefix token
+under each of them. Only then are the two texts fetched and their sets compared.
+
+Equal texts are one node, whatever their ids. A bucket isn't expanded into pairs at once:
+each node is first compared with one pivot of the bucket, and what links becomes one component.
+Only buckets that still hold several components go on, and in the last step every pair of nodes of different
 components is compared, so no link that matters for the components is lost.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.pieces import rows_of
-from millrace.llm.shared_files import new_path, stored
-from millrace.llm.shingles import digests, shingle_sets
+from millrace.llm.shared_files import new_path, partitions_for, stored
+from millrace.llm.shingles import shingle_sets
 from millrace.llm.textarrays import U64, mix
 
 #: Shingles whose frequency the first order knows: the most frequent ones, a proven bound of what is broadcast.
@@ -36,6 +37,10 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 FIRST_ROUNDS, SECOND_ROUNDS = 3, 2
 #: Shingles that a task counts at a time.
 CHUNK = 2_000_000
+#: Tokens meet by so many bits of their hash; a clash only adds candidates. Frequent tokens are spread over so many groups where they needn't meet.
+TOKEN_BITS, SPREAD = U64((1 << 48) - 1), 1024
+#: In the second order, frequent shingles come after all others.
+BEHIND = 1 << 40
 
 
 def _at_least(n, percent: int):
@@ -44,8 +49,8 @@ def _at_least(n, percent: int):
 
 
 def survey(documents: DataFrame, width: int) -> DataFrame:
-    """kind 0: (h, n) shingles that occur in n different sets, n >= 2, of one chunk of a partition.
-    kind 1: (digest h, set size n, id) of each document."""
+    """kind 0: (h, n) shingles that occur in n different texts, n >= 2, of one chunk of a partition.
+    kind 1: (node h, set size n, id) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -61,25 +66,24 @@ def survey(documents: DataFrame, width: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
             n = np.diff(np.r_[starts, len(both)])
             keep = n >= 2
-            return rows(0, both[starts[keep]], n[keep], pa.nulls(int(keep.sum()), pa.int64()))
+            return rows(0, pa.array(both[starts[keep]].view(np.int64)), n[keep], pa.nulls(int(keep.sum()), pa.int64()))
 
-        def rows(kind: int, h: np.ndarray, n: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), ids], ["kind", "h", "n", "id"])
+        def rows(kind: int, h: pa.Array, n: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), h, pa.array(n.astype(np.int64)), ids], ["kind", "h", "n", "id"])
 
-        for batch in rows_of(batches, "text", 8 << 20):
+        for batch in rows_of(batches, "text", 4 << 20):
             hashes, offsets = shingle_sets(batch.column("text"), width)
-            marks = digests(hashes, offsets)
-            yield rows(1, marks, np.diff(offsets), batch.column("id"))
-            for i, mark in enumerate(marks.tolist()):
-                if mark not in seen:
-                    seen.add(mark)
+            yield rows(1, batch.column("node"), np.diff(offsets), batch.column("id"))
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                if node not in seen:
+                    seen.add(node)
                     held.append(hashes[offsets[i] : offsets[i + 1]])
                     size += len(held[-1])
                     if size >= CHUNK:
                         yield repeated()
         yield repeated()
 
-    return stored(documents.mapInArrow(run, "kind int, h long, n long, id long"), "shingle-survey")
+    return stored(documents.select("id", "node", "text").mapInArrow(run, "kind int, h long, n long, id long"), "shingle-survey")
 
 
 def frequent(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +105,43 @@ def frequent(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.
     return hashes[order], top.column("n").to_numpy()[order]
 
 
-def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, id, n, digest, pos, rare): the prefix tokens of each set under the first order, and their places in it.
-    rare: how many of the set's tokens the order takes as rare."""
-    shared = documents.sparkSession.sparkContext.broadcast(known)
+class _Known:
+    """Counts of the frequent shingles, with a 2**24-bit sieve before the search."""
+
+    def __init__(self, known: tuple[np.ndarray, np.ndarray]):
+        self.hot, self.counts = known
+        self.sieve = np.zeros(1 << 24, bool)
+        self.sieve[(self.hot >> U64(40)).astype(np.int64)] = True
+
+    def often(self, hashes: np.ndarray) -> np.ndarray:
+        """The count of each shingle; 0 where it isn't frequent."""
+        out = np.zeros(len(hashes), np.int64)
+        near = np.flatnonzero(self.sieve[(hashes >> U64(40)).astype(np.int64)])
+        if len(self.hot) and len(near):
+            at = np.minimum(np.searchsorted(self.hot, hashes[near]), len(self.hot) - 1)
+            out[near] = np.where(self.hot[at] == hashes[near], self.counts[at], 0)
+        return out
+
+
+def prefixes(documents: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """(token, pos, node, n, rare): the prefix tokens of each set under the first order, and their places in it.
+    rare: how many of the set's tokens the order takes as rare. shared: broadcast frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = shared.value
-        sieve = np.zeros(1 << 24, bool)
-        sieve[(hot >> U64(40)).astype(np.int64)] = True
-        for batch in rows_of(batches, "text", 8 << 20):
+        known = _Known(shared.value)
+        seen: set[int] = set()
+        for batch in rows_of(batches, "text", 4 << 20):
+            fresh = []  # copies of a text have its tokens
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            batch = batch.take(pa.array(fresh, pa.int64()))
             hashes, offsets = shingle_sets(batch.column("text"), width)
-            marks, n = digests(hashes, offsets), np.diff(offsets)
-            often = np.zeros(len(hashes), np.int64)
-            near = np.flatnonzero(sieve[(hashes >> U64(40)).astype(np.int64)])
-            if len(hot) and len(near):
-                at = np.minimum(np.searchsorted(hot, hashes[near]), len(hot) - 1)
-                often[near] = np.where(hot[at] == hashes[near], counts[at], 0)
+            n = np.diff(offsets)
+            often = known.often(hashes)
             long = np.where(n > 0, n - _at_least(n, percent) + 1, 0)
             common = np.zeros(len(hashes) + 1, np.int64)
             np.cumsum(often > 0, out=common[1:])
@@ -131,13 +155,13 @@ def prefixes(documents: DataFrame, width: int, percent: int, known: tuple[np.nda
                     picked.append(np.arange(a, a + p))
             rows = np.repeat(np.arange(len(n)), long)
             place = np.arange(len(rows)) - np.repeat(np.cumsum(long) - long, long)
-            tokens = hashes[np.concatenate(picked)] if picked else np.zeros(0, U64)
+            tokens = hashes[np.concatenate(picked)] & TOKEN_BITS if picked else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.view(np.int64)), batch.column("id").take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), pa.array(marks[rows].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(rare[rows].astype(np.int32))],
-                ["token", "id", "n", "digest", "pos", "rare"],
+                [pa.array(tokens.view(np.int64)), pa.array(place.astype(np.int32)), batch.column("node").take(pa.array(rows)), pa.array(n[rows].astype(np.int32)), pa.array(rare[rows].astype(np.int32))],
+                ["token", "pos", "node", "n", "rare"],
             )
 
-    return documents.where("id is not null").mapInArrow(run, "token long, id long, n int, digest long, pos int, rare int")
+    return documents.select("node", "text").mapInArrow(run, "token long, pos int, node long, n int, rare int")
 
 
 def _fits(n_a, n_b, pos_a, pos_b, percent: int):
@@ -148,50 +172,75 @@ def _fits(n_a, n_b, pos_a, pos_b, percent: int):
 
 
 def _pivot_pairs(buckets: DataFrame, order, percent: int) -> DataFrame:
-    pivot = F.min_by(F.struct("id", "n", "pos", "comp"), order).over(Window.partitionBy("token"))
-    paired = buckets.withColumn("p", pivot)
+    """Pivots are an aggregation, which combines before the shuffle; written, so that Spark can split a large bucket in the join."""
+    pivots = stored(buckets.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "comp"), order).alias("p")), "pivots")
     fit = (F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), percent)
-    return paired.where(fit).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+    return buckets.join(pivots, "token").where(fit).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
 def _all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    left = buckets.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "comp")))
-    right = buckets.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "comp")))
-    fit = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), percent)
-    return left.join(right, "token").where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    """Pairs of different components in a bucket whose sizes fit; each row meets only rows of its own and the next size band."""
+    columns = ("node", "n", "pos", "comp")
+    left = buckets.select("token", F.explode(F.array(_band("n", percent), _band("n", percent) + 1)).alias("band"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = buckets.select("token", _band("n", percent).alias("band"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    # Within a band each pair once; a row of the band below meets the band above.
+    once = (_band("n_a", percent) < F.col("band")) | (F.col("node_a") < F.col("node_b"))
+    fit = once & (F.col("comp_a") != F.col("comp_b")) & _fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), percent)
+    return left.join(right, ["token", "band"]).where(fit).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _band(n: str, percent: int):
+    """Sizes that fit each other are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col(n)
 
 
 def _open_buckets(buckets: DataFrame, percent: int) -> DataFrame:
-    """Rows that share their bucket with a row of another component and of a size that fits: in order of
-    size, the nearest row of another component on either side decides."""
-    up, down = Window.partitionBy("token").orderBy("n", "comp"), Window.partitionBy("token").orderBy(F.desc("n"), F.desc("comp"))
-    rows = buckets
-    for name, order in (("_below", up), ("_above", down)):
-        rows = rows.withColumns({"_c": F.lag("comp").over(order), "_n": F.lag("n").over(order)})
-        # The row before a run of one component is the nearest other one for the whole run.
-        edge = F.when(F.col("_c") != F.col("comp"), F.col("_n"))
-        rows = rows.withColumn(name, F.last(edge, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_c", "_n")
-    fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
-    return rows.where(fits("_below", "n") | fits("n", "_above")).drop("_below", "_above")
-
-
-def _share_prefixes(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the sets share a prefix token under each of the further orders."""
-    for seed in ORDERS:
-        heads = []
-        for s in (x, y):
-            p = len(s) - _at_least(len(s), percent) + 1
-            keys = mix(s ^ U64(seed))
-            heads.append(np.partition(keys, p - 1)[:p] if p < len(keys) else keys)
-        if not len(np.intersect1d(*heads)):
-            return False
-    return True
+    """Rows that share their bucket with a row of another component and of a size that may fit."""
+    rows = buckets.withColumn("band", _band("n", percent))
+    spans = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    around = spans.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    several = around.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token", "band")
+    return rows.join(several, ["token", "band"], "left_semi").drop("band")
+
+
+def _heads(hashes: np.ndarray, offsets: np.ndarray, percent: int, seed: int) -> pa.Array:
+    """The prefix tokens of each set under the order of a seed, by 32 bits of their hash."""
+    keys = mix(hashes ^ U64(seed))
+    picked, ends = [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        p = b - a - _at_least(b - a, percent) + 1 if b > a else 0
+        picked.append(np.partition(keys[a:b], p - 1)[:p] if p < b - a else keys[a:b])
+        ends.append(ends[-1] + len(picked[-1]))
+    tokens = np.concatenate(picked) if picked else np.zeros(0, U64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens >> U64(8)).astype(np.uint32).view(np.int32)))
+
+
+def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int, parts: int) -> tuple[DataFrame, str]:
+    """(node, head0, head1, .., text) of the open nodes, and its name: a table in buckets by node with the prefixes under the
+    further orders, so that later joins on node move only the other side."""
+    spark = documents.sparkSession
+    name, heads = f"open_texts_{uuid.uuid4().hex}", [f"head{i}" for i in range(len(ORDERS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, "text", 4 << 20):
+            hashes, offsets = shingle_sets(batch.column("text"), width)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(_heads(hashes, offsets, percent, seed) for seed in ORDERS), batch.column("text")], ["node", *heads, "text"])
+
+    once = documents.select("node", "text").groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+    rows = once.select("node", "text").mapInArrow(run, f"node long, {', '.join(f'{h} array<int>' for h in heads)}, text string")
+    rows.repartition(parts, "node").write.option("compression", "zstd").bucketBy(parts, "node").sortBy("node").option("path", new_path(spark, "open-texts")).saveAsTable(name)
+    return spark.table(name), name
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share prefixes under all orders and reach the threshold."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) that share prefix tokens under every further order and whose sets reach the threshold."""
+    heads = [c for c in texts.columns if c.startswith("head")]
+    left = texts.select(F.col("node").alias("a"), *(F.col(h).alias(f"{h}_a") for h in heads))
+    right = texts.select(F.col("node").alias("b"), *(F.col(h).alias(f"{h}_b") for h in heads))
+    agree = F.lit(True)
+    for h in heads:
+        agree = agree & F.arrays_overlap(f"{h}_a", f"{h}_b")
+    candidates = pairs.join(left, "a").join(right, "b").where(agree).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text_a", 4 << 20):
@@ -201,89 +250,101 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 keep = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
                     s, t = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-                    if len(s) == 0 or len(t) == 0 or not _share_prefixes(s, t, percent):
+                    if len(s) == 0 or len(t) == 0:
                         continue
                     at = np.minimum(np.searchsorted(s, t), len(s) - 1)
                     both = int((s[at] == t).sum())
                     keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    text = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    return candidates.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _bucketed_texts(documents: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
-    """The texts of the ids as a table in buckets by id: later joins on id move only the other side."""
-    spark = documents.sparkSession
-    name = f"bucket_texts_{uuid.uuid4().hex}"
-    rows = documents.where("id is not null").join(ids, "id", "left_semi")
-    rows.write.option("compression", "zstd").bucketBy(parts, "id").sortBy("id").option("path", new_path(spark, "bucket-texts")).saveAsTable(name)
-    return spark.table(name)
-
-
-def _second_order(open_ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, id, n, pos, rare, comp): prefixes of the open documents with the tokens in order of how many open documents hold them.
-    Tokens of one document come first and can't be shared, so they only take up places."""
+def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """(token, node, n, pos, rare, comp): prefixes of the open texts with the tokens in order of how many open texts hold them;
+    frequent shingles come last, by their count in all documents, so that they needn't meet to be counted.
+    Tokens of one text come first and can't be shared, so they only take up places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 8 << 20):
+        known = _Known(shared.value)
+        for batch in rows_of(batches, "text", 4 << 20):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             n = np.diff(offsets)
             rows = np.repeat(np.arange(len(n)), n)
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("id").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take)], ["token", "id", "n", "comp"])
+            often = known.often(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((hashes & TOKEN_BITS).view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
+                ["token", "node", "n", "comp", "often"],
+            )
 
-    tokens = texts.join(open_ids, "id").select("id", "text", "comp").mapInArrow(run, "token long, id long, n int, comp long")
-    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    own = Window.partitionBy("id")
-    placed = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
+    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "token long, node long, n int, comp long, often int")
+    salt = F.when(F.col("often") > 0, F.pmod("node", F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    counted = tokens.withColumn("salt", salt).withColumn("df", F.count("*").over(Window.partitionBy("token", "salt")))
+    placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df"))).where("df > 1").drop("often", "salt")
+    own = Window.partitionBy("node")
+    placed = placed.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     rows = placed.where(F.col("pos") < prefix)
-    return rows.select("token", "id", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("rare"), "comp")
+    return rows.select("token", "node", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("rare"), "comp")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row.
+    """(doc_id, n_shingles, component_id, text_hash, class) for every row. class: a number that exactly the rows of one
+    component share; component_id: its smallest id; text_hash: xxhash64 of the text.
 
-    Texts that are null, empty or without words have no shingles and are their own component, as are rows
-    with a null id (whose component is null). Rows that repeat an id get the component of their own text.
-    An empty table gives no rows. Other columns are not read.
+    Texts that are null, empty or without words have no shingles: their component is their own id, their class null.
+    Rows with a null id take part in links; a component that has no id at all has a null component_id.
+    Rows that repeat an id get the component of their own text. An empty table gives no rows. Other columns are not read.
     """
-    documents = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = df.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    documents = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     surveyed = survey(documents, width)
-    tokens = prefixes(documents, width, percent, frequent(surveyed))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Equal sets have equal prefixes, so the smallest id stands for them in every bucket.
-    nodes = tokens.repartition(parts, "token").groupBy("token", "digest", "n", "rare").agg(F.min("id").alias("id"), F.min("pos").alias("pos"))
-    buckets = stored(_open_buckets(nodes.select("token", "id", "n", "pos", "rare", F.col("id").alias("comp")), percent), "buckets")
-    texts = _bucketed_texts(documents, buckets.select("id").distinct(), parts)
+    # Prefixes are a fifth of the shingles, in rows of about 48 bytes.
+    size = surveyed.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    parts = partitions_for(spark, size * 48 * (100 - percent) // 100)
+    shared = spark.sparkContext.broadcast(frequent(surveyed))
+    rows = prefixes(documents, width, percent, shared).repartition(parts, "token")
+    # Most tokens belong to one text; they go before anything is sorted.
+    met = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    nodes = rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"])
+    buckets = stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
+    texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts)
     labels = None
 
     def linked(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
         """Compares the pairs and renames the components that they join, in the labels and in the buckets that stay open."""
         nonlocal labels
         links = stored(verified(pairs, texts, width, percent), "near-links")
-        of = buckets.select("id", "comp").distinct()
-        between = links.join(of.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+        of = buckets.select("node", "comp").distinct()
+        between = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
         merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "comp")
         if labels is None:
-            labels = merged.select(F.col("comp").alias("id"), F.col("label").alias("comp"))
+            labels = merged.select(F.col("comp").alias("node"), F.col("label").alias("comp"))
         else:
-            moved = labels.join(merged, "comp", "left").select("id", F.coalesce("label", "comp").alias("comp"))
-            new = merged.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("label").alias("comp"))
+            moved = labels.join(merged, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+            new = merged.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("label").alias("comp"))
             labels = stored(moved.unionByName(new), "component-labels")
-        renamed = buckets.join(merged, "comp", "left").select("token", "id", "n", "pos", "rare", F.coalesce("label", "comp").alias("comp"))
+        renamed = buckets.join(merged, "comp", "left").select("token", "node", "n", "pos", "rare", F.coalesce("label", "comp").alias("comp"))
         return stored(_open_buckets(renamed, percent), "buckets")
 
     for step in range(FIRST_ROUNDS):
-        # First the document with the least of its own in the bucket, which most others are near to; then any.
-        order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(step)))
+        # First the text with the least of its own in the bucket, which most others are near to; then any.
+        order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
-    buckets = stored(_open_buckets(_second_order(buckets.select("id", "comp").distinct(), texts, width, percent), percent), "open-buckets")
+    buckets = stored(_open_buckets(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared), percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
-        order = F.struct("rare", "id") if step == 0 else F.struct(F.xxhash64("id", F.lit(-step)))
+        order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(-step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
     linked(buckets, _all_pairs(buckets, percent))
-    sets = surveyed.where("kind = 1").select("id", F.col("h").alias("digest"), "n")
-    classes = sets.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    reps = sets.join(classes, ["digest", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    return reps.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("label")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    spark.sql(f"DROP TABLE {table}")
+    # Each side of these joins is a written table, so that Spark can split a class or a text with very many rows.
+    sets = surveyed.where("kind = 1").select("id", F.col("h").alias("node"), "n")
+    least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    labelled = stored(least.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("class")), "labelled-texts")
+    smallest = stored(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "component-ids")
+    classes = stored(labelled.join(smallest, "class").select("node", "class", "component_id"), "classes")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return sets.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("text_hash"), "class")

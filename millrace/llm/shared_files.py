@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a task should get from a shuffle.
+TASK_BYTES = 64 << 20
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-millrace-")
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session sets it. Where it is unset, as in tests, a folder of this process in local mode,
+    where driver and executors are one; an error on a cluster, where no other folder is known to be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_folder()
     return found.rstrip("/")
 
 
@@ -27,3 +39,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Partitions of a shuffle of so many bytes: as the session sets it, or more where tasks would get more than TASK_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
