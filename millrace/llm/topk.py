@@ -7,38 +7,49 @@ gives every query a lower bound of its k-th score. In each block that bound beco
 threshold, bound / (query length * longest vector of the block). A threshold over 1 skips the block; one
 near 1 prunes by coordinates (a vector that close to the query has each large coordinate within a known
 interval); a low one prunes by length alone. What is left is verified with exact integer products.
+Pairs of blocks in which no query can reach a vector are dropped before the blocks themselves are sent.
+
+Vectors so long that a product might not fit 64 bits (WIDE) take a way of their own, with Python's integers.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared_files import stored
+from millrace.llm.shared_files import partitions_for, stored
 
 #: Vectors and queries in a block.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 #: Coordinates that are compared, and the local threshold from which comparing them pays.
 FOCUS, COORDINATE_FROM = 3, 0.7
-BLOCK_SCHEMA = "block long, ids binary, matrix binary, dim int"
-HIT_SCHEMA = "query_id long, vec_id long, score long"
+BLOCK_SCHEMA = "block long, ids binary, matrix binary, dim int, longest double"
+#: beyond: order of scores that 64 bits don't hold.
+HIT_SCHEMA = "query_id long, vec_id long, score long, beyond string"
+#: Squared length from which products of two vectors may leave 64 bits.
+WIDE = float(1 << 61)
+#: Bytes of a component in a block.
+COMPONENT_BYTES = 8
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>, norm2): components floor(scale * x), x as double. Vectors that are null, empty,
-    or hold null or non-finite components take no part; so do null ids."""
+    """(vec_id, x, v array<long>, norm2 double): components x as double and v = floor(scale * x), which is right where norm2 is below WIDE.
+    Vectors that are null, empty, or hold null or non-finite components take no part; so do null ids."""
     x = F.col(vector_col).cast("array<double>")
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float(1 << 40))))
-    rows = df.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
+    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    rows = df.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
-def pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most size vectors of one dimension, in the order of the rows of each partition."""
+def pack(rows: DataFrame, size: int, components: str = "v") -> DataFrame:
+    """Blocks of at most size vectors of one dimension, in the order of the rows of each partition. components: v as integers, or x as doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -50,13 +61,15 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
             made += 1
             part = np.frombuffer(np.concatenate(ids).tobytes(), np.int64)
             number = (partition << 24) | made
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.tobytes()]), pa.array([np.concatenate(vectors).tobytes()]), pa.array([dim], pa.int32())], ["block", "ids", "matrix", "dim"])
+            matrix = np.concatenate(vectors)
+            longest = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(1).max()))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.tobytes()]), pa.array([matrix.tobytes()]), pa.array([dim], pa.int32()), pa.array([longest])], ["block", "ids", "matrix", "dim", "longest"])
 
         partition = 0
         for batch in batches:
             partition = batch.column("part")[0].as_py() if batch.num_rows else partition
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            lists = batch.column("v")
+            lists = batch.column(components)
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False)
             dims = np.diff(offsets)
@@ -72,7 +85,7 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return rows.select(F.spark_partition_id().alias("part"), "vec_id", "v").mapInArrow(run, BLOCK_SCHEMA)
+    return rows.select(F.spark_partition_id().alias("part"), "vec_id", components).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vector_ids: np.ndarray, bound: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -135,29 +148,76 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 bound = np.frombuffer(row["bounds"], np.int64) if row["bounds"] is not None else np.full(len(query_ids), np.iinfo(np.int64).min)
                 q, v, s = best(queries, query_ids, np.frombuffer(row["matrix"], np.int64).reshape(-1, dim), np.frombuffer(row["ids"], np.int64), bound, k)
                 if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)], ["query_id", "vec_id", "score"])
+                    found = [pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)]
+                    yield pa.RecordBatch.from_arrays([*found, pa.nulls(len(found[0]), pa.string())], ["query_id", "vec_id", "score", "beyond"])
 
     return pairs.select("ids", "matrix", "dim", "q_ids", "q_matrix", "bounds").mapInArrow(run, HIT_SCHEMA)
 
 
+def _in_order(score: int) -> str:
+    """Text that sorts as the whole numbers do."""
+    digits = f"{abs(score):x}"
+    text = f"{len(digits):06x}{digits}"
+    return f"p{text}" if score >= 0 else "n" + text.translate(str.maketrans("0123456789abcdef", "fedcba9876543210"))
+
+
+def _search_exactly(pairs: DataFrame, k: int, scale: int) -> DataFrame:
+    """Hits of blocks of doubles, by Python's integers. Scores that a long can't hold come as the nearest long, with their order in ``beyond``."""
+    most = np.iinfo(np.int64).max
+
+    def whole(data: bytes, dim: int) -> np.ndarray:
+        return np.array([math.floor(Fraction(x) * scale) for x in np.frombuffer(data, np.float64).tolist()], object).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64).tolist()
+                scores = whole(row["q_matrix"], row["dim"]) @ whole(row["matrix"], row["dim"]).T
+                hits = []
+                for query, line in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), scores.tolist(), strict=True):
+                    top = heapq.nsmallest(k, ((-s, i) for s, i in zip(line, ids, strict=True) if i != query))
+                    hits += [(query, i, max(-most, min(most, -s)), _in_order(-s) if abs(s) >= most else None) for s, i in top]
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "score", "beyond"), h, strict=True)) for h in hits], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.string())]))
+
+    return pairs.select("ids", "matrix", "dim", "q_ids", "q_matrix").mapInArrow(run, HIT_SCHEMA)
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _as_queries(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))
+
+
+def _meetings(queries: DataFrame, vectors: DataFrame, parts: int, extra: list[str]) -> DataFrame:
+    """One copy of each query block for each vector block of its dimension that it may reach; the join key is that block."""
+    places = vectors.select("dim", "block", "longest", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("salt"))
+    spread = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    near = (F.col("q_dim") == F.col("dim")) & (spread["salt"] == places["salt"])
+    if "least" in queries.columns:
+        near = near & (F.col("least") <= F.col("longest") * (1 + 1e-9))
+    return spread.join(places, near).select("q_ids", "q_matrix", "block", *extra).join(vectors, "block")
+
+
 def topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest products of each row of is_query with all other rows.
 
     Ties go to the smaller vec_id; fewer candidates give fewer rows; vectors meet only vectors of their
     own dimension; rows that repeat an id are candidates each, but never of a query of that id, and a
-    query id that repeats gets the best of its rows. An empty table gives no rows. Each query block
+    query id that repeats gets the best of its rows. Any finite component counts; a score that a long can't hold is ranked
+    as it is and shown as the nearest long. An empty table gives no rows. Each query block
     meets each vector block once, so the work is (queries / block) * (vectors / block) products.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = quantised(df, id_col, vector_col, scale)
+    both = quantised(df, id_col, vector_col, scale)
+    flags = quantised(df.where(is_query), id_col, vector_col, scale).dropDuplicates(["vec_id", "x"])
+    sizes = both.agg(F.coalesce(F.sum(F.size("x")), F.lit(0)).alias("n"), F.coalesce(F.max((F.col("norm2") >= WIDE).cast("int")), F.lit(0)).alias("wide")).first()
+    parts = partitions_for(spark, sizes["n"] * COMPONENT_BYTES)
+    base, asked = both.where(F.col("norm2") < WIDE), flags.where(F.col("norm2") < WIDE)
     vectors = stored(pack(base.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), VECTOR_BLOCK), "vectors")
-    queries = stored(pack(base.where(is_query).dropDuplicates(["vec_id", "v"]), QUERY_BLOCK).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim")), "queries")
+    queries = stored(_as_queries(pack(asked, QUERY_BLOCK)), "queries")
     # The block of the longest vectors of each dimension gives the first bounds.
     first = vectors.groupBy("dim").agg(F.min("block").alias("block"))
     head = vectors.join(first, ["dim", "block"])
@@ -165,16 +225,18 @@ def topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "v
     bounds = _top(_search(near.withColumn("bounds", F.lit(None).cast("binary")), k), k).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
     bounds = bounds.where(F.col("n") >= k).select("query_id", "bound")
     bounded = stored(_with_bounds(queries, bounds), "bounded-queries")
-    # One copy of each query block for each vector block of its dimension; the join key is that block.
-    places = vectors.select("dim", "block", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("salt"))
-    spread = bounded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    copies = spread.join(places, (F.col("q_dim") == F.col("dim")) & (spread["salt"] == places["salt"])).select("q_ids", "q_matrix", "bounds", "block")
-    pairs = copies.join(vectors, "block")
-    return _top(_search(pairs, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    hits = _search(_meetings(bounded, vectors, parts, ["bounds"]), k)
+    if sizes["wide"]:
+        far, near = both.where(F.col("norm2") >= WIDE), flags.where(F.col("norm2") >= WIDE)
+        packed = lambda rows, size, name: stored(pack(rows, size, "x"), name)
+        wide = _meetings(_as_queries(packed(near, QUERY_BLOCK, "wide-queries")), packed(both, QUERY_BLOCK, "all-vectors"), parts, [])
+        narrow = _meetings(_as_queries(packed(asked, QUERY_BLOCK, "narrow-queries")), packed(far, QUERY_BLOCK, "wide-vectors"), parts, [])
+        hits = hits.unionByName(_search_exactly(wide.unionByName(narrow), k, scale))
+    return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _with_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds to each query block the bounds of its queries, in their order."""
+    """Adds to each query block the bounds of its queries, in their order, and the least length that a vector needs for any of them."""
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +248,17 @@ def _with_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
     members = queries.select("q_block", "q_ids").mapInArrow(ids_of, "q_block long, at long, query_id long")
     listed = members.join(bounds, "query_id", "left").groupBy("q_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(int(lowest))).alias("bound")))), lambda x: x["bound"]).alias("bound_list"))
 
-    def binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.asarray(x, np.int64).tobytes() for x in batch.column("bound_list").to_pylist()]
+            lists, least = [], []
+            for bound, matrix, dim in zip(*(batch.column(c).to_pylist() for c in ("bound_list", "q_matrix", "q_dim")), strict=True):
+                need = np.asarray(bound, np.int64)
+                lists.append(need.tobytes())
+                length = np.sqrt((np.frombuffer(matrix, np.int64).reshape(-1, dim).astype(np.float64) ** 2).sum(1))
+                ratio = np.where(need > 0, need / np.maximum(length, 1e-300), -1.0)
+                least.append(float(ratio.min(initial=np.inf)))
             keep = [n for n in batch.schema.names if n != "bound_list"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), pa.array(lists, pa.binary())], [*keep, "bounds"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), pa.array(lists, pa.binary()), pa.array(least)], [*keep, "bounds", "least"])
 
     joined = queries.join(listed, "q_block").select("q_block", "q_ids", "q_matrix", "q_dim", "bound_list")
-    return joined.mapInArrow(binary, "q_block long, q_ids binary, q_matrix binary, q_dim int, bounds binary")
+    return joined.mapInArrow(packed, "q_block long, q_ids binary, q_matrix binary, q_dim int, bounds binary, least double")
