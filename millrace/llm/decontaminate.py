@@ -46,21 +46,23 @@ def anchors(documents: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
 
 
 def hits(documents: DataFrame, marks: DataFrame, small: bool) -> DataFrame:
-    """(key, n_words, start, len, item_id): every occurrence, and one row without an item for each key."""
+    """(key, n_words, start, len, item_id, rows): every occurrence, and rows without an item, whose ``rows`` add up to the rows of the key."""
     inside = (F.col("pos") >= F.col("j")) & (F.col("pos") - F.col("j") + F.size("window") <= F.col("n_words"))
     same = F.slice("w", F.col("pos") - F.col("j") + 1, F.size("window")) == F.col("window")
     start = (F.col("pos") - F.col("j")).alias("start")
+    length = F.size("window").alias("len")
     if small:
         spoken = documents.select("key", "n_words", "w", F.posexplode_outer("w").alias("pos", "word"))
         found = spoken.join(F.broadcast(marks.withColumnRenamed("word", "anchor")), (F.col("word") == F.col("anchor")) & inside & same, "left")
-        return found.where(F.col("item_id").isNotNull() | F.coalesce(F.col("pos"), F.lit(0)).eqNullSafe(0)).select("key", "n_words", start, F.size("window").alias("len"), "item_id")
+        # Each row is a key of its own here.
+        return found.where(F.col("item_id").isNotNull() | F.coalesce(F.col("pos"), F.lit(0)).eqNullSafe(0)).select("key", "n_words", start, length, "item_id", F.lit(1).alias("rows"))
     spoken = documents.select("key", "n_words", F.posexplode("w").alias("pos", "word"))
-    candidates = spoken.join(marks, "word").where(inside).select("key", "pos", "j", "window", "item_id")
+    candidates = spoken.join(marks, "word").where(inside).select("key", "pos", "j", "window", "item_id").distinct()
     texts = documents.select("key", "w")
-    found = candidates.join(texts, "key").where(same).select("key", start, F.size("window").alias("len"), "item_id")
+    found = candidates.join(texts, "key").where(same).select("key", start, length, "item_id")
     none = F.lit(None)
-    headers = documents.select("key", "n_words", none.cast("int").alias("start"), none.cast("int").alias("len"), none.cast(marks.schema["item_id"].dataType).alias("item_id"))
-    return headers.unionByName(found.withColumn("n_words", none.cast("int")))
+    headers = documents.select("key", "n_words", none.cast("int").alias("start"), none.cast("int").alias("len"), none.cast(marks.schema["item_id"].dataType).alias("item_id"), F.lit(1).alias("rows"))
+    return headers.unionByName(found.withColumns({"n_words": none.cast("int"), "rows": F.lit(0)}))
 
 
 def covered(spans: Column) -> Column:
@@ -76,21 +78,26 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items array<string>, spans) for every distinct pair of id and text.
+    """(doc_id, text_hash, n_words, n_hit, n_items, items array<string>, spans) for every row; text_hash is xxhash64 of the text.
 
-    Null and empty texts have no words; null ids are kept; null item ids take no part; rows that repeat an id
-    with the same text give one row; an empty benchmark leaves every document clean.
+    Null and empty texts have no words; null ids are kept; null item ids take no part; rows that repeat give
+    a row each; an empty benchmark leaves every document clean. Other columns are not read.
     Documents are read twice: for the counts of the benchmark's words, and for the join.
     """
-    docs = documents.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")).alias("key"), words(F.col(text_col)).alias("w"))
-    docs = docs.withColumn("n_words", F.size("w"))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    docs = documents.select(F.col(id_col).alias("id"), text_hash.alias("h"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
     windows = stored(item_windows(benchmark, size, item_col, item_text_col), "item-windows")
     small = windows.count() <= broadcast_windows
     marks = stored(anchors(docs, windows, small), "item-anchors")
     span = F.when(F.col("item_id").isNotNull(), F.struct("start", "len"))
-    by_key = hits(docs, marks, small).groupBy("key").agg(
+    # Where the windows come to the documents, a row is told by its place in the scan; where words are shuffled, by id and text.
+    place = F.monotonically_increasing_id() if small else F.lit(0).cast("long")
+    keyed = docs.withColumn("key", F.struct("id", "h", place.alias("place"))).drop("id", "h")
+    by_key = hits(keyed, marks, small).groupBy("key").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_set(span).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.sum("rows").alias("rows"),
     )
-    return by_key.select(F.col("key.id").alias("doc_id"), "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    each = by_key if small else by_key.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(F.col("key.id").alias("doc_id"), F.col("key.h").alias("text_hash"), "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
