@@ -19,7 +19,7 @@ def remainder(modulus: int) -> Column:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns labels of rows whose crc32 modulo 5 is not 0, so that the others measure it."""
+    """Learns labels of rows whose crc32 modulo 5 is not 0, so that the others measure it. The table rates one kind of toxicity; the chain's
+    earlier category is low quality, the only other one that it rates."""
     documents = table(spark, sf_dir, "documents")
-    chain = toxicity.fit(documents, table(spark, sf_dir, "labels").where(remainder(5) != 0))
-    return toxicity.predict(documents, chain)
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0).withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.predict(documents.select("doc_id", "text"), toxicity.fit(documents, labels, ("low_quality", "toxic"))).drop("text")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (
+            SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= 80 * (x.n + y.n - m)
+        ), reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+    """,
+    "op9_suffix_dedup": """
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(greatest(len(x) // 2 - 49, 0))) AS i FROM d)),
+        first AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        hit AS (SELECT w.doc_id, w.i FROM w JOIN first USING (s) WHERE w.doc_id > first.least),
+        run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CAST(i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -51) + 50 AS INTEGER) AS fresh FROM hit)),
+        span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS behind FROM span),
+        cut AS (
+            SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(x, 2 * behind + 1, 2 * (a - behind)), '' ORDER BY a) AS kept
+            FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
     "op2_topk": """
         WITH usable AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v

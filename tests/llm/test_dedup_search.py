@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -53,24 +55,70 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_components(spark, texts):
-    got = collections.Counter(tuple(r) for r in jaccard.near_duplicates(frame(spark, texts)).collect())
-    sets = {i: shingles(t) for i, t in texts if i is not None}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
+def components(texts):
+    """The smallest id of each row's component; ids of one text are in one component, rows without an id too."""
+    sets = {t or "": shingles(t) for _, t in texts}
+    parent = {t: t for t in sets}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a in sets:
+        for b in sets:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    expected = collections.Counter((i, len(shingles(t)), root(i) if i is not None else None) for i, t in texts)
-    assert got == expected
+                parent[root(a)] = root(b)
+    least = {}
+    for i, t in texts:
+        if i is not None and sets[t or ""]:
+            least[root(t)] = min(i, least.get(root(t), i))
+    return collections.Counter((i, len(sets[t or ""]), least.get(root(t)) if sets[t or ""] else i) for i, t in texts)
+
+
+def test_components(spark, texts):
+    odd = texts + [(None, "only rows without an id say these few words"), (None, "only rows without an id say these few words"), (None, prose(random.Random(8), 30))]
+    out = jaccard.near_duplicates(frame(spark, odd)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components(odd)
+    classes = collections.defaultdict(set)
+    for r in out:
+        if r["class"] is not None:
+            classes[r["class"]].add(r.component_id)
+    assert all(len(ids) == 1 for ids in classes.values())
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("open_texts")} == set()
+
+
+def test_link_through_a_row_without_id(spark):
+    words = [f"w{i}" for i in range(120)]
+    a, b, c = (" ".join(words[i : i + 100]) for i in (0, 8, 16))
+    assert 100 * len(shingles(a) & shingles(c)) < 80 * len(shingles(a) | shingles(c))
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame(spark, [(5, a), (None, b), (7, c)])).collect()}
+    assert out == {5: 5, None: 5, 7: 5}
+
+
+def test_template_texts_and_few_rounds(spark, monkeypatch):
+    """Texts that share three quarters of their words, beside real copies, with no pivot rounds: all pairs of open buckets."""
+    monkeypatch.setattr(jaccard, "FIRST_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "SECOND_ROUNDS", 0)
+    rng = random.Random(15)
+    template = prose(rng, 60)
+    texts = [(i, f"{template} {prose(rng, 20)}") for i in range(25)]
+    texts += [(100 + i, f"{texts[i][1]} {prose(rng, i)}") for i in range(12)]
+    out = jaccard.near_duplicates(frame(spark, texts)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components(texts)
+
+
+def test_prefixes_agree_under_every_order():
+    rng = random.Random(16)
+    for _ in range(40):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 60))}
+        b = set(list(a)[: rng.randint(1, len(a))]) | {rng.getrandbits(64) for _ in range(rng.randint(0, 6))}
+        sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+        hashes, offsets = np.concatenate(sets), np.array([0, len(a), len(a) + len(b)])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            for seed in jaccard.ORDERS:
+                x, y = jaccard._heads(hashes, offsets, 80, seed).to_pylist()
+                assert set(x) & set(y)
 
 
 def test_empty_tables(spark):
@@ -189,14 +237,14 @@ def test_contamination(spark, limit):
         item = (items[rng.randrange(6)][1] or "").split(" ")
         cut = rng.randint(0, max(0, len(item) - 10))
         docs.append((i, ", ".join(body[:20] + item[cut : cut + rng.choice([9, 10, 12, 30])] + body[20:]).upper().replace("É", "é")))
-    docs += [(50, None), (51, ""), (52, items[0][1]), (52, items[0][1]), (53, items[2][1][:-1])]
+    docs += [(50, None), (None, items[0][1]), (None, None), (51, ""), (52, items[0][1]), (52, items[0][1]), (53, items[2][1][:-1])]
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
     for i, t in items:
         w = word(t)
         if i is not None and w:
             windows[i] = {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))}
-    expected = set()
+    expected = collections.Counter()
     for i, t in docs:
         w, hit, found = word(t), set(), set()
         for item, wins in windows.items():
@@ -205,9 +253,9 @@ def test_contamination(spark, limit):
                     if tuple(w[k : k + len(win)]) == win:
                         hit |= set(range(k, k + len(win)))
                         found.add(str(item))
-        expected.add((i, len(w), len(hit), len(found), ",".join(sorted(found))))
+        expected[i, len(w), len(hit), len(found), ",".join(sorted(found))] += 1
     out = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=limit)
-    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"])) for r in out.collect()} == expected
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"])) for r in out.collect()) == expected
 
 
 def test_topk(spark, monkeypatch):
@@ -227,6 +275,25 @@ def test_topk(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_topk_of_long_vectors(spark, monkeypatch):
+    """Components of any finite size, repeated ids, empty vectors, and columns with the names that the operator uses inside."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = random.Random(17)
+    sizes = [0.01, 1.0, 2.0**20, 2.0**30, 2.0**41, 2.0**60, 1e300, 1.7e308]
+    rows = [(i // 2 * 2 if i > 30 else i, [rng.uniform(-1, 1) * rng.choice(sizes) for _ in range(3)]) for i in range(50)]
+    rows += [(50, [2.0**41, 0.0, 0.0]), (51, [1.0, 0.0, 0.0]), (52, []), (53, [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "b", 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, block string, x int, score double")
+    got = [tuple(r) for r in topk.topk(df, F.col("vec_id") % 5 == 0, k=4).collect()]
+    usable = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if v and all(map(math.isfinite, v))]
+    best = collections.defaultdict(list)
+    for q, u in usable:
+        if q % 5 == 0:
+            best[q] += [(-sum(a * b for a, b in zip(u, v, strict=True)), i) for i, v in usable if i != q]
+    limit = 2**63 - 1
+    want = [(q, r, i, max(-limit, min(limit, -s))) for q, hits in best.items() for r, (s, i) in enumerate(sorted(hits)[:4], 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_digest_of_kept_bytes(spark):
     from millrace.llm.queries import op9_suffix_dedup
 

@@ -1,8 +1,10 @@
 """Tokenisers against their libraries; classifiers by held-out accuracy."""
 
 import base64
-import hashlib
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -123,13 +125,63 @@ def test_toxicity_beyond_the_sample(spark, monkeypatch):
     toxic = [rng.random() < 1 / 9 for _ in range(2700)]
     d = spark.createDataFrame([(i, f"common {'grudge' if rng.random() < (0.67 if y else 0.1) else 'plain'}") for i, y in enumerate(toxic)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
-    whole = toxicity.predict(d, toxicity.fit(d, labels)).agg(F.avg("p_toxic")).first()[0]
+    whole = toxicity.predict(d, toxicity.fit(d, labels, ("toxic",))).agg(F.avg("p_toxic")).first()[0]
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
-    sampled = toxicity.predict(d, toxicity.fit(d, labels)).agg(F.avg("p_toxic")).first()[0]
+    sampled = toxicity.predict(d, toxicity.fit(d, labels, ("toxic",))).agg(F.avg("p_toxic")).first()[0]
     assert abs(whole - 1 / 9) < 0.02
     assert abs(sampled - 1 / 9) < 0.04
 
 
+def test_toxicity_chain_against_plain_python(spark):
+    """Probabilities of every text from the chain's weights, computed word by word; odd rows; names that clash with the operator's own."""
+    rng = random.Random(7)
+    words = ["good", "fine", "nasty", "nastiest", "vile", "sloppy", "prose"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)), "p", 1) for i in range(300)]
+    rows += [(300, None, "p", 1), (301, "", "p", 1), (302, " ... ", "p", 1), (303, "Vile " * 3_000, "p", 1), (303, "vile nasty", "p", 1), (None, "vile nastier", "p", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, p_toxic string, c0 int")
+    labels = spark.createDataFrame([(i, int("sloppy" in t), int("vile" in t)) for i, t, _, _ in rows[:300]], "doc_id long, low_quality int, toxic int")
+    chain = toxicity.fit(d, labels)
+    assert chain.categories == ["low_quality", "toxic"] and len(chain.links[1].weights) == len(chain.links[1].places) + 2
+    places = {int(h): i for i, h in enumerate(chain.index.hashes)}
+
+    def plain(text):
+        counts = collections.Counter()
+        for word in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower()):
+            hashes, _, _ = toxicity.features(pa.array([word]))
+            counts.update(places[int(h)] for h in hashes if int(h) in places)
+        p = []
+        for link in chain.links:
+            x = [math.log1p(counts[i]) for i in link.places] + p + [1.0]
+            p.append(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, link.weights.tolist(), strict=True)))))
+        return p if re.search("[a-z0-9]", (text or "").lower()) else [0.0, 0.0]
+
+    out = toxicity.predict(d, chain)
+    assert out.columns == ["doc_id", "text", "c0", "p_low_quality", "p_toxic", "toxic_pred"]
+    for r in out.collect():
+        assert np.allclose([r.p_low_quality, r.p_toxic], plain(r.text), atol=1e-4)
+        assert r.toxic_pred == int(r.p_toxic >= 0.5)
+    right = out.where("doc_id < 300").join(labels, "doc_id").agg(F.avg((F.col("toxic") == F.col("toxic_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_features_left_out_of_a_fold(spark):
+    """A word that only rows of one fold hold is no feature of the model that leaves this fold out."""
+    d = spark.createDataFrame([(i, f"{'awful' if i % 2 else 'kind'} word{i % 7}") for i in range(200)], "doc_id long, text string")
+    labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    folds = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda categories, index, chosen, *rest: seen.append((index, chosen)) or real(categories, index, chosen, *rest)
+    try:
+        marked = d.rdd.map(lambda r: (r.doc_id, r.text + (" secret" if folds[r.doc_id] == 1 and r.doc_id % 2 else ""))).toDF("doc_id long, text string")
+        toxicity.fit(marked, labels, ("toxic",))
+    finally:
+        toxicity.train = real
+    index, chosen = seen[0]
+    secret = int(np.searchsorted(index.hashes, toxicity.features(pa.array(["secret"]))[0][0]))
+    assert [secret in chosen[0, away].tolist() for away in (-1, 0, 1, 2)] == [True, True, False, True]
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = queries.op8_quality(spark, SF).where("held_out").join(labels, "doc_id")
@@ -139,11 +191,11 @@ def test_quality_held_out(spark):
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_models_without_labels_or_texts(spark, module):
     d = spark.createDataFrame([(1, None), (2, ""), (2, " "), (None, "text"), (5, "word " * 50_000)], "doc_id long, text string")
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int, low_quality int")
     assert module.fit(d, none) is None
     assert module.predict(d, None).count() == 5
     both = spark.createDataFrame([(i, "bad ugly words" if i % 2 else "a fine text of prose") for i in range(40)], "doc_id long, text string")
-    labels = both.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    labels = both.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"), F.lit(None).cast("int").alias("low_quality"))
     out = module.predict(d.unionByName(both), module.fit(both, labels))
     assert out.count() == 45
     assert module.predict(d.where("false"), module.fit(both, labels)).count() == 0
@@ -178,12 +230,52 @@ def test_pipeline(spark):
         assert again.count() <= first.count()
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline_keeps_odd_rows(spark):
     import corpus_pipeline
 
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a clean short text", "en", "s", 18), (3, "a clean short text", "en", "s", 18), (None, "no id here at all", "en", "s", 17)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a clean short text", "en", "s", 18), (3, "a clean short text", "en", "s", 18), (None, "no id here at all", "en", "s", 17)], ODD)
     docs = odd
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
-        assert docs.count() == 5
-    assert hashlib.sha256(b"").hexdigest()
+        # Of two equal rows, one stays.
+        assert docs.count() == (5 if name == "toxicity" else 4)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows that share an id, or have none, stand or fall with their own text."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    item, base = prose(14), prose(80)
+    dirty = f"{prose(20)} {item} {prose(5)}"
+    rows = [(1, dirty), (1, prose(30)), (None, dirty), (None, prose(30)), (2, base), (2, f"{base} more"), (2, prose(40)), (None, base), (None, f"{base} words"), (7, base), (7, base), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], ODD)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert texts(clean) == sorted((str(i), t or "") for i, t in rows if t != dirty)
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    # dirty: the row with the id. base, with "more" and "words": one of the two rows of the smallest id.
+    lone = [(i, t) for i, t in rows if t != dirty and not (t or "").startswith(base)]
+    got = texts(single)
+    group = [x for x in got if x[1].startswith(base)]
+    assert len(group) == 1 and group[0][0] == "2"
+    assert sorted(x for x in got if x not in group) == sorted([("1", dirty), *((str(i), t or "") for i, t in lone)])
+
+
+def test_pipeline_drops_toxic_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    words = ["calm", "tree", "river", "stone", "light", "paper", "music"]
+    text = lambda bad: " ".join([*(rng.choice(words) for _ in range(15)), *(["vilest", "scoundrel"] if bad else [])])
+    rows = [(i, text(i % 4 == 0)) for i in range(240)] + [(None, text(True)), (None, text(False)), (5, text(True)), (4, text(False)), (900, None), (901, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], ODD)
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), t or "") for i, t in rows if "vilest" not in (t or ""))
