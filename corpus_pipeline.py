@@ -13,33 +13,56 @@ from millrace.llm import byte_bpe, decontaminate, jaccard, substrings, toxicity
 from millrace.llm.shared_files import stored
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _by_text(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs with _hash, semi- or anti-joined with (doc_id, text_hash); ids may be null."""
+    named = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+    return _hashed(docs).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), how)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows of (doc_id, text_hash) that are dropped. These are written first, so that Spark knows their size."""
+    return _by_text(docs, stored(dropped.select("doc_id", "text_hash").distinct(), "dropped"), "left_anti").select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the chain, trained on all labelled rows of these documents, rejects."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.predict(docs, toxicity.fit(docs, labels)).where("toxic_pred = 1").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(docs.columns)
+    """Drops each row whose text the chain, trained on all labelled rows of these documents, rejects; the others pass through the same scan."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.fit(docs, labels, ("low_quality", "toxic"))
+    return toxicity.predict(docs, chain).where("toxic_pred = 0").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each class that gave the class its id; documents without an id stay."""
-    classes = jaccard.near_duplicates(docs, width=5, percent=80)
-    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each class: the one of the smallest id (null ids last), then the smallest text hash. Texts without words are in no class and stay."""
+    rows = stored(jaccard.near_duplicates(docs, width=5, percent=80).where("class is not null"), "near-duplicates")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = rows.groupBy("class").agg(first).select("class", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text"))
+    out = _without(docs, rows.join(stored(kept, "kept"), "class").where(~same))
+    # Rows of one id and text are told apart by nothing but their place; they are rare, so only they are sorted.
+    twice = stored(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "equal-rows")
+    if twice.limit(1).count() == 0:
+        return out
+    mine = _by_text(out, twice, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    return _without(out, twice).unionByName(mine)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated 50-byte strings from the texts; a document of which nothing is left goes, an empty one stays."""
-    cut = substrings.with_text(substrings.remove_repeats(docs, window=50).where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0)))
-    changed = cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("text").alias("_text")).dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text", "n_chars")
-    out = keyed.join(changed, keyed["doc_id"].eqNullSafe(changed["_id"]) & (F.col("_key") == F.col("_hash")))
-    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).select(docs.columns)
+    """Removes repeated 50-byte strings from the texts; a document of which nothing is left goes, an empty one stays, and a null text stays null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    marked = docs.withColumn("_null", F.col("text").isNull())
+    cut = substrings.remove_repeats(marked, window=50, carry=[*others, "_null", "n_chars"]).where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0))
+    text = substrings.with_text(cut.drop("text_hash", "spans")).withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    return text.withColumn("n_chars", F.when(F.col("_null"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a ten-word window of a benchmark item occurs."""
+    """Drops each row in whose text a ten-word window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
-    return docs.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found.where("n_hit > 0"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
