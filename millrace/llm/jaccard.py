@@ -37,8 +37,8 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 FIRST_ROUNDS, SECOND_ROUNDS = 3, 2
 #: Shingles that a task counts at a time.
 CHUNK = 2_000_000
-#: Tokens meet by so many bits of their hash; a clash only adds candidates. Frequent tokens are spread over so many groups where they needn't meet.
-TOKEN_BITS, SPREAD = U64((1 << 48) - 1), 1024
+#: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
+TOKEN_BITS, APART = U64((1 << 48) - 1), U64(1 << 62)
 #: In the second order, frequent shingles come after all others.
 BEHIND = 1 << 40
 
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return candidates.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
+def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared, parts: int) -> DataFrame:
     """(token, node, n, pos, rare, comp): prefixes of the open texts with the tokens in order of how many open texts hold them;
     frequent shingles come last, by their count in all documents, so that they needn't meet to be counted.
     Tokens of one text come first and can't be shared, so they only take up places."""
@@ -274,15 +274,21 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
             rows = np.repeat(np.arange(len(n)), n)
             take = pa.array(rows)
             often = known.often(hashes)
+            tokens = hashes & TOKEN_BITS
+            # A frequent shingle's rows go wherever the text's other hash takes them.
+            nodes = batch.column("node").to_numpy().view(U64)[rows]
+            meet = np.where(often > 0, (mix(tokens ^ nodes) >> U64(2)) | APART, tokens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((hashes & TOKEN_BITS).view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
-                ["token", "node", "n", "comp", "often"],
+                [pa.array(meet.view(np.int64)), pa.array(tokens.view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
+                ["meet", "token", "node", "n", "comp", "often"],
             )
 
-    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "token long, node long, n int, comp long, often int")
-    salt = F.when(F.col("often") > 0, F.pmod("node", F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
-    counted = tokens.withColumn("salt", salt).withColumn("df", F.count("*").over(Window.partitionBy("token", "salt")))
-    placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df"))).where("df > 1").drop("often", "salt")
+    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, token long, node long, n int, comp long, often int").repartition(parts, "meet")
+    # As in the first order: both uses read all columns.
+    counts = tokens.groupBy("meet").agg(F.count("*").alias("df"), F.max("often").alias("known"), F.max(F.col("token") + F.col("n") + F.xxhash64("node", "comp") % 2).alias("all"))
+    shared_ones = counts.where("(df > 1 or known > 0) and all is not null").select("meet", "df")
+    counted = tokens.join(shared_ones.hint("shuffle_hash"), "meet")
+    placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df"))).drop("often", "meet")
     own = Window.partitionBy("node")
     placed = placed.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
@@ -307,9 +313,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     parts = partitions_for(spark, size * 48 * (100 - percent) // 100)
     shared = spark.sparkContext.broadcast(frequent(surveyed))
     rows = prefixes(documents, width, percent, shared).repartition(parts, "token")
-    # Most tokens belong to one text; they go before anything is sorted.
-    met = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    nodes = rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"])
+    # Most tokens belong to one text; they go before anything is sorted. Both uses read all columns, so that Spark shuffles the rows once.
+    seen = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.col("pos") + F.col("n") + F.col("rare")).alias("all"))
+    met = seen.where("lo <> hi and all > 0").select("token")
+    nodes = stored(rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"]), "shared-tokens")
     buckets = stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
     texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts)
     labels = None
@@ -334,7 +341,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         # First the text with the least of its own in the bucket, which most others are near to; then any.
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
-    buckets = stored(_open_buckets(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared), percent), "open-buckets")
+    buckets = stored(_open_buckets(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared, parts), percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(-step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
