@@ -175,8 +175,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return None
     sample = stratified(marked, "y", "id", SAMPLE_ROWS)
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # The sample's size is bounded, so it may be broadcast.
-    rows = stored(texts.join(F.broadcast(sample), "id"), "quality-sample")
+    # The sample's size is bounded, so it may be broadcast. One row for each id bounds what the driver gets.
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = stored(one, "quality-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 2 << 20):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.run_index import RunIndex
+from millrace.llm.shared_files import partitions_for
 from millrace.llm.textarrays import BYTE_CODES, U64, mix, span_hashes, text_bytes
 
 #: Bytes of an anchor; bytes of stretches that are indexed at a time; windows whose anchors are sought at a time.
@@ -508,7 +509,8 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
     anchors = listed.groupBy("chunk").cogroup(texts).applyInArrow(_send_anchors(window, bits, width), "range long, chunk long, data binary")
     answers = anchors.groupBy("range").applyInArrow(_answer(HOT), SIDE)
     found = listed.unionByName(answers).groupBy("chunk").cogroup(texts).applyInArrow(_send_stretches(window, bits, width), STRETCHES)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stretches hold up to five times the bytes of live text.
+    parts = partitions_for(df.sparkSession, 5 * size)
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
     marks = ordered.mapInArrow(_repeats(window), SIDE)
     out = StructType.fromDDL("key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

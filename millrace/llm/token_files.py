@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import PieceTable, rows_of
-from millrace.llm.shared_files import new_path
+from millrace.llm.shared_files import new_path, partitions_for
 from millrace.llm.textarrays import IS_SPACE, ascii_lower
 
 _TABLES: dict[str, PieceTable] = {}
@@ -92,7 +92,8 @@ class WordEncoder:
         ends = np.flatnonzero(self.ends[ids]) + 1
         last = np.cumsum(np.array(units, np.int64)) - 1
         if len(ends) != sum(units) or (len(ends) and ends[-1] != len(ids)):
-            raise ValueError("words and ends of words differ")
+            # A word that the vocabulary treats otherwise: each piece on its own.
+            simple, single, last, ends, ids = [], list(range(len(texts))), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         order = np.array(simple + single, np.int64)
         lengths = np.diff(ends[last], prepend=0)
         rest = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in single], add_special_tokens=False)]
@@ -135,10 +136,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(start + ends[:-1]), pa.array(lengths), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
             start += int(ends[-1])
 
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_tie"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    ordered = rows.repartitionByRange(partitions_for(df.sparkSession, size), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     coded = ordered.select("doc_id", F.spark_partition_id().alias("shard"), "text").mapInArrow(encode, SCHEMA)
     (
         coded.write.option("parquet.block.size", row_group_bytes)

@@ -3,6 +3,7 @@
 import base64
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import connect, rows
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ def texts():
     rng = random.Random(3)
     alphabet = list("abcdeinort  \n\t'sLTé中ñß.,!$#0123 ́　\u0085\x1c😀İΣ")
     out = [None, "", "  ", "a" * 5000, "ab" * 3000, "the " * 3000, "<|endoftext|>", "x<|endoftext|>  <|STARTOFTEXT|><|startoftext|> y", " \n\n  hello   world  ", "I'M it's They'LL"]
+    out += ["中文分句。" * 2000, "汉字，汉字。\u3000汉，a。b，é。中", "。。中，，中。", "ݘ。࿿。䷀。"]
+    out += ["".join(rng.choice("中文汉字。，、a ！") for _ in range(rng.randint(1, 40))) for _ in range(300)]
     out += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     out += ["".join(rng.choice("thaeinorsdl") for _ in range(rng.randint(5, 40))) for _ in range(500)]
     return [(i, t) for i, t in enumerate(out)] + [(3, "again"), (None, "no id")]
@@ -72,6 +76,51 @@ def test_token_files(spark, texts, tmp_path):
         start += len(ids)
 
 
+def test_token_files_of_odd_ids(spark):
+    """Null ids come first; rows of one id stand in the order of their text's hash; clashing names aren't read."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    rows = [(5, "some words"), (5, "other words here"), (None, "no id"), (None, None), (2, ""), (5, "some words")]
+    got = sorted(tuple(r) for r in token_files.token_file_digests(docs(spark, rows), path, 2).select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    tie = {r.text: r.h for r in docs(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    start, want = 0, []
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]])):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_token_file_format(spark, tmp_path):
+    """Dictionary pages of ids, delta encoded lengths, row groups within their size, and a page index."""
+    out = str(tmp_path / "ids")
+    token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet").coalesce(1), out, public_tokenizers.path("word_bpe_49k.json"), 2, row_group_bytes=256 << 10, page_bytes=16 << 10)
+    groups = 0
+    for name in (n for n in os.listdir(out) if n.endswith(".parquet")):
+        meta = pq.ParquetFile(f"{out}/{name}").metadata
+        for g in range(meta.num_row_groups):
+            groups += 1
+            columns = {c.path_in_schema: c for c in (meta.row_group(g).column(i) for i in range(meta.num_columns))}
+            ids = columns["ids.list.element"]
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(ids.encodings)
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "local_start"))
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert meta.row_group(g).total_byte_size < 4 << 20
+    assert groups > 4
+
+
+def test_words_that_the_shortcut_gets_wrong(monkeypatch):
+    """Where words and their ends don't agree, every piece is encoded on its own."""
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = [b"plain", b" words", b" and", b" more..", b" x1"]
+    right = encoder(pieces)
+    encoder.ends[encoder.tokenizer.encode("words", add_special_tokens=False).ids[-1]] = False
+    wrong = encoder(pieces)
+    assert right[0].tolist() == wrong[0].tolist() and right[1].tolist() == wrong[1].tolist()
+
+
 def test_token_files_read_in_part(spark, tmp_path):
     path, out = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "ids")
     token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), out, path, 2)
@@ -86,7 +135,7 @@ def test_token_files_read_in_part(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     small = "/root/testdata/sf0.001"
-    assert rows(queries.QUERIES[name](spark, small).toPandas()) == rows(connect(small).execute(queries.ORACLE_SQL[name]).df())
+    assert rows(queries.QUERIES[name](spark, small).toArrow()) == rows(connect(small).execute(queries.ORACLE_SQL[name]).to_arrow_table())
 
 
 def test_language_accuracy(spark):
@@ -96,6 +145,43 @@ def test_language_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_against_plain_python(spark):
+    """Popcounts and decision of each text, n-gram by n-gram."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null")
+    model = language_id.fit(d, "doc_id", "text", "lang")
+    bits = language_id.SLOTS.bit_length() - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * factor) % 2**64
+        return x ^ (x >> 33)
+
+    def plain(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        hits, total = [0] * len(model.languages), 0
+        for size in language_id.SIZES:
+            for i in range(len(raw) - size + 1):
+                h = mixed(int.from_bytes(raw[i : i + size], "little") | size << 56)
+                total += 1
+                for n in range(len(hits)):
+                    hits[n] += all(model.tables[n // 8][(h >> (bits * p)) % language_id.SLOTS] >> (n % 8) & 1 for p in range(language_id.PROBES))
+        true = [max(0.0, (x - total * f) / (1 - f)) for x, f in zip(hits, model.false_rate, strict=True)]
+        best = max(range(len(true)), key=lambda n: (true[n], -n))
+        return model.languages[best], true[best] / sum(true)
+
+    few = d.limit(12)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(few, model).collect()}
+    for r in few.collect():
+        lang, score = plain(r.text)
+        assert out[r.doc_id][0] == lang and abs(out[r.doc_id][1] - score) < 1e-9
+
+
+def test_language_ignores_clashing_names(spark):
+    d = spark.createDataFrame([(1, "the cat and the hat", "en", 1.0, "x"), (2, "der Hund und die Katze", "de", 2.0, "y")], "doc_id long, text string, lang string, score double, lang_pred string")
+    out = language_id.predict(d, language_id.fit(d, "doc_id", "text", "lang"))
+    assert out.columns == ["doc_id", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"en", "de"}
+
+
 def test_language_cases(spark):
     d = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "123 !?", "de"), (5, "", None), (5, "the", None), (None, "und die", "de")], "doc_id long, text string, lang string")
     out = [tuple(r) for r in language_id.predict(d, language_id.fit(d, "doc_id", "text", "lang")).collect()]
@@ -201,6 +287,42 @@ def test_models_without_labels_or_texts(spark, module):
     assert module.predict(d.where("false"), module.fit(both, labels)).count() == 0
 
 
+def test_quality_scores_against_plain_python(spark):
+    """Pooling and network of each text, word by word; odd rows and clashing names."""
+    rows = [(i, "bad ugly words words" if i % 2 else f"A fine text of prose, No {i % 7}", 1.0, "n") for i in range(60)]
+    rows += [(100, None, 1.0, "n"), (101, "", 1.0, "n"), (102, "word " * 30_000, 1.0, "n"), (None, "no id", 1.0, "n"), (5, "bad again", 1.0, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    labels = d.where("doc_id < 60 and doc_id is not null").select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    model = quality.fit(d, labels)
+    v, net = model.vectors, model.network
+    place = {int(h): i for i, h in enumerate(v.hashes)}
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        pooled, mean, same, before = np.zeros(v.table.shape[1]), np.zeros(quality.DIM), 0, None
+        for word in words:
+            own, shape, _, _ = quality.tokens(pa.array([word]))
+            for h in (int(own[0]), int(shape[0])):
+                if h in place:
+                    pooled += v.table[place[h]]
+            for at, sign in quality.index_parts(own):
+                mean[at[0]] += sign[0]
+            same += before == int(own[0])
+            before = int(own[0])
+        n = max(1, len(words))
+        pooled /= n
+        extra = [np.linalg.norm(mean) / n / 2, same / n, sum(len(w.encode()) for w in words) / n, math.log1p(len(words)), float(not words), np.linalg.norm(pooled)]
+        x = (np.concatenate([pooled, extra]) - net.mean) / net.scale
+        w1, b1, w2, b2 = net.layers
+        return 1 / (1 + math.exp(-float((np.tanh(x @ w1 + b1) @ w2 + b2)[0]) / net.temperature))
+
+    out = quality.predict(d, model)
+    assert out.columns == ["doc_id", "score", "predicted"]
+    got = collections.Counter((r.doc_id, round(r.score, 6), r.predicted) for r in out.collect())
+    want = collections.Counter((i, round(plain(t), 6), int(plain(t) >= 0.3)) for i, t, _, _ in rows)
+    assert got == want
+
+
 def test_quality_words_of_unlabelled_documents(spark):
     labelled = [(i, "bad ugly words" if i % 2 else "a fine text of prose") for i in range(40)]
     others = [(100 + i, f"green zebra eats {'tall' if i % 2 else 'wet'} grass") for i in range(40)]
