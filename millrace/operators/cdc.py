@@ -77,25 +77,33 @@ def cast_cdc(df: DataFrame, config: dict[str, list[str]], prefix: str = "") -> D
     return df.withColumns(new)
 
 
-def apply_cdc(target: DataFrame, changes: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """The target table after the changes (before struct, after struct, order columns).
+def key_events(changes: DataFrame, cols: list[str], keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """(the keys, _row, _version): what a set of changes (before struct, after struct, order columns) does to each key; _row is null for a deletion.
 
     Before and after: update; no before: insert; no after: delete; neither: nothing. A change of the key deletes the
     old row and adds the new one. Without keys a row is identified by all its columns. Several changes of
-    a key end with the last one, so applying a batch twice gives the same table. Each change gives at
-    most two key events; both tables are shuffled once by key.
+    a key end with the last one. _version is its place in the order, so that later sets can be told from earlier ones.
     """
-    cols = target.columns
     keys = keys or cols
     order = order or ["ts_ms"]
     before, after = F.col("before"), F.col("after")
+    row = F.struct(*(after[c].alias(c) for c in cols))
     gone = F.when(before.isNotNull(), F.struct(*(before[k].alias(k) for k in keys)))
     come = F.when(after.isNotNull(), F.struct(*(after[k].alias(k) for k in keys)))
+    kind = T.StructType([changes.schema["after"].dataType[c] for c in cols])
     event = lambda key, row, step: F.struct(key.alias("key"), row.alias("row"), F.lit(step).alias("step"))
-    events = F.filter(F.array(event(gone, F.lit(None).cast(changes.schema["after"].dataType), 0), event(come, after, 1)), lambda e: e["key"].isNotNull())
+    events = F.filter(F.array(event(gone, F.lit(None).cast(kind), 0), event(come, row, 1)), lambda e: e["key"].isNotNull())
     steps = changes.where(before.isNotNull() | after.isNotNull()).select(*order, F.explode(events).alias("e"))
-    final = steps.groupBy(*(F.col(f"e.key.{k}").alias(f"_k_{k}") for k in keys)).agg(F.max_by("e.row", F.struct(*order, "e.step")).alias("_row"))
-    touched = final.select(*(F.col(f"_k_{k}") for k in keys), "_row")
+    version = F.struct(*order, F.col("e.step").alias("step"))
+    return steps.groupBy(*(F.col(f"e.key.{k}").alias(k) for k in keys)).agg(F.max_by("e.row", version).alias("_row"), F.max(version).alias("_version"))
+
+
+def apply_cdc(target: DataFrame, changes: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The target table after the changes (see key_events), which all come after what the target holds. Applying a batch
+    twice gives the same table. Each change gives at most two key events; both tables are shuffled once by key."""
+    cols = target.columns
+    keys = keys or cols
+    touched = key_events(changes, cols, keys, order).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_row")
     on = [target[k].eqNullSafe(touched[f"_k_{k}"]) for k in keys]
     condition = on[0]
     for c in on[1:]:
@@ -103,3 +111,21 @@ def apply_cdc(target: DataFrame, changes: DataFrame, keys: list[str] | None = No
     kept = target.join(touched, condition, "left_anti").select(*cols)
     added = touched.where(F.col("_row").isNotNull()).select(*(F.col(f"_row.{c}").alias(c) for c in cols))
     return kept.unionByName(added)
+
+
+def first_versions(table: DataFrame, keys: list[str], events: DataFrame) -> DataFrame:
+    """The rows of a table from before all changes as key events, with a version that is older than any of events'."""
+    row = F.struct(*table.columns).cast(events.schema["_row"].dataType)
+    oldest = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema["_version"].dataType.fields))
+    return table.select(*keys, row.alias("_row"), oldest.alias("_version"))
+
+
+def merge_versions(state: DataFrame | None, events: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest key event of each key. Deletions stay as rows, so that an older change that comes late doesn't bring a key back."""
+    both = events if state is None else state.unionByName(events)
+    return both.groupBy(*keys).agg(F.max_by("_row", "_version").alias("_row"), F.max("_version").alias("_version"))
+
+
+def current_rows(state: DataFrame) -> DataFrame:
+    """The table that the newest key events describe."""
+    return state.where(F.col("_row").isNotNull()).select("_row.*")

@@ -36,18 +36,21 @@ def cdc_latest(spark, sf_dir):
     return cdc.latest_per_key(images, ["id"], "lsn", F.col("op") == "d").select("id", "region", "total")
 
 
-@query(f"SELECT id, region, total FROM ({LATEST}) WHERE r = 1 AND op <> 'd' AND region = 1")
+REGION = f"SELECT id, region, total FROM ({LATEST}) WHERE r = 1 AND op <> 'd' AND region = 1"
+
+
+@query(REGION)
 def cdc_view_region(spark, sf_dir):
     return cdc.cdc_view(changes(spark, sf_dir), 1, ["id"], ["id", "region", "total"], ["lsn"])
 
 
 def start_table(spark, sf_dir) -> DataFrame:
-    """Customers below 200 as the table before the changes."""
-    return table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("region"), F.lit(-1).alias("total"))
+    """The customers as the table before the changes."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("region"), F.lit(-1).alias("total"))
 
 
 APPLIED = f"""SELECT id, region, total FROM ({LATEST}) WHERE r = 1 AND op <> 'd'
-    UNION ALL SELECT c_custkey, c_custkey % 2, -1 FROM customer WHERE c_custkey < 200 AND c_custkey NOT IN (SELECT user_id FROM events)"""
+    UNION ALL SELECT c_custkey, c_custkey % 2, -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"""
 
 
 @query(APPLIED)

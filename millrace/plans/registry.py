@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +39,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where that is unset."""
-    import tempfile
-    import uuid
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-millrace-")
+
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir. Where that is unset, as in tests, one of this process in
+    local mode, where they are one; an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"spark-{name}-") + "/data"
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 #: k of an event's props, in SQL.

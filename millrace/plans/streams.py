@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars
 from millrace.operators import charts, windows
 from millrace.plans import batch
-from millrace.plans.cdc import APPLIED, changes, start_table
+from millrace.plans.cdc import APPLIED, REGION, changes, start_table
 from millrace.plans.registry import events, new_folder, query, table
 from millrace.plans.sources import log
 from millrace.sources import readers, sinks
@@ -63,25 +64,42 @@ def replicate_stream(spark, sf_dir):
 
 @query(batch.BREACH)
 def breach_stream(spark, sf_dir):
+    """All rows lie within the watermark's delay, so they may arrive in any order; a last row from long after ends the waiting."""
     path = new_folder(spark, "breach")
-    spark.conf.set(*stateful.ROCKSDB)
-    out = drained(spark, stateful.breach_stream(event_stream(spark, sf_dir, path), 60, 3), path)
-    return out.select("event_id", "user_id", F.col("counter").cast("long"), "fires")
+    stream = event_stream(spark, sf_dir, path)
+    with stateful.rocksdb(spark):
+        breaches = stateful.breach_stream(stream, 60, 3, "40 days")
+        streams.drain(breaches, streams.write_batch(f"{path}/out"), f"{path}/check")
+        end = events(spark, sf_dir).agg((F.max("ts") + F.expr("interval 90 days")).alias("ts"))
+        closing = spark.createDataFrame([], stream.schema).unionByName(end, allowMissingColumns=True).withColumn("user_id", F.lit(-1).cast(stream.schema["user_id"].dataType))
+        closing.write.mode("append").parquet(f"{path}/in")
+        streams.drain(breaches, streams.write_batch(f"{path}/out"), f"{path}/check")
+    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", F.col("counter").cast("long"), "fires")
 
 
 TOP = """WITH c AS (SELECT event_type AS genre, user_id AS song_id, count(*) AS plays FROM events GROUP BY 1, 2)
     SELECT genre, CAST(rank AS INTEGER) AS rank, song_id, plays FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY plays DESC, song_id) AS rank FROM c) WHERE rank <= 5"""
 
 
+def _charts(spark, sf_dir) -> str:
+    """The folder of the charts of all shards, kept by a stream."""
+    path = new_folder(spark, "charts")
+    with stateful.rocksdb(spark):
+        plays = event_stream(spark, sf_dir, path).select(F.col("event_type").alias("genre"), F.col("user_id").alias("song_id"))
+        streams.drain(stateful.top_n_stream(plays, 5, 4), streams.shard_charts(f"{path}/out"), f"{path}/check", "update")
+    return f"{path}/out"
+
+
 @query(TOP)
 def top_n_stream(spark, sf_dir):
-    """The state of each genre holds the counts; the last batch's charts are the result."""
-    path = new_folder(spark, "charts")
-    spark.conf.set(*stateful.ROCKSDB)
-    plays = event_stream(spark, sf_dir, path).select(F.col("event_type").alias("genre"), F.col("user_id").alias("song_id"))
-    streams.drain(stateful.top_n_stream(plays, 5), streams.write_batch(f"{path}/out"), f"{path}/check", "update")
-    rows = spark.read.parquet(f"{path}/out")
-    return rows.groupBy("genre", "rank").agg(F.max_by(F.struct("song_id", "plays"), "batch").alias("x")).select("genre", "rank", "x.*")
+    """The state of each genre's shard holds its counts and its chart."""
+    return streams.chart(spark, _charts(spark, sf_dir), 5).select("genre", "rank", "song_id", "plays")
+
+
+@query("SELECT event_type AS genre, user_id AS song_id, count(*) AS plays FROM events GROUP BY 1, 2 ORDER BY plays DESC, song_id, genre LIMIT 5")
+def top_n_stream_all(spark, sf_dir):
+    """The global chart, from the same state."""
+    return streams.chart(spark, _charts(spark, sf_dir), 5, by_genre=False)
 
 
 @query(TOP)
@@ -111,15 +129,77 @@ def key_ordered(spark, sf_dir):
     return out.groupBy("user_id").agg(F.sum("n").alias("rows"), F.count("*").alias("batches"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
+def change_stream(spark, sf_dir, path: str) -> DataFrame:
+    """The change log as files of ranges of its positions, read one at each trigger; which comes first is up to the file system."""
+    changes(spark, sf_dir).repartitionByRange(3, "lsn").write.parquet(f"{path}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
 @query(APPLIED)
 def cdc_apply_stream(spark, sf_dir):
     path = new_folder(spark, "cdc")
-    sinks.replace_version(start_table(spark, sf_dir), f"{path}/table")
-    changes(spark, sf_dir).repartitionByRange(3, "lsn").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    write = streams.cdc_batches(f"{path}/table", start_table(spark, sf_dir).schema, ["id"], ["lsn"])
-    streams.drain(stream, sinks.with_retry(write), f"{path}/check")
-    return streams.serve(spark, f"{path}/table")
+    write = streams.cdc_batches(f"{path}/table", ["id", "region", "total"], ["id"], ["lsn"], start_table(spark, sf_dir))
+    streams.drain(change_stream(spark, sf_dir, path), sinks.with_retry(write), f"{path}/check")
+    return streams.current_table(spark, f"{path}/table")
+
+
+@query(REGION)
+def cdc_view_stream(spark, sf_dir):
+    """The view of a region, kept up to date batch by batch."""
+    path = new_folder(spark, "view")
+    write = streams.view_batches(f"{path}/view", 1, ["id"], ["id", "region", "total"], ["lsn"])
+    streams.drain(change_stream(spark, sf_dir, path), sinks.with_retry(write), f"{path}/check")
+    return streams.current_view(spark, f"{path}/view", ["id", "region", "total"])
+
+
+@query(batch.SUSPICIOUS)
+def suspicious_logins_stream(spark, sf_dir):
+    """Logins as a stream, the audit as a table that each batch reads."""
+    path = new_folder(spark, "logins")
+    stream = event_stream(spark, sf_dir, path).where("event_type = 'error'")
+    out = drained(spark, windows.suspicious_logins(stream, batch.last_audit(events(spark, sf_dir))), path)
+    return out.select("event_id", "user_id", "event_type", "distinct_ips")
+
+
+@query("""SELECT event_type AS source, 'u' || CAST(user_id % 3 AS VARCHAR) AS target, count(*) AS beats, CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) AS last_ts FROM events GROUP BY 1, 2""")
+def heartbeat_stream(spark, sf_dir):
+    """Number and time of the last beat of each pair, as the stream goes on."""
+    path = new_folder(spark, "beats")
+    beats = batch.beats(event_stream(spark, sf_dir, path)).groupBy("source", "target").agg(F.count("*").alias("beats"), F.max("ts").alias("last_ts"))
+    streams.drain(beats, streams.upsert_batches(f"{path}/out", ["source", "target"], ["beats"]), f"{path}/check", "update")
+    return streams.serve(spark, f"{path}/out")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def processing_time_stream(spark, sf_dir):
+    """Rows by the hour in which they are processed; none can be late, so the watermark has no delay. The counts of a user's hours add up."""
+    path = new_folder(spark, "stamped")
+    stamped = scalars.stamp(event_stream(spark, sf_dir, path).select("user_id")).withWatermark("now", "0 seconds")
+    counts = stamped.groupBy(F.window("now", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+    streams.drain(counts, streams.upsert_batches(f"{path}/out", ["start", "user_id"], ["n"]), f"{path}/check", "update")
+    return streams.serve(spark, f"{path}/out").groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS rows, true AS bounded FROM events GROUP BY user_id")
+def count_batches_stream(spark, sf_dir):
+    """Each micro-batch in chunks of at most five rows of a user."""
+    path = new_folder(spark, "counted")
+    streams.drain(event_stream(spark, sf_dir, path).select("user_id", "event_id"), streams.count_batches(f"{path}/out", "user_id", ["event_id"], 5), f"{path}/check")
+    chunks = spark.read.parquet(f"{path}/out").groupBy("user_id", "batch", "chunk").agg(F.count("*").alias("n"))
+    return chunks.groupBy("user_id").agg(F.sum("n").alias("rows"), (F.max("n") <= 5).alias("bounded"))
+
+
+@query("SELECT event_id, reverse(event_type) AS event_type, value * 2 AS value FROM events")
+def map_column_stream(spark, sf_dir):
+    """A column by an expression, another by a pandas function."""
+    path = new_folder(spark, "mapped")
+    stream = event_stream(spark, sf_dir, path).select("event_id", "event_type", "value")
+    turned = streams.map_column(streams.map_column(stream, "value", lambda c: c * 2), "event_type", _reversed, "string")
+    return drained(spark, turned, path)
+
+
+def _reversed(names: pd.Series) -> pd.Series:
+    return names.str[::-1]
 
 
 @query("SELECT event_id, value FROM events")
@@ -151,9 +231,10 @@ def table_stream(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events")
 def restore_archive(spark, sf_dir):
-    """Archived records go into an index again, each with an id of its own."""
+    """Archived records go into an index again, each with an id of its own; a second time adds nothing."""
     path = new_folder(spark, "restore")
     sinks.archive_log(log(spark, sf_dir), f"{path}/archive")
-    streams.restore_logs(spark, f"{path}/archive", f"{path}/index", "key string, value string, offset long, timestamp timestamp")
-    back = spark.read.parquet(f"{path}/index").dropDuplicates(["_id"])
+    restore = lambda: streams.restore_logs(spark, f"{path}/archive", f"{path}/index", "key string, value string, offset long, timestamp timestamp")
+    restore()
+    back = restore()
     return back.select(F.col("offset").alias("event_id")).join(events(spark, sf_dir).select("event_id", "event_type"), "event_id")

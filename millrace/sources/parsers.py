@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +49,48 @@ def parse_ragged(df: DataFrame, cols: list[str], sep: str = ";", min_fields: int
     return parts.where(F.size("_p") >= min_fields).select(F.expr("uuid()").alias(key), *fields)
 
 
+#: The grammar of line protocol. Names and tag values escape commas, blanks and equals signs; texts stand in quotes.
+_PLAIN = r"(?:[^,= \\]|\\.)[^,= \\]*+(?:\\.[^,= \\]*+)*+"
+_NAME = r"(?:[^, \\]|\\.)[^, \\]*+(?:\\.[^, \\]*+)*+"
+_TEXT = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+_FIELD = rf"{_PLAIN}=(?:{_TEXT}|[^, \"]++)"
+
+
+def _pairs(text: Column, pattern: str, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """A map of all matches of (key)...(value); of a repeated key the last one counts."""
+    found = F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), key).alias("k"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), value).alias("v"))
+    keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["k"] == k), -1)["v"]))
+
+
+def _unescaped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\\([,= \\\"])", "$1")
+
+
 def parse_line_protocol(df: DataFrame, col: str = "value") -> DataFrame:
-    """`name[,tag=v...] field=v[,...] [ts]` to (measurement, tags, fields, ts in ns); other lines are dropped."""
+    """`name[,tag=v...] field=v[,...] [ts]` to (measurement, tags, fields, texts, ts in ns); other lines are dropped.
+    fields: numbers, and 1 and 0 for true and false; texts: fields in quotes."""
     line = F.trim(F.col(col))
-    pattern = "^([^, ]+)((?:,[^ ]+)?) ([^ ]+)(?: (-?[0-9]+))?$"
+    pattern = rf"^({_NAME})((?:,{_PLAIN}={_PLAIN})*+) ({_FIELD}(?:,{_FIELD})*+)(?: (-?[0-9]+))?$"
     group = lambda i: F.regexp_extract(line, pattern, i)
-    tags = F.when(group(2) == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(F.substring(group(2), 2, 1_000_000_000), F.lit(","), F.lit("=")))
-    fields = F.transform_values(F.str_to_map(group(3), F.lit(","), F.lit("=")), lambda k, v: F.regexp_replace(v, "i$", "").try_cast("double"))
-    return df.where(line.rlike(pattern)).select(group(1).alias("measurement"), tags.alias("tags"), fields.alias("fields"), group(4).try_cast("long").alias("ts"))
+    tags = _pairs(group(2), rf"({_PLAIN})=({_PLAIN})", _unescaped, _unescaped)
+    values = _pairs(group(3), rf"({_PLAIN})=({_TEXT}|[^, \"]++)", _unescaped, lambda v: v)
+    quoted = lambda k, v: v.startswith('"')
+    number = lambda k, v: F.when(v.rlike("^(?:t|T|true|True|TRUE)$"), 1.0).when(v.rlike("^(?:f|F|false|False|FALSE)$"), 0.0).otherwise(F.regexp_replace(v, "[iu]$", "").try_cast("double"))
+    fields = F.transform_values(F.map_filter(values, lambda k, v: ~quoted(k, v)), number)
+    texts = F.transform_values(F.map_filter(values, quoted), lambda k, v: F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r"\\([\\\"])", "$1"))
+    return df.where(line.rlike(pattern)).select(_unescaped(group(1)).alias("measurement"), tags.alias("tags"), fields.alias("fields"), texts.alias("texts"), group(4).try_cast("long").alias("ts"))
 
 
 def parse_exposition(df: DataFrame, col: str = "value") -> DataFrame:
-    """`name{label="v",...} value` to (name, labels, value); comments are dropped."""
+    """`name{label="v",...} value` to (name, labels, value); comments are dropped. Label values may hold commas, braces and escaped quotes."""
     line = F.trim(F.col(col))
-    pattern = "^([A-Za-z_:][A-Za-z0-9_:]*)(?:\\{([^}]*)\\})? +([^ ]+)(?: +[0-9]+)?$"
+    label = r"([A-Za-z_][A-Za-z0-9_]*+)=\"([^\"\\]*+(?:\\.[^\"\\]*+)*+)\""
+    bare = label.replace("([A-Z", "(?:[A-Z").replace("=\\\"([^", "=\\\"(?:[^")
+    pattern = rf"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{{((?:{bare},?)*+)\}})? +([^ ]+)(?: +[0-9]+)?$"
     group = lambda i: F.regexp_extract(line, pattern, i)
-    labels = F.when(group(2) == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(F.regexp_replace(group(2), '"', ""), F.lit(","), F.lit("=")))
-    return df.where(line.rlike(pattern)).select(group(1).alias("name"), labels.alias("labels"), group(3).try_cast("double").alias("value"))
+    value = lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([\\\"])", "$1")
+    return df.where(line.rlike(pattern)).select(group(1).alias("name"), _pairs(group(2), label, lambda k: k, value).alias("labels"), group(3).try_cast("double").alias("value"))
 
 
 def parse_group_describe(df: DataFrame, col: str = "value") -> DataFrame:

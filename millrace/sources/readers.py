@@ -38,8 +38,11 @@ def read_log(spark: SparkSession, topics: list[str], path: str | None = None, se
     return rows.where(F.col("topic").isin(*topics)) if topics else rows
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
-    """A relational table; with a column and bounds, in that many parallel ranges."""
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, driver: str | None = None, **options: str) -> DataFrame:
+    """A relational table; with a column and bounds, in that many parallel ranges. driver: the class of the JDBC driver, which has to be on the class path."""
+    if driver:
+        require_class(spark, driver, "reading JDBC", "the database's driver")
+        options = options | {"driver": driver}
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if column and bounds:
         reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
@@ -47,12 +50,19 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
 
 
 def copy_schema(spark: SparkSession, tables: dict[str, DataFrame], dest: str, order_by: str | None = None) -> DataFrame:
-    """Copies tables to sorted Parquet files under dest: (table, rows, nullable_cols) of each."""
+    """Copies tables to sorted Parquet files under dest, several at a time: (table, rows, nullable_cols) of each."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def copy(item: tuple[str, DataFrame]) -> None:
+        name, df = item
+        df.sortWithinPartitions(order_by or df.columns[0]).write.mode("overwrite").parquet(f"{dest}/{name}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(copy, tables.items()))
     report = None
     for name, df in tables.items():
-        df.sortWithinPartitions(order_by or df.columns[0]).write.mode("overwrite").parquet(f"{dest}/{name}")
         nullable = [f.name for f in df.schema.fields if f.nullable]
-        row = spark.read.parquet(f"{dest}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.array(*(F.lit(c) for c in nullable)).cast("array<string>").alias("nullable_cols"))
+        row = spark.read.schema(df.schema).parquet(f"{dest}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.array(*(F.lit(c) for c in nullable)).cast("array<string>").alias("nullable_cols"))
         report = row if report is None else report.unionByName(row)
     return report
 
@@ -85,23 +95,23 @@ def read_archive(spark: SparkSession, path: str, schema: str | T.StructType | No
 
 
 def parquet_files(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """(table, part, compressed, raw, rows) of each Parquet file, for table_sizes. Footers are read in tasks through
-    Spark's binary file reader, so any store that Spark reads will do."""
-    import io
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for table, part, size, content in zip(*(batch.column(c).to_pylist() for c in ("table", "path", "length", "content")), strict=True):
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
-                raw = sum(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
-                yield pa.RecordBatch.from_pylist([{"table": table, "part": part, "compressed": size, "raw": raw, "rows": meta.num_rows}])
-
-    files = None
-    for name, path in tables.items():
-        one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).withColumn("table", F.lit(name))
-        files = one if files is None else files.unionByName(one)
-    return files.select("table", "path", "length", "content").mapInArrow(footers, "table string, part string, compressed long, raw long, rows long")
+    """(table, part, compressed, raw, rows) of each Parquet file, for table_sizes. Only footers are read, several at a time, through
+    Hadoop's file systems, so any store that Spark reads will do and no file is loaded."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    parquet, of = spark._jvm.org.apache.parquet.hadoop, spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def footer(item: tuple[str, str]) -> tuple[str, str, int, int, int]:
+        name, part = item
+        file = parquet.util.HadoopInputFile.fromPath(of(part), conf)
+        reader = parquet.ParquetFileReader.open(file)
+        try:
+            blocks = list(reader.getFooter().getBlocks())
+            return name, part, file.getLength(), sum(b.getTotalByteSize() for b in blocks), sum(b.getRowCount() for b in blocks)
+        finally:
+            reader.close()
+
+    parts = [(name, part) for name, path in tables.items() for part in spark.read.parquet(path).inputFiles()]
+    with ThreadPoolExecutor(8) as pool:
+        return spark.createDataFrame(list(pool.map(footer, parts)), "table string, part string, compressed long, raw long, rows long")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.cdc import latest_per_key
+from millrace.sources import keyed
 from millrace.sources.parsers import require_class
 
 
@@ -41,35 +42,14 @@ def write_log(df: DataFrame, topic: str, path: str | None = None, servers: str |
 
 
 def upsert_by_key(df: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Merges rows into a keyed Parquet table: the highest order of each key stays. Each call writes a new version of the table and
-    returns it, so a repeated batch changes nothing. The newest version is the folder of the highest number."""
-    spark = df.sparkSession
-    version, current = latest_version(spark, path)
-    both = df if current is None else current.unionByName(df, allowMissingColumns=True)
-    target = f"{path}/v{version + 1:08d}"
-    latest_per_key(both, keys, order).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
-
-
-def latest_version(spark, path: str) -> tuple[int, DataFrame | None]:
-    """(number, rows) of the newest finished version of a table that upsert_by_key or replace_version writes."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = -1
-    if files.exists(root):
-        for status in files.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
-                found = max(found, int(name[1:]))
-    return found, spark.read.parquet(f"{path}/v{found:08d}") if found >= 0 else None
-
-
-def replace_version(df: DataFrame, path: str) -> DataFrame:
-    """Writes a new version of a table and returns it."""
-    spark = df.sparkSession
-    target = f"{path}/v{latest_version(spark, path)[0] + 1:08d}"
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """Merges rows into a keyed table and returns it: the highest order of each key stays, so a repeated batch changes nothing.
+    Only the buckets that the keys are in are rewritten."""
+
+    def combine(current: DataFrame | None, new: DataFrame) -> DataFrame:
+        both = new if current is None else current.unionByName(new, allowMissingColumns=True)
+        return latest_per_key(both, keys, order)
+
+    return keyed.merge(df, path, keys, combine)
 
 
 def index_rows(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -79,19 +59,24 @@ def index_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     return latest_per_key(df.withColumn("_id", F.col(key).cast("string")), ["_id"], "offset")
 
 
-def write_index(df: DataFrame, path: str, key: str | None = None) -> None:
-    index_rows(df, key).write.mode("overwrite").parquet(path)
+def write_index(df: DataFrame, path: str, key: str | None = None) -> DataFrame:
+    """Adds documents to an index, or replaces those of the same _id by a later offset, and returns the index."""
+    return upsert_by_key(index_rows(df, key), path, ["_id"], ["offset"])
 
 
 #: The fields of an archived record.
 ARCHIVE_FIELDS = ["key", "value", "offset", "timestamp", "headers"]
+#: Files of a topic, day and partition that one task writes.
+ARCHIVE_FILES = 64
 
 
 def archive_log(df: DataFrame, path: str, max_records: int = 500) -> None:
     """Gzipped JSON under topic=/day=/partition=, at most max_records in a file."""
     rows = df.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
     fields = [c for c in ARCHIVE_FIELDS if c in df.columns]
-    ordered = rows.select("topic", "day", "partition", *fields).repartition("topic", "day", "partition").sortWithinPartitions("topic", "day", "partition", "offset")
+    # A partition's day is cut into ranges of offsets, so that a busy one isn't one task's.
+    piece = F.floor(F.col("offset") / (max_records * ARCHIVE_FILES))
+    ordered = rows.select("topic", "day", "partition", *fields).repartition("topic", "day", "partition", piece).sortWithinPartitions("topic", "day", "partition", "offset")
     ordered.write.mode("append").partitionBy("topic", "day", "partition").option("maxRecordsPerFile", max_records).option("compression", "gzip").json(path)
 
 
@@ -148,8 +133,7 @@ def write_vectors(df: DataFrame, path: str, dim: int | None = None, vector_col:
 
 def write_sorted(df: DataFrame, path: str, order_by: list[str]) -> None:
     """Range-partitioned and sorted files, so that file and page statistics prune."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).write.mode("overwrite").parquet(path)
+    df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).write.mode("overwrite").parquet(path)
 
 
 def to_event_envelope(df: DataFrame) -> DataFrame:
@@ -157,9 +141,11 @@ def to_event_envelope(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(F.struct(*df.columns).alias("event"))).alias("value"))
 
 
-def to_metric_series(df: DataFrame, metric: str, ts: str, value: str, host: str) -> DataFrame:
-    """(metric, points, resources) with the points of each metric and host in order of time, as a JSON payload."""
-    points = F.array_sort(F.collect_list(F.struct(F.unix_timestamp(F.col(ts).cast("timestamp")).alias("timestamp"), F.col(value).alias("value"))))
-    rows = df.groupBy(F.col(metric).alias("metric"), F.col(host).cast("string").alias("host")).agg(points.alias("points"))
+def to_metric_series(df: DataFrame, metric: str, ts: str, value: str, host: str, width: str = "1 day") -> DataFrame:
+    """(metric, host, payload) with the points of a metric and host within each time span in order of time, as a JSON payload.
+    width bounds the points of a payload."""
+    moment = F.col(ts).cast("timestamp")
+    points = F.array_sort(F.collect_list(F.struct(F.unix_timestamp(moment).alias("timestamp"), F.col(value).alias("value"))))
+    rows = df.groupBy(F.col(metric).alias("metric"), F.col(host).cast("string").alias("host"), F.window(moment, width).alias("span")).agg(points.alias("points"))
     series = F.struct("metric", "points", F.array(F.struct(F.col("host").alias("name"), F.lit("host").alias("type"))).alias("resources"))
     return rows.select("metric", "host", F.to_json(series).alias("payload"))

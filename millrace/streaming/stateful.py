@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: transformWithState needs this state store.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB; afterwards the session is as before."""
+    name, store = ROCKSDB
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class RetractableAgg(Protocol):
     """An aggregate that rows can enter and leave."""
 
@@ -40,58 +57,86 @@ class TopNAgg:
 
 
 class ChartProcessor(StatefulProcessor):
-    """State of a group: plays of each song. Each batch's plays move songs from their old count to the new one, and
-    the group's chart is emitted again."""
+    """State of a genre's shard: plays of each song, and its chart. A batch's plays move songs from their old count to the new one;
+    only these can enter the chart, so the other songs aren't looked at."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "song_id long", "plays long")
+        self.chart = handle.getListState("chart", "song_id long, plays long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        agg = TopNAgg(self.n, dict(self.chart.get()) if self.chart.exists() else {})
         for part in rows:
             for song, more in part.groupby("song_id").size().items():
                 old = self.counts.getValue((int(song),))
-                self.counts.updateValue((int(song),), ((old[0] if old is not None else 0) + int(more),))
-        agg = TopNAgg(self.n, {k[0]: v[0] for k, v in self.counts.iterator()})
+                plays = (old[0] if old is not None else 0) + int(more)
+                self.counts.updateValue((int(song),), (plays,))
+                agg.remove(int(song))
+                agg.add(int(song), plays)
+            agg = TopNAgg(self.n, dict(agg.result()))
         best = agg.result()
-        yield pd.DataFrame({"genre": [key[0]] * len(best), "rank": range(1, len(best) + 1), "song_id": [s for s, _ in best], "plays": [p for _, p in best]})
+        self.chart.put([(s, p) for s, p in best])
+        yield pd.DataFrame({"genre": [key[0]] * len(best), "shard": [key[1]] * len(best), "rank": range(1, len(best) + 1), "song_id": [s for s, _ in best], "plays": [p for _, p in best]})
 
     def close(self) -> None:
         pass
 
 
-def top_n_stream(plays: DataFrame, n: int = 5) -> DataFrame:
-    """(genre, rank, song_id, plays): the chart of each genre that a batch has plays of, in update mode. plays: genre, song_id."""
-    schema = "genre string, rank int, song_id long, plays long"
-    return plays.select("genre", "song_id").groupBy("genre").transformWithStateInPandas(statefulProcessor=ChartProcessor(n), outputStructType=schema, outputMode="Update", timeMode="None")
+def top_n_stream(plays: DataFrame, n: int = 5, shards: int = 8) -> DataFrame:
+    """(genre, shard, rank, song_id, plays): the chart of each genre's shard that a batch has plays of, in update mode. plays: genre, song_id.
+    Songs are dealt into shards, so that a genre isn't one task's; streams.chart ranks the shards' charts together."""
+    schema = "genre string, shard int, rank int, song_id long, plays long"
+    dealt = plays.select("genre", F.pmod(F.xxhash64("song_id"), F.lit(shards)).cast("int").alias("shard"), "song_id")
+    return dealt.groupBy("genre", "shard").transformWithStateInPandas(statefulProcessor=ChartProcessor(n), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
 class BreachCounter(StatefulProcessor):
-    """State of a key: breaches in a row. A batch's rows are taken in order of event_id."""
+    """State of a key: breaches in a row, and the rows that wait. Rows are released in order of their time once the watermark has
+    passed them, so it doesn't matter in which order they arrive within the watermark's delay."""
 
     def __init__(self, limit: int, threshold: int):
         self.limit, self.threshold = limit, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.run = handle.getValueState("run", "n int")
+        self.waiting = handle.getListState("waiting", "ms long, event_id long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            self.waiting.appendList(list(zip(part["ms"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)))
+            # When the last of these rows is due, all of them are.
+            self.handle.registerTimer(int(part["ms"].max()))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= mark]
+        if not due:
+            return
+        if len(due) < len(rows):
+            self.waiting.put(rows[len(due) :])
+        else:
+            self.waiting.clear()
         n = self.run.get()[0] if self.run.exists() else 0
-        part = pd.concat(list(rows)).sort_values("event_id")
         counters = []
-        for value in part["value"]:
+        for _, _, value in due:
             n = n + 1 if int(value) < self.limit else 0
             counters.append(n)
         self.run.update((n,))
-        yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "user_id": key[0], "counter": counters, "fires": [c >= self.threshold for c in counters]})
+        yield pd.DataFrame({"event_id": [r[1] for r in due], "user_id": key[0], "counter": counters, "fires": [c >= self.threshold for c in counters]})
 
     def close(self) -> None:
         pass
 
 
-def breach_stream(df: DataFrame, limit: int, threshold: int) -> DataFrame:
-    """(event_id, user_id, counter, fires) for every row of a stream of (event_id, user_id, value)."""
+def breach_stream(df: DataFrame, limit: int, threshold: int, delay: str) -> DataFrame:
+    """(event_id, user_id, counter, fires) for every row of a stream of (ts, event_id, user_id, value), in order of ts and event_id of each
+    user. A row comes out when the watermark, which stays delay behind the newest row, has passed it."""
     schema = "event_id long, user_id long, counter int, fires boolean"
-    return df.select("event_id", "user_id", "value").groupBy("user_id").transformWithStateInPandas(statefulProcessor=BreachCounter(limit, threshold), outputStructType=schema, outputMode="Append", timeMode="None")
+    rows = df.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), "event_id", "user_id", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=BreachCounter(limit, threshold), outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.cdc import apply_cdc, latest_per_key
+from millrace.operators.cdc import cdc_image, cdc_ops, current_rows, first_versions, key_events, latest_per_key, merge_versions
 from millrace.operators.charts import top_n
 from millrace.operators.transforms import select_topics
+from millrace.operators.windows import chunk
 from millrace.sources.readers import read_archive
-from millrace.sources.sinks import latest_version, replace_version, upsert_by_key
+from millrace.sources import keyed
+from millrace.sources.sinks import upsert_by_key
 
 
 def capitalize(stream: DataFrame, col: str = "value") -> DataFrame:
@@ -80,16 +82,39 @@ def upsert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
     return lambda batch, batch_id: upsert_by_key(batch, path, keys, order) and None
 
 
-def cdc_batches(path: str, schema: T.StructType, keys: list[str] | None, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Applies each batch of changes to a versioned table; applying one twice gives the same table."""
+def cdc_batches(path: str, cols: list[str], keys: list[str] | None, order: list[str], start: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """Applies each batch of changes to a keyed table that holds the last change of each key, deletions too. Batches may
+    come in any order, and twice. start: the table from before all changes. current_table() reads the result."""
+    keys = keys or cols
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        current = latest_version(batch.sparkSession, path)[1]
-        replace_version(apply_cdc(batch.sparkSession.createDataFrame([], schema) if current is None else current, batch, keys, order), path)
+        events = key_events(batch, cols, keys, order)
+        if start is not None and not keyed.versions(batch.sparkSession, path):
+            keyed.merge(first_versions(start, keys, events), path, keys, lambda _, new: new)
+        keyed.merge(events, path, keys, lambda state, new: merge_versions(state, new, keys))
 
     return write
 
 
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table behind the changes that cdc_batches applied."""
+    return current_rows(keyed.read(spark, path))
+
+
+def view_batches(path: str, region: int, keys: list[str], cols: list[str], version: list[str]) -> Callable[[DataFrame, int], None]:
+    """Keeps the view of one region: each batch's changes are merged into the buckets of their keys, in any order. current_view() reads it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = cdc_ops(batch).select(*cdc_image(batch, cols), "op", *version).where(F.col("region") == region)
+        upsert_by_key(rows, path, keys, version)
+
+    return write
+
+
+def current_view(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
+    return keyed.read(spark, path).where("op <> 'd'").select(*cols)
+
+
 def chart_batches(path: str, n: int = 5) -> Callable[[DataFrame, int], None]:
     """Adds each batch's plays (genre, song_id) to a count table; charts() ranks it. Old counts leave the chart as new ones enter.
 
@@ -112,10 +137,40 @@ def charts(spark: SparkSession, path: str, n: int = 5) -> tuple[DataFrame, DataF
 
 def serve(spark: SparkSession, path: str) -> DataFrame:
     """The state of a stream as its sink holds it."""
-    version, rows = latest_version(spark, path)
-    return rows if version >= 0 else spark.read.parquet(path)
+    rows = keyed.read(spark, path)
+    return spark.read.parquet(path) if rows is None else rows
+
+
+def shard_charts(path: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the newest chart of each genre and shard (see stateful.top_n_stream); chart() ranks them together."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_by_key(batch.withColumn("batch", F.lit(batch_id)), path, ["genre", "shard", "rank"], ["batch"])
+
+    return write
+
+
+def chart(spark: SparkSession, path: str, n: int = 5, by_genre: bool = True) -> DataFrame:
+    """The n most played songs, of each genre or of all: they are among the n of their shards."""
+    rows = keyed.read(spark, path).select("genre", "song_id", "plays")
+    order = [F.desc("plays"), F.asc("song_id")]
+    if by_genre:
+        return top_n(rows, ["genre"], order, n)
+    return rows.orderBy(*order, "genre").limit(n)
+
+
+def count_batches(path: str, key: str, order: list[str], n: int) -> Callable[[DataFrame, int], None]:
+    """Cuts each micro-batch into chunks of at most n rows of a key, which go out together; the rest goes out at its end."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        chunk(batch, key, order, n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
 
-def restore_logs(spark: SparkSession, path: str, dest: str, schema: str | T.StructType | None = None) -> None:
-    """Appends archived records to an index with new ids."""
-    read_archive(spark, path, schema).withColumn("_id", F.expr("uuid()")).write.mode("append").parquet(dest)
+def restore_logs(spark: SparkSession, path: str, dest: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """Adds archived records to an index under ids of their own, and returns it. An id comes from the archive's file and the record, so
+    restoring twice adds nothing."""
+    records = read_archive(spark, path, schema)
+    place = F.sha2(F.concat_ws("\n", F.input_file_name(), F.to_json(F.struct(*records.columns))), 256)
+    return upsert_by_key(records.withColumn("_id", place), dest, ["_id"], ["_id"])
