@@ -88,17 +88,30 @@ def ceil_cents(c: Column | str) -> Column:
     return F.ceil(as_col(c) * 100) / 100
 
 
+def _json_text(c: Column, kind: T.DataType) -> Column:
+    """A value as JSON text with the names of all levels in order, and blanks after ':' and ','."""
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(f'"{f.name}": '), _json_text(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _json_text(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(_json_text(e["key"].cast("string"), T.StringType()), F.lit(": "), _json_text(e["value"], kind.valueType))
+        keys = F.array_sort(F.map_keys(c))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: entry(F.struct(k.alias("key"), F.element_at(c, k).alias("value")))), ", "), F.lit("}"))
+    else:
+        text = F.regexp_replace(F.to_json(F.struct(c.alias("x"))), '^\\{"x":|\\}$', "")
+    return F.when(c.isNull(), F.lit("null")).otherwise(text)
+
+
 def canonical_json(df: DataFrame, cols: list[str]) -> Column:
-    """JSON of the columns in the order of their names; blanks after ':' and ',' for flat records of texts and numbers."""
-    parts = []
-    for name in sorted(cols):
-        kind = df.schema[name].dataType
-        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-            value = F.to_json(F.col(name))
-        else:
-            value = F.regexp_replace(F.to_json(F.struct(F.col(name).alias("x")), {"ignoreNullFields": "false"}), '^\\{"x":|\\}$', "")
-        parts.append(F.concat(F.lit(f'"{name}": '), value))
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    """JSON of the columns in the order of their names, at every level."""
+    return _json_text(F.struct(*cols), T.StructType([df.schema[c] for c in cols]))
+
+
+def word_count(c: Column | str) -> Column:
+    """The number of names in a blank-separated list."""
+    return F.size(F.array_remove(F.split(F.trim(as_col(c)), "\\s+"), ""))
 
 
 def hash_vector(c: Column | str, dim: int = 128) -> Column:

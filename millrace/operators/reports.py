@@ -10,24 +10,37 @@ from millrace.operators.transforms import glob_filter, has_write_alias
 
 
 def actor_summary(actors: DataFrame, roles: DataFrame, movies: DataFrame, genres: DataFrame, movie_directors: DataFrame, directors: DataFrame) -> DataFrame:
-    """(id, name, num_movies, avg_rank, unique_genres, uniq_directors, updated_at) of every actor with a role.
+    """(id, name, num_movies, avg_rank, unique_genres, uniq_directors, updated_at) of every actor with a role. Directors count by
+    their names.
 
-    Distinct counts are taken per branch before the join, so a movie's genres and directors don't multiply.
+    Roles are combined to one row for each actor and movie; the movie's own tables are combined to one row each, with
+    its genres and directors in sets, which are bounded by the movie. So the large table is shuffled by movie once and by actor once. A movie's rank
+    weighs as often as the plain join of all tables would hold it.
     """
-    played = roles.select("actor_id", "movie_id", "created_at").join(movies.select(F.col("id").alias("movie_id"), "rank"), "movie_id", "left")
-    ranks = played.groupBy("actor_id").agg(F.count_distinct("movie_id").alias("num_movies"), F.max("created_at").alias("updated_at"))
-    by_row = played.select("actor_id", "movie_id", "rank")
-    # The plain join would weigh each movie by its genres times its directors.
-    n_genres = genres.groupBy("movie_id").agg(F.count("*").alias("g"))
-    n_directors = movie_directors.join(directors.select(F.col("id").alias("director_id"), F.lit(1).alias("_d")), "director_id", "left").groupBy("movie_id").agg(F.count("*").alias("d"))
-    weighed = by_row.join(n_genres, "movie_id", "left").join(n_directors, "movie_id", "left").withColumn("w", F.coalesce("g", F.lit(1)) * F.coalesce("d", F.lit(1)))
-    averages = weighed.groupBy("actor_id").agg((F.sum(F.col("rank") * F.col("w")) / F.sum(F.when(F.col("rank").isNotNull(), F.col("w")))).alias("avg_rank"))
-    acted = by_row.select("actor_id", "movie_id").distinct()
-    kinds = acted.join(genres, "movie_id").groupBy("actor_id").agg(F.count_distinct("genre").alias("unique_genres"))
-    led = acted.join(movie_directors, "movie_id").join(directors.select(F.col("id").alias("director_id")), "director_id").groupBy("actor_id").agg(F.count_distinct("director_id").alias("uniq_directors"))
+    acted = roles.groupBy("actor_id", "movie_id").agg(F.count("*").alias("roles"), F.max("created_at").alias("updated"))
+    # One id stands for all directors of a name: ids are counted, not texts.
+    same = directors.groupBy("name").agg(F.min("id").alias("one"), F.collect_set("id").alias("ids")).select(F.explode("ids").alias("director_id"), "one")
+    kinds = genres.groupBy("movie_id").agg(F.count("*").alias("g"), F.collect_set("genre").alias("genres"))
+    led = movie_directors.join(same, "director_id", "left").groupBy("movie_id").agg(F.count("*").alias("d"), F.collect_set("one").alias("directors"))
+    info = movies.select(F.col("id").alias("movie_id"), "rank", F.lit(True).alias("known")).join(kinds, "movie_id", "full").join(led, "movie_id", "full")
+    facts = acted.join(info, "movie_id", "left").withColumn("w", F.col("roles") * F.coalesce("g", F.lit(1)) * F.coalesce("d", F.lit(1)))
+    # Each movie gives a row of measures and a row for each genre and director.
+    none = F.lit(None)
+    row = lambda kind, genre, director: F.struct(F.lit(kind).alias("kind"), genre.cast(genres.schema["genre"].dataType).alias("genre"), director.cast(directors.schema["id"].dataType).alias("director"))
+    parts = F.concat(
+        F.array(row(0, none, none)), F.transform(F.coalesce("genres", F.array()), lambda x: row(1, x, none)), F.transform(F.coalesce("directors", F.array()), lambda x: row(2, none, x))
+    )
+    each = facts.select("actor_id", "known", "rank", "w", "updated", F.explode(parts).alias("p")).select("actor_id", "p.*", "known", "rank", "w", "updated")
+    own = F.col("kind") == 0
+    measured = F.when(own & F.col("rank").isNotNull(), F.col("w"))
+    distinct = each.groupBy("actor_id", "kind", "genre", "director").agg(
+        F.count(F.when(own & F.col("known"), 1)).alias("movies"), F.sum(F.col("rank") * measured).alias("total"), F.sum(measured).alias("weight"), F.max("updated").alias("updated")
+    )
+    summed = distinct.groupBy("actor_id").agg(
+        F.sum("movies").alias("num_movies"), (F.sum("total") / F.sum("weight")).alias("avg_rank"), F.count(F.when(F.col("kind") == 1, 1)).alias("unique_genres"), F.count(F.when(F.col("kind") == 2, 1)).alias("uniq_directors"), F.max("updated").alias("updated_at")
+    )
     names = actors.select(F.col("id").alias("actor_id"), F.concat_ws(" ", "first_name", "last_name").alias("name"))
-    out = names.join(ranks, "actor_id").join(averages, "actor_id", "left").join(kinds, "actor_id", "left").join(led, "actor_id", "left")
-    return out.select(F.col("actor_id").alias("id"), "name", "num_movies", "avg_rank", F.coalesce("unique_genres", F.lit(0)).alias("unique_genres"), F.coalesce("uniq_directors", F.lit(0)).alias("uniq_directors"), "updated_at")
+    return names.join(summed, "actor_id").select(F.col("actor_id").alias("id"), "name", "num_movies", "avg_rank", "unique_genres", "uniq_directors", "updated_at")
 
 
 def throughput(first: DataFrame, second: DataFrame, interval: int, avg_bytes: int = 0) -> tuple[DataFrame, DataFrame]:

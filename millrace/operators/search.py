@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Parameters of the ranking function.
 K1, B = 1.2, 0.75
@@ -21,29 +22,55 @@ def analyse(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """documents: id and fields. postings: (id, field, term, pos). lengths: (id, field, length)."""
+    """documents: id and fields. analysed: (id, field, terms), the words of each field in order. postings: (id, field, term, pos).
+    lengths: (id, field, length). Where the index is stored: terms (field, term, freq) and statistics (field, n, avg_len), else None."""
 
     documents: DataFrame
     id: str
+    analysed: DataFrame
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame | None = None
+    statistics: DataFrame | None = None
 
     def field(self, name: str) -> DataFrame:
         return self.postings.where(F.col("field") == name)
 
 
 def build_index(df: DataFrame, id: str, fields: list[str]) -> Index:
-    """Postings of the analysed fields; every row of a term goes to one key of later shuffles, with map-side counts."""
+    """An index that is evaluated as it is used; store_index writes it."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyse(F.col(f)).alias("terms")) for f in fields)))
     analysed = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), each.alias("x")).select("id", "x.field", "x.terms")
     postings = analysed.select("id", "field", F.posexplode("terms").alias("pos", "term"))
-    return Index(df, id, postings, analysed.where(F.size("terms") > 0).select("id", "field", F.size("terms").alias("length")))
+    return Index(df, id, analysed, postings, analysed.where(F.size("terms") > 0).select("id", "field", F.size("terms").alias("length")))
+
+
+def store_index(index: Index, path: str) -> Index:
+    """Writes the index and opens it: postings by field, sorted by term, so that a query reads the pages of its own words; lengths; the dictionary; statistics."""
+    spark = index.documents.sparkSession
+    with_length = index.analysed.where(F.size("terms") > 0).select("id", "field", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+    with_length.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "id", "pos").write.partitionBy("field").parquet(f"{path}/postings")
+    index.documents.write.parquet(f"{path}/documents")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("field", "term").agg(F.count_distinct("id").alias("freq")).repartitionByRange("field", "term").sortWithinPartitions("term").write.partitionBy("field").parquet(f"{path}/terms")
+    index.lengths.write.partitionBy("field").parquet(f"{path}/lengths")
+    spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg_len")).write.parquet(f"{path}/statistics")
+    return open_index(spark, path, index.id)
+
+
+def open_index(spark: SparkSession, path: str, id: str) -> Index:
+    """An index that store_index wrote."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    postings = read("postings")
+    analysed = postings.groupBy("id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
+    return Index(read("documents"), id, analysed, postings, read("lengths"), read("terms"), read("statistics"))
 
 
 def words_of(text: str) -> list[str]:
-    import re
+    """The words of a query, as analyse() has those of a document."""
+    import regex
 
-    return [w for w in re.split(r"[\W]+", text.lower()) if w]
+    return [w for w in regex.split(r"[^\p{L}\p{N}\p{M}_]+", text.lower()) if w]
 
 
 def term(df: DataFrame, field: str, value) -> DataFrame:
@@ -57,21 +84,40 @@ def prefix(index: Index, field: str, start: str) -> DataFrame:
     return index.documents.join(hits.withColumnRenamed("id", index.id), index.id, "left_semi")
 
 
+def _counted(index: Index, field: str, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((id, length, tf of each word), one row of n, avg_len and the df of each word)."""
+    names = [f"tf{i}" for i in range(len(wanted))]
+    if index.terms is not None:
+        held = index.field(field).where(F.col("term").isin(*wanted))
+        rows = held.groupBy("id").agg(F.max("length").alias("length"), *(F.count(F.when(F.col("term") == w, 1)).alias(t) for w, t in zip(wanted, names, strict=True)))
+        known = index.terms.where((F.col("field") == field) & F.col("term").isin(*wanted))
+        dfs = known.agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("freq"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(wanted)))
+        return rows, dfs.crossJoin(index.statistics.where(F.col("field") == field).select("n", "avg_len"))
+    # The words are counted within each document's list: no explosion and no shuffle.
+    texts = index.analysed.where((F.col("field") == field) & (F.size("terms") > 0))
+    rows = texts.select("id", F.size("terms").alias("length"), *(_occurrences(w).alias(n) for w, n in zip(wanted, names, strict=True)))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"), *(F.count(F.when(F.col(t) > 0, 1)).alias(f"df{i}") for i, t in enumerate(names)))
+    return rows.where(F.greatest(*names, F.lit(0)) > 0) if names else rows.where(F.lit(False)), stats
+
+
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("terms", lambda t: t == F.lit(word)))
+
+
 def scores(index: Index, field: str, terms: list[str], filtered: DataFrame | None = None) -> DataFrame:
     """(id, score) by BM25 of documents with any of the terms. Statistics are of the whole field; a
     filter narrows the hits alone."""
     wanted = sorted(set(terms))
-    hits = index.field(field).where(F.col("term").isin(*wanted)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    rows, stats = _counted(index, field, wanted)
     if filtered is not None:
-        hits = hits.join(filtered.select(F.col(index.id).alias("id")), "id", "left_semi")
-    own = index.lengths.where(F.col("field") == field)
-    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
-    df = index.field(field).where(F.col("term").isin(*wanted)).select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    # One row of statistics and one for each query word: bounded by the query, so both are broadcast.
-    weights = df.join(F.broadcast(stats.withColumn("_", F.lit(1))), F.lit(1) == F.col("_")).select("term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    joined = hits.join(F.broadcast(weights), "term").join(own.select("id", "length"), "id")
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score"))
+        rows = rows.join(filtered.select(F.col(index.id).alias("id")), "id", "left_semi")
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + idf * tf / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
+    # The statistics are one row.
+    return rows.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
 
 
 def ranked(hits: DataFrame, size: int | None = 10) -> DataFrame:
@@ -84,26 +130,40 @@ def match(index: Index, field: str, text: str, size: int | None = 10) -> DataFra
     return ranked(scores(index, field, words_of(text)), size)
 
 
+def _shifted(positions: str, place: int) -> Column:
+    return F.transform(positions, lambda p: p - place)
+
+
+def _placed(positions: str, places: list[int], low: Column, slop: int) -> Column:
+    """How many places of a word, in order, get a position of their own between low and low + slop from where they stand. The spans have one
+    length, so the first free position goes to the first open place."""
+    wanted = F.array(*(F.lit(j) for j in places))
+    fits = lambda n, p: (n < len(places)) & (p - F.get(wanted, n)).between(low, low + slop)
+    return F.aggregate(positions, F.lit(0), lambda n, p: n + F.when(fits(n, p), 1).otherwise(0))
+
+
 def match_phrase(index: Index, field: str, text: str, slop: int = 0) -> DataFrame:
     """Ids of documents that hold the words within slop moves: the spread of (position - place in the phrase).
+    A word that the phrase repeats has to be there as often.
 
     The positions of a phrase's words in one document are combined there; candidates are documents with all words.
     """
-    terms = words_of(text)
-    if not terms:
+    words = words_of(text)
+    if not words:
         return index.postings.select("id").where(F.lit(False))
-    own = index.field(field).where(F.col("term").isin(*sorted(set(terms))))
-    lists = own.groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos") - i))).alias(f"p{i}") for i, t in enumerate(terms)))
+    places = {w: [i for i, x in enumerate(words) if x == w] for w in dict.fromkeys(words)}
+    own = index.field(field).where(F.col("term").isin(*places))
+    lists = own.groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("term") == w, F.col("pos")))).alias(f"p{i}") for i, w in enumerate(places)))
     some = lists
-    for i in range(len(terms)):
-        some = some.where(F.size(f"p{i}") > 0)
-    # For each shifted position as the lower end: every word needs one within slop above it.
-    ends = F.flatten(F.array(*(F.col(f"p{i}") for i in range(len(terms)))))
+    for i, at in enumerate(places.values()):
+        some = some.where(F.size(f"p{i}") >= len(at))
+    # For each shifted position as the lower end: every place needs a position of its own within slop above it.
+    ends = F.flatten(F.array(*(_shifted(f"p{i}", j) for i, at in enumerate(places.values()) for j in at)))
 
     def holds(low: Column) -> Column:
         ok = F.lit(True)
-        for i in range(len(terms)):
-            ok = ok & F.exists(F.col(f"p{i}"), lambda p: (p >= low) & (p <= low + slop))
+        for i, at in enumerate(places.values()):
+            ok = ok & (_placed(f"p{i}", at, low, slop) == len(at))
         return ok
 
     return some.where(F.exists(ends, holds)).select("id")
@@ -139,7 +199,10 @@ def get(df: DataFrame, id_col: str, value) -> DataFrame:
 
 def dictionary(index: Index, field: str) -> DataFrame:
     """(term, freq): the number of documents with each word."""
-    return index.field(field).select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("freq"))
+    if index.terms is not None:
+        return index.terms.where(F.col("field") == field).select("term", "freq")
+    terms = index.analysed.where(F.col("field") == field).select(F.explode(F.array_distinct("terms")).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def suggest(index: Index, field: str, text: str, max_edits: int = 2, size: int = 5, min_length: int = 4) -> DataFrame:
@@ -159,48 +222,46 @@ def allowed_edits(word: str) -> int:
     return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
 
 
-def transposition_distance(word: str, most: int):
-    """A pandas function: edits (a swap of neighbours is one) between a word and each term, or most + 1 beyond."""
+def _edits(word: str, term: str, most: int) -> int:
+    """Edits (a swap of neighbours is one), or most + 1 beyond."""
+    if abs(len(term) - len(word)) > most:
+        return most + 1
+    before, last = None, list(range(len(term) + 1))
+    for i, a in enumerate(word, 1):
+        row = [i]
+        for j, b in enumerate(term, 1):
+            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a != b))
+            if before is not None and j > 1 and a == term[j - 2] and word[i - 2] == b:
+                cost = min(cost, before[j - 2] + 1)
+            row.append(cost)
+        before, last = last, row
+    return min(last[-1], most + 1)
 
-    def distance(term: str) -> int:
-        if abs(len(term) - len(word)) > most:
-            return most + 1
-        before, last = None, list(range(len(term) + 1))
-        for i, a in enumerate(word, 1):
-            row = [i]
-            for j, b in enumerate(term, 1):
-                cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a != b))
-                if before is not None and j > 1 and a == term[j - 2] and word[i - 2] == b:
-                    cost = min(cost, before[j - 2] + 1)
-                row.append(cost)
-            before, last = last, row
-        return min(last[-1], most + 1)
 
-    @F.pandas_udf("int")
-    def run(terms: pd.Series) -> pd.Series:
-        return terms.map(distance)
-
-    return run
+@F.pandas_udf(IntegerType())
+def transposition_distance(word: pd.Series, term: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([_edits(w, t, m) for w, t, m in zip(word, term, most, strict=True)])
 
 
 def match_bool_prefix(index: Index, field: str, text: str, minimum: int = 2, expansions: int = 50) -> DataFrame:
     """(id, matched): documents that match at least ``minimum`` of the words, all fuzzily but the last, which is a prefix.
 
-    Fuzzy words and the prefix expand to at most ``expansions`` dictionary terms, nearest and most frequent first; only the
-    dictionary's distinct terms go through Python.
+    Fuzzy words and the prefix expand to at most ``expansions`` dictionary terms, nearest and most frequent first. The dictionary is
+    evaluated once for all words. A swap of neighbours is two plain edits at most, so only terms within twice the edits go through Python.
     """
     words = words_of(text)
-    terms = dictionary(index, field)
-    expanded = None
+    if not words:
+        return index.postings.select("id", F.lit(0).cast("long").alias("matched")).where(F.lit(False))
+    clauses = []
     for i, word in enumerate(words):
-        if i == len(words) - 1:
-            found = terms.where(F.col("term").startswith(word)).withColumn("d", F.lit(0))
-        else:
-            most = allowed_edits(word)
-            near = terms.where((F.length("term") >= len(word) - most) & (F.length("term") <= len(word) + most))
-            found = near.withColumn("d", transposition_distance(word, most)("term")).where(F.col("d") <= most)
-        best = found.orderBy("d", F.desc("freq"), "term").limit(expansions).select(F.lit(i).alias("clause"), "term")
-        expanded = best if expanded is None else expanded.unionByName(best)
+        most = allowed_edits(word)
+        last = i == len(words) - 1
+        near = F.col("term").startswith(word) if last else F.levenshtein(F.lit(word), F.col("term"), 2 * most) >= 0
+        clauses.append(F.when(near, F.struct(F.lit(i).alias("clause"), F.lit(word).alias("word"), F.lit(0 if last else most).alias("most"), F.lit(last).alias("prefix"))))
+    candidates = dictionary(index, field).select("term", "freq", F.explode(F.array_compact(F.array(*clauses))).alias("c")).select("term", "freq", "c.*")
+    measured = candidates.withColumn("d", F.when(F.col("prefix"), F.lit(0)).otherwise(transposition_distance("word", "term", "most"))).where(F.col("d") <= F.col("most"))
+    order = Window.partitionBy("clause").orderBy("d", F.desc("freq"), "term")
+    expanded = measured.withColumn("r", F.row_number().over(order)).where(F.col("r") <= expansions).select("clause", "term")
     # At most expansions terms for each word of the query.
     hits = index.field(field).select("id", "term").distinct().join(F.broadcast(expanded), "term")
     counted = hits.groupBy("id").agg(F.count_distinct("clause").alias("matched"))

@@ -1,49 +1,115 @@
-"""Vector search: exact nearest neighbours and a partitioned approximate index."""
+"""Vector search: exact nearest neighbours by blocks, and a partitioned index with an exact way."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Bytes of query vectors that go to the tasks at a time; more queries are searched group by group.
+GROUP_BYTES = 16 << 20
+#: Rows that meet the queries in one matrix product.
+BLOCK = 2048
+HITS = "query_id long, id long, distance double"
+METRICS = ("l2", "cosine", "dot")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
+def _pairs(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of paired rows: 'l2' (squared), 'cosine' (1 - cosine; 1 for a vector without length) or 'dot' (the negated product: smaller is nearer)."""
+    if metric == "l2":
+        return ((queries - rows) ** 2).sum(1)
+    products = (queries * rows).sum(1)
+    if metric == "dot":
+        return -products
+    lengths = np.sqrt((queries**2).sum(1) * (rows**2).sum(1))
+    return 1 - np.where(lengths > 0, products / np.where(lengths > 0, lengths, 1), 0)
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """'l2' (squared), 'cosine' (1 - cosine) or 'dot' (the negated product: smaller is nearer)."""
-    if metric == "l2":
-        return squared_l2(a, b)
+def _all(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of all queries and rows by one matrix product, right but for rounding."""
+    products = queries @ rows.T
     if metric == "dot":
-        return -dot(a, b)
-    if metric == "cosine":
-        return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    raise ValueError(f"unknown metric {metric}")
+        return -products
+    a, b = (queries**2).sum(1)[:, None], (rows**2).sum(1)[None, :]
+    if metric == "l2":
+        return a + b - 2 * products
+    lengths = np.sqrt(a * b)
+    return 1 - np.where(lengths > 0, products / np.where(lengths > 0, lengths, 1), 0)
+
+
+def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the vectors of so many components, those vectors)."""
+    lists = column.cast(pa.large_list(pa.float64()))
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    which = np.flatnonzero(np.asarray(lists.is_valid()) & (np.diff(offsets) == dim))
+    return which, values[offsets[which][:, None] + np.arange(dim)]
+
+
+def _nearest(metric: str, ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, among: np.ndarray | None = None) -> pa.RecordBatch:
+    """At least the k nearest rows of each query, by exact distances. among: which queries meet which rows."""
+    rough = _all(metric, queries, rows)
+    scale = 1e-9 * (1 + np.abs(rough).max(initial=0))
+    if among is not None:
+        rough = np.where(among, rough, np.inf)
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < rough.shape[1] else np.full((len(ids), 1), np.inf)
+    q, r = np.nonzero((rough <= cut + scale) & np.isfinite(rough))
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row_ids[r]), pa.array(_pairs(metric, queries[q], rows[r]))], ["query_id", "id", "distance"])
+
 
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _groups(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of all queries (query_id, query), in groups of one dimension and about GROUP_BYTES; each group's size is bounded by
+    the number of groups."""
+    rows = queries.where(F.col("query").isNotNull() & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "query")
+    size = rows.agg(F.coalesce(F.sum(F.size("query")), F.lit(0)).alias("n")).first()["n"] * 8
+    groups = 1 + size // GROUP_BYTES
+    for g in range(groups):
+        some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).toArrow()
+        column = some["query"].combine_chunks()
+        for dim in sorted(set(pc.list_value_length(column).to_pylist()) - {0}) or [0]:
+            which, vectors = _vectors(column, dim)
+            yield some["query_id"].to_numpy()[which], vectors
 
-def knn(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | str | None = None, id_col: str = "vec_id", vector_col: str = "embedding", broadcast_rows: int = 10_000) -> DataFrame:
+
+def knn(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | str | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest rows that pass the filter; ties by id.
 
-    queries: query_id, query. They are a small stated set, checked against broadcast_rows, and are broadcast to the corpus's
-    partitions in one array; a larger set has to be cut into such blocks. Each partition keeps k rows for each query before the shuffle.
+    queries: query_id, query, any number: they go to the corpus's tasks in groups of a bounded size. Each block of rows meets a group in
+    one matrix product and keeps k rows for each query before the shuffle; their distances are computed again row by row. Null vectors and ids
+    take no part. An empty table gives no rows.
     """
-    if queries.limit(broadcast_rows + 1).count() > broadcast_rows:
-        raise ValueError(f"more than {broadcast_rows} queries: search them in blocks")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
     rows = df if where is None else df.where(where)
-    block = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("_queries")).withColumn("_one", F.lit(1))
-    rows = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), F.lit(1).alias("_one"))
-    each = rows.join(F.broadcast(block), "_one").select("id", "_v", F.explode("_queries").alias("_q"))
-    scored = each.select(F.col("_q.query_id").alias("query_id"), "id", distance(F.col("_v"), F.col("_q.query"), metric).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    source = rows.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    hits = None
+    for ids, vectors in _groups(queries):
+        shared = df.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    which, found = _vectors(part.column("v"), vectors.shape[1])
+                    if len(ids) and len(which):
+                        yield _nearest(metric, ids, vectors, part.column("id").to_numpy()[which], found, k)
+
+        one = source.mapInArrow(run, HITS)
+        hits = one if hits is None else hits.unionByName(one)
+    return _ranked(hits, k)
 
 
 def ivf_build(df: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, sample_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(rows with their cell, centroids). K-means is fitted on at most about sample_rows rows; every row gets a cell."""
+    """(rows with their cell, centroids with the radius of their cell). K-means is fitted on at most about sample_rows rows; every row gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -51,14 +117,56 @@ def ivf_build(df: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str
     n = rows.count()
     sample = rows if n <= sample_rows else rows.sample(sample_rows / n, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select("features"))
-    centroids = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centroid array<double>")
-    return model.transform(rows).withColumnRenamed("prediction", "cell").drop("features"), centroids
-
-
-def ivf_search(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank): exact within the nprobe cells whose centroids are nearest to the query."""
-    cells = knn(centroids, queries, nprobe, metric, id_col="cell", vector_col="centroid").select("query_id", F.col("id").alias("cell"))
-    probes = cells.join(queries, "query_id")
-    near = indexed.join(probes, "cell").select("query_id", F.col(id_col).alias("id"), distance(F.col(vector_col), F.col("query"), metric).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    indexed = model.transform(rows).withColumnRenamed("prediction", "cell").drop("features")
+    centroids = df.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centroid array<double>")
+    gap = F.aggregate(F.zip_with(F.col(vector_col), F.col("centroid"), lambda x, y: (x.cast("double") - y) ** 2), F.lit(0.0), lambda s, x: s + x)
+    radius = indexed.join(F.broadcast(centroids), "cell").groupBy("cell").agg(F.sqrt(F.max(gap)).alias("radius"))
+    return indexed, centroids.join(radius, "cell")
+
+
+def _probed(indexed: DataFrame, ids: np.ndarray, vectors: np.ndarray, probes: np.ndarray, cells: np.ndarray, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+    """Hits within the cells that each query probes (a row of probes for each query, a column for each cell)."""
+    shared = indexed.sparkSession.sparkContext.broadcast((ids, vectors, probes, cells))
+    wanted = [int(c) for c in cells[probes.any(0)]] if len(ids) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, probes, cells = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                which, found = _vectors(part.column("v"), vectors.shape[1])
+                if len(ids) and len(which):
+                    of = np.searchsorted(cells, part.column("cell").to_numpy()[which])
+                    yield _nearest(metric, ids, vectors, part.column("id").to_numpy()[which], found, k, probes[:, of])
+
+    source = indexed.where(F.col("cell").isin(wanted) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), "cell")
+    return source.mapInArrow(run, HITS)
+
+
+def ivf_search(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest within the nprobe cells whose centroids are nearest to the query.
+
+    exact (l2 only): then also those within all cells that the first result doesn't rule out. No row of a cell is nearer than
+    the centroid's distance less the cell's radius, so the result is that of a full scan. The index is small: a row for each cell.
+    """
+    if exact and metric != "l2":
+        raise ValueError("exact search needs the l2 metric")
+    index = centroids.select("cell", "centroid", F.coalesce("radius", F.lit(0.0)).alias("radius")).orderBy("cell").toArrow()
+    cells, radius = index["cell"].to_numpy(), index["radius"].to_numpy()
+    centres = np.array(index["centroid"].to_pylist(), np.float64)
+    out = None
+    for ids, vectors in _groups(queries):
+        if len(ids) and vectors.shape[1] != centres.shape[1]:
+            raise ValueError(f"queries of {vectors.shape[1]} components in an index of {centres.shape[1]}")
+        near = _all(metric, vectors, centres) if len(ids) else np.zeros((0, len(cells)))
+        probes = near.argsort(1, kind="stable").argsort(1, kind="stable") < nprobe
+        hits = _probed(indexed, ids, vectors, probes, cells, k, metric, id_col, vector_col)
+        if exact:
+            first = _ranked(hits, k).groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).toArrow()
+            reach = dict(zip(first["query_id"].to_pylist(), (d if n == k else np.inf for d, n in zip(first["d"].to_pylist(), first["n"].to_pylist(), strict=True)), strict=True))
+            bound = np.sqrt(np.array([reach.get(i, np.inf) for i in ids.tolist()]))[:, None]
+            more = (np.sqrt(np.maximum(near, 0)) - radius[None, :] <= bound * (1 + 1e-9)) & ~probes
+            hits = hits.unionByName(_probed(indexed, ids, vectors, more, cells, k, metric, id_col, vector_col))
+        out = hits if out is None else out.unionByName(hits)
+    return _ranked(out, k)

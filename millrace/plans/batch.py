@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import charts, reports, timeseries, transforms, windows
-from millrace.plans.publish import publish
-from millrace.plans.registry import K, events, query, table
-from millrace.sources.readers import series
+from millrace.plans.publish import publish, publish_name
+from millrace.plans.registry import K, events, new_folder, query, table
+from millrace.sources.readers import read_table, series
 
 COUNTS = """SELECT l_partkey AS song_id, lower(p_type) AS genre, p_name AS name, count(*) AS plays
     FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 30 GROUP BY 1, 2, 3"""
@@ -68,13 +68,20 @@ def login_audit(spark, sf_dir):
     return audit_shown(windows.login_audit(logs(events(spark, sf_dir)), "1 day", action="click"))
 
 
-@query(f"""WITH a AS ({LOGIN_AUDIT}), last AS (SELECT user_id, arg_max(distinct_ips, window_start) AS distinct_ips FROM a GROUP BY user_id)
-    SELECT event_id, events.user_id, event_type, distinct_ips FROM events JOIN last ON events.user_id = last.user_id WHERE distinct_ips > 1 AND event_type = 'error'""")
+def last_audit(ev: DataFrame) -> DataFrame:
+    """The newest audit row of each user."""
+    audit = windows.login_audit(logs(ev), "1 day", action="click")
+    return audit.groupBy("user_id").agg(F.max_by("distinct_ips", "window_start").alias("distinct_ips"))
+
+
+SUSPICIOUS = f"""WITH a AS ({LOGIN_AUDIT}), last AS (SELECT user_id, arg_max(distinct_ips, window_start) AS distinct_ips FROM a GROUP BY user_id)
+    SELECT event_id, events.user_id, event_type, distinct_ips FROM events JOIN last ON events.user_id = last.user_id WHERE distinct_ips > 1 AND event_type = 'error'"""
+
+
+@query(SUSPICIOUS)
 def suspicious_logins(spark, sf_dir):
     ev = events(spark, sf_dir)
-    audit = windows.login_audit(logs(ev), "1 day", action="click")
-    last = audit.groupBy("user_id").agg(F.max_by("distinct_ips", "window_start").alias("distinct_ips"))
-    return windows.suspicious_logins(ev.where("event_type = 'error'"), last).select("event_id", "user_id", "event_type", "distinct_ips")
+    return windows.suspicious_logins(ev.where("event_type = 'error'"), last_audit(ev)).select("event_id", "user_id", "event_type", "distinct_ips")
 
 
 ACTORS = """SELECT c_custkey AS id, c_name AS name, count(DISTINCT o_orderkey) AS num_movies, round(avg(l_quantity), 6) AS avg_rank, count(DISTINCT p_brand) AS unique_genres,
@@ -90,8 +97,8 @@ def _actors(spark, sf_dir) -> DataFrame:
     joined = joined.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left")
     joined = joined.join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     one = joined.groupBy("o_custkey").agg(
-        F.size(F.collect_set("o_orderkey")).cast("long").alias("num_movies"), F.round(F.avg("l_quantity"), 6).alias("avg_rank"), F.size(F.collect_set("p_brand")).cast("long").alias("unique_genres"),
-        F.size(F.collect_set("s_suppkey")).cast("long").alias("uniq_directors"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("updated_at"),
+        F.count_distinct("o_orderkey").alias("num_movies"), F.round(F.avg("l_quantity"), 6).alias("avg_rank"), F.count_distinct("p_brand").alias("unique_genres"),
+        F.count_distinct("s_suppkey").alias("uniq_directors"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("updated_at"),
     )
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return names.join(one, F.col("id") == F.col("o_custkey")).drop("o_custkey")
@@ -110,9 +117,9 @@ def actor_summary_view(spark, sf_dir):
 @query("""WITH actors AS (SELECT c_custkey AS id, c_name AS first_name, c_mktsegment AS last_name FROM customer),
     roles AS (SELECT o_custkey AS actor_id, l_partkey AS movie_id, o_orderdate AS created_at FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
     movies AS (SELECT p_partkey AS id, p_size AS rank FROM part), genres AS (SELECT p_partkey AS movie_id, p_brand AS genre FROM part),
-    md AS (SELECT DISTINCT l_partkey AS movie_id, l_suppkey AS director_id FROM lineitem), directors AS (SELECT s_suppkey AS id FROM supplier)
+    md AS (SELECT DISTINCT l_partkey AS movie_id, l_suppkey AS director_id FROM lineitem), directors AS (SELECT s_suppkey AS id, s_name AS director_name FROM supplier)
     SELECT a.id, concat_ws(' ', first_name, last_name) AS name, count(DISTINCT m.id) AS num_movies, round(avg(rank), 6) AS avg_rank, count(DISTINCT genre) AS unique_genres,
-    count(DISTINCT d.id) AS uniq_directors FROM actors a JOIN roles r ON a.id = r.actor_id LEFT JOIN movies m ON m.id = r.movie_id LEFT JOIN genres g ON g.movie_id = m.id
+    count(DISTINCT director_name) AS uniq_directors FROM actors a JOIN roles r ON a.id = r.actor_id LEFT JOIN movies m ON m.id = r.movie_id LEFT JOIN genres g ON g.movie_id = m.id
     LEFT JOIN md ON md.movie_id = m.id LEFT JOIN directors d ON d.id = md.director_id GROUP BY a.id, first_name, last_name""")
 def actor_summary_star(spark, sf_dir):
     orders, lines, part = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
@@ -120,7 +127,7 @@ def actor_summary_star(spark, sf_dir):
     actors = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("last_name"))
     movies, genres = part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("rank")), part.select(F.col("p_partkey").alias("movie_id"), F.col("p_brand").alias("genre"))
     led = lines.select(F.col("l_partkey").alias("movie_id"), F.col("l_suppkey").alias("director_id")).distinct()
-    out = reports.actor_summary(actors, roles, movies, genres, led, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+    out = reports.actor_summary(actors, roles, movies, genres, led, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
     return out.withColumn("avg_rank", F.round("avg_rank", 6)).drop("updated_at")
 
 
@@ -189,11 +196,11 @@ def _sync(spark, sf_dir) -> DataFrame:
     return reports.offset_sync_report(source, target, include_ok=True, include_inactive=True)
 
 
-SYNC = f"""WITH l AS (SELECT user_id u, event_type e, max(event_id) o FROM events GROUP BY 1, 2), t AS (SELECT * FROM l WHERE u % 7 <> 0 AND NOT (e = 'view' AND u % 2 = 0)),
+SYNC = """WITH l AS (SELECT user_id u, event_type e, max(event_id) o FROM events GROUP BY 1, 2), t AS (SELECT * FROM l WHERE u % 7 <> 0 AND NOT (e = 'view' AND u % 2 = 0)),
     r AS (SELECT 'g' || l.u AS "group", l.e AS topic, CASE WHEN l.u % 3 = 0 THEN 'Empty' ELSE 'Stable' END AS group_state, l.o AS source_offset,
     CASE WHEN t.u IS NOT NULL AND l.e <> 'error' THEN l.o - l.u % 4 END AS target_offset,
-    CASE WHEN t.u IS NOT NULL AND l.e <> 'error' THEN '{reports.SYNCED}' WHEN l.u NOT IN (SELECT u FROM t) THEN '{reports.NO_GROUP}'
-    ELSE CASE WHEN t.u IS NULL THEN '{reports.NO_PARTITION} ' ELSE '' END || CASE WHEN l.u % 5 = 0 OR l.o = 0 THEN '{reports.EMPTY}' ELSE '{reports.EXPECTED}' END END AS message,
+    CASE WHEN t.u IS NOT NULL AND l.e <> 'error' THEN 'Target has offset sync.' WHEN l.u NOT IN (SELECT u FROM t) THEN 'Target missing the consumer group.'
+    ELSE CASE WHEN t.u IS NULL THEN 'Target consumer group missing the topic partition. ' ELSE '' END || CASE WHEN l.u % 5 = 0 OR l.o = 0 THEN 'Source partition is empty therefore offset not expected to be synced.' ELSE 'Source partition not empty therefore offset expected to be synced.' END END AS message,
     (t.u IS NOT NULL AND l.e <> 'error') OR (l.u IN (SELECT u FROM t) AND (l.u % 5 = 0 OR l.o = 0)) AS is_ok FROM l LEFT JOIN t ON l.u = t.u AND l.e = t.e)"""
 
 
@@ -220,10 +227,10 @@ def completeness_missing(spark, sf_dir):
     return reports.completeness(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")[1]
 
 
-@query("""WITH e AS (SELECT event_id, user_id FROM events WHERE user_id < 50), r AS (SELECT event_id FROM events WHERE user_id < 50 AND event_id % 97 <> 0)
-    SELECT (SELECT count(*) FROM e) AS expected, (SELECT count(*) FROM r) AS received, (SELECT count(*) FROM e WHERE event_id % 97 = 0) AS missing, CAST(0 AS BIGINT) AS extra, false AS complete""")
+@query("""WITH r AS (SELECT event_id FROM events WHERE event_id % 97 <> 0)
+    SELECT (SELECT count(*) FROM events) AS expected, (SELECT count(*) FROM r) AS received, (SELECT count(*) FROM events WHERE event_id % 97 = 0) AS missing, CAST(0 AS BIGINT) AS extra, false AS complete""")
 def replication_completeness(spark, sf_dir):
-    sent = events(spark, sf_dir).where("user_id < 50").select("event_id")
+    sent = events(spark, sf_dir).select("event_id")
     return reports.completeness(sent, sent.where("event_id % 97 <> 0"), "event_id")[0]
 
 
@@ -318,20 +325,79 @@ def series_gaps(spark, sf_dir):
     return series(spark, 0, int(top)).join(lines, "id", "left_anti").select("id", (F.col("id") % 7).alias("r"))
 
 
-@query()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("""SELECT * FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES) + ")")
 def table_sizes(spark, sf_dir):
+    """Every table; sizes come from the files themselves, so only the rows can be compared with SQL, and the order of the sizes is checked in a test."""
     from millrace.sources.readers import parquet_files
 
-    names = ("customer", "orders", "lineitem", "events", "documents")
-    return reports.table_sizes(parquet_files(spark, {n: f"{sf_dir}/{n}.parquet" for n in names}))
+    return reports.table_sizes(parquet_files(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})).select("table", "rows")
+
+
+@query("SELECT o_custkey AS id, c_name AS name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def any_value_of_group(spark, sf_dir):
+    """A name that is the same in the whole group."""
+    named = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return named.groupBy(F.col("o_custkey").alias("id")).agg(F.any_value("c_name").alias("name"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, 'Hello world' AS value, true AS has_database FROM events")
+def session_projection(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.lit("Hello world").alias("value"), (F.current_database() != "").alias("has_database"))
+
+
+@query("SELECT user_id, count(*) AS n, 1 AS places FROM events GROUP BY user_id")
+def rekeyed(spark, sf_dir):
+    """After a change of the key, all rows of a user are in one partition."""
+    dealt = transforms.rekey(events(spark, sf_dir).select("user_id"), "user_id", 8).withColumn("place", F.spark_partition_id())
+    return dealt.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("place").cast("int").alias("places"))
+
+
+@query("""SELECT o_orderkey, '{"customer": {"key": ' || o_custkey || ', "tags": ["' || o_orderstatus || '", null]}, "order": "' || o_orderpriority || '"}' AS text FROM orders""")
+def canonical_records(spark, sf_dir):
+    """Nested records with their names in order."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderpriority").alias("order"), F.struct(F.array(F.col("o_orderstatus"), F.lit(None)).alias("tags"), F.col("o_custkey").alias("key")).alias("customer"))
+    return rows.select("o_orderkey", scalars.canonical_json(rows, ["order", "customer"]).alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(len(string_split(o_orderpriority || ' node-' || o_orderkey, ' ')) AS INTEGER) AS words, CAST(o_orderkey AS VARCHAR) AS last FROM orders")
+def node_names(spark, sf_dir):
+    """Words of a list of names, and the number of the last one."""
+    names = F.concat(F.col("o_orderpriority"), F.lit("  node-"), F.col("o_orderkey").cast("string"), F.lit(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.word_count(names).alias("words"), scalars.last_node_number(names).alias("last"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def published_table(spark, sf_dir):
+    """A query published as a table, and read by its name."""
+    path = new_folder(spark, "published")
+    name = f"published_{path.rsplit('-', 1)[1]}"
+    publish(spark, name, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "table", path)
+    return read_table(spark, name)
+
+
+@query("SELECT count(*) AS n, true AS known FROM (SELECT * FROM orders LIMIT 100)")
+def table_limit(spark, sf_dir):
+    """The first rows of a table: as many as asked for, all of them the table's."""
+    orders = table(spark, sf_dir, "orders")
+    name = publish_name("orders")
+    publish(spark, name, orders)
+    some = read_table(spark, name, 100)
+    return some.join(orders.select("o_orderkey", F.lit(True).alias("known")), "o_orderkey", "left").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+
+
+def beats(ev: DataFrame) -> DataFrame:
+    return ev.select(F.unix_millis("ts").alias("ts"), F.col("event_type").alias("source"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("target"))
 
 
 @query("""WITH h AS (SELECT CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, event_type AS source, 'u' || CAST(user_id % 3 AS VARCHAR) AS target, event_id FROM events),
     g AS (SELECT *, t - lag(t) OVER (PARTITION BY source, target ORDER BY t) AS gap FROM h)
     SELECT source, target, count(*) AS beats, coalesce(max(gap), 0) AS largest_gap, max(t) AS last_ts, coalesce(max(gap), 0) <= 7200000 AS healthy FROM g GROUP BY 1, 2""")
 def heartbeat_gaps(spark, sf_dir):
-    beats = events(spark, sf_dir).select(F.unix_millis("ts").alias("ts"), F.col("event_type").alias("source"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("target"))
-    return windows.heartbeat_health(beats, 7_200_000)
+    return windows.heartbeat_health(beats(events(spark, sf_dir)), 7_200_000)
 
 
 @query("SELECT 'slot' || CAST(user_id % 5 AS VARCHAR) AS slot_name, CAST(sum(4294967296 * 2 - (CAST(user_id AS BIGINT) % 2 * 4294967296 + event_id)) AS BIGINT) AS lag FROM events GROUP BY 1")

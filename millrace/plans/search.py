@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import search, vector
-from millrace.plans.registry import query, table
+from millrace.plans.registry import new_folder, query, table
 
 
 def docs_index(spark, sf_dir) -> search.Index:
@@ -110,11 +110,12 @@ def hash_vector(spark, sf_dir):
 
 
 def queries_of(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """Every row whose id is divisible by 20, against all rows."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def knn_sql(distance: str, where: str = "true") -> str:
-    return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {distance} AS d FROM e q, e c WHERE q.vec_id < 5 AND {where}),
+    return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {distance} AS d FROM e q, e c WHERE q.vec_id % 20 = 0 AND {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 5) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 
 
@@ -142,10 +143,36 @@ def knn_dot(spark, sf_dir):
     return nearest(vector.knn(table(spark, sf_dir, "embeddings"), queries_of(spark, sf_dir), 10, "dot"))
 
 
-@query()
+def cells_of(n: int) -> tuple[int, int]:
+    """(cells, probes) of an index of n rows: cells grow with the root of the rows. Three quarters are probed: these vectors hardly form clusters."""
+    cells = max(4, round(n**0.5 / 2))
+    return cells, -(-cells * 3 // 4)
+
+
+@query(knn_sql("list_distance(q.v, c.v) * list_distance(q.v, c.v)"))
 def ivf_search(spark, sf_dir):
-    indexed, centroids = vector.ivf_build(table(spark, sf_dir, "embeddings"), 16)
-    return nearest(vector.ivf_search(indexed, centroids, queries_of(spark, sf_dir), 10, 6))
+    """The index, with the cells that the first probes don't rule out: the result of a full scan."""
+    e = table(spark, sf_dir, "embeddings")
+    cells, probes = cells_of(e.count())
+    return nearest(vector.ivf_search(*vector.ivf_build(e, cells), queries_of(spark, sf_dir), 10, probes, exact=True))
+
+
+@query(f"""WITH ex AS ({knn_sql("list_distance(q.v, c.v) * list_distance(q.v, c.v)")}) SELECT count(*) AS wanted, true AS enough FROM ex""")
+def ivf_recall(spark, sf_dir):
+    """Of the exact neighbours, nine tenths at least are in the probed cells alone."""
+    e, q = table(spark, sf_dir, "embeddings"), queries_of(spark, sf_dir)
+    cells, probes = cells_of(e.count())
+    near = vector.ivf_search(*vector.ivf_build(e, cells), q, 10, probes).select("query_id", "id", F.lit(1).alias("found"))
+    both = vector.knn(e, q, 10).join(near, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query(f"WITH {bm25("'thatea', 'ering', 'with'", DOC_TOKENS)} SELECT id, round(score, 6) AS score FROM sc")
+def search_stored(spark, sf_dir):
+    """The same words as search_match, from an index that was written."""
+    path = new_folder(spark, "text-index")
+    search.store_index(docs_index(spark, sf_dir), path)
+    return rounded(search.match(search.open_index(spark, path, "doc_id"), "text", "Thatea ering with", None))
 
 
 @query("SELECT doc_id, text, true AS hidden FROM documents")

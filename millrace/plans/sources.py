@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.cdc import latest_per_key
+from millrace.plans.batch import TABLES
 from millrace.plans.registry import K, events, new_folder, query, table
 from millrace.sources import parsers, readers, sinks
 
@@ -99,8 +100,7 @@ def archive_fields(spark, sf_dir):
 @query("SELECT event_type || '+' || CAST(user_id % 3 AS VARCHAR) || '+' || CAST(event_id AS VARCHAR) AS _id FROM events")
 def doc_id_sink(spark, sf_dir):
     path = new_folder(spark, "index")
-    sinks.write_index(log(spark, sf_dir), path)
-    return spark.read.parquet(path).select("_id")
+    return sinks.write_index(log(spark, sf_dir), path).select("_id")
 
 
 @query("SELECT event_id % 4 <> 0 AS good, count(*) AS n FROM events GROUP BY 1")
@@ -131,8 +131,9 @@ def roundtrip_kv(spark, sf_dir):
 @query("SELECT CAST(user_id AS VARCHAR) AS _id, max(event_id) AS \"offset\" FROM events GROUP BY user_id")
 def roundtrip_index(spark, sf_dir):
     path = new_folder(spark, "index")
-    sinks.write_index(log(spark, sf_dir), path, "key")
-    return spark.read.parquet(path).select("_id", "offset")
+    records = log(spark, sf_dir)
+    sinks.write_index(records.where("offset % 2 = 1"), path, "key")
+    return sinks.write_index(records.where("offset % 2 = 0"), path, "key").select("_id", "offset")
 
 
 @query("SELECT event_type AS measurement, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -150,11 +151,11 @@ def roundtrip_vectors(spark, sf_dir):
     return readers.read_keyed(spark, path, ["vec_id", "label", "embedding"]).select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey BETWEEN 100 AND 200")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def roundtrip_sorted(spark, sf_dir):
     path = new_folder(spark, "sorted")
     sinks.write_sorted(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), path, ["l_orderkey", "l_linenumber"])
-    return spark.read.parquet(path).where("l_orderkey between 100 and 200").orderBy("l_orderkey", "l_linenumber")
+    return spark.read.parquet(path)
 
 
 @query("SELECT event_id, user_id, value FROM events")
@@ -163,17 +164,19 @@ def event_envelope(spark, sf_dir):
     return out.select(F.from_json("value", "event struct<event_id: long, user_id: long, value: double>").alias("e")).select("e.event.*")
 
 
-@query("SELECT event_type AS metric, CAST(user_id % 10 AS VARCHAR) AS host, count(*) AS points FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS metric, CAST(user_id % 10 AS VARCHAR) AS host, strftime(ts, '%Y-%m-%d') AS day, count(*) AS points FROM events GROUP BY 1, 2, 3")
 def metric_series(spark, sf_dir):
     ev = events(spark, sf_dir).withColumn("host", F.col("user_id") % 10)
     parsed = F.from_json("payload", "metric string, points array<struct<timestamp: long, value: double>>, resources array<struct<name: string, type: string>>")
-    return sinks.to_metric_series(ev, "event_type", "ts", "value", "host").select(parsed.alias("p")).select("p.metric", F.get("p.resources", F.lit(0))["name"].alias("host"), F.size("p.points").cast("long").alias("points"))
+    series = sinks.to_metric_series(ev, "event_type", "ts", "value", "host").select(parsed.alias("p"))
+    first = F.timestamp_seconds(F.get("p.points", F.lit(0))["timestamp"])
+    return series.select("p.metric", F.get("p.resources", F.lit(0))["name"].alias("host"), F.date_format(first, "yyyy-MM-dd").alias("day"), F.size("p.points").cast("long").alias("points"))
 
 
-@query("""SELECT 'nation' AS "table", count(*) AS rows, 3 AS nullable FROM nation UNION ALL SELECT 'region', count(*), 2 FROM region UNION ALL SELECT 'orders', count(*), 6 FROM orders""")
+@query("""SELECT "table", rows, CAST(n AS INTEGER) AS nullable FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n FROM {t}" for t in TABLES) + ")")
 def copy_schema(spark, sf_dir):
-    names = ("nation", "region", "orders")
-    report = readers.copy_schema(spark, {n: table(spark, sf_dir, n) for n in names}, new_folder(spark, "copy"))
+    """Every table."""
+    report = readers.copy_schema(spark, {t: table(spark, sf_dir, t) for t in TABLES}, new_folder(spark, "copy"))
     return report.select("table", "rows", F.size("nullable_cols").alias("nullable"))
 
 

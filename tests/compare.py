@@ -1,7 +1,11 @@
 """Rows of two tables as comparable text, whatever their order."""
 
+import datetime as dt
+from decimal import Decimal
+
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,14 +19,22 @@ def connect(sf_dir: str):
 
 
 def cell(x) -> str:
-    if x is None or (not hasattr(x, "__len__") and pd.isna(x)):
+    if x is None:
         return ""
+    if isinstance(x, Decimal):
+        return str(int(x)) if x == int(x) else cell(float(x))
     if isinstance(x, float):
         return repr(round(x, 6) + 0.0)
-    return str(list(x)) if hasattr(x, "tolist") and hasattr(x, "__len__") and not isinstance(x, str) else str(x)
-
-
-def rows(df: pd.DataFrame) -> list[tuple]:
-    whole = {c: df[c].isna().any() and df[c].dropna().map(lambda x: isinstance(x, float) and x == int(x)).all() for c in df.columns}
-    cols = [df[c].map(lambda x, w=whole[c]: cell(int(x) if w and not pd.isna(x) else x)) for c in sorted(df.columns)]
-    return sorted(zip(*cols, strict=True)) if len(df) else []
+    if isinstance(x, dt.datetime):
+        return str(x.replace(tzinfo=None))
+    if isinstance(x, list):
+        return str([cell(y) for y in x])
+    return str(x)
+
+
+def rows(table: pa.Table | pd.DataFrame) -> list[tuple]:
+    """Cells by the types of Arrow, so that a null doesn't turn a column of whole numbers into another kind."""
+    if isinstance(table, pd.DataFrame):
+        table = pa.Table.from_pandas(table, preserve_index=False)
+    columns = [[cell(x) for x in table.column(c).to_pylist()] for c in sorted(table.column_names)]
+    return sorted(zip(*columns, strict=True)) if table.num_rows else []

@@ -1,13 +1,16 @@
 """Operators on small frames with results known by hand."""
 
 import datetime as dt
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import cdc, charts, reports, search, timeseries, transforms, vector, windows
-from millrace.sources import parsers, sinks
+from millrace.sources import keyed, parsers, readers, sinks
+from millrace.streaming import stateful, streams
 
 
 def one(df):
@@ -113,6 +116,11 @@ def test_scalars(spark):
     assert tuple(df.first()) == ("237.49 MiB", (1 << 32) + 10, "01:01:01", "12", 1.24, "2024-01-02 03:04:05.678")
 
 
+def test_canonical_json_of_nested_records(spark):
+    df = spark.createDataFrame([(({"z": 1, "a": None}, [(2, "x"), None]),)], "r struct<m: map<string, int>, l: array<struct<n: int, b: string>>>")
+    assert df.select(scalars.canonical_json(df, ["r"])).first()[0] == '{"r": {"l": [{"b": "x", "n": 2}, null], "m": {"a": null, "z": 1}}}'
+
+
 def test_canonical_json(spark):
     df = spark.createDataFrame([(1, "x", None)], "b int, a string, c double")
     assert df.select(scalars.canonical_json(df, ["b", "a", "c"])).first()[0] == '{"a": "x", "b": 1, "c": null}'
@@ -128,11 +136,87 @@ def test_parsers(spark):
     assert sorted(one(ragged.select("x", "y", "z")), key=str) == [("a", "b", "c"), ("a", None, None)]
 
 
+def test_lines_with_escapes_and_quotes(spark):
+    lines = ['my\\ disk,path=/a\\,b,k\\=x=v\\ w free=5i,note="a, b=\\"c\\" d",ok=t,free=7u 12', 'm f="",g=1e3', "m,=x f=1", 'm f="open', "m"]
+    out = [tuple(r) for r in parsers.parse_line_protocol(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert out == [("my disk", {"path": "/a,b", "k=x": "v w"}, {"free": 7.0, "ok": 1.0}, {"note": 'a, b="c" d'}, 12), ("m", {}, {"g": 1000.0}, {"f": ""}, None)]
+    text = ['http{path="/a,b{c}",say="\\"hi\\""} 3 99', 'up{} 1', 'bad{x=1} 2']
+    out = [tuple(r) for r in parsers.parse_exposition(spark.createDataFrame([(x,) for x in text], "value string")).collect()]
+    assert out == [("http", {"path": "/a,b{c}", "say": '"hi"'}, 3.0), ("up", {}, 1.0)]
+
+
+def test_log_written_by_a_stream(spark, tmp_path):
+    spark.range(20).select(F.col("id").cast("string").alias("value")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("value string").parquet(str(tmp_path / "in"))
+    sinks.write_log(stream, "t", str(tmp_path / "log"), checkpoint=str(tmp_path / "check")).awaitTermination()
+    back = readers.read_log(spark, ["t"], str(tmp_path / "log"), streaming=False, schema=spark.read.parquet(str(tmp_path / "log")).schema)
+    assert back.count() == 20 and readers.read_log(spark, ["u"], str(tmp_path / "log"), streaming=False, schema=back.schema).count() == 0
+
+
 def test_missing_packages_are_named(spark):
     with pytest.raises(RuntimeError, match="spark-avro"):
         parsers.decode_registry_avro(spark.createDataFrame([(b"\0\0\0\0\1x",)], "value binary"), '"string"')
 
 
+def test_words_of_marks_and_repeated_words(spark):
+    texts = [("d1", "cafe\u0301 in the rain"), ("d2", "the thing"), ("d3", "the the end"), ("d4", "of the and the of")]
+    index = search.build_index(spark.createDataFrame(texts, "id string, text string"), "id", ["text"])
+    assert search.words_of("Cafe\u0301, rain") == ["cafe\u0301", "rain"]
+    assert [r.id for r in search.match(index, "text", "cafe\u0301").collect()] == ["d1"]
+    assert sorted(one(search.match_phrase(index, "text", "the the", 1))) == [("d3",), ("d4",)]
+    assert sorted(one(search.match_phrase(index, "text", "the the", 0))) == [("d3",)]
+    assert sorted(one(search.match_phrase(index, "text", "the and the", 0))) == [("d4",)]
+    assert sorted(one(search.match_bool_prefix(index, "text", "teh ra", 1).select("id"))) == [("d1",), ("d2",), ("d3",), ("d4",)]
+
+
+def test_stored_index_answers_alike(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_type")
+    live = search.build_index(df, "p_partkey", ["p_name", "p_type"])
+    search.store_index(live, str(tmp_path / "index"))
+    back = search.open_index(spark, str(tmp_path / "index"), "p_partkey")
+    for run in (lambda i: search.match(i, "p_name", "red bolt", None), lambda i: search.multi_match(i, ["p_name", "p_type"], "red economy", None)):
+        a, b = ({r.id: round(r.score, 9) for r in run(i).collect()} for i in (live, back))
+        assert a == b and a
+    assert sorted(one(search.match_phrase(back, "p_name", "red bolt", 1))) == sorted(one(search.match_phrase(live, "p_name", "red bolt", 1)))
+    assert sorted(one(search.suggest(back, "p_name", "widgit"))) == sorted(one(search.suggest(live, "p_name", "widgit")))
+
+
+def test_relational_source_in_ranges(spark):
+    url, driver = "jdbc:derby:memory:shop;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1, 101).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME"))
+    rows.write.jdbc(url, "ITEMS", "overwrite", {"driver": driver})
+    back = readers.read_jdbc(spark, url, "ITEMS", "ID", (1, 100), 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(one(back.select("ID", "NAME"))) == sorted(one(rows))
+    with pytest.raises(RuntimeError, match="driver"):
+        readers.read_jdbc(spark, "jdbc:none:x", "t", driver="no.such.Driver")
+
+
+def test_table_sizes_order(spark):
+    names = ("orders", "lineitem", "nation")
+    out = reports.table_sizes(readers.parquet_files(spark, {n: f"/root/testdata/sf0.001/{n}.parquet" for n in names})).collect()
+    assert [r.table for r in out] == ["lineitem", "orders", "nation"]
+    assert all(r.compressed_bytes == os.path.getsize(f"/root/testdata/sf0.001/{r.table}.parquet") and r.ratio > 0 and r.parts == 1 for r in out)
+
+
+def test_actor_summary_counts_names(spark):
+    actors = spark.createDataFrame([(1, "A", "B"), (2, "C", "D"), (3, "E", "F")], "id int, first_name string, last_name string")
+    roles = spark.createDataFrame([(1, 10, 1), (1, 10, 5), (1, 11, 2), (2, 12, 3), (2, 99, 4)], "actor_id int, movie_id int, created_at int")
+    movies = spark.createDataFrame([(10, 4.0), (11, 7.0), (12, None)], "id int, rank double")
+    genres = spark.createDataFrame([(10, "x"), (10, "y"), (11, "x")], "movie_id int, genre string")
+    led = spark.createDataFrame([(10, 7), (10, 8), (11, 9), (99, 7)], "movie_id int, director_id int")
+    directors = spark.createDataFrame([(7, "same"), (8, "same"), (9, "other")], "id int, name string")
+    out = {r.id: tuple(r)[1:] for r in reports.actor_summary(actors, roles, movies, genres, led, directors).collect()}
+    # Movie 10 is joined twice two by two times: 8 rows of rank 4, one of rank 7.
+    assert out == {1: ("A B", 2, 39 / 9, 2, 2, 5), 2: ("C D", 1, None, 0, 1, 4)}
+
+
+def test_heartbeats_across_spans(spark):
+    beats = [("a", "b", t) for t in (0, 100, 3_599_000, 9_000_000, 9_000_500)] + [("a", "c", 5)]
+    out = {r.target: tuple(r)[2:] for r in windows.heartbeat_health(spark.createDataFrame(beats, "source string, target string, ts long"), 5_401_000).collect()}
+    assert out == {"b": (5, 5_401_000, 9_000_500, True), "c": (1, 0, 5, True)}
+
+
 def test_buildings_searches(spark):
     df = spark.createDataFrame([("b1", "A modern office building with open spaces", 1999, True), ("b2", "Old tower", 1950, False)], "id string, description string, built_year int, in_use boolean")
     index = search.build_index(df, "id", ["description"])
@@ -145,15 +229,35 @@ def test_buildings_searches(spark):
     assert one(search.suggest(index, "description", "oficce").select("suggestion")) == [("office",)]
 
 
-def test_vector_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    queries = df.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    exact = vector.knn(df, queries, 10).select("query_id", "id")
-    indexed, centroids = vector.ivf_build(df, 8)
-    near = vector.ivf_search(indexed, centroids, queries, 10, 4).select("query_id", "id")
-    assert exact.join(near, ["query_id", "id"]).count() >= 0.8 * exact.count()
+def test_neighbours_in_groups_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 8)).round(2)
+    vectors[40:44] = vectors[3]
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)] + [(200, None, 0), (201, [], 0), (None, vectors[0].tolist(), 0), (202, [0.0] * 8, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = df.where("vec_id % 9 = 0 or vec_id = 202").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(vector, "GROUP_BYTES", 64 * 3)
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    known = {i: np.array(v) for i, v, _ in rows if i is not None and v}
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
+    metrics = {"l2": lambda a, b: ((a - b) ** 2).sum(), "dot": lambda a, b: -(a * b).sum(), "cosine": lambda a, b: 1 - (unit(a) * unit(b)).sum()}
+    for metric, d in metrics.items():
+        for where, keep in ((None, lambda i: True), ("label = 1", lambda i: i % 2 == 1 or i == 202)):
+            got = {(r.query_id, r["rank"]): r.distance for r in vector.knn(df, queries, 5, metric, where).collect()}
+            want = {}
+            for q in (i for i in known if i % 9 == 0 or i == 202):
+                for rank, x in enumerate(sorted(d(known[q], v) for i, v in known.items() if keep(i))[:5], 1):
+                    want[q, rank] = x
+            assert got.keys() == want.keys()
+            assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    ties = [r.id for r in vector.knn(df, queries.where("false").unionByName(df.where("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))), 3).orderBy("rank").collect()]
+    assert ties == [3, 40, 41]
     with pytest.raises(ValueError):
-        vector.knn(df, queries, 10, broadcast_rows=3)
+        vector.knn(df, queries, 5, "manhattan")
+    assert vector.knn(df.where("false"), queries, 5).count() == 0
+    indexed, centroids = vector.ivf_build(df.where("vec_id < 200"), 6)
+    exact = one(vector.knn(df.where("vec_id < 200"), queries, 5).orderBy("query_id", "rank"))
+    assert one(vector.ivf_search(indexed, centroids, queries, 5, 1, exact=True).orderBy("query_id", "rank")) == exact
 
 
 def test_range_query_lookback(spark):
@@ -163,12 +267,87 @@ def test_range_query_lookback(spark):
     assert [(r.step_ts.minute, r.value) for r in out.orderBy("step_ts").collect()] == [(0, 1.0), (1, 1.0), (2, 2.0), (3, 2.0)]
 
 
-def test_versioned_upsert_is_idempotent(spark, tmp_path):
+def test_upsert_rewrites_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, v int, x string")
     for _ in range(2):
         out = sinks.upsert_by_key(df, path, ["k"], ["v"])
     assert one(out) == [(1, 2, "b")]
+    sinks.upsert_by_key(spark.range(100).select(F.col("id").cast("int").alias("k"), F.lit(5).alias("v"), F.lit("c").alias("x")), path, ["k"], ["v"])
+    before = set(os.listdir(f"{path}/v00000002"))
+    sinks.upsert_by_key(spark.createDataFrame([(7, 9, "d"), (7, 1, "z")], "k int, v int, x string"), path, ["k"], ["v"])
+    assert len([n for n in os.listdir(f"{path}/v00000003") if n.startswith("_bucket=")]) == 1 < len(before)
+    table = keyed.read(spark, path)
+    assert table.count() == 100 and one(table.where("k = 7")) == [(7, 9, "d")]
+    for v in (10, 11, 12):
+        sinks.upsert_by_key(spark.createDataFrame([(7, v, "e")], "k int, v int, x string"), path, ["k"], ["v"])
+    # Two manifests and what they name are kept.
+    assert keyed.versions(spark, path) == [5, 6]
+    assert not os.path.exists(f"{path}/v00000003") and os.path.exists(f"{path}/v00000002")
+    assert keyed.read(spark, path).count() == 100
+
+
+def test_index_adds_to_what_is_there(spark, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "topic string, partition int, offset long, key string, value string"
+    sinks.write_index(spark.createDataFrame([("t", 0, 5, "a", "new"), ("t", 0, 6, "b", "x")], schema), path, "key")
+    out = sinks.write_index(spark.createDataFrame([("t", 0, 1, "a", "old"), ("t", 0, 9, "c", "y")], schema), path, "key")
+    assert sorted(one(out.select("_id", "value"))) == [("a", "new"), ("b", "x"), ("c", "y")]
+
+
+def test_changes_in_any_order(spark, tmp_path):
+    start = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")
+    log = [((1, "a"), (1, "A"), 1), ((2, "b"), None, 2), (None, (4, "d"), 3), ((3, "c"), (5, "c"), 4), ((4, "d"), None, 5), (None, (2, "again"), 6), ((2, "again"), (2, "last"), 7)]
+    for n, order in enumerate((range(7), reversed(range(7)), (3, 6, 0, 5, 2, 4, 1, 6, 3))):
+        write = streams.cdc_batches(str(tmp_path / f"t{n}"), ["id", "x"], ["id"], ["ts_ms"], start)
+        for step, i in enumerate(order):
+            write(changes(spark, [log[i]]), step)
+        assert sorted(one(streams.current_table(spark, str(tmp_path / f"t{n}")))) == [(1, "A"), (2, "last"), (5, "c")]
+
+
+def _files_in_time_order(folder, names):
+    for i, name in enumerate(names):
+        os.utime(f"{folder}/{name}", (1_700_000_000 + i * 10,) * 2)
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_breaches_whatever_file_comes_first(spark, tmp_path, backwards):
+    t0 = dt.datetime(2024, 1, 1)
+    values = [96.6, 45.3, 45.3, 35.8, 70.0, 35.8, 12.0, 59.9, 60.0, 1.0, 2.0, 3.0]
+    schema = "ts timestamp, event_id long, user_id long, value double"
+    rows = [(t0 + dt.timedelta(minutes=i), i, i % 2, v) for i, v in enumerate(v for v in values for _ in (0, 1))]
+    for f in range(4):
+        spark.createDataFrame(rows[f * 6 : f * 6 + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    names = [n for n in os.listdir(tmp_path / "in") if n.endswith(".parquet")]
+    first = {n: spark.read.parquet(str(tmp_path / "in" / n)).agg(F.min("event_id")).first()[0] for n in names}
+    _files_in_time_order(tmp_path / "in", sorted(names, key=first.get, reverse=backwards))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with stateful.rocksdb(spark):
+        out = stateful.breach_stream(stream, 60, 3, "1 day")
+        streams.drain(out, streams.write_batch(str(tmp_path / "out")), str(tmp_path / "check"))
+        spark.createDataFrame([(t0 + dt.timedelta(days=9), None, -1, None)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.drain(out, streams.write_batch(str(tmp_path / "out")), str(tmp_path / "check"))
+    got = {r.event_id: (r.counter, r.fires) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want, run = {}, {0: 0, 1: 0}
+    for _, i, user, v in rows:
+        run[user] = run[user] + 1 if int(v) < 60 else 0
+        want[i] = (run[user], run[user] >= 3)
+    assert got == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
+def test_retries_until_it_works():
+    calls = []
+
+    def fails_twice(_, batch_id):
+        calls.append(batch_id)
+        if len(calls) < 3:
+            raise OSError
+
+    sinks.with_retry(fails_twice, 3, 0)(None, 5)
+    assert calls == [5, 5, 5]
+    with pytest.raises(OSError):
+        sinks.with_retry(lambda *_: (_ for _ in ()).throw(OSError()), 1, 0)(None, 1)
 
 
 def test_write_vectors_checks_length(spark, tmp_path):
