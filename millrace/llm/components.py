@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared_files import stored
+from millrace.llm.shared_files import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node that can be reached.
 
     Each round takes the smallest label among a node's neighbours and then the label of that label, so the number of rounds
-    grows with the logarithm of a path's length in practice. Rounds are tables in the shared folder; only
+    grows with the logarithm of a path's length in practice. Rounds are tables in the scratch folder; only
     the number of changed labels comes to the driver.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = stored(both, "links")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    edges = scratch.stored(both, "links")
+    labels = scratch.stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        new = scratch.stored(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("was <> label").limit(1).count() == 0:
             return labels

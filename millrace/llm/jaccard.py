@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.pieces import rows_of
-from millrace.llm.shared_files import new_path, partitions_for, stored
+from millrace.llm.shared_files import Scratch, partitions_for, stored
 from millrace.llm.shingles import shingle_sets
 from millrace.llm.textarrays import U64, mix
 
@@ -34,7 +34,7 @@ FREQUENT = 1 << 20
 #: Seeds of the further orders.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
-FIRST_ROUNDS, SECOND_ROUNDS = 3, 2
+FIRST_ROUNDS, SECOND_ROUNDS = 1, 3
 #: Shingles that a task counts at a time.
 CHUNK = 2_000_000
 #: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
@@ -86,10 +86,10 @@ def survey(documents: DataFrame, width: int) -> DataFrame:
     return stored(documents.select("id", "node", "text").mapInArrow(run, "kind int, h long, n long, id long"), "shingle-survey")
 
 
-def frequent(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent(surveyed: DataFrame, scratch: Scratch, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the most frequent shingles, ``most`` at most. The counts cover all documents;
     they leave out what a chunk holds once, which no order needs to be exact."""
-    counted = stored(surveyed.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")), "shingle-counts")
+    counted = scratch.stored(surveyed.where("kind = 0").groupBy("h").agg(F.sum("n").alias("n")), "shingle-counts")
     sizes = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("m"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     total, least = 0, None
     for row in sizes:
@@ -171,9 +171,9 @@ def _fits(n_a, n_b, pos_a, pos_b, percent: int):
     return (small * 100 >= large * percent) & (room * (100 + percent) >= (n_a + n_b) * percent)
 
 
-def _pivot_pairs(buckets: DataFrame, order, percent: int) -> DataFrame:
+def _pivot_pairs(buckets: DataFrame, order, percent: int, scratch: Scratch) -> DataFrame:
     """Pivots are an aggregation, which combines before the shuffle; written, so that Spark can split a large bucket in the join."""
-    pivots = stored(buckets.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "comp"), order).alias("p")), "pivots")
+    pivots = scratch.stored(buckets.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "comp"), order).alias("p")), "pivots")
     fit = (F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), percent)
     return buckets.join(pivots, "token").where(fit).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -215,7 +215,7 @@ def _heads(hashes: np.ndarray, offsets: np.ndarray, percent: int, seed: int) ->
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens >> U64(8)).astype(np.uint32).view(np.int32)))
 
 
-def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int, parts: int) -> tuple[DataFrame, str]:
+def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int, parts: int, scratch: Scratch) -> tuple[DataFrame, str]:
     """(node, head0, head1, .., text) of the open nodes, and its name: a table in buckets by node with the prefixes under the
     further orders, so that later joins on node move only the other side."""
     spark = documents.sparkSession
@@ -228,7 +228,9 @@ def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int
 
     once = documents.select("node", "text").groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
     rows = once.select("node", "text").mapInArrow(run, f"node long, {', '.join(f'{h} array<int>' for h in heads)}, text string")
-    rows.repartition(parts, "node").write.option("compression", "zstd").bucketBy(parts, "node").sortBy("node").option("path", new_path(spark, "open-texts")).saveAsTable(name)
+    if parts != int(spark.conf.get("spark.sql.shuffle.partitions")):  # else the rows of a task are in few buckets already
+        rows = rows.repartition(parts, "node")
+    rows.write.option("compression", "zstd").bucketBy(parts, "node").sortBy("node").option("path", scratch.new_path("open-texts")).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -279,16 +281,17 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
             nodes = batch.column("node").to_numpy().view(U64)[rows]
             meet = np.where(often > 0, (mix(tokens ^ nodes) >> U64(2)) | APART, tokens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(meet.view(np.int64)), pa.array(tokens.view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
-                ["meet", "token", "node", "n", "comp", "often"],
+                [pa.array(meet.view(np.int64)), pa.array(np.where(often > 0, tokens, U64(0)).view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
+                ["meet", "hot", "node", "n", "comp", "often"],
             )
 
-    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, token long, node long, n int, comp long, often int").repartition(parts, "meet")
+    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, hot long, node long, n int, comp long, often int").where("meet is not null").repartition(parts, "meet")
     # As in the first order: both uses read all columns.
-    counts = tokens.groupBy("meet").agg(F.count("*").alias("df"), F.max("often").alias("known"), F.max(F.col("token") + F.col("n") + F.xxhash64("node", "comp") % 2).alias("all"))
+    counts = tokens.groupBy("meet").agg(F.count("*").alias("df"), F.max("often").alias("known"), F.max(F.col("hot") + F.col("n") + F.pmod("node", F.lit(2)) + F.pmod("comp", F.lit(2))).alias("all"))
     shared_ones = counts.where("(df > 1 or known > 0) and all is not null").select("meet", "df")
     counted = tokens.join(shared_ones.hint("shuffle_hash"), "meet")
-    placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df"))).drop("often", "meet")
+    placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df")))
+    placed = placed.withColumn("token", F.when(F.col("often") > 0, F.col("hot")).otherwise(F.col("meet"))).drop("often", "meet", "hot")
     own = Window.partitionBy("node")
     placed = placed.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
@@ -296,6 +299,10 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
     return rows.select("token", "node", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("rare"), "comp")
 
 
+def _empty(df: DataFrame) -> bool:
+    return df.limit(1).count() == 0
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, class) for every row. class: a number that exactly the rows of one
     component share; component_id: its smallest id; text_hash: xxhash64 of the text.
@@ -305,53 +312,65 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     Rows that repeat an id get the component of their own text. An empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark, "near-duplicates")
     text = F.coalesce(F.col(text_col), F.lit(""))
     documents = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     surveyed = survey(documents, width)
     # Prefixes are a fifth of the shingles, in rows of about 48 bytes.
     size = surveyed.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     parts = partitions_for(spark, size * 48 * (100 - percent) // 100)
-    shared = spark.sparkContext.broadcast(frequent(surveyed))
-    rows = prefixes(documents, width, percent, shared).repartition(parts, "token")
-    # Most tokens belong to one text; they go before anything is sorted. Both uses read all columns, so that Spark shuffles the rows once.
+    shared = spark.sparkContext.broadcast(frequent(surveyed, scratch))
+    # Most tokens belong to one text; they go before anything is sorted. Both uses read all columns under the same filter, so that
+    # Spark shuffles the rows once.
+    rows = prefixes(documents, width, percent, shared).where("token is not null").repartition(parts, "token")
     seen = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.col("pos") + F.col("n") + F.col("rare")).alias("all"))
     met = seen.where("lo <> hi and all > 0").select("token")
-    nodes = stored(rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"]), "shared-tokens")
-    buckets = stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
-    texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts)
-    labels = None
+    nodes = scratch.stored(rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"]), "shared-tokens")
+    buckets = scratch.stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
+    texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts, scratch)
+    labels = spark.createDataFrame([], "node long, comp long")
 
     def linked(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
         """Compares the pairs and renames the components that they join, in the labels and in the buckets that stay open."""
         nonlocal labels
-        links = stored(verified(pairs, texts, width, percent), "near-links")
+        links = scratch.stored(verified(pairs, texts, width, percent), "near-links")
+        if _empty(links):
+            return buckets
         of = buckets.select("node", "comp").distinct()
         between = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-        merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "comp")
-        if labels is None:
+        merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).withColumnRenamed("node", "comp")
+        if _empty(labels):
             labels = merged.select(F.col("comp").alias("node"), F.col("label").alias("comp"))
         else:
             moved = labels.join(merged, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
             new = merged.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("label").alias("comp"))
-            labels = stored(moved.unionByName(new), "component-labels")
+            labels = scratch.stored(moved.unionByName(new), "component-labels")
         renamed = buckets.join(merged, "comp", "left").select("token", "node", "n", "pos", "rare", F.coalesce("label", "comp").alias("comp"))
-        return stored(_open_buckets(renamed, percent), "buckets")
+        return scratch.stored(_open_buckets(renamed, percent), "buckets")
 
     for step in range(FIRST_ROUNDS):
+        if _empty(buckets):
+            break
         # First the text with the least of its own in the bucket, which most others are near to; then any.
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
-        buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
-    buckets = stored(_open_buckets(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared, parts), percent), "open-buckets")
+        buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
+    if not _empty(buckets):
+        rarest = scratch.stored(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared, parts), "rarest-tokens")
+        buckets = scratch.stored(_open_buckets(rarest, percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
+        if _empty(buckets):
+            break
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(-step)))
-        buckets = linked(buckets, _pivot_pairs(buckets, order, percent))
-    linked(buckets, _all_pairs(buckets, percent))
+        buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
+    if not _empty(buckets):
+        linked(buckets, _all_pairs(buckets, percent))
     spark.sql(f"DROP TABLE {table}")
     # Each side of these joins is a written table, so that Spark can split a class or a text with very many rows.
     sets = surveyed.where("kind = 1").select("id", F.col("h").alias("node"), "n")
     least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    labelled = stored(least.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("class")), "labelled-texts")
-    smallest = stored(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "component-ids")
+    labelled = scratch.stored(least.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("class")), "labelled-texts")
+    smallest = scratch.stored(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "component-ids")
     classes = stored(labelled.join(smallest, "class").select("node", "class", "component_id"), "classes")
+    scratch.close()
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return sets.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("text_hash"), "class")

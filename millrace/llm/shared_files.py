@@ -41,6 +41,25 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of its own in the shared one for tables that are only needed until a result is written; close() removes it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def new_path(self, name: str) -> str:
+        return f"{self.path}/{name}-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.new_path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions_for(spark: SparkSession, size: int) -> int:
     """Partitions of a shuffle of so many bytes: as the session sets it, or more where tasks would get more than TASK_BYTES."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
