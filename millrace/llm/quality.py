@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pieces import rows_of
 from millrace.llm.samples import stratified
-from millrace.llm.shared_files import stored
+from millrace.llm.shared_files import Scratch
 from millrace.llm.textarrays import BYTE_CODES, U64, ascii_lower, lengths_to_rows, mix, span_hashes, text_bytes, words
 
 #: Rows of each label that the network takes at most; dimensions; non-zeros of an index vector; words on each side.
@@ -177,7 +177,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample's size is bounded, so it may be broadcast. One row for each id bounds what the driver gets.
     one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = stored(one, "quality-sample")
+    scratch = Scratch(documents.sparkSession, "quality")
+    rows = scratch.stored(one, "quality-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 2 << 20):
@@ -193,6 +194,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     counted = texts.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()))).select("h").toArrow()
     if not top.num_rows:
+        scratch.close()
         return None
     vocabulary = Vectors(np.sort(top["h"].to_numpy().view(U64)), np.zeros((top.num_rows, DIM)))
 
@@ -234,6 +236,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = rows.schema["id"].dataType.simpleString()
     data = rows.mapInArrow(pooled, f"id {kind}, y int, x binary").orderBy("id", "x").toPandas()
+    scratch.close()
     if data.empty:
         return None
     x = np.stack([np.frombuffer(b) for b in data["x"]])

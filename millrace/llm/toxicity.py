@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm.pieces import rows_of
 from millrace.llm.samples import stratified
-from millrace.llm.shared_files import stored
+from millrace.llm.shared_files import Scratch
 from millrace.llm.textarrays import U64, ascii_lower, lengths_to_rows, runs, span_hashes, text_bytes, BYTE_CODES
 
 #: Word beginnings of so many bytes are features beside whole words.
@@ -150,6 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
     An id with several label rows has a category if one of them says so; of an id with several texts, one is taken.
     None where either value of the last category has no text.
     """
+    scratch = Scratch(documents.sparkSession, "toxicity")
     last, marks = categories[-1], [f"y{c}" for c in range(len(categories))]
     marked = labels.where(F.col(last).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("int").alias(y) for c, y in zip(categories, marks, strict=True)))
     share = {r[0]: r["n"] for r in marked.groupBy(marks[-1]).agg(F.count("*").alias("n")).collect()}
@@ -157,7 +158,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
     # The sample's size is bounded, so it may be broadcast. One row for each id bounds what the driver gets.
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     one = texts.join(F.broadcast(sample), "id").groupBy("id", *marks).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = stored(one.withColumn("fold", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(29)), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    rows = scratch.stored(one.withColumn("fold", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(29)), F.lit(FOLDS)).cast("int")), "toxicity-sample")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text", 4 << 20):
@@ -176,11 +177,12 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
     sizes = {(r["fold"], c, k): r[f"n{c}{k}"] for r in rows.groupBy("fold").agg(*(F.count(F.when(F.col(y) == k, 1)).alias(f"n{c}{k}") for c, y in enumerate(marks) for k in (0, 1))).collect() for c in range(len(marks)) for k in (0, 1)}
     total = lambda c, k, away: sum(n for (f, d, v), n in sizes.items() if (d, v) == (c, k) and f != away)
     if not total(len(marks) - 1, 0, -1) or not total(len(marks) - 1, 1, -1):
+        scratch.close()
         return None
     inside = lambda name, away: F.sum(F.when(F.col("fold") != away, F.col(name)).otherwise(0))
     models = [(c, away) for c in range(len(categories)) for away in range(-1, FOLDS)]
     held = rows.mapInArrow(present, "h long, fold int, " + ", ".join(f"{n} long" for n in names)).groupBy("h")
-    table = stored(held.agg(*(inside(f"{side}{c}", away).alias(f"{side}{c}_{away + 1}") for c, away in models for side in ("pos", "neg"))), "toxicity-features")
+    table = scratch.stored(held.agg(*(inside(f"{side}{c}", away).alias(f"{side}{c}_{away + 1}") for c, away in models for side in ("pos", "neg"))), "toxicity-features")
     best = None
     for c, away in models:
         pos, neg = F.col(f"pos{c}_{away + 1}"), F.col(f"neg{c}_{away + 1}")
@@ -201,6 +203,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
 
     kind = rows.schema["id"].dataType.simpleString()
     data = rows.mapInArrow(vectors, f"id {kind}, fold int, {', '.join(f'{y} int' for y in marks)}, places array<int>, counts array<int>").orderBy("id").toArrow()
+    scratch.close()
     x = np.zeros((data.num_rows, len(index.hashes)), np.float32)
     for i, (places, counts) in enumerate(zip(data["places"].to_pylist(), data["counts"].to_pylist(), strict=True)):
         x[i, places] = np.log1p(counts)
