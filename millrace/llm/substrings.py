@@ -42,7 +42,7 @@ LAST, SALTS = (1 << 63) - 1, 64
 #: So many of 2**SPARE anchors are taken for another one, which only adds stretches to compare.
 SPARE = 14
 #: An anchor with more stretches than this in different texts is split by windows; windows of these that are compared at a time.
-HOT, HOT_WINDOWS = 4096, 100_000
+HOT, HOT_WINDOWS = 1024, 100_000
 #: Texts of a chunk are numbered by so many bits.
 TEXT_BITS = 24
 
