@@ -35,8 +35,8 @@ FREQUENT = 1 << 20
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
 FIRST_ROUNDS, SECOND_ROUNDS = 1, 3
-#: Shingles that a task counts at a time.
-CHUNK = 2_000_000
+#: Shingles that a task counts at a time; bytes of text whose shingles it makes at a time.
+CHUNK, SLICE = 2_000_000, 1 << 20
 #: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
 TOKEN_BITS, APART = U64((1 << 48) - 1), U64(1 << 62)
 #: In the second order, frequent shingles come after all others.
@@ -71,7 +71,7 @@ def survey(documents: DataFrame, width: int) -> DataFrame:
         def rows(kind: int, h: pa.Array, n: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), h, pa.array(n.astype(np.int64)), ids], ["kind", "h", "n", "id"])
 
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", SLICE):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             yield rows(1, batch.column("node"), np.diff(offsets), batch.column("id"))
             for i, node in enumerate(batch.column("node").to_pylist()):
@@ -130,7 +130,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, shared) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(shared.value)
         seen: set[int] = set()
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", SLICE):
             fresh = []  # copies of a text have its tokens
             for i, node in enumerate(batch.column("node").to_pylist()):
                 if node not in seen:
@@ -222,7 +222,7 @@ def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int
     name, heads = f"open_texts_{uuid.uuid4().hex}", [f"head{i}" for i in range(len(ORDERS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", SLICE):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([batch.column("node"), *(_heads(hashes, offsets, percent, seed) for seed in ORDERS), batch.column("text")], ["node", *heads, "text"])
 
@@ -245,8 +245,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     candidates = pairs.join(left, "a").join(right, "b").where(agree).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, "text_a", 4 << 20):
-            for part in rows_of([batch], "text_b", 8 << 20):
+        for batch in rows_of(batches, "text_a", SLICE):
+            for part in rows_of([batch], "text_b", 2 * SLICE):
                 x, x_at = shingle_sets(part.column("text_a"), width)
                 y, y_at = shingle_sets(part.column("text_b"), width)
                 keep = np.zeros(part.num_rows, bool)
@@ -263,14 +263,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return candidates.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared, parts: int) -> DataFrame:
+def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """(token, node, n, pos, rare, comp): prefixes of the open texts with the tokens in order of how many open texts hold them;
     frequent shingles come last, by their count in all documents, so that they needn't meet to be counted.
     Tokens of one text come first and can't be shared, so they only take up places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(shared.value)
-        for batch in rows_of(batches, "text", 4 << 20):
+        for batch in rows_of(batches, "text", SLICE):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             n = np.diff(offsets)
             rows = np.repeat(np.arange(len(n)), n)
@@ -285,11 +285,8 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
                 ["meet", "hot", "node", "n", "comp", "often"],
             )
 
-    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, hot long, node long, n int, comp long, often int").where("meet is not null").repartition(parts, "meet")
-    # As in the first order: both uses read all columns.
-    counts = tokens.groupBy("meet").agg(F.count("*").alias("df"), F.max("often").alias("known"), F.max(F.col("hot") + F.col("n") + F.pmod("node", F.lit(2)) + F.pmod("comp", F.lit(2))).alias("all"))
-    shared_ones = counts.where("(df > 1 or known > 0) and all is not null").select("meet", "df")
-    counted = tokens.join(shared_ones.hint("shuffle_hash"), "meet")
+    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, hot long, node long, n int, comp long, often int")
+    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("meet"))).where("df > 1 or often > 0")
     placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df")))
     placed = placed.withColumn("token", F.when(F.col("often") > 0, F.col("hot")).otherwise(F.col("meet"))).drop("often", "meet", "hot")
     own = Window.partitionBy("node")
@@ -320,12 +317,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     size = surveyed.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     parts = partitions_for(spark, size * 48 * (100 - percent) // 100)
     shared = spark.sparkContext.broadcast(frequent(surveyed, scratch))
-    # Most tokens belong to one text; they go before anything is sorted. Both uses read all columns under the same filter, so that
-    # Spark shuffles the rows once.
+    # Most tokens belong to one text; they go before anything is sorted. Both uses read all columns under the same filter, and the
+    # join is an inner one (tokens are unique on its right), so that Spark shuffles the rows once.
     rows = prefixes(documents, width, percent, shared).where("token is not null").repartition(parts, "token")
     seen = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.col("pos") + F.col("n") + F.col("rare")).alias("all"))
     met = seen.where("lo <> hi and all > 0").select("token")
-    nodes = scratch.stored(rows.join(met.hint("shuffle_hash"), "token", "left_semi").dropDuplicates(["token", "node"]), "shared-tokens")
+    nodes = scratch.stored(rows.join(met.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"]), "shared-tokens")
     buckets = scratch.stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
     texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts, scratch)
     labels = spark.createDataFrame([], "node long, comp long")
@@ -355,7 +352,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
     if not _empty(buckets):
-        rarest = scratch.stored(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared, parts), "rarest-tokens")
+        rarest = scratch.stored(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared), "rarest-tokens")
         buckets = scratch.stored(_open_buckets(rarest, percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
         if _empty(buckets):
