@@ -183,7 +183,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(rank_path, pattern).table
-        for batch in rows_of(batches, text_col, 8 << 20):
+        for batch in rows_of(batches, text_col, 4 << 20):
             ids, offsets = table.text_ids(batch.column(text_col))
             yield _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), text_col)
 
