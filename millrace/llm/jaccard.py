@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.pieces import rows_of
-from millrace.llm.shared_files import Scratch, partitions_for, stored
+from millrace.llm.shared_files import Scratch, partitions_for, small_batches, stored
 from millrace.llm.shingles import shingle_sets
 from millrace.llm.textarrays import U64, mix
 
@@ -308,6 +308,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     Rows with a null id take part in links; a component that has no id at all has a null component_id.
     Rows that repeat an id get the component of their own text. An empty table gives no rows. Other columns are not read.
     """
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df, width, percent, id_col, text_col)
+
+
+def _near_duplicates(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -369,5 +374,6 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     smallest = scratch.stored(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "component-ids")
     classes = stored(labelled.join(smallest, "class").select("node", "class", "component_id"), "classes")
     scratch.close()
+    shared.unpersist()
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return sets.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("text_hash"), "class")
