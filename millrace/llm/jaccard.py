@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.pieces import rows_of
-from millrace.llm.shared_files import Scratch, partitions_for, small_batches, stored
+from millrace.llm.shared_files import Scratch, partitions_for, stored
 from millrace.llm.shingles import shingle_sets
 from millrace.llm.textarrays import U64, mix
 
@@ -36,7 +36,7 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
 FIRST_ROUNDS, SECOND_ROUNDS = 1, 3
 #: Shingles that a task counts at a time; bytes of text whose shingles it makes at a time.
-CHUNK, SLICE = 2_000_000, 1 << 20
+CHUNK, SLICE = 1_000_000, 1 << 19
 #: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
 TOKEN_BITS, APART = U64((1 << 48) - 1), U64(1 << 62)
 #: In the second order, frequent shingles come after all others.
@@ -106,17 +106,17 @@ def frequent(surveyed: DataFrame, scratch: Scratch, most: int = FREQUENT) -> tup
 
 
 class _Known:
-    """Counts of the frequent shingles, with a 2**24-bit sieve before the search."""
+    """Counts of the frequent shingles, with a sieve of 2**23 places before the search."""
 
     def __init__(self, known: tuple[np.ndarray, np.ndarray]):
         self.hot, self.counts = known
-        self.sieve = np.zeros(1 << 24, bool)
-        self.sieve[(self.hot >> U64(40)).astype(np.int64)] = True
+        self.sieve = np.zeros(1 << 23, bool)
+        self.sieve[(self.hot >> U64(41)).astype(np.int64)] = True
 
     def often(self, hashes: np.ndarray) -> np.ndarray:
         """The count of each shingle; 0 where it isn't frequent."""
         out = np.zeros(len(hashes), np.int64)
-        near = np.flatnonzero(self.sieve[(hashes >> U64(40)).astype(np.int64)])
+        near = np.flatnonzero(self.sieve[(hashes >> U64(41)).astype(np.int64)])
         if len(self.hot) and len(near):
             at = np.minimum(np.searchsorted(self.hot, hashes[near]), len(self.hot) - 1)
             out[near] = np.where(self.hot[at] == hashes[near], self.counts[at], 0)
@@ -308,11 +308,6 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     Rows with a null id take part in links; a component that has no id at all has a null component_id.
     Rows that repeat an id get the component of their own text. An empty table gives no rows. Other columns are not read.
     """
-    with small_batches(df.sparkSession):
-        return _near_duplicates(df, width, percent, id_col, text_col)
-
-
-def _near_duplicates(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     text = F.coalesce(F.col(text_col), F.lit(""))
