@@ -22,7 +22,7 @@ from millrace.llm.pieces import PieceTable, rows_of
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 #: Compatible pairs that are remembered before the memory is emptied.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 300_000
 
 
 class Codec:
@@ -44,7 +44,7 @@ class Codec:
         # The longest token that is a proper prefix of each token: where the encoder steps back to.
         self.shorter = [self._proper_prefix(token) for token in self.token]
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.table = PieceTable(self._encode_pieces)
 
     def _proper_prefix(self, token: bytes) -> int:
@@ -91,7 +91,7 @@ class Codec:
         Undoes the merges next to the seam, the last one first. If at some stage the two tokens at the
         seam have a merge of their own that comes before the one just undone, the seam would be gone.
         """
-        key = (left, right)
+        key = left * len(self.token) + right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
@@ -174,22 +174,34 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str)
     return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), values], [*names, name])
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns but the text, and ids array<int>.
+def _bytes_of(tokens: pa.Array, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids; offsets: where the lists begin and end."""
+    joined = tokens.take(ids)
+    ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+    cuts = (ends[offsets] - ends[0]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
 
-    A null or empty text has no ids; repeated rows stay; an existing column named like ids_col is
+
+def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """All columns but the text, and ids array<int>; with decoded_col also the bytes that decode() gives for these ids, in the
+    same pass, so that no second set of workers holds the vocabulary.
+
+    A null or empty text has no ids; repeated rows stay; an existing column named like ids_col or decoded_col is
     replaced. One pass without a shuffle, in slices of bounded bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(rank_path, pattern).table
+        own = codec(rank_path, pattern)
+        tokens = own.token_bytes() if decoded_col else None
         for batch in rows_of(batches, text_col, 4 << 20):
-            ids, offsets = table.text_ids(batch.column(text_col))
-            yield _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), text_col)
+            ids, offsets = own.table.text_ids(batch.column(text_col))
+            values = pa.array(ids)
+            out = _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), text_col)
+            yield _with_column(out, decoded_col, _bytes_of(tokens, values, offsets), "") if decoded_col else out
 
-    source = df.drop(ids_col)
+    source = df.drop(*(c for c in (ids_col, decoded_col) if c))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text_col]
-    return source.mapInArrow(run, ", ".join([*fields, f"`{ids_col}` array<int>"]))
+    return source.mapInArrow(run, ", ".join([*fields, f"`{ids_col}` array<int>", *([f"`{decoded_col}` binary"] if decoded_col else [])]))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -201,11 +213,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", by
             lists = batch.column(ids_col)
             start, stop = (lists.offsets[0].as_py(), lists.offsets[-1].as_py()) if len(lists) else (0, 0)
             offsets = lists.offsets.to_numpy().astype(np.int64) - start
-            joined = tokens.take(lists.values.slice(start, stop - start))
-            ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-            cuts = (ends[offsets] - ends[0]).astype(np.int32)
-            values = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
-            yield _with_column(batch, bytes_col, values, ids_col)
+            yield _with_column(batch, bytes_col, _bytes_of(tokens, lists.values.slice(start, stop - start), offsets), ids_col)
 
     source = df.drop(bytes_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != ids_col]
@@ -213,7 +221,6 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", by
 
 
 def encode_decode_digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) from encode() and decode()."""
-    coded = encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rank_path, pattern)
-    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
-    return decode(digests, rank_path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and of the bytes that these decode to."""
+    coded = encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rank_path, pattern, decoded_col="decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -60,6 +60,8 @@ def test_byte_bpe(spark, texts):
     for r in back:
         assert r.kept == enc.encode_ordinary(r.copy or "")
         assert bytes(r.decoded) == (r.copy or "").encode()
+    both = byte_bpe.encode(docs(spark, texts).withColumn("decoded", F.lit(1)), path, public_tokenizers.PATTERN, decoded_col="decoded").collect()
+    assert collections.Counter((tuple(r.ids), bytes(r.decoded)) for r in both) == collections.Counter((tuple(r.kept), bytes(r.decoded)) for r in back)
 
 
 def test_token_files(spark, texts, tmp_path):
