@@ -86,6 +86,18 @@ def test_offset_sync_golden_totals(spark):
     assert out[reports.SYNCED] == (0, 15864, 0, 12708, 28572)
 
 
+def test_offset_sync_filters_and_target_only_rows(spark):
+    source = spark.createDataFrame([("g1", "Stable", "t", 0, 10, 10), ("g2", "Empty", "t", 0, 5, 0), ("g3", "Stable", "t", 0, 7, 9)], "group string, group_state string, topic string, partition int, source_offset long, source_end long")
+    target = spark.createDataFrame([("g1", "t", 0, 8, 1), ("g4", "t", 0, 3, 0), ("g3", "t", 1, 4, 0)], "group string, topic string, partition int, target_offset long, target_lag long")
+    shown = reports.offset_sync_report(source, target).collect()
+    assert [(r.group, r.message, r.is_ok) for r in shown] == [("g3", f"{reports.NO_PARTITION} {reports.EXPECTED}", False)]
+    every = {(r.group, r.partition): (r.group_state, r.target_lag_to_source, r.message, r.is_ok) for r in reports.offset_sync_report(source, target, True, True).collect()}
+    assert every == {
+        ("g1", 0): ("Stable", 2, reports.SYNCED, True), ("g2", 0): ("Empty", None, reports.NO_GROUP, False), ("g3", 0): ("Stable", None, f"{reports.NO_PARTITION} {reports.EXPECTED}", False),
+        ("g4", 0): (None, None, reports.SYNCED, True), ("g3", 1): (None, None, reports.SYNCED, True),
+    }
+
+
 def test_throughput_guards(spark):
     schema = "group string, topic string, partition int, current_offset string"
     a = spark.createDataFrame([("g", "t", 0, "10"), ("g", "t", 1, "-"), ("g", "t", 2, "9"), ("idle", "t", 0, "5")], schema)
@@ -217,6 +229,24 @@ def test_heartbeats_across_spans(spark):
     assert out == {"b": (5, 5_401_000, 9_000_500, True), "c": (1, 0, 5, True)}
 
 
+def test_vector_record_defaults(spark):
+    df = spark.createDataFrame([('{"message": "m"}',), ('{"id": 5, "timestamp": "t", "data": {"category": "c", "value": 7}}',), ('{"id": "x", "data": {"value": "y"}}',)], "value string")
+    a, b = (transforms.to_vector_record(df, F.lit("now")).collect() for _ in range(2))
+    assert a == b
+    assert [(r.timestamp, r.message, r.category, r.value) for r in a] == [("now", "m", None, None), ("t", "", "c", 7), ("now", "", None, None)]
+    assert a[1].id == 5 and len({r.id for r in a}) == 3
+    assert transforms.to_vector_record(df).first().timestamp is not None
+
+
+def test_cast_of_every_kind(spark):
+    df = spark.createDataFrame([(1, 3_661_999, 5, 7, "2024-01-02T03:04:05Z", "eA==", "a,b", 9)], "d int, t int, ms long, us long, ts string, b string, s string, other int")
+    config = {"date_fields": ["d", "absent"], "time_fields": ["t"], "datetime_milli_fields": ["ms"], "datetime_micro_fields": ["us"], "timestamp_fields": ["ts"], "binary_fields": ["b"], "set_fields": ["s"]}
+    r = cdc.cast_cdc(df, config).first()
+    assert (r.d, r.t, r.b, r.s, r.other) == (dt.date(1970, 1, 2), "01:01:01", b"x", ["a", "b"], 9)
+    at = cdc.cast_cdc(df, config).select(*(F.col(c).cast("string") for c in ("ms", "us", "ts"))).first()
+    assert tuple(at) == ("1970-01-01 00:00:00.005", "1970-01-01 00:00:00.000007", "2024-01-02 03:04:05")
+
+
 def test_buildings_searches(spark):
     df = spark.createDataFrame([("b1", "A modern office building with open spaces", 1999, True), ("b2", "Old tower", 1950, False)], "id string, description string, built_year int, in_use boolean")
     index = search.build_index(df, "id", ["description"])
