@@ -157,6 +157,12 @@ class Codec:
             ends.append(len(ids))
         return np.array(ids, np.int32), np.diff(ends)
 
+    def forget(self) -> None:
+        """Empties the memories of pieces and pairs: an idle worker keeps the vocabulary alone."""
+        self.table.forget()
+        self.pairs.clear()
+        pa.default_memory_pool().release_unused()
+
     def token_bytes(self) -> pa.Array:
         """Bytes of every token, for decoding."""
         return pa.array(self.token, pa.large_binary())
@@ -193,11 +199,14 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
         tokens = own.token_bytes() if decoded_col else None
-        for batch in rows_of(batches, text_col, 4 << 20):
-            ids, offsets = own.table.text_ids(batch.column(text_col))
-            values = pa.array(ids)
-            out = _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), text_col)
-            yield _with_column(out, decoded_col, _bytes_of(tokens, values, offsets), "") if decoded_col else out
+        try:
+            for batch in rows_of(batches, text_col, 2 << 20):
+                ids, offsets = own.table.text_ids(batch.column(text_col))
+                values = pa.array(ids)
+                out = _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), text_col)
+                yield _with_column(out, decoded_col, _bytes_of(tokens, values, offsets), "") if decoded_col else out
+        finally:
+            own.forget()
 
     source = df.drop(*(c for c in (ids_col, decoded_col) if c))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text_col]
