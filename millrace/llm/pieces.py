@@ -109,3 +109,4 @@ def rows_of(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH
 
     for batch in batches:
         yield from byte_slices(batch, text_col, limit)
+    pa.default_memory_pool().release_unused()  # an idle worker gives its memory back
