@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, jaccard, language_id, quality, substrings, token_counts, token_files, topk, toxicity
+from millrace.llm import byte_bpe, decontaminate, jaccard, language_id, line_dedup, quality, substrings, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    kept = line_dedup.drop_lines(documents, line_dedup.keep_bitmaps(documents, least=10))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe, op12_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
         WITH RECURSIVE d AS MATERIALIZED (
@@ -102,6 +108,15 @@ ORACLE_SQL: dict[str, str] = {
             sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN cut USING (doc_id)
     """,
+    "op12_line_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+        l AS MATERIALIZED (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS line FROM d),
+        k AS MATERIALIZED (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS least FROM k WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT doc_id, i, line, f.least IS NOT NULL AND f.least <> doc_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
     "op2_topk": """
         WITH usable AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
