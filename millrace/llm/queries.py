@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, jaccard, language_id, line_dedup, quality, substrings, token_counts, token_files, topk, toxicity
+from millrace.llm import byte_bpe, decontaminate, jaccard, language_id, line_dedup, quality, substrings, token_counts, token_files, topk, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,28 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe, op12_line_dedup)}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given to the user, by the crc32 of their conversation and turn."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", word("role").alias("role"), word("text").alias("text"), F.pmod(F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn"))), F.lit(20)).alias("how"))
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("how") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where("how <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    found, edited = turn_repair.repairs(rows)
+    digests = turn_repair.repaired_digests(rows, edited)
+    named = found.join(digests.select(F.col("conv").alias("_conv"), "sha256"), F.col("conv").eqNullSafe(F.col("_conv")))
+    every = conversations.select("conv_id").distinct().join(named, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe, op12_line_dedup, op13_turn_repair)}
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
         WITH RECURSIVE d AS MATERIALIZED (
