@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, jaccard, language_id, line_dedup, quality, substrings, token_counts, token_files, topk, toxicity, turn_repair
+from millrace.llm import byte_bpe, decontaminate, hard_negatives, jaccard, language_id, line_dedup, quality, substrings, token_counts, token_files, topk, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     kept = line_dedup.drop_lines(documents, line_dedup.keep_bitmaps(documents, least=10))
@@ -98,7 +103,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe, op12_line_dedup, op13_turn_repair)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_topk, op3_token_counts, op4_language_id, op5_toxicity, op6_decontaminate, op7_token_files, op8_quality, op9_suffix_dedup, op10_byte_bpe, op11_hard_negatives, op12_line_dedup, op13_turn_repair)}
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
         WITH RECURSIVE d AS MATERIALIZED (
@@ -138,6 +143,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op11_hard_negatives": """
+        WITH e AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+        )
+        SELECT * FROM n WHERE rank <= 5
+    """,
     "op2_topk": """
         WITH usable AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
