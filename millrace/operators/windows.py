@@ -23,13 +23,15 @@ def price_range(ticks: DataFrame, width: str = "9 seconds", ts: str = "ts", symb
 
 
 def login_audit(logs: DataFrame, width: str = "30 seconds", ts: str = "ts", action: str = "login") -> DataFrame:
-    """Logins, distinct addresses and last login per user and tumbling window. In a stream the distinct addresses of a window are
-    a set in its state."""
-    distinct = F.size(F.collect_set("source_ip")).cast("long") if logs.isStreaming else F.count_distinct("source_ip")
-    w = logs.where(F.col("action") == action).groupBy(F.window(ts, width).alias("w"), "user_id")
-    return w.agg(F.count("*").alias("login_attempts"), distinct.alias("distinct_ips"), F.max(ts).cast("string").alias("time_since_last_login")).select(
-        F.col("w.start").alias("window_start"), "user_id", "login_attempts", "distinct_ips", "time_since_last_login"
-    )
+    """Logins, distinct addresses and last login per user and tumbling window. A stream is counted in two steps, so that its state has a row of
+    counts for each address of a window instead of a set for each window; windows come out in append mode, once the watermark has passed them."""
+    rows = logs.where(F.col("action") == action)
+    if logs.isStreaming:
+        each = rows.groupBy(F.window(ts, width).alias("w"), "user_id", "source_ip").agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+        w = each.groupBy(F.window(F.window_time("w"), width).alias("w"), "user_id").agg(F.sum("n").alias("login_attempts"), F.count("source_ip").alias("distinct_ips"), F.max("last").cast("string").alias("time_since_last_login"))
+    else:
+        w = rows.groupBy(F.window(ts, width).alias("w"), "user_id").agg(F.count("*").alias("login_attempts"), F.count_distinct("source_ip").alias("distinct_ips"), F.max(ts).cast("string").alias("time_since_last_login"))
+    return w.select(F.col("w.start").alias("window_start"), "user_id", "login_attempts", "distinct_ips", "time_since_last_login")
 
 
 def suspicious_logins(logins: DataFrame, audit: DataFrame, key: str = "user_id") -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.functions import scalars
 from millrace.operators import charts, windows
 from millrace.plans import batch
 from millrace.plans.cdc import APPLIED, REGION, changes, start_table
-from millrace.plans.registry import events, new_folder, query, table
+from millrace.plans.registry import K, events, new_folder, query, table
 from millrace.plans.sources import log
 from millrace.sources import readers, sinks
 from millrace.streaming import stateful, streams
@@ -23,6 +23,24 @@ def event_stream(spark, sf_dir, path: str, parts: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
+def ordered_stream(spark, sf_dir, path: str, files: int = 4) -> DataFrame:
+    """events as files that are written one after another, by ranges of their ids, and read in that order."""
+    rows = events(spark, sf_dir)
+    ends = rows.agg(F.min("event_id").alias("a"), F.max("event_id").alias("z")).first()
+    for i in range(files):
+        step = F.floor((F.col("event_id") - ends["a"]) * files / (ends["z"] - ends["a"] + 1))
+        rows.where(step == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def close_stream(spark, sf_dir, path: str, days: int, event_type: str | None = None) -> None:
+    """Appends a row of nobody from long after all others, which ends all waiting."""
+    rows = events(spark, sf_dir)
+    end = rows.agg((F.max("ts") + F.expr(f"interval {days} days")).alias("ts"))
+    closing = spark.createDataFrame([], rows.schema).unionByName(end, allowMissingColumns=True)
+    closing.withColumns({"user_id": F.lit(-1).cast(rows.schema["user_id"].dataType), "event_type": F.lit(event_type).cast("string")}).write.mode("append").parquet(f"{path}/in")
+
+
 def drained(spark, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     streams.drain(stream, streams.write_batch(f"{path}/out"), f"{path}/check", mode)
     return spark.read.parquet(f"{path}/out").drop("batch")
@@ -41,9 +59,14 @@ def price_range_stream(spark, sf_dir):
 
 @query(batch.LOGIN_AUDIT)
 def login_audit_stream(spark, sf_dir):
+    """Two aggregations in a chain; windows come out as the watermark passes them, the last ones after a closing row."""
     path = new_folder(spark, "audit")
-    windowed = windows.login_audit(batch.logs(event_stream(spark, sf_dir, path)).withWatermark("ts", "30 days"), "1 day", action="click")
-    streams.drain(windowed, streams.upsert_batches(f"{path}/out", ["user_id", "window_start"], ["login_attempts"]), f"{path}/check", "update")
+    logs = batch.logs(ordered_stream(spark, sf_dir, path)).withWatermark("ts", "1 hour")
+    write = streams.upsert_batches(f"{path}/out", ["user_id", "window_start"], ["login_attempts"])
+    windowed = windows.login_audit(logs, "1 day", action="click")
+    streams.drain(windowed, write, f"{path}/check", "append")
+    close_stream(spark, sf_dir, path, 9, "click")
+    streams.drain(windowed, write, f"{path}/check", "append")
     return batch.audit_shown(streams.serve(spark, f"{path}/out"))
 
 
@@ -64,19 +87,63 @@ def replicate_stream(spark, sf_dir):
 
 @query(batch.BREACH)
 def breach_stream(spark, sf_dir):
-    """All rows lie within the watermark's delay, so they may arrive in any order; a last row from long after ends the waiting."""
+    """Rows are released as the watermark, an hour behind the newest one, passes them; a last row from long after ends the waiting."""
     path = new_folder(spark, "breach")
-    stream = event_stream(spark, sf_dir, path)
+    stream = ordered_stream(spark, sf_dir, path)
     with stateful.rocksdb(spark):
-        breaches = stateful.breach_stream(stream, 60, 3, "40 days")
+        breaches = stateful.breach_stream(stream, 60, 3, "1 hour")
         streams.drain(breaches, streams.write_batch(f"{path}/out"), f"{path}/check")
-        end = events(spark, sf_dir).agg((F.max("ts") + F.expr("interval 90 days")).alias("ts"))
-        closing = spark.createDataFrame([], stream.schema).unionByName(end, allowMissingColumns=True).withColumn("user_id", F.lit(-1).cast(stream.schema["user_id"].dataType))
-        closing.write.mode("append").parquet(f"{path}/in")
+        close_stream(spark, sf_dir, path, 90)
         streams.drain(breaches, streams.write_batch(f"{path}/out"), f"{path}/check")
     return spark.read.parquet(f"{path}/out").select("event_id", "user_id", F.col("counter").cast("long"), "fires")
 
 
+@query(f"""WITH c AS (SELECT user_id, ts, 'g' || CAST({K} % 4 AS VARCHAR) AS genre, {K} % 5 = 0 AS gone FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view')
+    SELECT v.event_id, v.user_id, CASE WHEN c.gone THEN NULL ELSE c.genre END AS genre FROM v ASOF LEFT JOIN c ON v.user_id = c.user_id AND v.ts >= c.ts""")
+def changelog_join_stream(spark, sf_dir):
+    """Views with the genre that their user had at that time: the users' table is a stream of changes and deletions, which its purchases make."""
+    path = new_folder(spark, "changelog")
+    read = ordered_stream(spark, sf_dir, path)
+    views = read.where("event_type = 'view' or user_id = -1").select("ts", "event_id", "user_id")
+    stream = ordered_stream(spark, sf_dir, f"{path}/table").where("event_type = 'purchase' or user_id = -1")
+    changes = stream.select("ts", "user_id", F.concat(F.lit("g"), (F.col("k") % 4).cast("string")).alias("genre"), F.col("event_id").alias("offset"), (F.col("k") % 5 == 0).alias("deleted"))
+    with stateful.rocksdb(spark):
+        joined = stateful.changelog_join(views, changes, "user_id", "1 hour", shards=2)
+        streams.drain(joined, streams.write_batch(f"{path}/out"), f"{path}/check")
+        for folder in (path, f"{path}/table"):
+            close_stream(spark, sf_dir, folder, 90)
+        streams.drain(joined, streams.write_batch(f"{path}/out"), f"{path}/check")
+    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", "genre")
+
+
+RETRACTED = f"""WITH s AS (SELECT user_id AS song_id, arg_max(CASE WHEN {K} % 9 = 0 THEN '-' ELSE 'g' || CAST({K} % 4 AS VARCHAR) END, event_id) AS genre FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    p AS (SELECT user_id AS song_id, count(*) AS plays FROM events WHERE event_type <> 'purchase' GROUP BY 1), c AS (SELECT genre, song_id, plays FROM s JOIN p USING (song_id) WHERE genre <> '-')"""
+
+
+def _retracted(spark, sf_dir) -> DataFrame:
+    """Charts of a stream in which songs change their genre and are deleted again and again."""
+    path = new_folder(spark, "retracted")
+    rows = ordered_stream(spark, sf_dir, path)
+    genre = F.when(F.col("k") % 9 != 0, F.concat(F.lit("g"), (F.col("k") % 4).cast("string")))
+    songs = rows.where("event_type = 'purchase'").select(F.col("user_id").alias("song_id"), genre.alias("genre"), F.col("event_id").alias("version"))
+    plays = rows.where("event_type <> 'purchase'").select(F.col("user_id").alias("song_id"))
+    with stateful.rocksdb(spark):
+        streams.drain(stateful.retracting_charts(plays, songs, 5, 4), streams.retracting_chart_batches(f"{path}/out"), f"{path}/check")
+    return streams.retracting_chart(spark, f"{path}/out", 5)
+
+
+@query(f"{RETRACTED} SELECT genre, CAST(rank AS INTEGER) AS rank, song_id, plays FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY plays DESC, song_id) AS rank FROM c) WHERE rank <= 5")
+def retraction_chart_stream(spark, sf_dir):
+    """One stateful operator counts and sends pairs of old and new, a second keeps the charts."""
+    return _retracted(spark, sf_dir).where(F.col("chart") != stateful.ALL).select(F.col("chart").alias("genre"), "rank", "song_id", "plays")
+
+
+@query(f"{RETRACTED} SELECT CAST(row_number() OVER (ORDER BY plays DESC, song_id) AS INTEGER) AS rank, song_id, plays FROM c ORDER BY plays DESC, song_id LIMIT 5")
+def retraction_chart_stream_all(spark, sf_dir):
+    """The chart of all songs, from the same state."""
+    return _retracted(spark, sf_dir).where(F.col("chart") == stateful.ALL).select("rank", "song_id", "plays")
+
+
 TOP = """WITH c AS (SELECT event_type AS genre, user_id AS song_id, count(*) AS plays FROM events GROUP BY 1, 2)
     SELECT genre, CAST(rank AS INTEGER) AS rank, song_id, plays FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY plays DESC, song_id) AS rank FROM c) WHERE rank <= 5"""
 
@@ -170,6 +237,36 @@ def heartbeat_stream(spark, sf_dir):
     return streams.serve(spark, f"{path}/out")
 
 
+@query("""WITH h AS (SELECT CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, event_type AS source, 'u' || CAST(user_id % 3 AS VARCHAR) AS target FROM events),
+    g AS (SELECT *, lead(t) OVER (PARTITION BY source, target ORDER BY t) AS n FROM h)
+    SELECT source, target, 'alarm' AS kind, t AS last_ts, t + 7200000 AS at FROM g WHERE n IS NULL OR n - t > 7200000 UNION ALL SELECT source, target, 'back', t, n FROM g WHERE n - t > 7200000""")
+def heartbeat_alarm_stream(spark, sf_dir):
+    """An alarm two hours after the last beat of a pair, and the beat that ends it."""
+    path = new_folder(spark, "alarms")
+    rows = ordered_stream(spark, sf_dir, path)
+    beats = rows.select("ts", F.coalesce("event_type", F.lit("-")).alias("source"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("target"))
+    with stateful.rocksdb(spark):
+        alarms = stateful.absence_alarms(beats, 7_200_000, "1 hour", span_ms=3_600_000)
+        streams.drain(alarms, streams.write_batch(f"{path}/out"), f"{path}/check")
+        close_stream(spark, sf_dir, path, 90)
+        streams.drain(alarms, streams.write_batch(f"{path}/out"), f"{path}/check")
+    return spark.read.parquet(f"{path}/out").where("source <> '-'").select("source", "target", "kind", "last_ts", "at")
+
+
+@query("SELECT user_id, b AS batch, CAST(least(5, n - 5 * b) AS BIGINT) AS rows FROM (SELECT user_id, n, unnest(range((n + 4) // 5)) AS b FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1))")
+def count_or_time_stream(spark, sf_dir):
+    """Batches of five rows of a user, filled across micro-batches and a restart; what is left goes out when its time is over."""
+    path = new_folder(spark, "buffered")
+    rows = ordered_stream(spark, sf_dir, path).select("ts", "user_id", "event_id")
+    with stateful.rocksdb(spark):
+        out = stateful.buffered(rows, "user_id", 5, 400 * 86_400_000, "1 hour")
+        streams.drain(out, streams.write_batch(f"{path}/out"), f"{path}/check")
+        close_stream(spark, sf_dir, path, 900)
+        streams.drain(out, streams.write_batch(f"{path}/out"), f"{path}/check")
+    sent = spark.read.parquet(f"{path}/out").drop_duplicates(["event_id"]).where("user_id >= 0")
+    return sent.groupBy("user_id", F.col("sent_batch").alias("batch")).agg(F.count("*").alias("rows"))
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def processing_time_stream(spark, sf_dir):
     """Rows by the hour in which they are processed; none can be late, so the watermark has no delay. The counts of a user's hours add up."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -93,50 +95,341 @@ def top_n_stream(plays: DataFrame, n: int = 5, shards: int = 8) -> DataFrame:
     return dealt.groupBy("genre", "shard").transformWithStateInPandas(statefulProcessor=ChartProcessor(n), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
-class BreachCounter(StatefulProcessor):
-    """State of a key: breaches in a row, and the rows that wait. Rows are released in order of their time once the watermark has
-    passed them, so it doesn't matter in which order they arrive within the watermark's delay."""
+class Ordered(StatefulProcessor):
+    """Base of operators that need a key's rows in order of time. Rows (first column us, microseconds) wait in buckets of time, a state entry for each bucket and micro-batch;
+    a bucket's timer reads that bucket alone, once the watermark has passed it. So the order of arrival doesn't matter within the watermark's delay.
+    Subclasses implement due(), and passed() for what they do after any timer."""
 
-    def __init__(self, limit: int, threshold: int):
-        self.limit, self.threshold = limit, threshold
+    def __init__(self, columns: list[str], span_ms: int):
+        self.columns, self.span = columns, span_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "n int")
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, value double")
+        self.chunks = handle.getMapState("chunks", "bucket long, n long", "rows string")
+        self.sizes = handle.getMapState("sizes", "bucket long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
-            self.waiting.appendList(list(zip(part["ms"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)))
-            # When the last of these rows is due, all of them are.
-            self.handle.registerTimer(int(part["ms"].max()))
+            for bucket, some in part.groupby(part["us"] // (1000 * self.span)):
+                place = (int(bucket),)
+                n = self.sizes.getValue(place)[0] if self.sizes.containsKey(place) else 0
+                lists = [some[c].astype(object).where(some[c].notna(), None).tolist() for c in self.columns]
+                self.chunks.updateValue((int(bucket), n), (json.dumps(list(zip(*lists, strict=True))),))
+                self.sizes.updateValue(place, (n + 1,))
+                self.handle.registerTimer((int(bucket) + 1) * self.span)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= mark]
-        if not due:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        bucket = end // self.span - 1
+        rows = []
+        if self.sizes.containsKey((bucket,)):
+            for n in range(self.sizes.getValue((bucket,))[0]):
+                rows += json.loads(self.chunks.getValue((bucket, n))[0])
+                self.chunks.removeKey((bucket, n))
+            self.sizes.removeKey((bucket,))
+        rows.sort(key=lambda r: [(x is not None, x) for x in r])
+        yield from self.due(key, rows)
+        yield from self.passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def due(self, key, rows: list[list]) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        return iter([])
+
+    def waiting_from(self) -> int | None:
+        """Where the first bucket that still waits begins."""
+        return min((b[0] * self.span for b in self.sizes.keys()), default=None)
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(df: DataFrame, ts: str, delay: str, *columns: Any) -> DataFrame:
+    """ts, us and the columns of a stream; rows without a time can't be ordered and take no part."""
+    return df.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(ts, F.unix_micros(ts).alias("us"), *columns)
+
+
+def _key(*columns: str) -> Column:
+    """The key of a state as text: null keys, which Spark's Python workers may mix with others, become text too."""
+    return F.to_json(F.struct(*columns)).alias("_key")
+
+
+def _by_time(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class BreachCounter(Ordered):
+    """State of a key: breaches in a row, and the rows that wait."""
+
+    def __init__(self, limit: int, threshold: int, span_ms: int):
+        super().__init__(["us", "event_id", "value"], span_ms)
+        self.limit, self.threshold = limit, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.run = handle.getValueState("run", "n int")
+
+    def due(self, key, rows: list[list]) -> Iterator[pd.DataFrame]:
+        if not rows:
             return
-        if len(due) < len(rows):
-            self.waiting.put(rows[len(due) :])
-        else:
-            self.waiting.clear()
         n = self.run.get()[0] if self.run.exists() else 0
         counters = []
-        for _, _, value in due:
-            n = n + 1 if int(value) < self.limit else 0
+        for _, _, value in rows:
+            n = n + 1 if is_breach(value, self.limit) else 0
             counters.append(n)
         self.run.update((n,))
-        yield pd.DataFrame({"event_id": [r[1] for r in due], "user_id": key[0], "counter": counters, "fires": [c >= self.threshold for c in counters]})
+        yield pd.DataFrame({"event_id": [r[1] for r in rows], "user_id": json.loads(key[0]).get("user_id"), "counter": counters, "fires": [c >= self.threshold for c in counters]})
+
+
+def is_breach(value: float | None, limit: int) -> bool:
+    """A truncated value below the limit; null and NaN are none."""
+    if value is None or math.isnan(value):
+        return False
+    return value < limit if math.isinf(value) else int(value) < limit
+
+
+def breach_stream(df: DataFrame, limit: int, threshold: int, delay: str, span_ms: int = 3_600_000) -> DataFrame:
+    """(event_id, user_id, counter, fires) for every row of a stream of (ts, event_id, user_id, value), in order of ts and event_id of each
+    user. A row comes out when the watermark, which stays delay behind the newest row, has passed its span of time. A null value is no breach. Rows
+    without a time, and rows that come when the watermark has passed them, take no part."""
+    rows = _timed(df, "ts", delay, "event_id", _key("user_id"), F.col("value").cast("double").alias("value"))
+    return _by_time(rows, ["_key"], BreachCounter(limit, threshold, span_ms), "event_id long, user_id long, counter int, fires boolean")
+
+
+class ChangelogJoin(Ordered):
+    """State of a key: its table row, null where there is none, and the rows of both sides that wait."""
+
+    def __init__(self, span_ms: int):
+        super().__init__(["us", "side", "place", "payload"], span_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.row = handle.getValueState("row", "payload string")
+
+    def due(self, key, rows: list[list]) -> Iterator[pd.DataFrame]:
+        now = self.row.get()[0] if self.row.exists() else None
+        met = []
+        for _, side, _, payload in rows:
+            if side:
+                met.append((payload, now))
+            else:
+                now = payload
+        if now is None:
+            self.row.clear()
+        else:
+            self.row.update((now,))
+        if met:
+            yield pd.DataFrame({"event": [m[0] for m in met], "row": [m[1] for m in met]})
+
+
+#: Whole microseconds survive the way through JSON.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
+def changelog_join(events: DataFrame, changes: DataFrame, key: str, delay: str, order: str = "offset", ts: str = "ts", deleted: str = "deleted", shards: int = 1, span_ms: int = 3_600_000) -> DataFrame:
+    """Each event of a stream with the columns that its key had in a table at the event's time; the table is a stream of changes.
+
+    changes: ts, key, order, deleted (the key leaves the table) and the table's columns. A change counts for events of its time and later; of
+    changes of one time the one of the larger order counts. Events without a row in the table have nulls. Both sides wait until the
+    watermark, the earlier one of both streams, has passed them, so they may come in any order within the delay. shards deals the
+    events of a key to several states, each with a copy of the key's changes. Columns of the table that events have too get the suffix _table. A null key
+    meets nothing; rows without a time, or later than the watermark, take no part.
+    """
+    columns = [c for c in changes.columns if c not in (ts, key, order, deleted)]
+    named = {c: f"{c}_table" if c in events.columns else c for c in columns}
+    left = _timed(events.select(F.col(ts), F.struct(*events.columns).alias("e")), ts, delay, _key(f"e.{key}"), F.to_json("e", JSON).alias("payload"))
+    left = left.select("us", ts, "_key", F.pmod(F.xxhash64("payload"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("place"), "payload")
+    row = F.when(~F.coalesce(F.col(deleted), F.lit(False)), F.to_json(F.struct(*(F.col(c) for c in columns)), JSON))
+    right = _timed(changes.where(F.col(key).isNotNull()), ts, delay, _key(key), F.col(order).cast("long").alias("place"), row.alias("payload"))
+    right = right.select("us", ts, "_key", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("side"), "place", "payload")
+    joined = _by_time(left.unionByName(right), ["_key", "shard"], ChangelogJoin(span_ms), "event string, row string")
+    event, held = F.from_json("event", events.schema, JSON), F.from_json("row", changes.select(*columns).schema, JSON)
+    return joined.select(event.alias("e"), held.alias("t")).select("e.*", *(F.col(f"t.{c}").alias(n) for c, n in named.items()))
+
+
+class SongCounts(StatefulProcessor):
+    """State of a song: its genre by its newest change, and its plays. Emits what a chart loses and gains: (chart, song_id, old, new), null for not in it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.song = handle.getValueState("song", "genre string, version long, plays long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        genre, version, plays = self.song.get() if self.song.exists() else (None, None, 0)
+        before = (genre, plays)
+        for part in rows:
+            plays += int((part["version"].isna()).sum())
+            songs = part[part["version"].notna()]
+            if len(songs):
+                newest = songs.loc[songs["version"].idxmax()]
+                if version is None or int(newest["version"]) >= version:
+                    version, genre = int(newest["version"]), newest["genre"] if isinstance(newest["genre"], str) else None
+        self.song.update((genre, version, plays))
+        was, now = (g if p else None for g, p in (before, (genre, plays)))
+        old, new = before[1], plays
+        pairs = [(was, old, new)] if was == now else [(was, old, None), (now, None, new)]
+        out = [(g, a, b) for g, a, b in pairs if g is not None and a != b]
+        if was is not None or now is not None:
+            both = (old if was is not None else None, new if now is not None else None)
+            out += [(ALL, *both)] if both[0] != both[1] else []
+        if out:
+            yield pd.DataFrame({"chart": [o[0] for o in out], "song_id": [key[0]] * len(out), "old": pd.array([o[1] for o in out], "Int64"), "new": pd.array([o[2] for o in out], "Int64")})
 
     def close(self) -> None:
         pass
 
 
-def breach_stream(df: DataFrame, limit: int, threshold: int, delay: str) -> DataFrame:
-    """(event_id, user_id, counter, fires) for every row of a stream of (ts, event_id, user_id, value), in order of ts and event_id of each
-    user. A row comes out when the watermark, which stays delay behind the newest row, has passed it."""
-    schema = "event_id long, user_id long, counter int, fires boolean"
-    rows = df.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), "event_id", "user_id", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=BreachCounter(limit, threshold), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+#: Name of the chart of all songs.
+ALL = ""
+
+
+class RetractingChart(StatefulProcessor):
+    """State of a chart's shard: the plays of its songs, and its first n. A song that rises or enters is compared with these alone; only where one of them falls or
+    leaves are the shard's songs looked at again."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "song_id long", "plays long")
+        self.best = handle.getListState("best", "song_id long, plays long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        agg = TopNAgg(self.n, dict(self.best.get()) if self.best.exists() else {})
+        again = False
+        for part in rows:
+            for song, old, new in zip(part["song_id"].tolist(), part["old"].tolist(), part["new"].tolist(), strict=True):
+                old, new = (None if x is None or x != x else int(x) for x in (old, new))
+                again |= song in agg.items and (new is None or (old is not None and new < old))
+                agg.remove(song)
+                if new is None:
+                    self.counts.removeKey((song,))
+                else:
+                    self.counts.updateValue((song,), (new,))
+                    agg.add(song, new)
+            agg = TopNAgg(self.n, dict(agg.result()))
+        if again:
+            for (song,), (plays,) in self.counts.iterator():
+                agg.add(song, plays)
+                if len(agg.items) > 64 * self.n:
+                    agg = TopNAgg(self.n, dict(agg.result()))
+        best = agg.result()
+        self.best.put([(s, p) for s, p in best]) if best else self.best.clear()
+        rest = [(None, None)] * (self.n - len(best))
+        songs, plays = zip(*best, *rest, strict=True)
+        yield pd.DataFrame({"chart": key[0], "shard": key[1], "rank": range(1, self.n + 1), "song_id": pd.array(songs, "Int64"), "plays": pd.array(plays, "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def retracting_charts(plays: DataFrame, songs: DataFrame, n: int = 5, shards: int = 8) -> DataFrame:
+    """(chart, shard, rank, song_id, plays): the first n of each shard of a chart that changed; ranks without a song have nulls. A chart is a genre, or ALL.
+
+    Two stateful operators: the first counts a song's plays, knows its genre and sends what changes as a pair of old and new; the second takes old
+    counts out and new ones in, so that a song which changes its genre leaves the one chart and enters the other. plays: song_id. songs: song_id,
+    genre (null where the song is deleted), version; the largest version counts, whatever comes first. Plays of a song without a genre are counted
+    and show as soon as it has one. Null songs take no part.
+    """
+    both = plays.select("song_id", F.lit(None).cast("string").alias("genre"), F.lit(None).cast("long").alias("version")).unionByName(songs.select("song_id", "genre", F.col("version").cast("long").alias("version")))
+    pairs = both.where(F.col("song_id").isNotNull()).groupBy("song_id").transformWithStateInPandas(statefulProcessor=SongCounts(), outputStructType="chart string, song_id long, old long, new long", outputMode="Append", timeMode="None")
+    dealt = pairs.withColumn("shard", F.pmod(F.xxhash64("song_id"), F.lit(shards)).cast("int"))
+    schema = "chart string, shard int, rank int, song_id long, plays long"
+    return dealt.groupBy("chart", "shard").transformWithStateInPandas(statefulProcessor=RetractingChart(n), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+class AbsenceAlarm(Ordered):
+    """State of a pair: its last beat and whether its absence was told."""
+
+    def __init__(self, gap_ms: int, span_ms: int):
+        super().__init__(["us"], span_ms)
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "ms long, told boolean")
+
+    def _rows(self, key, told: list[tuple]) -> Iterator[pd.DataFrame]:
+        if told:
+            pair = json.loads(key[0])
+            yield pd.DataFrame({"source": pair.get("source"), "target": pair.get("target"), "kind": [t[0] for t in told], "last_ts": [t[1] for t in told], "at": [t[2] for t in told]})
+
+    def due(self, key, rows: list[list]) -> Iterator[pd.DataFrame]:
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        out = []
+        for (us,) in rows:
+            ms = us // 1000
+            if last is not None and ms - last > self.gap:
+                out += [] if told else [("alarm", last, last + self.gap)]
+                out.append(("back", last, ms))
+            last, told = ms, False
+        if rows:
+            self.last.update((last, told))
+            self.handle.registerTimer(-(-(last + self.gap + 1) // self.span) * self.span)
+        yield from self._rows(key, out)
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            last, told = self.last.get()
+            waits = self.waiting_from()
+            # All beats before the watermark are here; those that still wait are later.
+            if not told and last + self.gap < watermark and (waits is None or last + self.gap < waits):
+                self.last.update((last, True))
+                yield from self._rows(key, [("alarm", last, last + self.gap)])
+
+
+def absence_alarms(beats: DataFrame, gap_ms: int, delay: str, ts: str = "ts", span_ms: int = 60_000) -> DataFrame:
+    """(source, target, kind, last_ts, at) of a stream of (ts, source, target): an alarm where no beat follows within gap_ms of the last one, told once the
+    watermark has passed that time, whether or not another beat comes; and 'back' with the beat that ends it. Times are in milliseconds."""
+    schema = "source string, target string, kind string, last_ts long, at long"
+    return _by_time(_timed(beats, ts, delay, _key("source", "target")), ["_key"], AbsenceAlarm(gap_ms, span_ms), schema)
+
+
+class CountOrTime(StatefulProcessor):
+    """State of a key: rows that wait for their batch to fill, the number of the next batch, and the time by which it goes out."""
+
+    def __init__(self, n: int, wait_ms: int):
+        self.n, self.wait = n, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "payload string")
+        self.at = handle.getValueState("at", "held long, batch long, deadline long")
+
+    def _sent(self, rows: list[str], batch: int) -> pd.DataFrame:
+        return pd.DataFrame({"batch": batch, "payload": rows})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, batch, deadline = self.at.get() if self.at.exists() else (0, 0, -1)
+        waiting = [r[0] for r in self.rows.get()] if held else []
+        for part in rows:
+            for ms, payload in zip((part["us"] // 1000).tolist(), part["payload"].tolist(), strict=True):
+                if not waiting:
+                    deadline = ms + self.wait
+                    self.handle.registerTimer(deadline)
+                waiting.append(payload)
+                if len(waiting) == self.n:
+                    yield self._sent(waiting, batch)
+                    self.handle.deleteTimer(deadline)
+                    waiting, batch = [], batch + 1
+        self.rows.put([(w,) for w in waiting]) if waiting else self.rows.clear()
+        self.at.update((len(waiting), batch, deadline))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, batch, deadline = self.at.get() if self.at.exists() else (0, 0, -1)
+        if held and expiredTimerInfo.getExpiryTimeInMs() == deadline:
+            yield self._sent([r[0] for r in self.rows.get()], batch)
+            self.rows.clear()
+            self.at.update((0, batch + 1, -1))
+
+    def close(self) -> None:
+        pass
+
+
+def buffered(df: DataFrame, key: str, n: int, wait_ms: int, delay: str, ts: str = "ts") -> DataFrame:
+    """The rows of a stream with sent_batch, the number of the batch in which they go out: n rows of a key, in the order of their arrival and across micro-batches and restarts, or
+    fewer when the watermark is wait_ms past the batch's first row. At most n rows of a key wait in state. Rows without a time take no part."""
+    rows = _timed(df.select(F.col(ts), F.struct(*df.columns).alias("e")), ts, delay, _key(f"e.{key}"), F.to_json("e", JSON).alias("payload"))
+    out = _by_time(rows, ["_key"], CountOrTime(n, wait_ms), "batch long, payload string")
+    return out.select("batch", F.from_json("payload", df.schema, JSON).alias("e")).select("e.*", F.col("batch").alias("sent_batch"))

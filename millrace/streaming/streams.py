@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,6 +159,21 @@ def chart(spark: SparkSession, path: str, n: int = 5, by_genre: bool = True) ->
     return rows.orderBy(*order, "genre").limit(n)
 
 
+def retracting_chart_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the newest first rows of each shard of the charts of stateful.retracting_charts; retracting_chart() ranks them together."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_by_key(batch.withColumn("batch", F.lit(batch_id)), path, ["chart", "shard", "rank"], ["batch"])
+
+    return write
+
+
+def retracting_chart(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """(chart, rank, song_id, plays) of every chart as it is now."""
+    rows = keyed.read(spark, path).where("song_id is not null").select("chart", "song_id", "plays")
+    return top_n(rows, ["chart"], [F.desc("plays"), F.asc("song_id")], n)
+
+
 def count_batches(path: str, key: str, order: list[str], n: int) -> Callable[[DataFrame, int], None]:
     """Cuts each micro-batch into chunks of at most n rows of a key, which go out together; the rest goes out at its end."""
 
@@ -169,8 +184,10 @@ def count_batches(path: str, key: str, order: list[str], n: int) -> Callable[[Da
 
 
 def restore_logs(spark: SparkSession, path: str, dest: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Adds archived records to an index under ids of their own, and returns it. An id comes from the archive's file and the record, so
-    restoring twice adds nothing."""
+    """Adds archived records to an index under ids of their own, and returns it. An id comes from the archive's file, the record and its number among equal
+    ones of that file, so equal records stay apart and restoring twice adds nothing."""
     records = read_archive(spark, path, schema)
-    place = F.sha2(F.concat_ws("\n", F.input_file_name(), F.to_json(F.struct(*records.columns))), 256)
-    return upsert_by_key(records.withColumn("_id", place), dest, ["_id"], ["_id"])
+    hashed = records.withColumn("_record", F.sha2(F.concat_ws("\n", F.input_file_name(), F.to_json(F.struct(*records.columns))), 256))
+    # Equal records are alike, so it doesn't matter which of them gets which number.
+    numbered = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("_record").orderBy(F.lit(0))))
+    return upsert_by_key(numbered.withColumn("_id", F.concat_ws("-", "_record", "_n")).drop("_record", "_n"), dest, ["_id"], ["_id"])
