@@ -11,6 +11,10 @@ from pyspark.sql.types import IntegerType
 
 #: Parameters of the ranking function.
 K1, B = 1.2, 0.75
+#: Documents of a range are 2 to this power; ranges that give the first bound, and ranges that a filter names.
+RANGE_BITS, FIRST_RANGES, NAMED_RANGES = 7, 16, 1024
+#: Edits that the stored dictionary is made for, and the letters at a word's beginning that it looks at.
+EDITS, BEGINNING = 2, 7
 #: Word characters of the analyser: letters, numbers and marks.
 NOT_WORD = "[^\\p{L}\\p{N}\\p{M}_]+"
 
@@ -23,7 +27,9 @@ def analyse(text: Column) -> Column:
 @dataclass
 class Index:
     """documents: id and fields. analysed: (id, field, terms), the words of each field in order. postings: (id, field, term, pos).
-    lengths: (id, field, length). Where the index is stored: terms (field, term, freq) and statistics (field, n, avg_len), else None."""
+    lengths: (id, field, length). Where the index is stored, else None: terms (field, term, freq), statistics (field, n, avg_len), blocks
+    (field, term, range, best, held), a term's postings in a range of documents with the largest share of a score among them, and deletions
+    (field, deleted, term, freq), the dictionary by what is left of its words' beginnings."""
 
     documents: DataFrame
     id: str
@@ -32,6 +38,8 @@ class Index:
     lengths: DataFrame
     terms: DataFrame | None = None
     statistics: DataFrame | None = None
+    blocks: DataFrame | None = None
+    deletions: DataFrame | None = None
 
     def field(self, name: str) -> DataFrame:
         return self.postings.where(F.col("field") == name)
@@ -46,15 +54,25 @@ def build_index(df: DataFrame, id: str, fields: list[str]) -> Index:
 
 
 def store_index(index: Index, path: str) -> Index:
-    """Writes the index and opens it: postings by field, sorted by term, so that a query reads the pages of its own words; lengths; the dictionary; statistics."""
+    """Writes the index and opens it: postings by field, sorted by term and document, so that a query reads the pages of its own words and a frequent word is many tasks';
+    the same in blocks by ranges of documents; lengths; the dictionary, by term and by deletions; statistics."""
     spark = index.documents.sparkSession
-    with_length = index.analysed.where(F.size("terms") > 0).select("id", "field", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
-    with_length.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "id", "pos").write.partitionBy("field").parquet(f"{path}/postings")
+    # Documents in order of their ids; a range holds as many neighbours as RANGE_BITS says.
+    ordered = index.analysed.where(F.size("terms") > 0).repartitionByRange("id").sortWithinPartitions("id").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
+    with_length = ordered.select("id", "field", "range", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+    with_length.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id", "pos").write.partitionBy("field").parquet(f"{path}/postings")
     index.documents.write.parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("field", "term").agg(F.count_distinct("id").alias("freq")).repartitionByRange("field", "term").sortWithinPartitions("term").write.partitionBy("field").parquet(f"{path}/terms")
     index.lengths.write.partitionBy("field").parquet(f"{path}/lengths")
     spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg_len")).write.parquet(f"{path}/statistics")
+    # A row for each field.
+    known = F.broadcast(spark.read.parquet(f"{path}/statistics").select("field", "avg_len"))
+    each = stored.groupBy("field", "term", "range", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length")).join(known, "field")
+    blocks = each.groupBy("field", "term", "range").agg(F.max(_share("tf")).alias("best"), F.collect_list(F.struct("id", "tf", "length")).alias("held"))
+    blocks.repartitionByRange("field", "term", "range").sortWithinPartitions("term", "range").write.partitionBy("field").parquet(f"{path}/blocks")
+    dictionary_rows = spark.read.parquet(f"{path}/terms").select("field", F.explode(deletions("term", EDITS)).alias("deleted"), "term", "freq")
+    dictionary_rows.repartitionByRange("field", "deleted", "term").sortWithinPartitions("deleted").write.partitionBy("field").parquet(f"{path}/deletions")
     return open_index(spark, path, index.id)
 
 
@@ -63,7 +81,28 @@ def open_index(spark: SparkSession, path: str, id: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     postings = read("postings")
     analysed = postings.groupBy("id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
-    return Index(read("documents"), id, analysed, postings, read("lengths"), read("terms"), read("statistics"))
+    return Index(read("documents"), id, analysed, postings, read("lengths"), read("terms"), read("statistics"), read("blocks"), read("deletions"))
+
+
+def _share(tf: str) -> Column:
+    """What a word adds to a document's score, but for the factor of its rarity."""
+    return F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
+
+
+def _idf(n: float, df: int) -> Column:
+    return F.log(1 + (F.lit(float(n)) - F.lit(df) + 0.5) / (F.lit(df) + 0.5))
+
+
+def deletions(word: str | Column, edits: int) -> Column:
+    """What is left of a word's first BEGINNING letters after up to ``edits`` deletions. Two words within so many edits, a swap of neighbours being one, share
+    one of these: letters that an edit touches, or that an insertion shifts beyond the beginning, are as many as the edits at most."""
+    start = F.substring(F.col(word) if isinstance(word, str) else word, 1, BEGINNING)
+    out = last = F.array(start)
+    for _ in range(edits):
+        # An empty text has nothing to delete.
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda t: F.length(t) > 0), lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t)))))))
+        out = F.array_union(out, last)
+    return out
 
 
 def words_of(text: str) -> list[str]:
@@ -130,6 +169,56 @@ def match(index: Index, field: str, text: str, size: int | None = 10) -> DataFra
     return ranked(scores(index, field, words_of(text)), size)
 
 
+def _weights(index: Index, field: str, wanted: list[str]) -> tuple[dict[str, tuple[float, int]], float]:
+    """({word: (n, df)} of the words that the index has, average length); one row for each word of the query comes to the driver."""
+    stats = index.statistics.where(F.col("field") == field).select("n", "avg_len").first()
+    found = index.terms.where((F.col("field") == field) & F.col("term").isin(*wanted)).select("term", "freq").collect()
+    return {r["term"]: (stats["n"], r["freq"]) for r in found}, stats["avg_len"] if stats else 0.0
+
+
+def _scored(blocks: DataFrame, weights: dict, avg_len: float) -> DataFrame:
+    """(id, score) of the documents in some blocks. Words are added in their order, so that scores are those of scores()."""
+    each = blocks.select("term", F.explode("held").alias("h")).select("term", "h.*").withColumn("avg_len", F.lit(avg_len))
+    own = each.groupBy("id").agg(*(F.sum(F.when(F.col("term") == w, _idf(*weights[w]) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len"))))).alias(f"s{i}") for i, w in enumerate(sorted(weights))))
+    score = F.lit(0.0)
+    for i in range(len(weights)):
+        score = score + F.coalesce(f"s{i}", F.lit(0.0))
+    return own.select("id", score.alias("score"))
+
+
+def top_ranges(index: Index, field: str, text: str, size: int) -> tuple[DataFrame, dict, float]:
+    """(blocks that may hold one of the ``size`` best documents, weights of the words, average length).
+
+    A range's bound is the sum of the best shares of the words in it. The ranges with the highest bounds are scored first; ranges whose bound is
+    below the score of their document number ``size`` hold none of the best.
+    """
+    weights, avg_len = _weights(index, field, sorted(set(words_of(text))))
+    blocks = index.blocks.where((F.col("field") == field) & F.col("term").isin(*weights))
+    if not weights:
+        return blocks, weights, avg_len
+    weight = F.lit(0.0)
+    for w, (n, df) in weights.items():
+        weight = F.when(F.col("term") == w, _idf(n, df)).otherwise(weight)
+    bounds = blocks.select("range", (weight * F.col("best")).alias("most")).groupBy("range").agg(F.sum("most").alias("most"))
+    first = [r["range"] for r in bounds.orderBy(F.desc("most"), "range").limit(FIRST_RANGES + size).collect()]
+    known = _scored(blocks.where(F.col("range").isin(*first)), weights, avg_len).orderBy(F.desc("score")).limit(size).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
+    if known["n"] < size:
+        return blocks, weights, avg_len
+    open_ranges = bounds.where(F.col("most") * (1 + 1e-12) >= F.lit(known["least"])).select("range")
+    named = [r["range"] for r in open_ranges.limit(NAMED_RANGES + 1).collect()]
+    if len(named) <= NAMED_RANGES:
+        return blocks.where(F.col("range").isin(*named)), weights, avg_len
+    return blocks.join(open_ranges, "range", "left_semi"), weights, avg_len
+
+
+def match_top(index: Index, field: str, text: str, size: int = 10) -> DataFrame:
+    """(id, score): match() from a stored index, without the blocks that can't hold one of the best."""
+    blocks, weights, avg_len = top_ranges(index, field, text, size)
+    if not weights:
+        return index.lengths.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    return ranked(_scored(blocks, weights, avg_len), size)
+
+
 def _shifted(positions: str, place: int) -> Column:
     return F.transform(positions, lambda p: p - place)
 
@@ -205,14 +294,33 @@ def dictionary(index: Index, field: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("freq"))
 
 
-def suggest(index: Index, field: str, text: str, max_edits: int = 2, size: int = 5, min_length: int = 4) -> DataFrame:
-    """(word, suggestion, distance, freq, rank) for words that the dictionary lacks: terms with the same first letter within the edits."""
-    terms = dictionary(index, field)
+def _near(index: Index, field: str, words: list[tuple[int, str, int]]) -> DataFrame:
+    """(clause, word, most, term, freq) of terms that share a deletion with a word within its edits: a superset of those within the edits.
+    words: clause, word, edits. A stored index is read at these deletions; else the dictionary's are made. Words of the query are few, and so are their deletions."""
     spark = index.documents.sparkSession
-    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(words_of(text)) if len(w) >= min_length], "word string")
-    unknown = F.broadcast(asked).join(terms.select(F.col("term").alias("word")), "word", "left_anti")
-    near = terms.join(F.broadcast(unknown.withColumn("_first", F.substring("word", 1, 1))), F.substring("term", 1, 1) == F.col("_first"))
-    scored = near.withColumn("distance", F.levenshtein("word", "term", max_edits)).where((F.col("distance") >= 0) & (F.length("term") >= min_length))
+    edits = max((m for _, _, m in words), default=0)
+    asked = spark.createDataFrame(words, "clause int, word string, most int")
+    each = [asked.where(F.col("most") == m).select("*", F.explode(deletions("word", m)).alias("deleted")) for m in sorted({m for _, _, m in words})]
+    left = each[0] if each else asked.withColumn("deleted", F.col("word"))
+    for more in each[1:]:
+        left = left.unionByName(more)
+    if index.deletions is not None and edits <= EDITS:
+        held = index.deletions.where(F.col("field") == field)
+        held = held.where(F.col("deleted").isin([r["deleted"] for r in left.select("deleted").distinct().collect()]))
+    else:
+        held = dictionary(index, field).select(F.explode(deletions("term", edits)).alias("deleted"), "term", "freq")
+    return held.join(F.broadcast(left), "deleted").select("clause", "word", "most", "term", "freq").distinct()
+
+
+def suggest(index: Index, field: str, text: str, max_edits: int = 2, size: int = 5, min_length: int = 4) -> DataFrame:
+    """(word, suggestion, distance, freq, rank) for words that the dictionary lacks: terms with the same first letter within the edits.
+    Terms are found by the deletions that they share with a word; only these are measured."""
+    words = [w for w in dict.fromkeys(words_of(text)) if len(w) >= min_length]
+    near = _near(index, field, [(i, w, max_edits) for i, w in enumerate(words)])
+    # A word that the dictionary has shares itself.
+    known = Window.partitionBy("clause")
+    unknown = near.withColumn("_has", F.max((F.col("word") == F.col("term")).cast("int")).over(known)).where("_has = 0 and substring(term, 1, 1) = substring(word, 1, 1)")
+    scored = unknown.withColumn("distance", F.levenshtein("word", "term", max_edits)).where((F.col("distance") >= 0) & (F.length("term") >= min_length))
     order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("word", F.col("term").alias("suggestion"), "distance", "freq", "rank")
 
@@ -246,20 +354,16 @@ def transposition_distance(word: pd.Series, term: pd.Series, most: pd.Series) ->
 def match_bool_prefix(index: Index, field: str, text: str, minimum: int = 2, expansions: int = 50) -> DataFrame:
     """(id, matched): documents that match at least ``minimum`` of the words, all fuzzily but the last, which is a prefix.
 
-    Fuzzy words and the prefix expand to at most ``expansions`` dictionary terms, nearest and most frequent first. The dictionary is
-    evaluated once for all words. A swap of neighbours is two plain edits at most, so only terms within twice the edits go through Python.
+    Fuzzy words and the prefix expand to at most ``expansions`` dictionary terms, nearest and most frequent first. Only terms that share a
+    deletion with a word are measured; a swap of neighbours is one edit.
     """
     words = words_of(text)
     if not words:
         return index.postings.select("id", F.lit(0).cast("long").alias("matched")).where(F.lit(False))
-    clauses = []
-    for i, word in enumerate(words):
-        most = allowed_edits(word)
-        last = i == len(words) - 1
-        near = F.col("term").startswith(word) if last else F.levenshtein(F.lit(word), F.col("term"), 2 * most) >= 0
-        clauses.append(F.when(near, F.struct(F.lit(i).alias("clause"), F.lit(word).alias("word"), F.lit(0 if last else most).alias("most"), F.lit(last).alias("prefix"))))
-    candidates = dictionary(index, field).select("term", "freq", F.explode(F.array_compact(F.array(*clauses))).alias("c")).select("term", "freq", "c.*")
-    measured = candidates.withColumn("d", F.when(F.col("prefix"), F.lit(0)).otherwise(transposition_distance("word", "term", "most"))).where(F.col("d") <= F.col("most"))
+    near = _near(index, field, [(i, w, allowed_edits(w)) for i, w in enumerate(words[:-1])])
+    fuzzy = near.withColumn("d", transposition_distance("word", "term", "most")).where(F.col("d") <= F.col("most")).select("clause", "term", "freq", "d")
+    begun = dictionary(index, field).where(F.col("term").startswith(words[-1])).select(F.lit(len(words) - 1).alias("clause"), "term", "freq", F.lit(0).alias("d"))
+    measured = fuzzy.unionByName(begun)
     order = Window.partitionBy("clause").orderBy("d", F.desc("freq"), "term")
     expanded = measured.withColumn("r", F.row_number().over(order)).where(F.col("r") <= expansions).select("clause", "term")
     # At most expansions terms for each word of the query.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import search, vector
-from millrace.plans.registry import new_folder, query, table
+from millrace.plans.registry import ORACLE_SQL, new_folder, query, table
 
 
 def docs_index(spark, sf_dir) -> search.Index:
@@ -167,6 +167,15 @@ def ivf_recall(spark, sf_dir):
     return both.agg(F.count("*").alias("wanted"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
 
 
+@query(knn_sql("1 - list_cosine_similarity(q.v, c.v)"))
+def ivf_stored(spark, sf_dir):
+    """The same by the cosine from an index that was written, with a folder for each cell."""
+    e = table(spark, sf_dir, "embeddings")
+    cells, probes = cells_of(e.count())
+    stored = vector.store_ivf(*vector.ivf_build(e, cells, metric="cosine"), new_folder(spark, "vectors"))
+    return nearest(vector.ivf_search(*stored, queries_of(spark, sf_dir), 10, probes, "cosine", exact=True))
+
+
 @query(f"WITH {bm25("'thatea', 'ering', 'with'", DOC_TOKENS)} SELECT id, round(score, 6) AS score FROM sc")
 def search_stored(spark, sf_dir):
     """The same words as search_match, from an index that was written."""
@@ -175,6 +184,24 @@ def search_stored(spark, sf_dir):
     return rounded(search.match(search.open_index(spark, path, "doc_id"), "text", "Thatea ering with", None))
 
 
+@query(f"WITH {bm25("'thatea', 'ering', 'with'", DOC_TOKENS)} SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, id LIMIT 10")
+def search_top_stored(spark, sf_dir):
+    """The ten best by blocks: those whose bound is below the tenth score aren't read."""
+    index = search.store_index(docs_index(spark, sf_dir), new_folder(spark, "text-index"))
+    return rounded(search.match_top(index, "text", "Thatea ering with", 10))
+
+
+@query(ORACLE_SQL["suggest"])
+def suggest_stored(spark, sf_dir):
+    """From a stored dictionary, read at the deletions of the words."""
+    return search.suggest(search.store_index(parts_index(spark, sf_dir), new_folder(spark, "parts-index")), "p_name", "widgit gizno small")
+
+
+@query(ORACLE_SQL["bool_prefix_fuzzy"])
+def bool_prefix_stored(spark, sf_dir):
+    return search.match_bool_prefix(search.store_index(parts_index(spark, sf_dir), new_folder(spark, "parts-index")), "p_name", "smlal wid", 2)
+
+
 @query("SELECT doc_id, text, true AS hidden FROM documents")
 def aes_roundtrip(spark, sf_dir):
     key = b"0123456789abcdef"
