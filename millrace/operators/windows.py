@@ -39,16 +39,42 @@ def suspicious_logins(logins: DataFrame, audit: DataFrame, key: str = "user_id")
     return logins.join(audit.where(F.col("distinct_ips") > 1), key, "inner")
 
 
-def consecutive_breach(df: DataFrame, key: str, ts: str | list[str], value: Column | str, limit: int, threshold: int) -> DataFrame:
+def _slices(df: DataFrame, order: str, slices: int) -> Column:
+    """The number of the slice of an order column that a row falls in: slices of about as many rows, between quantiles of the whole column; nulls are before all."""
+    kind = dict(df.dtypes)[order]
+    value = F.col(order).cast("timestamp").cast("double") if kind in ("timestamp", "date", "timestamp_ntz") else F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] if slices > 1 else None
+    place = F.lit(0)
+    for i, c in enumerate(sorted(set(cuts or []))):
+        place = F.when(value > c, i + 1).otherwise(place)
+    return F.when(value.isNull(), -1).otherwise(place)
+
+
+def consecutive_breach(df: DataFrame, key: str, ts: str | list[str], value: Column | str, limit: int, threshold: int, slices: int = 16) -> DataFrame:
     """Adds counter (breaches in a row up to this row) and fires (counter >= threshold). A breach is a truncated value below
-    the limit."""
+    the limit; null and NaN are none.
+
+    A key's rows are taken in slices of the first order column, so that a key with very many rows is several tasks'. Each slice
+    counts on its own and is summed up as (rows, breaches at its end); in order, these tell how many breaches reach into the next slice, where the rows
+    before the first one that is no breach add them. The order columns need one order for numbers and times; equal rows of it stay in one slice.
+    """
     order = [ts] if isinstance(ts, str) else ts
     value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(key).orderBy(*order)
-    breach = F.coalesce(value.cast("long") < limit, F.lit(False))
-    marked = df.withColumn("_b", breach).withColumn("_island", F.sum((~F.col("_b")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    counted = marked.withColumn("counter", F.sum(F.col("_b").cast("int")).over(Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.withColumn("fires", F.col("counter") >= threshold).drop("_b", "_island")
+    sliced = dict(df.dtypes)[order[0]] not in ("string", "boolean", "binary")
+    breach = F.coalesce((value.cast("long") < limit) & ~F.isnan(value.cast("double")), F.lit(False))
+    rows = df.withColumn("_b", breach).withColumn("_slice", _slices(df, order[0], slices) if sliced else F.lit(0))
+    own = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # The place of the last row that is no breach: what lies behind it is the run.
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))).withColumn("_stop", F.max(F.when(~F.col("_b"), F.col("_at")).otherwise(0)).over(own))
+    ends = placed.select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), "_at", "_stop").groupBy("_key", "_of").agg(F.max("_at").alias("_n"), F.max("_stop").alias("_last"))
+    # Within a key: slices that are breaches throughout add up behind the last one that isn't.
+    across = Window.partitionBy("_key").orderBy("_of")
+    summed = ends.withColumn("_block", F.sum((F.col("_last") > 0).cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum(F.col("_n") - F.col("_last")).over(Window.partitionBy("_key", "_block").orderBy("_of").rowsBetween(Window.unboundedPreceding, 0))
+    carried = summed.withColumn("_run", run).withColumn("_carry", F.coalesce(F.lag("_run").over(across), F.lit(0))).select("_key", "_of", "_carry")
+    joined = placed.join(carried, placed[key].eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    counter = F.col("_at") - F.col("_stop") + F.when(F.col("_stop") == 0, F.col("_carry")).otherwise(0)
+    return joined.withColumn("counter", counter.cast("long")).withColumn("fires", F.col("counter") >= threshold).select(*df.columns, "counter", "fires")
 
 
 def detect_change(df: DataFrame, key: str, ts: str, members: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import numpy as np
 import pytest
@@ -383,3 +384,68 @@ def test_retries_until_it_works():
 def test_write_vectors_checks_length(spark, tmp_path):
     with pytest.raises(Exception, match="length"):
         sinks.write_vectors(spark.createDataFrame([([1.0, 2.0],)], "vector array<float>"), str(tmp_path / "v"), 3)
+
+
+def _runs_by_hand(rows, limit):
+    """rows: (key, t, id, value). Counter by (key, t, id)."""
+    out, run = {}, {}
+    for key, t, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        run[key] = run.get(key, 0) + 1 if v is not None and int(v) < limit else 0
+        out[key, t, i] = run[key]
+    return out
+
+
+@pytest.mark.parametrize("slices", [1, 5, 16])
+def test_breaches_across_slices(spark, slices):
+    """One key holds nearly all rows, in runs that reach over slices; a null key, null times and values, and a key that breaches throughout."""
+    rng = random.Random(7)
+    rows = [(1, t, t, 1.0 if rng.random() < 0.97 else rng.choice([80.0, None])) for t in range(900)] + [(1, 450, i, 5.0) for i in range(1000, 1200)]
+    rows += [(2, t, t, 1.0) for t in range(0, 900, 9)] + [(None, t, t, 1.0) for t in range(40)] + [(3, None, 1, 1.0), (3, None, 2, 1.0), (3, 5, 3, 1.0), (3, 6, 4, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k long, t long, id long, v double, counter int").drop("counter").repartition(7)
+    out = windows.consecutive_breach(df, "k", ["t", "id"], "v", 60, 3, slices)
+    assert {(r.k, r.t, r.id): r.counter for r in out.collect()} == _runs_by_hand(rows, 60)
+    if slices == 16:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert out.where("k = 1").groupBy(F.spark_partition_id()).count().count() > 1  # not one task's
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_breaches_by_time_and_by_text(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t0 + dt.timedelta(hours=h), f"{h:03d}", 1.0 if h % 10 else 99.0) for h in range(200)], "k long, t timestamp, s string, v double")
+    want = [h % 10 for h in range(200)]
+    assert [r.counter for r in windows.consecutive_breach(df, "k", "t", "v", 60, 3).orderBy("t").collect()] == want
+    assert [r.counter for r in windows.consecutive_breach(df, "k", "s", "v", 60, 3).orderBy("s").collect()] == want
+
+
+def test_a_small_batch_rewrites_few_buckets(spark, tmp_path):
+    """Buckets follow the table's bytes: then ten keys of many rewrite ten buckets at most, and the rest stays as it is."""
+    path = str(tmp_path / "t")
+    newest = lambda old, new: new if old is None else old.join(new.select("k"), "k", "left_anti").unionByName(new)
+    every = spark.range(20_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    keyed.merge(every, path, ["k"], newest, bucket_bytes=16_000)
+    keyed.merge(every.where("k < 5"), path, ["k"], newest, bucket_bytes=16_000)  # the table is too large for its buckets by now
+    before = keyed._manifest(spark, path, keyed.versions(spark, path)[-1])
+    assert before["buckets"] >= 64 and sum(before["sizes"].values()) / before["buckets"] <= 2 * 16_000
+    keyed.merge(every.where("k between 100 and 109").withColumn("v", F.lit("new")), path, ["k"], newest, bucket_bytes=16_000)
+    after = keyed._manifest(spark, path, keyed.versions(spark, path)[-1])
+    moved = [b for b, f in after["folders"].items() if before["folders"].get(b) != f]
+    assert len(moved) <= 10 < 0.2 * len(after["folders"])
+    rows = {r.k: r.v for r in keyed.read(spark, path).collect()}
+    assert len(rows) == 20_000 and {rows[k] for k in range(100, 110)} == {"new"} and rows[99] != "new"
+
+
+def test_a_second_writer_is_told(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    row = lambda v: spark.createDataFrame([(1, v)], "k long, v string")
+    keyed.merge(row("a"), path, ["k"], lambda _, new: new)
+
+    def slow(old, new):
+        keyed.merge(row("b"), path, ["k"], lambda _, new: new)  # another writer is done first
+        return new
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        keyed.merge(row("c"), path, ["k"], slow)
+    assert one(keyed.read(spark, path)) == [(1, "b")]
