@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared_files import partitions_for, stored
+from millrace.llm.shared_files import Scratch, partitions_for, stored
 
 #: Vectors and queries in a block.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
@@ -191,14 +191,17 @@ def _as_queries(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))
 
 
-def _meetings(queries: DataFrame, vectors: DataFrame, parts: int, extra: list[str]) -> DataFrame:
-    """One copy of each query block for each vector block of its dimension that it may reach; the join key is that block."""
+def _meetings(queries: DataFrame, vectors: DataFrame, parts: int, extra: list[str], scratch: Scratch) -> DataFrame:
+    """One copy of each query block for each vector block of its dimension that it may reach. Which blocks meet is decided by their numbers, dimensions and
+    lengths alone and written; then the blocks are fetched for these pairs, so that no copy of a matrix is made, or sent to all tasks, before."""
     places = vectors.select("dim", "block", "longest", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("salt"))
-    spread = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    known = [c for c in ("q_block", "q_dim", "least") if c in queries.columns]
+    spread = queries.select(*known, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("salt"))
     near = (F.col("q_dim") == F.col("dim")) & (spread["salt"] == places["salt"])
-    if "least" in queries.columns:
+    if "least" in known:
         near = near & (F.col("least") <= F.col("longest") * (1 + 1e-9))
-    return spread.join(places, near).select("q_ids", "q_matrix", "block", *extra).join(vectors, "block")
+    pairs = scratch.stored(spread.join(places, near).select("q_block", "block"), "pairs")
+    return pairs.join(queries.select("q_block", "q_ids", "q_matrix", *extra), "q_block").join(vectors, "block")
 
 
 def topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -211,28 +214,32 @@ def topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "v
     meets each vector block once, so the work is (queries / block) * (vectors / block) products.
     """
     spark = df.sparkSession
-    both = quantised(df, id_col, vector_col, scale)
-    flags = quantised(df.where(is_query), id_col, vector_col, scale).dropDuplicates(["vec_id", "x"])
-    sizes = both.agg(F.coalesce(F.sum(F.size("x")), F.lit(0)).alias("n"), F.coalesce(F.max((F.col("norm2") >= WIDE).cast("int")), F.lit(0)).alias("wide")).first()
-    parts = partitions_for(spark, sizes["n"] * COMPONENT_BYTES)
-    base, asked = both.where(F.col("norm2") < WIDE), flags.where(F.col("norm2") < WIDE)
-    vectors = stored(pack(base.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), VECTOR_BLOCK), "vectors")
-    queries = stored(_as_queries(pack(asked, QUERY_BLOCK)), "queries")
-    # The block of the longest vectors of each dimension gives the first bounds.
-    first = vectors.groupBy("dim").agg(F.min("block").alias("block"))
-    head = vectors.join(first, ["dim", "block"])
-    near = queries.join(head, F.col("q_dim") == F.col("dim"))
-    bounds = _top(_search(near.withColumn("bounds", F.lit(None).cast("binary")), k), k).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
-    bounds = bounds.where(F.col("n") >= k).select("query_id", "bound")
-    bounded = stored(_with_bounds(queries, bounds), "bounded-queries")
-    hits = _search(_meetings(bounded, vectors, parts, ["bounds"]), k)
-    if sizes["wide"]:
-        far, near = both.where(F.col("norm2") >= WIDE), flags.where(F.col("norm2") >= WIDE)
-        packed = lambda rows, size, name: stored(pack(rows, size, "x"), name)
-        wide = _meetings(_as_queries(packed(near, QUERY_BLOCK, "wide-queries")), packed(both, QUERY_BLOCK, "all-vectors"), parts, [])
-        narrow = _meetings(_as_queries(packed(asked, QUERY_BLOCK, "narrow-queries")), packed(far, QUERY_BLOCK, "wide-vectors"), parts, [])
-        hits = hits.unionByName(_search_exactly(wide.unionByName(narrow), k, scale))
-    return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scratch = Scratch(spark, "topk")
+    try:
+        both = quantised(df, id_col, vector_col, scale)
+        flags = quantised(df.where(is_query), id_col, vector_col, scale).dropDuplicates(["vec_id", "x"])
+        sizes = both.agg(F.coalesce(F.sum(F.size("x")), F.lit(0)).alias("n"), F.coalesce(F.max((F.col("norm2") >= WIDE).cast("int")), F.lit(0)).alias("wide")).first()
+        parts = partitions_for(spark, sizes["n"] * COMPONENT_BYTES)
+        base, asked = both.where(F.col("norm2") < WIDE), flags.where(F.col("norm2") < WIDE)
+        vectors = scratch.stored(pack(base.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), VECTOR_BLOCK), "vectors")
+        queries = scratch.stored(_as_queries(pack(asked, QUERY_BLOCK)), "queries")
+        # The block of the longest vectors of each dimension gives the first bounds.
+        first = vectors.groupBy("dim").agg(F.min("block").alias("block"))
+        head = vectors.join(first, ["dim", "block"])
+        near = queries.join(head, F.col("q_dim") == F.col("dim"))
+        bounds = _top(_search(near.withColumn("bounds", F.lit(None).cast("binary")), k), k).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
+        bounds = bounds.where(F.col("n") >= k).select("query_id", "bound")
+        bounded = scratch.stored(_with_bounds(queries, bounds), "bounded-queries")
+        hits = _search(_meetings(bounded, vectors, parts, ["bounds"], scratch), k)
+        if sizes["wide"]:
+            far, near = both.where(F.col("norm2") >= WIDE), flags.where(F.col("norm2") >= WIDE)
+            packed = lambda rows, size, name: scratch.stored(pack(rows, size, "x"), name)
+            wide = _meetings(_as_queries(packed(near, QUERY_BLOCK, "wide-queries")), packed(both, QUERY_BLOCK, "all-vectors"), parts, [], scratch)
+            narrow = _meetings(_as_queries(packed(asked, QUERY_BLOCK, "narrow-queries")), packed(far, QUERY_BLOCK, "wide-vectors"), parts, [], scratch)
+            hits = hits.unionByName(_search_exactly(wide.unionByName(narrow), k, scale))
+        return stored(_top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
+    finally:
+        scratch.close()
 
 
 def _with_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
