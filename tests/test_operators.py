@@ -267,7 +267,8 @@ def test_neighbours_in_groups_and_blocks(spark, monkeypatch):
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)] + [(200, None, 0), (201, [], 0), (None, vectors[0].tolist(), 0), (202, [0.0] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     queries = df.where("vec_id % 9 = 0 or vec_id = 202").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    monkeypatch.setattr(vector, "GROUP_BYTES", 64 * 3)
+    monkeypatch.setattr(vector, "TASK_BYTES", 64 * 3)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
     monkeypatch.setattr(vector, "BLOCK", 7)
     known = {i: np.array(v) for i, v, _ in rows if i is not None and v}
     unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
