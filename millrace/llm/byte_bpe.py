@@ -192,7 +192,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     """All columns but the text, and ids array<int>; with decoded_col also the bytes that decode() gives for these ids, in the
     same pass, so that no second set of workers holds the vocabulary.
 
-    A null or empty text has no ids; repeated rows stay; an existing column named like ids_col or decoded_col is
+    A null or empty text has no ids, an empty table gives no rows; repeated rows stay; an existing column named like ids_col or decoded_col is
     replaced. One pass without a shuffle, in slices of bounded bytes.
     """
 

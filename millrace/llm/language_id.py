@@ -121,7 +121,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
 
 def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row; `und` with score 0 where the text is null or has no letter, or
-    where nothing was learned. Repeated rows give a row each. One pass, no shuffle."""
+    where nothing was learned. Repeated rows and rows with a null id give a row each; an empty table gives no rows. One pass, no shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:

@@ -1,7 +1,7 @@
 """Operator 3: token counts of whole texts, without returning the tokens.
 
 Arrow functions encode batches balanced by bytes and return lengths only; long texts are cut at safe
-boundaries (see ``pieces``), so no call to the library grows with a document.
+boundaries (see ``pieces``), so a call to the library grows with a document only where that has no such boundary.
 """
 
 from __future__ import annotations

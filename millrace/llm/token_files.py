@@ -121,7 +121,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     """Encodes every text, adds end_id, and writes the files in ascending order of the id.
 
     One range shuffle of the texts; rows of equal ids are ordered by a hash of their text, so a
-    repeated task writes the same file. Null texts are empty (the end id alone); null ids come first.
+    repeated task writes the same file. Null texts are empty (the end id alone); null ids come first. An empty table gives files without rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
