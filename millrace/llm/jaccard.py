@@ -215,8 +215,8 @@ def _heads(hashes: np.ndarray, offsets: np.ndarray, percent: int, seed: int) ->
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((tokens >> U64(8)).astype(np.uint32).view(np.int32)))
 
 
-def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int, parts: int, scratch: Scratch) -> tuple[DataFrame, str]:
-    """(node, head0, head1, .., text) of the open nodes, and its name: a table in buckets by node with the prefixes under the
+def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(node, head0, head1, .., text) of the open nodes: a table in buckets by node with the prefixes under the
     further orders, so that later joins on node move only the other side."""
     spark = documents.sparkSession
     name, heads = f"open_texts_{uuid.uuid4().hex}", [f"head{i}" for i in range(len(ORDERS))]
@@ -230,8 +230,9 @@ def _open_texts(documents: DataFrame, nodes: DataFrame, width: int, percent: int
     rows = once.select("node", "text").mapInArrow(run, f"node long, {', '.join(f'{h} array<int>' for h in heads)}, text string")
     if parts != int(spark.conf.get("spark.sql.shuffle.partitions")):  # else the rows of a task are in few buckets already
         rows = rows.repartition(parts, "node")
+    scratch.tables.append(name)
     rows.write.option("compression", "zstd").bucketBy(parts, "node").sortBy("node").option("path", scratch.new_path("open-texts")).saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -308,11 +309,19 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     Rows with a null id take part in links; a component that has no id at all has a null component_id.
     Rows that repeat an id get the component of their own text. An empty table gives no rows. Other columns are not read.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
     text = F.coalesce(F.col(text_col), F.lit(""))
     documents = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     surveyed = survey(documents, width)
+    sets = surveyed.where("kind = 1").select("id", F.col("h").alias("node"), "n")
+    with Scratch(df.sparkSession, "near-duplicates") as scratch:
+        classes = _classes(documents, surveyed, sets, width, percent, scratch)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return sets.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("text_hash"), "class")
+
+
+def _classes(documents: DataFrame, surveyed: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, class, component_id) of every text with shingles. sets: (id, node, n) of every document."""
+    spark = documents.sparkSession
     # Prefixes are a fifth of the shingles, in rows of about 48 bytes.
     size = surveyed.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     parts = partitions_for(spark, size * 48 * (100 - percent) // 100)
@@ -324,7 +333,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     met = seen.where("lo <> hi and all > 0").select("token")
     nodes = scratch.stored(rows.join(met.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"]), "shared-tokens")
     buckets = scratch.stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
-    texts, table = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts, scratch)
+    texts = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts, scratch)
     labels = spark.createDataFrame([], "node long, comp long")
 
     def linked(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -361,14 +370,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
     if not _empty(buckets):
         linked(buckets, _all_pairs(buckets, percent))
-    spark.sql(f"DROP TABLE {table}")
     # Each side of these joins is a written table, so that Spark can split a class or a text with very many rows.
-    sets = surveyed.where("kind = 1").select("id", F.col("h").alias("node"), "n")
     least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     labelled = scratch.stored(least.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("class")), "labelled-texts")
     smallest = scratch.stored(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "component-ids")
-    classes = stored(labelled.join(smallest, "class").select("node", "class", "component_id"), "classes")
-    scratch.close()
     shared.unpersist()
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return sets.join(classes, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("text_hash"), "class")
+    return stored(labelled.join(smallest, "class").select("node", "class", "component_id"), "classes")

@@ -2,8 +2,8 @@
 
 Every word and word shape has a fixed sparse random index vector; the vector of a frequent one is the
 sum of the words' index vectors around its occurrences in all documents, labelled or not. Frequent are
-words and shapes in at least the square root of the number of documents, so that the vocabulary grows with
-them. A document is pooled to the mean of
+words and shapes in at least the square root of the number of documents, and with at least a VOCABULARY-th of all
+the (word, document) pairs there are: shares add up to 1, so the vocabulary never has more than VOCABULARY entries. A document is pooled to the mean of
 its vectors, with the length of its mean index vector (near 1 where one word is repeated, near 0 in prose)
 and a few ratios. A two-layer network scores it; its probabilities are calibrated by one temperature,
 which is chosen on rows that the network wasn't trained on.
@@ -27,6 +27,8 @@ from millrace.llm.textarrays import BYTE_CODES, U64, ascii_lower, lengths_to_row
 
 #: Rows of each label that the network takes at most; dimensions; non-zeros of an index vector; words on each side.
 SAMPLE_ROWS, DIM, NON_ZERO, SIDE = 3000, 48, 4, 2
+#: Bound of the vocabulary, by the share of all pairs that its entries have at least.
+VOCABULARY = 1 << 17
 #: Counts of texts by words that are held at a time.
 HISTOGRAM = 1 << 20
 HIDDEN, EPOCHS = 32, 400
@@ -177,7 +179,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample's size is bounded, so it may be broadcast. One row for each id bounds what the driver gets.
     one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    scratch = Scratch(documents.sparkSession, "quality")
+    with Scratch(documents.sparkSession, "quality") as scratch:
+        return _fitted(documents, texts, one, share, scratch)
+
+
+def _fitted(documents: DataFrame, texts: DataFrame, one: DataFrame, share: dict[int, int], scratch: Scratch) -> Model | None:
+    """fit() of (id, text) of all documents and the sampled (id, y, text); share: labelled rows of each label."""
     rows = scratch.stored(one, "quality-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +198,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 found, n = np.unique(h[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = texts.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()))).select("h").toArrow()
+    counted = scratch.stored(texts.select("text").mapInArrow(seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
+    pairs = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.where(F.col("n") >= max(2, math.isqrt(documents.count()), -(-pairs // VOCABULARY))).select("h").toArrow()
     if not top.num_rows:
-        scratch.close()
         return None
     vocabulary = Vectors(np.sort(top["h"].to_numpy().view(U64)), np.zeros((top.num_rows, DIM)))
 
@@ -236,7 +243,6 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = rows.schema["id"].dataType.simpleString()
     data = rows.mapInArrow(pooled, f"id {kind}, y int, x binary").orderBy("id", "x").toPandas()
-    scratch.close()
     if data.empty:
         return None
     x = np.stack([np.frombuffer(b) for b in data["x"]])

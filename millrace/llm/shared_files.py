@@ -42,10 +42,17 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 class Scratch:
-    """A folder of its own in the shared one for tables that are only needed until a result is written; close() removes it."""
+    """A folder of its own in the shared one for tables that are only needed until a result is written; close(), or the end of a with block,
+    removes it and the catalogue tables named in ``tables``."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, new_path(spark, name)
+        self.spark, self.path, self.tables = spark, new_path(spark, name), []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def new_path(self, name: str) -> str:
         return f"{self.path}/{name}-{uuid.uuid4().hex}"
@@ -56,6 +63,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 

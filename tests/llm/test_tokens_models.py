@@ -341,6 +341,16 @@ def test_quality_words_of_unlabelled_documents(spark):
         assert np.allclose(vectors.table[at, : quality.DIM], want / np.linalg.norm(want))
 
 
+def test_quality_vocabulary_is_bounded(spark, monkeypatch):
+    """Two words and two shapes are in all documents; twelve more words are in more than the square root of their number."""
+    d = spark.createDataFrame([(i, f"alpha beta x{i % 10} y{i % 7} z{i % 5}") for i in range(60)], "doc_id long, text string")
+    labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    whole = quality.fit(d, labels).vectors.hashes
+    monkeypatch.setattr(quality, "VOCABULARY", 10)
+    few = quality.fit(d, labels).vectors.hashes
+    assert len(few) == 4 and len(whole) == 16 and set(few.tolist()) < set(whole.tolist())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
