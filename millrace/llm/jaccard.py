@@ -267,7 +267,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """(token, node, n, pos, rare, comp): prefixes of the open texts with the tokens in order of how many open texts hold them;
     frequent shingles come last, by their count in all documents, so that they needn't meet to be counted.
-    Tokens of one text come first and can't be shared, so they only take up places."""
+    Tokens of one text come first and can't be shared, so they only take up places. open_nodes: (node, n, comp); what all tokens
+    of a text have in common is joined to the few that stay, as every shingle of the open texts is shuffled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(shared.value)
@@ -280,16 +281,16 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
             tokens = hashes & TOKEN_BITS
             # A frequent shingle's rows go wherever the text's other hash takes them.
             nodes = batch.column("node").to_numpy().view(U64)[rows]
-            meet = np.where(often > 0, (mix(tokens ^ nodes) >> U64(2)) | APART, tokens)
+            meet = np.where(often > 0, (mix(tokens ^ nodes) >> U64(32)) | APART, tokens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(meet.view(np.int64)), pa.array(np.where(often > 0, tokens, U64(0)).view(np.int64)), batch.column("node").take(take), pa.array(n[rows].astype(np.int32)), batch.column("comp").take(take), pa.array(often.astype(np.int32))],
-                ["meet", "hot", "node", "n", "comp", "often"],
+                [pa.array(meet.view(np.int64)), pa.array(np.where(often > 0, tokens, U64(0)).view(np.int64)), batch.column("node").take(take), pa.array(often.astype(np.int32))],
+                ["meet", "hot", "node", "often"],
             )
 
-    tokens = texts.join(open_nodes, "node").select("node", "text", "comp").mapInArrow(run, "meet long, hot long, node long, n int, comp long, often int")
+    tokens = texts.join(open_nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "meet long, hot long, node long, often int")
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("meet"))).where("df > 1 or often > 0")
     placed = counted.withColumn("df", F.when(F.col("often") > 0, F.col("often") + F.lit(BEHIND)).otherwise(F.col("df")))
-    placed = placed.withColumn("token", F.when(F.col("often") > 0, F.col("hot")).otherwise(F.col("meet"))).drop("often", "meet", "hot")
+    placed = placed.withColumn("token", F.when(F.col("often") > 0, F.col("hot")).otherwise(F.col("meet"))).select("node", "token", "df").join(open_nodes, "node")
     own = Window.partitionBy("node")
     placed = placed.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("df", "token")) - 1)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
@@ -361,7 +362,7 @@ def _classes(documents: DataFrame, surveyed: DataFrame, sets: DataFrame, width:
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
     if not _empty(buckets):
-        rarest = scratch.stored(_second_order(buckets.select("node", "comp").distinct(), texts, width, percent, shared), "rarest-tokens")
+        rarest = scratch.stored(_second_order(scratch.stored(buckets.select("node", "n", "comp").distinct(), "open-nodes"), texts, width, percent, shared), "rarest-tokens")
         buckets = scratch.stored(_open_buckets(rarest, percent), "open-buckets")
     for step in range(SECOND_ROUNDS):
         if _empty(buckets):
