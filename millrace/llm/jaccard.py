@@ -2,8 +2,9 @@
 
 Two sets whose Jaccard similarity reaches the threshold share a token in their prefixes under every order
 of all tokens, at places that leave room for the overlap they need. The first order puts shingles that repeat in
-the corpus last and the others by hash; texts that share a prefix token of it meet in a bucket. Of what it leaves
-open, the second order takes the shingles by how rare they are among the open texts. The open texts' prefixes
+the corpus last and the others by hash; texts that share a prefix token of it meet in a bucket. Buckets of a few rows
+are compared pair by pair, which makes a bounded number of pairs for each row. Of what larger buckets leave open,
+the second order takes the shingles by how rare they are among the texts still open. The open texts' prefixes
 under further, independent orders are written once; a candidate pair goes on only if it shares a prefix token
 under each of them. Only then are the two texts fetched and their sets compared.
 
@@ -35,6 +36,9 @@ FREQUENT = 1 << 20
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
 FIRST_ROUNDS, SECOND_ROUNDS = 1, 3
+#: Buckets of the first order with so many rows at most are compared pair by pair, so that only texts of larger ones
+#: shuffle all their shingles for the second order.
+FEW = 16
 #: Shingles that a task counts at a time; bytes of text whose shingles it makes at a time.
 CHUNK, SLICE = 1_000_000, 1 << 19
 #: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
@@ -361,6 +365,10 @@ def _classes(documents: DataFrame, surveyed: DataFrame, sets: DataFrame, width:
         # First the text with the least of its own in the bucket, which most others are near to; then any.
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
+    if not _empty(buckets):
+        few = scratch.stored(buckets.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") <= FEW).select("token"), "small-buckets")
+        buckets = linked(buckets, _all_pairs(buckets.join(few, "token", "left_semi"), percent))
+        buckets = scratch.stored(_open_buckets(buckets.join(few, "token", "left_anti"), percent), "large-buckets")
     if not _empty(buckets):
         rarest = scratch.stored(_second_order(scratch.stored(buckets.select("node", "n", "comp").distinct(), "open-nodes"), texts, width, percent, shared), "rarest-tokens")
         buckets = scratch.stored(_open_buckets(rarest, percent), "open-buckets")

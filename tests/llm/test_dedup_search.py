@@ -96,8 +96,11 @@ def test_link_through_a_row_without_id(spark):
     assert out == {5: 5, None: 5, 7: 5}
 
 
-def test_template_texts_and_few_rounds(spark, monkeypatch):
-    """Texts that share three quarters of their words, beside real copies, with no pivot rounds: all pairs of open buckets."""
+@pytest.mark.parametrize("few", [0, 3, 16, 1000])
+def test_template_texts_and_few_rounds(spark, monkeypatch, few):
+    """Texts that share three quarters of their words, beside real copies, with no pivot rounds: all pairs of open buckets,
+    of the first order where they have ``few`` rows at most, of the second where they have more."""
+    monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "FIRST_ROUNDS", 0)
     monkeypatch.setattr(jaccard, "SECOND_ROUNDS", 0)
     rng = random.Random(15)
