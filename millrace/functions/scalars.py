@@ -26,6 +26,11 @@ def from_days(c: Column | str) -> Column:
     return F.date_from_unix_date(as_col(c).cast("int"))
 
 
+def date_text(c: Column | str) -> Column:
+    """A date as yyyy-MM-dd, without the sign that Spark puts before years of five digits."""
+    return F.regexp_replace(as_col(c).cast("string"), "^\\+", "")
+
+
 def time_of_day(c: Column | str) -> Column:
     """Milliseconds since midnight to HH:mm:ss; the fraction is dropped."""
     s = F.floor(as_col(c) / 1000)
@@ -60,11 +65,11 @@ def safe_offset(c: Column | str) -> Column:
 SIZE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 
 
-def readable_size(c: Column | str) -> Column:
-    """Bytes as '1.50 KiB': two digits and the largest unit that leaves at least 1."""
+def readable_size(c: Column | str, units: list[str] = SIZE_UNITS) -> Column:
+    """Bytes as '1.50 KiB': two digits and the largest of the units that leaves at least 1."""
     c = as_col(c).cast("double")
     out = F.format_string("%.2f B", c)
-    for i, unit in enumerate(SIZE_UNITS[1:], 1):
+    for i, unit in enumerate(units[1:], 1):
         out = F.when(c >= 1024.0**i, F.format_string(f"%.2f {unit}", c / 1024.0**i)).otherwise(out)
     return out
 
