@@ -23,14 +23,18 @@ def event_stream(spark, sf_dir, path: str, parts: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
+#: Tasks that write a range of an ordered stream; a trigger reads as many files.
+WRITERS = 8
+
+
 def ordered_stream(spark, sf_dir, path: str, files: int = 4) -> DataFrame:
-    """events as files that are written one after another, by ranges of their ids, and read in that order."""
+    """events as ranges of their ids that are written one after another, each by several tasks, and read in that order."""
     rows = events(spark, sf_dir)
     ends = rows.agg(F.min("event_id").alias("a"), F.max("event_id").alias("z")).first()
     for i in range(files):
         step = F.floor((F.col("event_id") - ends["a"]) * files / (ends["z"] - ends["a"] + 1))
-        rows.where(step == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        rows.where(step == i).repartition(WRITERS).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", WRITERS).parquet(f"{path}/in")
 
 
 def close_stream(spark, sf_dir, path: str, days: int, event_type: str | None = None) -> None:
