@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ def replicate(stream: DataFrame, include: list[str], exclude: list[str]) -> Data
     return select_topics(stream, include, exclude)
 
 
+#: Results of calls that go out as one frame.
+RESULTS = 1024
+
+
 def process_by_key(df: DataFrame, key: str, order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 5, partitions: int | None = None) -> DataFrame:
     """Calls fn with up to batch consecutive rows of a key, in order. Keys are spread over partitions, and a partition
     streams through its rows, so a key with many rows isn't gathered."""
@@ -46,16 +51,18 @@ def process_by_key(df: DataFrame, key: str, order: list[str], fn: Callable[[pd.D
             rows = part if held is None else pd.concat([held, part], ignore_index=True)
             if rows.empty:
                 continue
-            run_of = (rows[key] != rows[key].shift()).cumsum()
-            place = rows.groupby(run_of).cumcount() // batch
-            groups = list(rows.groupby([run_of, place], sort=False))
-            for _, group in groups[:-1]:
-                yield fn(group)
-            held = groups[-1][1]
-            if len(held) == batch:
-                # Full: the next rows of the key start another batch.
-                yield fn(held)
-                held = None
+            # A key's rows are together, a null key's too.
+            values = rows[key]
+            new = ~((values == values.shift()) | (values.isna() & values.shift().isna())).to_numpy(bool)
+            new[0] = True
+            at = np.arange(len(rows))
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % batch == 0)
+            ends = np.r_[starts[1:], len(rows)]
+            done = len(starts) - (ends[-1] - starts[-1] < batch)
+            # What is left may go on in the next rows. Results go out together: a frame for each call costs more than most calls.
+            held = rows.iloc[starts[-1] :] if done < len(starts) else None
+            for i in range(0, done, RESULTS):
+                yield pd.concat([fn(rows.iloc[a:z]) for a, z in zip(starts[i : min(done, i + RESULTS)], ends[i : min(done, i + RESULTS)], strict=True)], ignore_index=True)
         if held is not None and len(held):
             yield fn(held)
 

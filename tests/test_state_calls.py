@@ -4,7 +4,7 @@ import collections
 
 import pandas as pd
 
-from millrace.streaming import stateful
+from millrace.streaming import stateful, streams
 
 
 class Store:
@@ -98,3 +98,13 @@ def test_calls_of_batches():
     assert len(out) == 200 * 5 and store.calls < 10
     out = pd.concat(batches.handleExpiredTimer((0,), Times(11 * HOUR), Times(11 * HOUR)))
     assert len(out) == 2000 and store.calls < 20
+
+
+def test_rows_of_a_null_key_go_out_together(spark):
+    rows = spark.createDataFrame([(k, i) for k in (1, None, 2) for i in range(12)], "key long, i long")
+
+    def one(part):
+        return pd.DataFrame({"key": [part["key"].iloc[0]], "n": [len(part)], "first": [part["i"].iloc[0]]})
+
+    out = streams.process_by_key(rows, "key", ["i"], one, "key long, n long, first long", 5, 2)
+    assert sorted(tuple(r) for r in out.fillna(0).collect()) == [(k, n, f) for k in (0, 1, 2) for n, f in ((2, 10), (5, 0), (5, 5))]
