@@ -2,8 +2,8 @@
 
 Two sets whose Jaccard similarity reaches the threshold share a token in their prefixes under every order
 of all tokens, at places that leave room for the overlap they need. The first order puts shingles that repeat in
-the corpus last and the others by hash; texts that share a prefix token of it meet in a bucket. Buckets of a few rows
-are compared pair by pair, which makes a bounded number of pairs for each row. Of what larger buckets leave open,
+the corpus last and the others by hash; texts that share a prefix token of it meet in a bucket. Smaller buckets
+are compared pair by pair, as many as make a bounded number of pairs for each row. Of what larger buckets leave open,
 the second order takes the shingles by how rare they are among the texts still open. The open texts' prefixes
 under further, independent orders are written once; a candidate pair goes on only if it shares a prefix token
 under each of them. Only then are the two texts fetched and their sets compared.
@@ -37,8 +37,9 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: Rounds with pivots under the first and the second order, before all remaining pairs.
 FIRST_ROUNDS, SECOND_ROUNDS = 1, 3
 #: Buckets of the first order with so many rows at most are compared pair by pair, so that only texts of larger ones
-#: shuffle all their shingles for the second order.
-FEW = 16
+#: shuffle all their shingles for the second order; larger ones too, up to FULL rows, as long as all pairs are PAIRS for each
+#: row of the buckets at most.
+FEW, FULL, PAIRS = 16, 32, 8
 #: Shingles that a task counts at a time; bytes of text whose shingles it makes at a time.
 CHUNK, SLICE = 1_000_000, 1 << 19
 #: Tokens meet by so many bits of their hash; a clash only adds candidates. The mark is above them.
@@ -302,6 +303,20 @@ def _second_order(open_nodes: DataFrame, texts: DataFrame, width: int, percent:
     return rows.select("token", "node", "n", F.col("pos").cast("int").alias("pos"), F.col("alone").cast("int").alias("rare"), "comp")
 
 
+def _few(sizes: DataFrame) -> int:
+    """Rows of the largest buckets that are compared pair by pair: smaller buckets come first, and the pairs of all of them are in proportion to
+    the rows of all buckets, however the buckets' sizes grow with the table. sizes: (token, rows); a row for each power of two comes to the driver."""
+    m = F.col("rows")
+    steps = sizes.groupBy(F.ceil(F.log2("rows")).alias("step")).agg(F.sum("rows").alias("all"), F.sum(m * (m - 1) / 2).alias("pairs"), F.max("rows").alias("most")).orderBy("step").collect()
+    allowed, pairs, few = PAIRS * sum(r["all"] for r in steps), 0, FEW
+    for r in steps:
+        pairs += r["pairs"]
+        if r["most"] > FULL or pairs > allowed:
+            break
+        few = max(few, r["most"])
+    return few
+
+
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -366,7 +381,8 @@ def _classes(documents: DataFrame, surveyed: DataFrame, sets: DataFrame, width:
         order = F.struct("rare", "node") if step == 0 else F.struct(F.xxhash64("node", F.lit(step)))
         buckets = linked(buckets, _pivot_pairs(buckets, order, percent, scratch))
     if not _empty(buckets):
-        few = scratch.stored(buckets.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") <= FEW).select("token"), "small-buckets")
+        sizes = scratch.stored(buckets.groupBy("token").agg(F.count("*").alias("rows")), "bucket-sizes")
+        few = sizes.where(F.col("rows") <= _few(sizes)).select("token")
         buckets = linked(buckets, _all_pairs(buckets.join(few, "token", "left_semi"), percent))
         buckets = scratch.stored(_open_buckets(buckets.join(few, "token", "left_anti"), percent), "large-buckets")
     if not _empty(buckets):

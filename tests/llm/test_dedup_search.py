@@ -111,6 +111,13 @@ def test_template_texts_and_few_rounds(spark, monkeypatch, few):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components(texts)
 
 
+def test_pairs_of_buckets_are_in_proportion_to_their_rows(spark):
+    few = lambda sizes: jaccard._few(spark.createDataFrame(list(enumerate(sizes)), "token long, rows long"))
+    assert few([2] * 50 + [24, 30]) == 30  # a bucket somewhat larger than most asks for no second order
+    assert few([30] * 50) == jaccard.FEW  # all would make 14.5 pairs a row
+    assert few([2] * 5000 + [20, jaccard.FULL + 1]) == 20 and few([]) == jaccard.FEW
+
+
 def test_prefixes_agree_under_every_order():
     rng = random.Random(16)
     for _ in range(40):
