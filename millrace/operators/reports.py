@@ -9,13 +9,14 @@ from millrace.functions.scalars import lsn_to_long, readable_size, safe_offset
 from millrace.operators.transforms import glob_filter, has_write_alias
 
 
-def actor_summary(actors: DataFrame, roles: DataFrame, movies: DataFrame, genres: DataFrame, movie_directors: DataFrame, directors: DataFrame) -> DataFrame:
+def actor_summary(actors: DataFrame, roles: DataFrame, movies: DataFrame, genres: DataFrame, movie_directors: DataFrame, directors: DataFrame, size: int = 0) -> DataFrame:
     """(id, name, num_movies, avg_rank, unique_genres, uniq_directors, updated_at) of every actor with a role. Directors count by
     their names.
 
     Roles are combined to one row for each actor and movie; the movie's own tables are combined to one row each, with
-    its genres and directors in sets, which are bounded by the movie. So the large table is shuffled by movie once and by actor once. A movie's rank
-    weighs as often as the plain join of all tables would hold it.
+    its genres and directors in sets, which are bounded by the movie. So the large table is shuffled by movie once and by actor once, before a row for each genre
+    and director is made of it. A movie's rank weighs as often as the plain join of all tables would hold it. size: about the bytes of
+    these rows; a task gets about 64 MB of them.
     """
     acted = roles.groupBy("actor_id", "movie_id").agg(F.count("*").alias("roles"), F.max("created_at").alias("updated"))
     # One id stands for all directors of a name: ids are counted, not texts.
@@ -30,7 +31,9 @@ def actor_summary(actors: DataFrame, roles: DataFrame, movies: DataFrame, genres
     parts = F.concat(
         F.array(row(0, none, none)), F.transform(F.coalesce("genres", F.array()), lambda x: row(1, x, none)), F.transform(F.coalesce("directors", F.array()), lambda x: row(2, none, x))
     )
-    each = facts.select("actor_id", "known", "rank", "w", "updated", F.explode(parts).alias("p")).select("actor_id", "p.*", "known", "rank", "w", "updated")
+    own_task = max(int(roles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
+    dealt = facts.select("actor_id", "known", "rank", "w", "updated", "genres", "directors").repartition(own_task, "actor_id")
+    each = dealt.select("actor_id", "known", "rank", "w", "updated", F.explode(parts).alias("p")).select("actor_id", "p.*", "known", "rank", "w", "updated")
     own = F.col("kind") == 0
     measured = F.when(own & F.col("rank").isNotNull(), F.col("w"))
     distinct = each.groupBy("actor_id", "kind", "genre", "director").agg(
