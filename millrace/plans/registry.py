@@ -55,5 +55,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that a task should get from a shuffle.
+TASK_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """df dealt by the keys, so that a task gets about TASK_BYTES of the ``size`` bytes; as it is where the session's own number of partitions does that."""
+    parts = -(-size // TASK_BYTES)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: k of an event's props, in SQL.
 K = "CAST(json_extract(props, '$.k') AS INTEGER)"

@@ -222,6 +222,20 @@ def test_actor_summary_counts_names(spark):
     out = {r.id: tuple(r)[1:] for r in reports.actor_summary(actors, roles, movies, genres, led, directors).collect()}
     # Movie 10 is joined twice two by two times: 8 rows of rank 4, one of rank 7.
     assert out == {1: ("A B", 2, 39 / 9, 2, 2, 5), 2: ("C D", 1, None, 0, 1, 4)}
+    plan = reports.actor_summary(actors, roles, movies, genres, led, directors)._jdf.queryExecution().executedPlan().toString()
+    assert "kind" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "kind" in x]  # what a row is exploded to isn't shuffled
+
+
+def test_actor_summary_of_lines_shuffles_no_copies(spark, monkeypatch):
+    from millrace.plans import batch, registry
+
+    rows = {tuple(r) for r in batch._actors(spark, "/root/testdata/sf0.001").collect()}
+    plan = batch._actors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and not [x for x in plan.split("\n") if "Exchange" in x and "kind" in x]
+    # Tasks follow the bytes.
+    monkeypatch.setattr(registry, "TASK_BYTES", 1 << 14)
+    more = batch._actors(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in more._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in more.collect()} == rows
 
 
 def test_heartbeats_across_spans(spark):
