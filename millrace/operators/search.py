@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Parameters of the ranking function.
 K1, B = 1.2, 0.75
 #: Documents of a range are 2 to this power; ranges that give the first bound, and ranges that a filter names.
 RANGE_BITS, FIRST_RANGES, NAMED_RANGES = 7, 16, 1024
+#: Words whose blocks are made at a time, and words of the documents that a task should get: their blocks are sorted in its memory.
+WORDS, TASK_WORDS = 1_000_000, 4_000_000
 #: Edits that the stored dictionary is made for, and the letters at a word's beginning that it looks at.
 EDITS, BEGINNING = 2, 7
 #: Word characters of the analyser: letters, numbers and marks.
@@ -28,8 +35,9 @@ def analyse(text: Column) -> Column:
 class Index:
     """documents: id and fields. analysed: (id, field, terms), the words of each field in order. postings: (id, field, term, pos).
     lengths: (id, field, length). Where the index is stored, else None: terms (field, term, freq), statistics (field, n, avg_len), blocks
-    (field, term, range, best, held), a term's postings in a range of documents with the largest share of a score among them, and deletions
-    (field, deleted, term, freq), the dictionary by what is left of its words' beginnings."""
+    (field, term, range, n, best, id, tf, length, start, pos, held), a term's postings in n documents of a range with the largest share of a score among
+    them (lists by document, where start is the place of its first position in pos; held has the first three together), and deletions
+    (field, deleted, term, freq), the dictionary by what is left of its words' beginnings. The stored postings are those of the blocks, one by one."""
 
     documents: DataFrame
     id: str
@@ -44,6 +52,12 @@ class Index:
     def field(self, name: str) -> DataFrame:
         return self.postings.where(F.col("field") == name)
 
+    def held(self, name: str) -> DataFrame:
+        """(term, id) of a field, once for each word of a document."""
+        if self.blocks is None:
+            return self.field(name).select("term", "id").distinct()
+        return self.blocks.where(F.col("field") == name).select("term", F.explode("id").alias("id"))
+
 
 def build_index(df: DataFrame, id: str, fields: list[str]) -> Index:
     """An index that is evaluated as it is used; store_index writes it."""
@@ -54,39 +68,100 @@ def build_index(df: DataFrame, id: str, fields: list[str]) -> Index:
 
 
 def store_index(index: Index, path: str) -> Index:
-    """Writes the index and opens it: postings by field, sorted by term and document, so that a query reads the pages of its own words and a frequent word is many tasks';
-    the same in blocks by ranges of documents; lengths; the dictionary, by term and by deletions; statistics."""
+    """Writes the index and opens it: postings in blocks by term and range of documents, sorted by these in each file, so that a query reads the pages of its own
+    words and a frequent word is many tasks'; lengths; the dictionary, by term and by deletions; statistics.
+
+    Documents are dealt by their ids; a range is up to 2 ** RANGE_BITS neighbours. A file is the index of the documents of one task, so their texts are shuffled
+    and no words are."""
     spark = index.documents.sparkSession
-    # Documents in order of their ids; a range holds as many neighbours as RANGE_BITS says.
-    ordered = index.analysed.where(F.size("terms") > 0).repartitionByRange("id").sortWithinPartitions("id").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
-    with_length = ordered.select("id", "field", "range", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
-    with_length.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id", "pos").write.partitionBy("field").parquet(f"{path}/postings")
-    index.documents.write.parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("field", "term").agg(F.count_distinct("id").alias("freq")).repartitionByRange("field", "term").sortWithinPartitions("term").write.partitionBy("field").parquet(f"{path}/terms")
-    index.lengths.write.partitionBy("field").parquet(f"{path}/lengths")
-    spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg_len")).write.parquet(f"{path}/statistics")
-    # A row for each field.
-    known = F.broadcast(spark.read.parquet(f"{path}/statistics").select("field", "avg_len"))
-    each = stored.groupBy("field", "term", "range", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length")).join(known, "field")
-    blocks = each.groupBy("field", "term", "range").agg(F.max(_share("tf")).alias("best"), F.collect_list(F.struct("id", "tf", "length")).alias("held"))
-    blocks.repartitionByRange("field", "term", "range").sortWithinPartitions("term", "range").write.partitionBy("field").parquet(f"{path}/blocks")
-    dictionary_rows = spark.read.parquet(f"{path}/terms").select("field", F.explode(deletions("term", EDITS)).alias("deleted"), "term", "freq")
-    dictionary_rows.repartitionByRange("field", "deleted", "term").sortWithinPartitions("deleted").write.partitionBy("field").parquet(f"{path}/deletions")
+    write = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    write(index.documents, "documents")
+    write(index.lengths, "lengths")
+    sums = spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"), F.sum("length").alias("words"))
+    stats = sums.collect()  # a row for each field
+    write(spark.createDataFrame([(r["field"], r["n"], r["avg_len"]) for r in stats], "field string, n long, avg_len double"), "statistics")
+    parts = max(spark.sparkContext.defaultParallelism, -(-sum(r["words"] for r in stats) // TASK_WORDS))
+    # From the documents as written; not yet analysed, as Spark reads the rows twice to deal them by ranges.
+    fields = sorted(r["field"] for r in stats)
+    texts = spark.read.parquet(f"{path}/documents").select(index.id, *(f for f in fields if f != index.id)).where(F.col(index.id).isNotNull())
+    dealt = texts.repartitionByRange(parts, index.id).sortWithinPartitions(index.id)
+    # The word comes first, as Spark sorts by a prefix of the first column.
+    write(_blocks(dealt, index.id, {r["field"]: r["avg_len"] for r in stats}).sortWithinPartitions("term", "field", "range"), "blocks")
+    terms = spark.read.parquet(f"{path}/blocks").groupBy("term", "field").agg(F.sum("n").alias("freq"))
+    write(terms.sortWithinPartitions("term", "field"), "terms")
+    left = spark.read.parquet(f"{path}/terms").select("field", F.explode(deletions("term", EDITS)).alias("deleted"), "term", "freq")
+    write(left.repartition("deleted", "field").sortWithinPartitions("deleted", "field", "term"), "deletions")
     return open_index(spark, path, index.id)
 
 
+def _blocks(documents: DataFrame, id: str, avg_len: dict[str, float]) -> DataFrame:
+    """(field, term, range, n, best, id, tf, length, start, pos) of the documents that a task has. avg_len names the fields."""
+    kind = documents.schema[id].dataType.simpleString()
+    schema = f"field string, term string, range long, n int, best double, id array<{kind}>, tf array<int>, length array<int>, start array<int>, pos array<int>"
+    if not avg_len:
+        return documents.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for field in batch.column("field").unique().to_pylist():
+                own = batch.filter(pc.equal(batch.column("field"), field))
+                ends = np.cumsum(own.column("terms").value_lengths().to_numpy())
+                at = 0
+                while at < own.num_rows:
+                    # Whole documents, as many as have WORDS words, but one at least.
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+                    yield _block_rows(field, own.slice(at, to - at), first, avg_len[field])
+                    first += -(-(to - at) // (1 << RANGE_BITS))
+                    at = to
+        pa.default_memory_pool().release_unused()
+
+    analysed = build_index(documents, id, list(avg_len)).analysed
+    return analysed.where(F.size("terms") > 0).select("id", "field", "terms").mapInArrow(run, schema)
+
+
+def _block_rows(field: str, documents: pa.RecordBatch, first: int, avg_len: float) -> pa.RecordBatch:
+    """The blocks of some documents, whose ranges are numbered from first."""
+    words = documents.column("terms").flatten().dictionary_encode()
+    length = documents.column("terms").value_lengths().to_numpy()
+    own = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+    code = words.indices.to_numpy()
+    order = np.argsort(code, kind="stable")  # words of one term stay in order of document and position
+    code, own, place = code[order], own[order], place[order]
+    at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (own[1:] != own[:-1])])
+    tf, code, own = np.diff(np.r_[at, len(code)]), code[at], own[at]
+    part = own >> RANGE_BITS
+    block = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])])
+    n = np.diff(np.r_[block, len(code)])
+    share = tf / (tf + K1 * (1 - B + B * length[own] / avg_len))
+    ends = pa.array(np.r_[block, len(code)].astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values.astype(np.int32)))
+    ids = documents.column("id")
+    columns = {
+        "field": pa.array([field]).take(pa.array(np.zeros(len(n), np.int32))),
+        "term": words.dictionary.take(pa.array(code[block])),
+        "range": pa.array(first + part[block].astype(np.int64)),
+        "n": pa.array(n.astype(np.int32)),
+        "best": pa.array(np.maximum.reduceat(share, block)),
+        "id": pa.ListArray.from_arrays(ends, ids.take(pa.array(own))),
+        "tf": lists(tf),
+        "length": lists(length[own]),
+        "start": lists(at - np.repeat(at[block], n)),
+        "pos": pa.ListArray.from_arrays(pa.array(np.r_[at[block], len(place)].astype(np.int32)), pa.array(place.astype(np.int32))),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def open_index(spark: SparkSession, path: str, id: str) -> Index:
     """An index that store_index wrote."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    postings = read("postings")
+    blocks = read("blocks")
+    each = blocks.select("field", "term", "range", F.explode(F.arrays_zip("id", "length", "tf", "start")).alias("x"), "pos")
+    postings = each.select("x.id", "range", "x.length", F.explode(F.slice("pos", F.col("x.start") + 1, F.col("x.tf"))).alias("pos"), "term", "field")
     analysed = postings.groupBy("id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
-    return Index(read("documents"), id, analysed, postings, read("lengths"), read("terms"), read("statistics"), read("blocks"), read("deletions"))
-
-
-def _share(tf: str) -> Column:
-    """What a word adds to a document's score, but for the factor of its rarity."""
-    return F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
+    blocks = blocks.withColumn("held", F.arrays_zip("id", "tf", "length"))
+    return Index(read("documents"), id, analysed, postings, read("lengths"), read("terms"), read("statistics"), blocks, read("deletions"))
 
 
 def _idf(n: float, df: int) -> Column:
@@ -96,13 +171,19 @@ def _idf(n: float, df: int) -> Column:
 def deletions(word: str | Column, edits: int) -> Column:
     """What is left of a word's first BEGINNING letters after up to ``edits`` deletions. Two words within so many edits, a swap of neighbours being one, share
     one of these: letters that an edit touches, or that an insertion shifts beyond the beginning, are as many as the edits at most."""
-    start = F.substring(F.col(word) if isinstance(word, str) else word, 1, BEGINNING)
-    out = last = F.array(start)
-    for _ in range(edits):
-        # An empty text has nothing to delete.
-        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda t: F.length(t) > 0), lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t)))))))
-        out = F.array_union(out, last)
-    return out
+    return _left(F.substring(F.col(word) if isinstance(word, str) else word, 1, BEGINNING), F.lit(edits))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _left(start: pd.Series, edits: pd.Series) -> pd.Series:
+    def left(text: str, most: int) -> list[str]:
+        out = last = {text}
+        for _ in range(most):
+            last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+            out = out | last
+        return list(out)
+
+    return pd.Series([None if t is None else left(t, m) for t, m in zip(start, edits, strict=True)])
 
 
 def words_of(text: str) -> list[str]:
@@ -119,7 +200,7 @@ def term(df: DataFrame, field: str, value) -> DataFrame:
 
 def prefix(index: Index, field: str, start: str) -> DataFrame:
     """Documents with a word of the field that starts so."""
-    hits = index.field(field).where(F.col("term").startswith(start.lower())).select("id").distinct()
+    hits = index.held(field).where(F.col("term").startswith(start.lower())).select("id").distinct()
     return index.documents.join(hits.withColumnRenamed("id", index.id), index.id, "left_semi")
 
 
@@ -127,8 +208,8 @@ def _counted(index: Index, field: str, wanted: list[str]) -> tuple[DataFrame, Da
     """((id, length, tf of each word), one row of n, avg_len and the df of each word)."""
     names = [f"tf{i}" for i in range(len(wanted))]
     if index.terms is not None:
-        held = index.field(field).where(F.col("term").isin(*wanted))
-        rows = held.groupBy("id").agg(F.max("length").alias("length"), *(F.count(F.when(F.col("term") == w, 1)).alias(t) for w, t in zip(wanted, names, strict=True)))
+        held = index.blocks.where((F.col("field") == field) & F.col("term").isin(*wanted)).select("term", F.explode("held").alias("h")).select("term", "h.*")
+        rows = held.groupBy("id").agg(F.max("length").alias("length"), *(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(t) for w, t in zip(wanted, names, strict=True)))
         known = index.terms.where((F.col("field") == field) & F.col("term").isin(*wanted))
         dfs = known.agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("freq"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(wanted)))
         return rows, dfs.crossJoin(index.statistics.where(F.col("field") == field).select("n", "avg_len"))
@@ -367,6 +448,6 @@ def match_bool_prefix(index: Index, field: str, text: str, minimum: int = 2, exp
     order = Window.partitionBy("clause").orderBy("d", F.desc("freq"), "term")
     expanded = measured.withColumn("r", F.row_number().over(order)).where(F.col("r") <= expansions).select("clause", "term")
     # At most expansions terms for each word of the query.
-    hits = index.field(field).select("id", "term").distinct().join(F.broadcast(expanded), "term")
+    hits = index.held(field).join(F.broadcast(expanded), "term")
     counted = hits.groupBy("id").agg(F.count_distinct("clause").alias("matched"))
     return counted.where(F.col("matched") >= min(minimum, len(words)))

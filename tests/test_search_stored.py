@@ -101,3 +101,24 @@ def test_stored_dictionary_is_read_at_deletions(stored):
     assert "In(deleted" in plan.split("PushedFilters")[1] and "/terms" not in plan
     for text in ("commno w1", "medum rar", "w12 w"):
         assert sorted(map(tuple, search.match_bool_prefix(kept, "text", text, 2).collect())) == sorted(map(tuple, search.match_bool_prefix(index, "text", text, 2).collect()))
+
+
+def test_postings_come_back_and_no_word_is_shuffled(spark, tmp_path, monkeypatch):
+    """Positions, lengths and two fields from blocks of few documents; texts are shuffled to be dealt, words aren't."""
+    monkeypatch.setattr(search, "WORDS", 6)
+    df = spark.createDataFrame([(i, "b a b c" if i % 3 else "a", None if i % 5 else f"b x{i}") for i in range(200)] + [(900, " ", "")], "id int, one string, two string")
+    index = search.build_index(df, "id", ["one", "two"])
+    written = []
+    real = type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *by: written.append(real(self, *by)) or written[-1])
+    kept = search.store_index(index, str(tmp_path / "two"))
+    plan = next(d for d in written if "best" in d.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(id") == 1 == plan.count("Exchange ") and plan.index("MapInArrow") < plan.index("Exchange ")
+    for column in ("postings", "lengths"):
+        want = getattr(index, column)
+        assert sorted(map(tuple, getattr(kept, column).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert kept.blocks.agg(F.max(F.size("held"))).first()[0] > 1
+    assert {(r["term"], r["freq"]) for r in search.dictionary(kept, "one").collect()} == {("a", 200), ("b", 133), ("c", 133)}
+    assert search.match_phrase(kept, "one", "b c").count() == 133 and search.prefix(kept, "two", "x1").count() == 22
+    empty = search.store_index(search.build_index(df.where("id = 900"), "id", ["one"]), str(tmp_path / "none"))
+    assert search.match(empty, "one", "a").count() == 0 == search.match_top(empty, "one", "a").count()
