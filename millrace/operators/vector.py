@@ -6,8 +6,9 @@ keeps its centroids, a bounded number, on the driver and in every task.
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,32 @@ from pyspark.sql import types as T
 BLOCK, QUERY_BLOCK = 2048, 512
 #: Bytes of vectors that a task should get.
 TASK_BYTES = 64 << 20
+#: Distances of a step, and components of the vectors that it compares or hands on, so that a task's memory depends on neither cells nor ties.
+STEP = 1 << 18
 #: Partial results are merged in groups of so many salts first.
 FAN_IN = 64
 HITS = "query_id long, id long, distance double"
 METRICS = ("l2", "cosine", "dot")
 
 
+def _tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; then the worker, which may stay idle, gives its memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
+def _at_a_time(width: int) -> int:
+    """How many rows of so many numbers make a step."""
+    return max(1, STEP // max(1, width))
+
+
 def _pairs(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Distances of paired rows: 'l2' (squared), 'cosine' (1 - cosine; 1 for a vector without length) or 'dot' (the negated product: smaller is nearer)."""
     if metric == "l2":
@@ -57,12 +78,22 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearest(metric: str, queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, id, exact distance) of at least the k nearest rows of each query."""
+    """(place of the query, id, exact distance) of at least the k nearest rows of each query, in steps."""
+    step = _at_a_time(len(rows))
+    parts = [_near_some(metric, queries[at : at + step], rows, k) for at in range(0, len(queries), step)]
+    q = np.concatenate([p[0] + at * step for at, p in enumerate(parts)])
+    return q, row_ids[np.concatenate([p[1] for p in parts])], np.concatenate([p[2] for p in parts])
+
+
+def _near_some(metric: str, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the row, exact distance). Rows at the distance of the k-th may be very many."""
     rough = _all(metric, queries, rows)
     scale = 1e-9 * (1 + np.abs(rough).max(initial=0))
     cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < rough.shape[1] else np.full((len(queries), 1), np.inf)
     q, r = np.nonzero((rough <= cut + scale) & np.isfinite(rough))
-    return q, row_ids[r], _pairs(metric, queries[q], rows[r])
+    step = _at_a_time(rows.shape[1])
+    exact = [_pairs(metric, queries[q[at : at + step]], rows[r[at : at + step]]) for at in range(0, len(q), step)]
+    return q, r, np.concatenate([np.zeros(0), *exact])
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -115,7 +146,7 @@ def _packed(rows: DataFrame, size: int, cells: bool = False) -> DataFrame:
         yield from [block(d) for d in list(held)]
 
     chosen = rows.select(F.spark_partition_id().cast("long").alias("part"), "id", "v", *(["cell"] if cells else []))
-    return chosen.mapInArrow(run, "block long, dim int, cell int, ids binary, matrix binary")
+    return chosen.mapInArrow(_tidy(run), "block long, dim int, cell int, ids binary, matrix binary")
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -156,7 +187,7 @@ def _compared(pairs: DataFrame, k: int, metric: str) -> DataFrame:
         if best:
             yield hits()
 
-    return pairs.select("q_block", "q_ids", "q_matrix", "ids", "matrix", "salt").mapInArrow(run, "query_id long, id long, distance double, salt int")
+    return pairs.select("q_block", "q_ids", "q_matrix", "ids", "matrix", "salt").mapInArrow(_tidy(run), "query_id long, id long, distance double, salt int")
 
 
 def _as_queries(blocks: DataFrame) -> DataFrame:
@@ -229,8 +260,9 @@ def _assigned(df: DataFrame, centres: np.ndarray, metric: str, vector_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            step = min(BLOCK, _at_a_time(max(centres.shape)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 which, found = _vectors(part.column(vector_col), centres.shape[1])
                 if len(which) < part.num_rows:
                     raise ValueError(f"vectors of an index of {centres.shape[1]} components need as many")
@@ -239,7 +271,7 @@ def _assigned(df: DataFrame, centres: np.ndarray, metric: str, vector_col: str)
                 gap = np.sqrt(_pairs("l2", found, centres[cell]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(gap)], [*part.schema.names, "cell", "gap"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidy(run), schema)
 
 
 def ivf_build(df: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, sample_rows: int = 50_000, metric: str = "l2") -> tuple[DataFrame, DataFrame]:
@@ -296,8 +328,9 @@ def _routed(asked: DataFrame, index: tuple, nprobe: int, metric: str, bounds: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, centres, radius = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            step = min(256, _at_a_time(len(centres)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 which, found = _vectors(part.column("v"), centres.shape[1])
                 if len(which) < part.num_rows:
                     raise ValueError(f"queries of an index of {centres.shape[1]} components need as many")
@@ -307,10 +340,12 @@ def _routed(asked: DataFrame, index: tuple, nprobe: int, metric: str, bounds: bo
                     bound = part.column("bound").to_numpy(zero_copy_only=False)[:, None]
                     probed = ~probed & (np.sqrt(np.maximum(gap, 0)) - radius[None, :] <= bound * (1 + 1e-9) + 1e-9)
                 q, c = np.nonzero(probed)
-                take = pa.array(q)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("v").take(take), pa.array(cells[c].astype(np.int32))], ["id", "v", "cell"])
+                some = _at_a_time(centres.shape[1])
+                for a in range(0, len(q), some):
+                    take = pa.array(q[a : a + some])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("v").take(take), pa.array(cells[c[a : a + some]].astype(np.int32))], ["id", "v", "cell"])
 
-    return asked.select("id", "v", *(["bound"] if bounds else [])).mapInArrow(run, "id long, v array<double>, cell int")
+    return asked.select("id", "v", *(["bound"] if bounds else [])).mapInArrow(_tidy(run), "id long, v array<double>, cell int")
 
 
 def _in_cells(indexed: DataFrame, routed: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:

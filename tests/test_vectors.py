@@ -1,6 +1,7 @@
 """Nearest neighbours by blocks in a shuffle, and the stored index."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,3 +93,32 @@ def test_stored_index_reads_a_quarter(spark, tmp_path, metric):
     plan = indexed.where(F.col("cell").isin(1, 2))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
     assert lists(vector.ivf_search(indexed, centroids, q, 5, 1, metric, exact=True)) == want
+
+
+def test_a_step_depends_on_neither_ties_nor_cells(spark, monkeypatch):
+    """Rows that are all at one distance, a block's pairs of which don't fit in one step, and queries that go to every cell."""
+    rows, queries = np.zeros((300, DIM)), np.ones((40, DIM))
+    largest = []
+    real = vector._pairs
+    monkeypatch.setattr(vector, "STEP", 800)
+    monkeypatch.setattr(vector, "_pairs", lambda metric, a, b: largest.append(a.size) or real(metric, a, b))
+    q, i, d = vector._nearest("l2", queries, rows, np.arange(1000, 1300), 5)
+    assert max(largest) <= vector.STEP and len(q) == 40 * 300
+    assert set(zip(q.tolist(), i.tolist(), strict=True)) == {(a, b) for a in range(40) for b in range(1000, 1300)} and set(d.tolist()) == {float(DIM)}
+    routed = []
+    index = (np.arange(60), np.arange(60.0)[:, None] * np.ones(DIM), np.full(60, 1.0))
+    fake = pa.RecordBatch.from_pylist([{"id": k, "v": [float(k)] * DIM} for k in range(50)])
+
+    class Asked:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            routed.extend(run(iter([fake])))
+
+    vector._routed(Asked(), index, 45, "l2", False)
+    assert max(b.num_rows for b in routed) * DIM <= vector.STEP
+    found = [(r["id"], r["cell"]) for b in routed for r in b.to_pylist()]
+    assert len(found) == len(set(found)) == 50 * 45 and all(abs(c - k) < 45 for k, c in found)
