@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from millrace.llm import byte_bpe, decontaminate, jaccard, substrings, toxicity
 from millrace.llm.shared_files import stored
 
+#: Bytes of an Arrow batch, unless the session sets them: operators work on slices of this size or less, and Spark's 64 MB are held
+#: several times for each task, by the executor and by its worker.
+ARROW_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
 
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -30,6 +40,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops each row whose text the chain, trained on all labelled rows of these documents, rejects; the others pass through the same scan."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
     chain = toxicity.fit(docs, labels, ("low_quality", "toxic"))
     return toxicity.predict(docs, chain).where("toxic_pred = 0").select(docs.columns)
@@ -37,6 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class: the one of the smallest id (null ids last), then the smallest text hash. Texts without words are in no class and stay."""
+    _small_batches(spark)
     rows = stored(jaccard.near_duplicates(docs, width=5, percent=80).where("class is not null"), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = rows.groupBy("class").agg(first).select("class", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
@@ -52,10 +64,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated 50-byte strings from the texts; a document of which nothing is left goes, an empty one stays, and a null text stays null."""
+    _small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     marked = docs.withColumn("_null", F.col("text").isNull())
-    cut = substrings.remove_repeats(marked, window=50, carry=[*others, "_null", "n_chars"]).where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0))
-    text = substrings.with_text(cut.drop("text_hash", "spans")).withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    cut = substrings.remove_repeats(marked, window=50, carry=[*others, "_null", "n_chars"], whole_characters=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    text = cut.where((F.col("n_bytes") == 0) | (removed < F.col("n_bytes"))).withColumn("text", F.when(~F.col("_null"), F.col("kept")))
     return text.withColumn("n_chars", F.when(F.col("_null"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
@@ -67,6 +81,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their number, with whether decoding the ids gives the text again."""
+    _small_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     source = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
     coded = byte_bpe.encode(source, ranks, pattern, decoded_col="decoded")

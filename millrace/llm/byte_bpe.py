@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import PieceTable, rows_of
+from millrace.llm.textarrays import give_back
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 #: Compatible pairs that are remembered before the memory is emptied.
@@ -161,7 +162,7 @@ class Codec:
         """Empties the memories of pieces and pairs: an idle worker keeps the vocabulary alone."""
         self.table.forget()
         self.pairs.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def token_bytes(self) -> pa.Array:
         """Bytes of every token, for decoding."""

@@ -354,7 +354,7 @@ def _classes(documents: DataFrame, surveyed: DataFrame, sets: DataFrame, width:
     nodes = scratch.stored(rows.join(met.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"]), "shared-tokens")
     buckets = scratch.stored(_open_buckets(nodes.withColumn("comp", F.col("node")), percent), "buckets")
     texts = _open_texts(documents, buckets.select("node").distinct(), width, percent, parts, scratch)
-    labels = spark.createDataFrame([], "node long, comp long")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))  # rows from Python, if none, would start other workers
 
     def linked(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
         """Compares the pairs and renames the components that they join, in the labels and in the buckets that stay open."""

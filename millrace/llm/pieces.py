@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.textarrays import IS_SPACE, text_bytes
+from millrace.llm.textarrays import IS_SPACE, byte_slices, give_back, text_bytes
 
 #: Texts are handled in groups of about so many bytes.
 BATCH_BYTES = 16 << 20
@@ -105,8 +105,7 @@ class PieceTable:
 
 def rows_of(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices balanced by the bytes of their texts."""
-    from millrace.llm.textarrays import byte_slices
-
     for batch in batches:
         yield from byte_slices(batch, text_col, limit)
-    pa.default_memory_pool().release_unused()  # an idle worker gives its memory back
+        del batch  # while the next one comes
+    give_back()

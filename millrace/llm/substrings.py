@@ -20,7 +20,7 @@ Exact copies of a text are found by its hashes first, so that they don't add anc
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.run_index import RunIndex
 from millrace.llm.shared_files import partitions_for
-from millrace.llm.textarrays import BYTE_CODES, U64, mix, span_hashes, text_bytes
+from millrace.llm.textarrays import BYTE_CODES, U64, give_back, mix, span_hashes, text_bytes
 
 #: Bytes of an anchor; bytes of stretches that are indexed at a time; windows whose anchors are sought at a time.
 ANCHOR, INDEX_BYTES, BLOCK = 20, 1_000_000, 1 << 20
@@ -166,6 +166,30 @@ class _Chunk:
             yield int(number[a]), slice(a, b)
 
 
+def _tidy(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run for a group; then the worker, which may stay idle, gives its memory back. It has as many parameters as run has."""
+    if run.__code__.co_argcount == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            out = run(table)
+            give_back()
+            return out
+
+        return one
+
+    def two(side: pa.Table, docs: pa.Table) -> pa.Table:
+        out = run(side, docs)
+        give_back()
+        return out
+
+    return two
+
+
+def _characters(kept: bytes) -> str:
+    """The kept bytes as UTF-8, without characters of which a part was removed."""
+    return kept.decode("utf-8", "ignore")
+
+
 def _chunk_of(docs: pa.Table) -> int:
     return docs.column("chunk")[0].as_py()
 
@@ -443,7 +467,7 @@ def _repeats(window: int):
     return run
 
 
-def _cut(window: int, carried: Sequence[str]):
+def _cut(window: int, carried: Sequence[str], whole_characters: bool):
     def run(side: pa.Table, docs: pa.Table) -> pa.Table:
         chunk = _Chunk(side, docs, 0, 0)
         number = {pair: i for i, pair in enumerate(chunk.order)}
@@ -467,7 +491,8 @@ def _cut(window: int, carried: Sequence[str]):
             out_spans.append([{"start": x, "end": y} for x, y in runs])
             edges = [0, *(x for span in runs for x in span), b - a]
             kept.append(b"".join(whole[a + x : a + y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if runs else whole[a:b])
-        columns = [docs.column("key"), docs.column("h"), pa.array(np.diff(offsets)), pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *(docs.column(c) for c in carried)]
+        left = pa.array([_characters(k) for k in kept], pa.string()) if whole_characters else pa.array(kept, pa.binary())
+        columns = [docs.column("key"), docs.column("h"), pa.array(np.diff(offsets)), pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), left, *(docs.column(c) for c in carried)]
         return pa.table(columns, ["key", "h", "n_bytes", "spans", "kept", *carried])
 
     return run
@@ -485,9 +510,10 @@ def _side_chunks(df: DataFrame, chunks: int) -> DataFrame:
     return df.withColumn("salt", F.explode(salts)).withColumn("chunk", F.pmod(F.xxhash64("key", "h", "salt"), F.lit(chunks)).cast("long"))
 
 
-def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
     """(doc_id, text_hash, n_bytes, spans array<struct<start,end>>, kept binary) for every row, and the columns of carry as
-    they are; text_hash is xxhash64 of the text.
+    they are; text_hash is xxhash64 of the text. With whole_characters, kept is a string, as with_text() makes it, in the same
+    pass, so that no second set of workers is needed.
 
     A byte goes if a window over it also starts in a row of a smaller id. Null texts are empty; a null id
     counts as larger than all ids (2**63 - 1 is taken for it); rows that repeat an id never remove each
@@ -506,17 +532,18 @@ def remove_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text
     marked = rows.select("key", "h", F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("size"))
     firsts = _side_chunks(marked.groupBy("h", "h2", "size").agg(F.min("key").alias("key")), chunks)
     listed = firsts.select("chunk", F.lit(0).alias("kind"), F.col("key").alias("a"), F.col("h").alias("b"), F.lit(None).cast("binary").alias("data"))
-    anchors = listed.groupBy("chunk").cogroup(texts).applyInArrow(_send_anchors(window, bits, width), "range long, chunk long, data binary")
-    answers = anchors.groupBy("range").applyInArrow(_answer(HOT), SIDE)
-    found = listed.unionByName(answers).groupBy("chunk").cogroup(texts).applyInArrow(_send_stretches(window, bits, width), STRETCHES)
+    anchors = listed.groupBy("chunk").cogroup(texts).applyInArrow(_tidy(_send_anchors(window, bits, width)), "range long, chunk long, data binary")
+    answers = anchors.groupBy("range").applyInArrow(_tidy(_answer(HOT)), SIDE)
+    found = listed.unionByName(answers).groupBy("chunk").cogroup(texts).applyInArrow(_tidy(_send_stretches(window, bits, width)), STRETCHES)
     # Stretches hold up to five times the bytes of live text.
     parts = partitions_for(df.sparkSession, 5 * size)
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch", "key")
     marks = ordered.mapInArrow(_repeats(window), SIDE)
-    out = StructType.fromDDL("key long, h long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    out = StructType.fromDDL("key long, h long, n_bytes long, spans array<struct<start: long, end: long>>")
+    out = out.add("kept", "string" if whole_characters else "binary")
     for name in names:
         out = out.add(name, source.schema[name].dataType, True)
-    cut = listed.unionByName(marks).groupBy("chunk").cogroup(texts).applyInArrow(_cut(window, names), out)
+    cut = listed.unionByName(marks).groupBy("chunk").cogroup(texts).applyInArrow(_tidy(_cut(window, names, whole_characters)), out)
     return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), F.col("h").alias("text_hash"), "n_bytes", "spans", "kept", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
 
 
@@ -525,7 +552,7 @@ def with_text(cut: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            texts = [_characters(b) for b in batch.column("kept").to_pylist()]
             keep = [c for c in batch.schema.names if c != "kept"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 

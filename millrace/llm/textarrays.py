@@ -5,6 +5,8 @@ All functions work on one Arrow batch inside a Spark task; nothing here knows ab
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,6 +18,14 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) | U64(1)
 
 
+def give_back() -> None:
+    """What Arrow's pool and, with glibc, the heap hold unused goes back to the system, as a worker may stay idle for long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
